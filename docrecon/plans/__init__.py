@@ -1 +1,3 @@
+"""The registered queries."""
 
+from docrecon.plans import aggregates, joins, reconciliation, rows, text  # noqa: F401
