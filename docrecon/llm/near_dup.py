@@ -19,10 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import NO_ID, WordHashes, free_names, load, saved, split_batches, whole, windows, word_arrays
+from docrecon.llm.common import NO_ID, WordHashes, load, saved, split_batches, whole, windows, word_arrays
 from docrecon.llm.graph import components
 
 SMALL, WIDTH = 8, 2
@@ -197,7 +198,8 @@ def near_dedup(docs: DataFrame, similarity: float = 0.85, words: int = 5) -> Dat
     pairs = F.flatten(F.transform(a, lambda x, i: F.transform(b, lambda y, j: F.xxhash64(x, y, i * SMALL + j))))
     keyed = classes.select("id", F.explode(pairs).alias("key"))
     least = keyed.groupBy("key").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("key", "least")
-    stars = keyed.join(least, "key").where("id <> least").select("id", "least")
+    # None of these sides has a bound, so none may be broadcast; Spark splits skewed partitions of a merge join.
+    stars = keyed.join(least.hint("merge"), "key").where("id <> least").select("id", "least")
     maybe = components(stars)
     maybe = saved(maybe.union(maybe.select(F.col("component").alias("node"), "component").distinct()).toDF("id", "group"))
     sizes = maybe.groupBy("group").agg(F.count("*").alias("n"))
@@ -209,14 +211,14 @@ def near_dedup(docs: DataFrame, similarity: float = 0.85, words: int = 5) -> Dat
             table = pa.Table.from_batches(parts)
             blobs = [s.tobytes() for s in shingle_sets(table.column("text").to_pylist(), words, hashes)]
             for batch in table.select(["group", "part", "id"]).append_column("shingles", pa.array(blobs, pa.binary())).combine_chunks().to_batches():
-                yield batch.filter(pa.compute.greater(pa.compute.binary_length(batch.column("shingles")), 0))
+                yield batch.filter(pc.greater(pc.binary_length(batch.column("shingles")), 0))
 
-    texts = docs.withColumnRenamed("doc_id", "id").join(member, "id").select("group", "part", "id", "text")
+    texts = docs.withColumnRenamed("doc_id", "id").join(member.hint("merge"), "id").select("group", "part", "id", "text")
     links = _links(saved(texts.mapInArrow(sets, "group long, part int, id long, shingles binary")), percent)
     # Rows that repeat a doc_id tie the classes of their texts together.
-    repeated = full.join(classes.select("set1", "set2", "n_shingles", "id"), ["set1", "set2", "n_shingles"]).select("doc_id", "id")
+    repeated = full.join(classes.select("set1", "set2", "n_shingles", "id").hint("merge"), ["set1", "set2", "n_shingles"]).select("doc_id", "id")
     found = components(links.union(repeated.where("doc_id <> id")))
-    out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left")
     real = lambda c: F.when(F.col(c) != F.lit(int(NO_ID)), F.col(c))
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).select(real("doc_id").alias("doc_id"), "n_shingles", real("component_id").alias("component_id"), (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
