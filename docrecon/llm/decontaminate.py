@@ -8,8 +8,6 @@ original text. UTF-8 bytes are read as Latin-1, so that one character of the aut
 
 from __future__ import annotations
 
-import bisect
-import hashlib
 import re
 from collections.abc import Iterator
 
