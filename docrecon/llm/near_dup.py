@@ -147,8 +147,8 @@ def _across(percent: int):
     def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, int]] = []
         if len(members) and len(queries):
-            s, roots = _Sets(members["id"].to_numpy(), members["shingles"].tolist()), members["root"].to_numpy()
-            for q, root, blob in zip(queries["id"], queries["root"], queries["shingles"]):
+            s, roots = _Sets(members["m_id"].to_numpy(), members["m_shingles"].tolist()), members["m_root"].to_numpy()
+            for q, root, blob in zip(queries["q_id"], queries["q_root"], queries["q_shingles"]):
                 own = np.frombuffer(blob, np.uint64)
                 near = np.searchsorted(s.space, own)
                 near = near[(near < len(s.space)) & (s.space[np.minimum(near, len(s.space) - 1)] == own)]
@@ -170,7 +170,13 @@ def _links(sets: DataFrame, percent: int) -> DataFrame:
     # apart from it, with all parts. No set of the group is left out of the second comparison.
     rooted = saved(sets.join(local.select("id", "root", "group", "part", "score"), ["id", "group", "part"]).join(large, "group", "left_semi"))
     parts = rooted.select("group", "part").distinct()
-    compare = lambda queries: saved(rooted.groupBy("group", "part").cogroup(queries.join(parts, "group").groupBy("group", "part")).applyInPandas(_across(percent), "a long, b long"))
+    fields = ["group", "part", "id", "root", "shingles"]
+    members = rooted.select(*[F.col(c).alias(f"m_{c}") for c in fields])
+
+    def compare(queries: DataFrame) -> DataFrame:
+        dealt = queries.join(parts, "group").select(*[F.col(c).alias(f"q_{c}") for c in fields])
+        return saved(members.groupBy("m_group", "m_part").cogroup(dealt.groupBy("q_group", "q_part")).applyInPandas(_across(percent), "a long, b long"))
+
     pivots = rooted.groupBy("group").agg(F.max_by("id", F.struct("score", "id")).alias("id"))
     first = compare(rooted.drop("part").join(pivots, ["group", "id"]))
     reached = links.join(rooted.select(F.col("id").alias("a")), "a", "left_semi").union(first)
