@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text in a chunk, the unit that one step of Python work holds in memory.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -104,11 +104,26 @@ def chunked(docs: DataFrame, text: str = "text") -> DataFrame:
     return saved(docs.mapInArrow(run, "chunk long, blob binary"))
 
 
+_held: dict = {"stage": None, "items": {}}
+
+
+def of_stage(name: str, make: Callable):
+    """An object that the tasks of one stage share in a Python worker; what earlier stages held is let go."""
+    context = TaskContext.get()
+    stage = context.stageId() if context else None
+    if stage != _held["stage"]:
+        _held.update(stage=stage, items={})
+        pa.default_memory_pool().release_unused()
+    if name not in _held["items"]:
+        _held["items"][name] = make()
+    return _held["items"][name]
+
+
 class WordHashes(dict):
     """Word (bytes) -> 64-bit hash; emptied when it holds too many words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 250_000:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import free_names, load
+from docrecon.llm.common import free_names, load, of_stage
 
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
@@ -72,12 +72,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     carried = docs.withColumns({"_hits": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>")})
     schema = carried.schema
 
-    for block in blocks(rows):
+    for number, block in enumerate(blocks(rows)):
         shared = spark.sparkContext.broadcast(patterns(block, window))
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
             found = shared.value
-            machine = automaton(found) if found else None
+            machine = of_stage(f"automaton {number}", lambda: automaton(found)) if found else None
             for batch in batches:
                 hits, items = [], []
                 for text, old_hits, old_items in zip(batch.column("text").to_pylist(), batch.column("_hits").to_pylist(), batch.column("_items").to_pylist()):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import NO_ID, WordHashes, load, mixed, parallelism, word_arrays
+from docrecon.llm.common import NO_ID, WordHashes, load, mixed, of_stage, parallelism, word_arrays
 
 LEXICON_BITS = 22
 SEGMENTS = 256
@@ -32,7 +32,7 @@ def lexicon(docs: DataFrame) -> np.ndarray:
     size = (1 << LEXICON_BITS) // SEGMENTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, total, n = WordHashes(), np.zeros(1 << LEXICON_BITS, np.int64), 0
+        hashes, total, n = of_stage("words", WordHashes), np.zeros(1 << LEXICON_BITS, np.int64), 0
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 n += 1
@@ -125,7 +125,7 @@ def fingerprints(docs: DataFrame, known: np.ndarray | None = None) -> DataFrame:
     dealt = rows.repartitionByRange(parts, "pid").sortWithinPartitions("pid", "ghost", "key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, hashes = np.unpackbits(shared.value).astype(bool), WordHashes()
+        bits, hashes = np.unpackbits(shared.value).astype(bool), of_stage("words", WordHashes)
         made = lambda text: fingerprint(word_arrays([text], hashes, True)[0], bits)
         last = None
         for batch in batches:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import NO_ID, WordHashes, load, saved, split_batches, whole, windows, word_arrays
+from docrecon.llm.common import NO_ID, WordHashes, load, of_stage, saved, split_batches, whole, windows, word_arrays
 from docrecon.llm.graph import components
 
 SMALL, WIDTH = 8, 2
@@ -67,8 +67,8 @@ def _signature(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _signed(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for parts in split_batches(batches, "text", 4 << 20):
+        hashes = of_stage("words", WordHashes)
+        for parts in split_batches(batches, "text", 2 << 20):
             table = pa.Table.from_batches(parts)
             sets = shingle_sets(table.column("text").to_pylist(), words, hashes)
             full = np.array([i for i, s in enumerate(sets) if len(s)], np.int64)
@@ -212,8 +212,8 @@ def near_dedup(docs: DataFrame, similarity: float = 0.85, words: int = 5) -> Dat
     member = maybe.join(sizes, "group").select("id", "group", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)).cast("int").alias("part"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for parts in split_batches(batches, "text", 4 << 20):
+        hashes = of_stage("words", WordHashes)
+        for parts in split_batches(batches, "text", 2 << 20):
             table = pa.Table.from_batches(parts)
             blobs = [s.tobytes() for s in shingle_sets(table.column("text").to_pylist(), words, hashes)]
             for batch in table.select(["group", "part", "id"]).append_column("shingles", pa.array(blobs, pa.binary())).combine_chunks().to_batches():

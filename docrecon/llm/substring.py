@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import WordHashes, chunked, free_names, from_blob, ids_of, parallelism, saved, whole, windows, word_arrays
+from docrecon.llm.common import WordHashes, chunked, free_names, from_blob, ids_of, of_stage, parallelism, saved, whole, windows, word_arrays
 
 PERIOD, COVER, ANCHOR = 7, (0, 1, 3), 7
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -160,10 +160,10 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_i
     docs = free_names(docs, ["n_words", "n_removed", "kept_sha256", "kept_text"])
     spark, kinds = docs.sparkSession, docs.schema
     chunks = chunked(docs, text)
-    buckets = max(parallelism(spark), chunks.count() // 4)
+    buckets = max(parallelism(spark), chunks.count() // 8)
 
     def anchor_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = of_stage("words", WordHashes)
         for part in parts:
             for chunk, blob in zip(part["chunk"], part["blob"]):
                 c = _Chunk(blob, text, doc_id, window, buckets, hashes)
@@ -179,7 +179,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_i
     known = chunks.join(gathered(answers, "shared"), "chunk", "left")
 
     def window_rows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        hashes = WordHashes()
+        hashes = of_stage("words", WordHashes)
         for part in parts:
             for chunk, blob, shared in zip(part["chunk"], part["blob"], part["shared"]):
                 c = _Chunk(blob, text, doc_id, window, buckets, hashes)
@@ -198,7 +198,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_i
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kinds), "n_words long", "n_removed long", "kept_sha256 string", "kept_text string"])
 
     def result_rows(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = of_stage("words", WordHashes)
         for part in parts:
             for row in part.to_pylist():
                 c = _Chunk(row["blob"], text, doc_id, window, buckets, hashes)

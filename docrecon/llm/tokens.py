@@ -13,11 +13,12 @@ import json
 import re
 import struct
 import unicodedata
-from collections.abc import Iterator
 
 import regex
 from tokenizers import Tokenizer
 
+from docrecon.llm.common import of_stage
+
 #: White space as the library's patterns see it (Python's own \\s has four control characters more).
 SPACES = r"\t-\r\x20\x85\xA0  -     　"
 BYTE_LEVEL = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+")
@@ -104,13 +105,6 @@ class Packed(dict):
             return b"".join(map(self.merged.__getitem__, self.pattern.findall(text)))
 
 
-_held: dict[int, Packed] = {}
-
-
 def packed(text: str) -> Packed:
-    """The one Packed of this worker for a vocabulary, which its later tasks use again."""
-    key = hash(text)
-    if key not in _held:
-        _held.clear()
-        _held[key] = Packed(text)
-    return _held[key]
+    """The one Packed of this worker for a vocabulary, which the stage's later tasks use again."""
+    return of_stage(f"ids {hash(text)}", lambda: Packed(text))

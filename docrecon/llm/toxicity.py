@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import free_names, load
+from docrecon.llm.common import free_names, load, of_stage, saved
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the model is fitted on, at most (those with the least hashes of their doc_id).
@@ -88,7 +88,7 @@ class Model:
             places, cosines = self.nearest(v)
             weight = cosines**2
             score = (float((weight * self.toxic[places]).sum()) + 0.5 * self.rate) / (float(weight.sum()) + 0.5)
-            if len(self.seen) > 100_000:
+            if len(self.seen) > 20_000:
                 self.seen.clear()
             self.seen[key] = score, sorted(v, key=lambda t: (-v[t], t))[:5], [int(i) for i in self.ids[places[:3]]]
         return self.seen[key]
@@ -112,8 +112,6 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
             maps = [list(terms_of(t).items()) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic"), pa.array(maps, pa.map_(pa.string(), pa.int32()))], ["doc_id", "toxic", "terms"])
 
-    from docrecon.llm.common import saved
-
     examples = saved(texts.mapInArrow(counted, "doc_id long, toxic int, terms map<string,int>"))
     n, toxic = (x or 0 for x in examples.agg(F.count("*"), F.sum("toxic")).first())
     if not toxic or toxic == n:
@@ -153,6 +151,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        m.seen = of_stage("seen", dict)
         for batch in batches:
             s, e, x = zip(*map(m.score, batch.column("text").to_pylist())) if batch.num_rows else ((), (), ())
             more = {"score": pa.array(s, pa.float64()), "evidence": pa.array(e, pa.list_(pa.string())), "examples": pa.array(x, pa.list_(pa.int64()))}
