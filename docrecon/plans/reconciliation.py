@@ -74,9 +74,9 @@ def erp2(spark, d):
     return reconciled(spark, d).select("id", F.to_json(payload, {"ignoreNullFields": "false"}).alias("payload_json"))
 
 
-@query("erp4_migration_log", WITH + REC + "SELECT id, concat('UNIGES-DOSSIER-', CAST(id AS STRING), '-20240215') AS erp_reference, status <> 'error' AS success FROM rec")
+@query("erp4_migration_log", WITH + REC + "SELECT id, concat('ERP-DOSSIER-', CAST(id AS STRING), '-20240215') AS erp_reference, status <> 'error' AS success FROM rec")
 def erp4(spark, d):
-    return reconciled(spark, d).select("id", F.concat(F.lit("UNIGES-DOSSIER-"), F.col("id").cast("string"), F.lit("-20240215")).alias("erp_reference"), (F.col("status") != "error").alias("success"))
+    return reconciled(spark, d).select("id", F.concat(F.lit("ERP-DOSSIER-"), F.col("id").cast("string"), F.lit("-20240215")).alias("erp_reference"), (F.col("status") != "error").alias("success"))
 
 
 @query("val4_resolved_status", WITH + RESOLVED + "SELECT id, resolved AS status, CASE resolved WHEN 'validated' THEN 'success' WHEN 'rejected' THEN 'danger' WHEN 'pending' THEN 'neutral' ELSE 'info' END AS tone FROM resolved")
