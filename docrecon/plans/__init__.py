@@ -1,3 +1,3 @@
 """The registered queries."""
 
-from docrecon.plans import aggregates, joins, reconciliation, rows, text, workflow  # noqa: F401
+from docrecon.plans import access, aggregates, joins, layout, reconciliation, rows, text, workflow  # noqa: F401
