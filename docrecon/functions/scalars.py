@@ -1,9 +1,11 @@
 """Column functions: the reference's number, date and text rules."""
 
-from __future__ import annotations
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def filled(c) -> Column:
@@ -72,3 +74,81 @@ def dum_validated(c) -> Column:
 
 def invoice_validated(c) -> Column:
     return F.lower(F.trim(c)).isin("valide", "controle_croise", "controle_ok", "controle_warning", "controle_ecart")
+
+
+def safe_float(c) -> Column:
+    """Digits and points; the sign goes, two points are null."""
+    return F.regexp_replace(F.replace(c, F.lit(","), F.lit(".")), "[^0-9.]", "").try_cast("double")
+
+
+def coherence_number(c) -> Column:
+    """As safe_float, with the sign."""
+    return F.regexp_replace(F.replace(c, F.lit(","), F.lit(".")), "[^0-9.-]", "").try_cast("double")
+
+
+def lenient_float(c) -> Column:
+    """As coherence_number, of several points the first counts."""
+    plain = F.regexp_replace(F.replace(c, F.lit(","), F.lit(".")), "[^0-9.-]", "")
+    return F.concat(F.regexp_extract(plain, r"^([^.]*\.?)", 1), F.replace(F.regexp_extract(plain, r"^[^.]*\.?(.*)$", 1), F.lit("."), F.lit(""))).try_cast("double")
+
+
+# Misread words of the forms and what they stand for, in the order in which they are put right.
+MISREAD = [
+    (r"\bCUSTPMS\b", "CUSTOMS"), (r"\bDECTARATION\b", "DECLARATION"), (r"\bDECLARATON\b", "DECLARATION"), (r"\bIMPORTATEAR\b", "IMPORTATEUR"), (r"\bIMPRIM[ÉE]\b", "IMPRIME"), (r"\bMAYEN\b", "MOYEN"), (r"\bPATER\b", "PAYS"),
+    (r"\bPAYS\s+DE\s+PREMIGRE\b", "PAYS DE PREMIERE"), (r"\bU5D\b", "USD"), (r"\bUSO\b", "USD"), (r"\bUSP\b", "USD"), (r"\bPTEN\b", "PTFN"), (r"\bOCB\b", "QCS"), (r"\bACS\b", "QCS"), (r"\bPOIDA\b", "POIDS"), (r"\bPAIDA\b", "POIDS"),
+    (r"\bDOUANE\s+COEF\.?\s+D['’]AJUSTE\w*\b", "DOUANE COEF. D'AJUSTEMENT"), (r"\bSAT\b", "USA"), (r"\bU5A\b", "USA"),
+]
+
+
+def normalize_noise(c) -> Column:
+    """Misread words put right, blanks and empty lines closed up."""
+    for pattern, word in MISREAD:
+        c = F.regexp_replace(c, "(?iU)" + pattern, word)
+    return F.trim(F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}", " "), "\n{3,}", "\n\n"))
+
+
+def importer_code(c) -> Column:
+    """'cl 101' -> CL101, else three to five digits, else the text without blanks."""
+    plain = F.upper(F.regexp_replace(c, r"\s+", ""))
+    client, digits = F.regexp_extract(plain, r"CL([0-9]{1,4})", 1), F.regexp_extract(plain, r"\b([0-9]{3,5})\b", 1)
+    return F.when(client != "", F.concat(F.lit("CL"), client)).when(digits != "", digits).otherwise(F.nullif(plain, F.lit("")))
+
+
+def field_text(key, c) -> Column:
+    """A field's value by its name: dates with dashes, digits of numbers, names in upper case."""
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", ""), r"\s+", " "), r"^[ \-|:;,.]+|[ \-|:;,.]+$", "")
+    plain = F.regexp_replace(F.regexp_replace(F.replace(plain, F.lit("™"), F.lit("T")), r"U S A|U\.S\.A", "USA"), r"\b(1N|TM)\b", "TN")
+    day = F.nullif(F.regexp_replace(F.regexp_extract(plain, r"\b([0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4})\b", 1), "[/.]", "-"), F.lit(""))
+    digits = F.nullif(F.regexp_replace(F.regexp_replace(plain, "[^0-9,.-]", ""), r"\.{2,}", "."), F.lit(""))
+    numeric, name = key.rlike("code|numero|num_|colis|poids|montant|qcs|delai|regime"), key.rlike("importateur|exportateur|declarant|bureau|itineraire|mode_transport|designation")
+    return F.when(key.contains("date") & day.isNotNull(), day).when(numeric, F.coalesce(digits, plain)).when(name, F.upper(plain)).otherwise(plain)
+
+
+# The shape of each kind of field.
+SHAPES = {
+    "declaration_id": r"^[0-9]{6}$", "date_tn": r"\b[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4}\b", "type_declaration": r"(?i)^ *(EA|SE|EE|DUM|IM *[0-9]*|EX *[0-9]*|T1)$", "small_int": r"^[0-9]{1,5}$", "colis": r"^(?!0+$)[0-9]{1,3}$",
+    "repertoire": r"^[0-9]{4,6}$", "declarant_code": r"^(?!0+[0-9]?$)[0-9]{2,5}$", "regime_delai": r"^[0-9]{1,2}$", "weight": r"^[0-9]+([.,][0-9]+)?$", "amount": r"^[0-9]+([.,][0-9]+)?$", "alnum_code": r"[A-Za-z0-9][^A-Za-z0-9]*[A-Za-z0-9]", "block_text": r"(?s)^.{10}",
+}
+
+
+def valid_field(kind, c) -> Column:
+    """Whether a value has the shape of its kind; blank never has, a kind without a shape takes anything else."""
+    text = F.trim(F.coalesce(c, F.lit("")))
+    test = F.lit(True)
+    for name, shape in SHAPES.items():
+        test = F.when(kind == name, text.rlike(shape)).otherwise(test)
+    return (text != "") & test
+
+
+@F.pandas_udf(DoubleType())
+def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def anchor_score(token, variants: list[str]) -> Column:
+    """1 for a token that holds a variant of a label, else the best ratio of equal runs with one of them."""
+    holds = F.lit(False)
+    for v in variants:
+        holds = holds | token.contains(v)
+    ratios = [_sequence_ratio(token, F.lit(v)) for v in variants]
+    return F.when(holds, 1.0).otherwise(F.greatest(*ratios) if len(ratios) > 1 else ratios[0])

@@ -66,12 +66,14 @@ def reconcile(invoices: DataFrame, inputs: DataFrame, tolerance: float = 0.01) -
     return j.withColumns({"status": status, "codes": F.filter(codes, lambda c: c.isNotNull())})
 
 
-def field_f1(truth: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys.., field) with tp, fp, fn, precision, recall, f1; truth (file, field, value), predicted (keys.., file, field, value)."""
+def field_f1(truth: DataFrame, predicted: DataFrame, keys: list[str], settings: list[tuple]) -> DataFrame:
+    """(keys.., field) with tp, fp, fn, precision, recall, f1 for each of the settings, the values of keys that were tried;
+    truth (file, field, value), predicted (keys.., file, field, value)."""
     norm = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     t = truth.select("file", "field", norm("value").alias("t"))
     p = predicted.select(*keys, "file", "field", norm("value").alias("p"))
-    wanted = p.select(*keys).distinct().join(t) if keys else t
+    tried = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(keys, s)]) for s in settings])
+    wanted = t.withColumn("_s", F.explode(tried)).select("_s.*", "file", "field", "t")
     j = wanted.join(p, [*keys, "file", "field"], "left").withColumn("p", F.coalesce("p", F.lit("")))
     hit, miss = (F.col("t") != "") & (F.col("t") == F.col("p")), (F.col("t") != "") & (F.col("t") != F.col("p"))
     out = j.groupBy(*keys, "field").agg(F.count_if(hit).alias("tp"), F.count_if((miss | (F.col("t") == "")) & (F.col("p") != "")).alias("fp"), F.count_if(miss).alias("fn"))

@@ -1,3 +1,3 @@
 """The registered queries."""
 
-from docrecon.plans import access, aggregates, extraction, joins, layout, quality, reconciliation, rows, text, workflow  # noqa: F401
+from docrecon.plans import access, aggregates, extraction, fields, joins, layout, quality, reconciliation, rows, text, workflow  # noqa: F401

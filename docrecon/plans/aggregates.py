@@ -72,14 +72,14 @@ def predictions(spark, d):
 
 @query("agg7_field_f1", WITH + TRUTH_SQL + "SELECT * FROM f1")
 def agg7(spark, d):
-    return field_f1(truth(spark, d), predictions(spark, d), ["threshold"])
+    return field_f1(truth(spark, d), predictions(spark, d), ["threshold"], [(s,) for s, _ in STEPS])
 
 
 CRITICAL = ["numero", "devise", "montant_ptfn"]
 
 
 def summary(spark, d):
-    f = field_f1(truth(spark, d), predictions(spark, d), ["threshold"])
+    f = field_f1(truth(spark, d), predictions(spark, d), ["threshold"], [(s,) for s, _ in STEPS])
     return f.groupBy("threshold").agg(F.round(F.avg("f1"), 4).alias("macro_f1"), F.round(F.avg(F.when(F.col("field").isin(CRITICAL), F.col("f1"))), 4).alias("critical_f1"))
 
 
