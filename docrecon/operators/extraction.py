@@ -144,16 +144,16 @@ def article_value_fields(text: Column) -> dict[str, Column]:
 
 def title_pair(text: Column) -> Column:
     """struct(code, number) by the first pattern whose pair is plausible; null if none is."""
-    t = fold_text(text)
 
-    def pair(p: str) -> Column:
+    def pair(t: Column, p: str) -> Column:
         code, number = found(t, p, 1), found(t, p, 2)
         n = code.cast("int")
         # Codes up to 21 with two digits, 56 and those over 99 are other boxes; so are numbers that begin with a tariff heading.
         other = n.between(1, 21) & (F.length(code) == 2) | (n == 56) | ~n.between(1, 99)
         return F.when(~other & number.cast("long").between(100_000, 99_999_999) & ~number.rlike("^(880|854)"), F.struct(code.alias("code"), number.alias("number")))
 
-    return F.coalesce(*[pair(p) for p in TITLES])
+    # The folded text is named once, as the one element of an array: repeated in each pattern it would outgrow generated code.
+    return F.get(F.transform(F.array(fold_text(text)), lambda t: F.coalesce(*[pair(t, p) for p in TITLES])), F.lit(0))
 
 
 def articles(docs: DataFrame) -> DataFrame:

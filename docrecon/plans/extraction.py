@@ -102,7 +102,7 @@ BILL = f"""SELECT {K} AS id, concat('Invoice fa', lpad(CAST({K} % 10000000 AS ST
 
 
 @query("ext14_invoice_header", f"""SELECT {K} AS id, concat('FA', lpad(CAST({K} % 10000000 AS STRING), 7, '0')) AS number, CASE WHEN {K} % 2 = 0 THEN '05/06/2025' END AS date, {pick(['TND', 'USD', 'EUR'])} AS currency, concat('CL', CAST({K} % 900 + 100 AS STRING)) AS client, 'TN123456789' AS tax_id,
-'EXW' AS incoterm, 'Virement 30 jours' AS payment, CASE WHEN {K} % 2 = 0 THEN 0.92 END AS sure FROM orders""")
+'EXW' AS incoterm, 'Virement 30 jours' AS payment, CAST(CASE WHEN {K} % 2 = 0 THEN 0.92 END AS DOUBLE) AS sure FROM orders""")
 def ext14(spark, d):
     out = rows(spark, d, BILL).select("id", *[c.alias(k) for k, c in E.invoice_fields(F.col("text")).items()])
     return out.select("id", "number", "date", "currency", "client", "tax_id", "incoterm", "payment", F.col("confidence")["date"].alias("sure"))

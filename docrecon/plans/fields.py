@@ -130,7 +130,7 @@ def scl12(spark, d):
 def scl13(spark, d):
     k = F.col("p_partkey") % 3
     line = F.when(k == 0, F.concat("p_name", F.lit(" sarl"))).when(k == 1, F.concat(F.lit("575 : "), "p_name")).otherwise(F.concat("p_name", F.lit(" certificat")))
-    return table(spark, d, "part").select("p_partkey", party_score(line).alias("score"))
+    return table(spark, d, "part").select("p_partkey", party_score(line).cast("long").alias("score"))
 
 
 @query("scl15_anchor_fuzzy_score")
