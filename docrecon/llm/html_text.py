@@ -36,26 +36,50 @@ INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em fo
 CHROME = frozenset("nav footer aside form menu dialog head button".split())
 NAMES = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice pagination popup promo related search share sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo respond".split())
 ARTICLE = frozenset(["article", "main"])
+#: Elements whose names say something about the page, not about what they hold.
+WHOLE = frozenset(["html", "body", "main"])
+#: A name that begins so tells of something beside the element; parts that may follow the telling one.
+BESIDE = frozenset("has with without no is".split())
+AFTER = frozenset("area bar block bottom box container inner item items left link links list outer right section top wrap wrapper".split())
 BODY, TEXT, OTHER = 0, 1, 2
 
 
+def telling(attributes: str) -> bool:
+    """Whether a class, id or role is one of NAMES, ends in one (cookie-notice) or is one with a common part after it
+    (sidebar-left); page-wide ones such as has-sidebar, content-sidebar-wrap or search-page aren't."""
+    for value in NAMED.findall(attributes):
+        for name in value.strip("\"'").lower().split():
+            parts = [p for p in SPLIT.split(name) if p]
+            if not parts or parts[0] in BESIDE:
+                continue
+            if parts[-1] in NAMES or parts[0] in NAMES and all(p in AFTER or p.isdigit() for p in parts[1:]):
+                return True
+    return False
+
+
 def blocks_of(page: str | None) -> list[tuple[int, str]]:
-    """(TEXT, OTHER or BODY for undecided; text of the block), in page order, without empty ones."""
-    out: list[tuple[int, str]] = []
+    """(TEXT, OTHER or BODY for undecided; text of the block), in page order, without empty ones.
+
+    A form or a name only hints: an article or main within is text after all, if no article of the page has fewer hints around
+    it (so comments and teasers that are articles stay out). Within navigation, footers and the like it isn't.
+    """
+    out: list[tuple[int, str, int]] = []
     if not page:
         return out
     held: list[str] = []
-    stack: list[tuple[str, int]] = []
+    # Element, state, hints around it, whether more than hints say OTHER.
+    stack: list[tuple[str, int, int, bool]] = []
+    top = ("", BODY, 0, False)
 
     def state() -> int:
-        return stack[-1][1] if stack else BODY
+        return (stack[-1] if stack else top)[1]
 
     def flush() -> None:
         if held:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                out.append((state(), text))
+                out.append((state(), text, stack[-1][2] if stack else 0))
 
     at, n = 0, len(page)
     while at < n:
@@ -84,21 +108,26 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
             continue
         if tag in VOID or attributes.endswith("/"):
             continue
-        now, names = state(), set()
-        for x in NAMED.findall(attributes):
-            names.update(SPLIT.split(x.strip("\"'").lower()))
-        if now == OTHER or tag in CHROME or names & NAMES or tag == "header" and now != TEXT:
-            now = OTHER
-        elif tag in ARTICLE:
+        if tag == "body" and not any(x[0] == "body" for x in stack):
+            stack.clear()  # the end tag of head may be left out
+        _, now, hints, firm = stack[-1] if stack else top
+        hint = tag == "form" or tag not in WHOLE and telling(attributes)
+        hints += hint
+        if tag in CHROME and tag != "form" or tag == "header" and now != TEXT:
+            now, firm = OTHER, True
+        elif tag in ARTICLE and not firm:
             now = TEXT
+        elif hint:
+            now = OTHER
         if tag in INLINE:
             if now != state() and held:
                 flush()
             if now == state():
                 continue
-        stack.append((tag, now))
+        stack.append((tag, now, hints, firm))
     flush()
-    return out
+    least = min((h for kind, _, h in out if kind == TEXT), default=0)
+    return [(OTHER if kind == TEXT and h > least else kind, text) for kind, text, h in out]
 
 
 def shared_runs(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN, pages: int = MIN_PAGES) -> np.ndarray:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 from docrecon.llm import toxicity as tox
 from docrecon.llm.decontaminate import decontaminate
 from docrecon.llm.fingerprint import fingerprints, likeness
-from docrecon.llm.html_text import extract_text, shared_runs
+from docrecon.llm.html_text import OTHER, blocks_of, extract_text, shared_runs
 from docrecon.llm.licences import scan_licences
 from docrecon.llm.near_dup import near_dedup
 from docrecon.llm.packing import pack, plan
@@ -228,6 +228,19 @@ def test_html(spark):
     assert shared_runs(np.array([1, 2, 3, 4, -1, 9, 1, 2, 3, 4, -1]), np.array([0] * 5 + [1] * 6), 3, 2).tolist() == [True] * 4 + [False, False] + [True] * 4 + [False]
 
 
+@pytest.mark.parametrize("page", [
+    "<body class='page has-sidebar'><main><p>Kept</p></main></body>",
+    "<body><div id='content-sidebar-wrap'><main><p>Kept</p></main></div></body>",
+    "<body><div id='content-sidebar-wrap'><p>Kept</p></div></body>",
+    "<article class='post has-comments'><p>Kept</p><div id='comments'><article>Thanks</article></div></article>",
+    "<div class='search-page'><p>Kept</p></div>",
+    "<form id='all'><div class='sidebar'><article>Teaser</article></div><article><p>Kept</p><div class='sidebar-left'>x</div></article></form>",
+    "<head><title>t</title><body><p>Kept</p><nav><article>Menu</article></nav><div class='ad-box'>x</div><div class='cookie-notice'>y</div>",
+])
+def test_html_names(page):
+    assert [text for kind, text in blocks_of(page) if kind != OTHER] == ["Kept"]
+
+
 def test_toxicity(spark):
     rng = random.Random(5)
     rows, labels = [], []
