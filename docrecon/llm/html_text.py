@@ -1,15 +1,17 @@
 """Main text of HTML pages, with boilerplate found by a suffix array over the pages of a host.
 
-Markup settles much: what stands in article or main is text, what stands in navigation, footers, sidebars, adverts, forms,
-notices or comments isn't. The rest of a page's blocks is undecided. The token streams of all blocks outside articles of a
-host's pages are put one after the other, and runs of MIN_RUN tokens or more that MIN_PAGES distinct pages share, within a block,
-found as neighbours in the suffix array, are boilerplate; of undecided blocks the unique runs are kept.
+Markup says of a block that it is text (in article or main), isn't (in navigation, footers, adverts, forms, notices,
+comments) or leaves it undecided. The token streams of all blocks of a host's pages are put one after the other, and runs of
+MIN_RUN words or more that MIN_PAGES distinct pages share, within a block, found as neighbours in the suffix array, are
+boilerplate. They are cut out of undecided blocks, and those of any length that MIN_PAGES pages have as a whole go too. Of an
+article, blocks go that are such a run as a whole, unless runs are much of it: then it is a copy, and the text of its page.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +22,10 @@ from pyspark.sql import functions as F
 
 from docrecon.llm.common import load, saved
 
-MIN_RUN, MIN_PAGES = 4, 3
+#: Words of a run that counts as repeated, and pages that must share it.
+MIN_RUN, MIN_PAGES = 20, 3
+#: Repeated blocks of an article are cut if one in so many of its words at most is repeated.
+COPIED = 3
 #: Bytes of html of one host that one task looks at together; a larger host is dealt into several such groups.
 HOST_BYTES = 8 << 20
 #: Hosts of several groups that are broadcast, at most.
@@ -131,67 +136,83 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
 
 
 def shared_runs(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN, pages: int = MIN_PAGES) -> np.ndarray:
-    """Which tokens are in a run of `run` or more tokens that `pages` pages or more share. A token of -1 ends a block."""
+    """Which tokens are in a run of `run` or more tokens that `pages` pages or more share. A token of -1 ends a block.
+
+    A longer run is covered by its parts of `run` tokens, which the same pages share, so suffixes that differ only later
+    needn't be told apart.
+    """
     n = len(tokens)
     covered = np.zeros(n, bool)
     if n < run:
         return covered
-    # Suffixes by their first 1, 2, 4 ... tokens, until `run` tokens are told apart; ends of blocks equal nothing.
-    rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
-    ends = np.flatnonzero(tokens == -1)
-    rank += len(ends)
-    rank[ends] = np.arange(len(ends))
-    length = 1
-    while length < run:
+    # Suffixes by their first 1, 2, 4 ... `run` tokens; a rank is the first place of equal ones in the suffix array, and only
+    # those that are still equal to another are sorted further. Ends of blocks equal nothing.
+    tied, rank = np.arange(n), np.zeros(n, np.int64)
+    second = tokens.astype(np.int64)
+    second[tokens == -1] = second.max() + 1 + np.arange(np.count_nonzero(tokens == -1))
+    length = 0
+    while length < run and len(tied):
         step = min(length, run - length)
-        second = np.full(n, -1, np.int64)
-        second[: n - step] = rank[step:]
-        order = np.lexsort((second, rank))
-        new = np.ones(n, bool)
-        new[1:] = (rank[order][1:] != rank[order][:-1]) | (second[order][1:] != second[order][:-1])
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
-        length += step
-    suffixes = np.lexsort((page, rank))
-    new_rank = np.ones(n, bool)
-    new_rank[1:] = rank[suffixes][1:] != rank[suffixes][:-1]
-    new_page = new_rank.copy()
-    new_page[1:] |= page[suffixes][1:] != page[suffixes][:-1]
+        if length:
+            second = np.where(tied + step < n, rank[np.minimum(tied + step, n - 1)], -1)
+        order = np.lexsort((second, rank[tied]))
+        tied, second, at = tied[order], second[order], np.arange(len(tied))
+        old = rank[tied]
+        group = np.diff(old, prepend=-1) != 0
+        new = group | (np.diff(second, prepend=second[0] - 1) != 0)
+        rank[tied] = old + np.maximum.accumulate(np.where(new, at, 0)) - np.maximum.accumulate(np.where(group, at, 0))
+        tied = tied[~(new & np.append(new[1:], True))]
+        length += step or 1
+    if not len(tied):
+        return covered
+    suffixes = tied[np.lexsort((page[tied], rank[tied]))]
+    new_rank = np.diff(rank[suffixes], prepend=-1) != 0
+    new_page = new_rank | (np.diff(page[suffixes], prepend=-1) != 0)
     group = np.cumsum(new_rank) - 1
-    common = np.bincount(group, weights=new_page)[group] >= pages
-    at = suffixes[common]
+    return spread(suffixes[np.bincount(group, weights=new_page)[group] >= pages], n, run)
+
+
+def spread(starts: np.ndarray, n: int, run: int) -> np.ndarray:
+    """Which of n tokens are in a run that starts at one of the places."""
     delta = np.zeros(n + run + 1, np.int64)
-    np.add.at(delta, at, 1)
-    np.add.at(delta, at + run, -1)
+    np.add.at(delta, starts, 1)
+    np.add.at(delta, starts + run, -1)
     return np.cumsum(delta)[:n] > 0
 
 
+def cut(blocks: list[tuple[int, str]], covered: np.ndarray, repeated: list[bool]) -> str:
+    """The text of a page. covered: for the words of all its blocks, one after the other, whether a long run that other pages
+    share holds them. repeated: whether other pages have the block as a whole."""
+    at, places = 0, []
+    for _, text in blocks:
+        places.append((at, at := at + text.count(" ") + 1))
+    article = [covered[i:j] for (i, j), (kind, _) in zip(places, blocks) if kind == TEXT]
+    # An article that copies another shares much of it; that is the page's text all the same.
+    copied = sum(int(x.sum()) for x in article) * COPIED > sum(map(len, article))
+    kept = []
+    for (i, j), (kind, text), whole_block in zip(places, blocks, repeated):
+        if kind == OTHER or whole_block and kind == BODY or whole_block and covered[i:j].all() and not copied:
+            continue
+        if kind == BODY and covered[i:j].any():
+            text = " ".join(w for w, c in zip(text.split(" "), covered[i:j]) if not c)
+        if text:
+            kept.append(text)
+    return "\n".join(kept)
+
+
 def main_texts(pages: list[list[tuple[int, str]]], run: int = MIN_RUN, least: int = MIN_PAGES) -> list[str]:
     """The texts of a host's pages, given as blocks."""
     words: dict[str, int] = {}
-    stream, owner, places = [], [], {}
+    stream, owner = [], []
+    having = Counter(text for blocks in pages for text in {t for _, t in blocks})
     for p, blocks in enumerate(pages):
-        for b, (kind, text) in enumerate(blocks):
-            if kind != TEXT:
-                own = text.split(" ")
-                places[p, b] = len(stream), own
-                # A run stays within a block; a block of fewer words than a run is matched whole.
-                stream += [*(words.setdefault(w, len(words)) for w in own), *[-2] * (run - len(own)), -1]
+        for _, text in blocks:
+            stream += [*(words.setdefault(w, len(words)) for w in text.split(" ")), -1]
         owner += [p] * (len(stream) - len(owner))
-    covered = shared_runs(np.array(stream, np.int64), np.array(owner, np.int64), run, least)
-    out = []
-    for p, blocks in enumerate(pages):
-        kept = []
-        for b, (kind, text) in enumerate(blocks):
-            if kind == TEXT:
-                kept.append(text)
-            elif kind == BODY:
-                at, own = places[p, b]
-                left = [w for w, c in zip(own, covered[at : at + len(own)]) if not c]
-                if left:
-                    kept.append(" ".join(left))
-        out.append("\n".join(kept))
-    return out
+    tokens, owners = np.array(stream, np.int64), np.array(owner, np.int64)
+    covered = shared_runs(tokens, owners, run, least)[tokens != -1]
+    ends = np.searchsorted(owners[tokens != -1], np.arange(len(pages) + 1))
+    return [cut(b, covered[ends[p] : ends[p + 1]], [having[t] >= least for _, t in b]) for p, b in enumerate(pages)]
 
 
 def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
@@ -199,7 +220,7 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
 
     Null or empty html gives an empty text. A null url is a host of its own. A host with more than host_bytes of html is dealt
     into groups of about that size by a hash of page_id and html, so no group grows with the corpus; boilerplate of a host is
-    in each of them. A page's article is kept whole, also where pages repeat.
+    in each of them.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html").withColumn("host", host)

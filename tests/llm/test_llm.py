@@ -228,6 +228,37 @@ def test_html(spark):
     assert shared_runs(np.array([1, 2, 3, 4, -1, 9, 1, 2, 3, 4, -1]), np.array([0] * 5 + [1] * 6), 3, 2).tolist() == [True] * 4 + [False, False] + [True] * 4 + [False]
 
 
+def page_rows():
+    say = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    return say, "page_id long, url string, html string"
+
+
+def test_html_long_repeats(spark):
+    say, schema = page_rows()
+    note = say("note", 30)
+    # A phrase of four words that pages share stays in their prose; a long note goes, also out of an article; a copied article stays.
+    rows = [(i, "http://a.example/", f"<body><div>{say(f'a{i}x', 9)} as we have seen {say(f'b{i}x', 9)}</div><p>{note}</p></body>") for i in range(4)]
+    rows += [(10 + i, "http://b.example/", f"<article><p>{say(f'c{i}x', 90)}</p><p>{note}</p></article>") for i in range(4)]
+    rows += [(20 + i, "http://c.example/", f"<article><p>{note}</p><p>{note}</p></article>") for i in range(4)]
+    for size in (8 << 20,):
+        got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, schema), size).collect()}
+        assert [got[i] for i in range(4)] == [f"{say(f'a{i}x', 9)} as we have seen {say(f'b{i}x', 9)}" for i in range(4)]
+        assert [got[10 + i] for i in range(4)] == [say(f"c{i}x", 90) for i in range(4)] and got[20] == f"{note}\n{note}"
+    rng = random.Random(3)
+    for _ in range(20):
+        tokens = np.array([rng.choice([1, 1, 1, 2, -1]) for _ in range(80)])
+        page, run = np.sort(np.array([rng.randrange(5) for _ in range(80)])), rng.choice([1, 2, 3, 5, 7])
+        page[1:] = np.maximum.accumulate(page)[1:]
+        having = defaultdict(set)
+        at = [i for i in range(80 - run + 1) if -1 not in tokens[i : i + run]]
+        for i in at:
+            having[tuple(tokens[i : i + run])].add(page[i])
+        want = np.zeros(80, bool)
+        for i in at:
+            want[i : i + run] |= len(having[tuple(tokens[i : i + run])]) >= 3
+        assert shared_runs(tokens, page, run, 3).tolist() == want.tolist()
+
+
 @pytest.mark.parametrize("page", [
     "<body class='page has-sidebar'><main><p>Kept</p></main></body>",
     "<body><div id='content-sidebar-wrap'><main><p>Kept</p></main></div></body>",
