@@ -11,21 +11,24 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import load, saved
+from docrecon.llm.common import WordHashes, load, mixed, of_stage, saved, whole, windows, word_arrays
 
 #: Words of a run that counts as repeated, and pages that must share it.
 MIN_RUN, MIN_PAGES = 20, 3
 #: Repeated blocks of an article are cut if one in so many of its words at most is repeated.
 COPIED = 3
+#: Words of an anchor, by which the runs of a large host are told before they are counted.
+ANCHOR = 8
 #: Bytes of html of one host that one task looks at together; a larger host is dealt into several such groups.
 HOST_BYTES = 8 << 20
 #: Hosts of several groups that are broadcast, at most.
@@ -202,12 +205,14 @@ def cut(blocks: list[tuple[int, str]], covered: np.ndarray, repeated: list[bool]
 
 def main_texts(pages: list[list[tuple[int, str]]], run: int = MIN_RUN, least: int = MIN_PAGES) -> list[str]:
     """The texts of a host's pages, given as blocks."""
-    words: dict[str, int] = {}
+    words: dict[str, int] = defaultdict()
+    words.default_factory = words.__len__
     stream, owner = [], []
     having = Counter(text for blocks in pages for text in {t for _, t in blocks})
     for p, blocks in enumerate(pages):
         for _, text in blocks:
-            stream += [*(words.setdefault(w, len(words)) for w in text.split(" ")), -1]
+            stream.extend(map(words.__getitem__, text.split(" ")))
+            stream.append(-1)
         owner += [p] * (len(stream) - len(owner))
     tokens, owners = np.array(stream, np.int64), np.array(owner, np.int64)
     covered = shared_runs(tokens, owners, run, least)[tokens != -1]
@@ -215,17 +220,59 @@ def main_texts(pages: list[list[tuple[int, str]]], run: int = MIN_RUN, least: in
     return [cut(b, covered[ends[p] : ends[p + 1]], [having[t] >= least for _, t in b]) for p, b in enumerate(pages)]
 
 
+def least(x: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n values in a row."""
+    width = 1
+    while width < n:
+        step = min(width, n - width)
+        x, width = np.minimum(x[:-step], x[step:]), width + step
+    return x
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in known, which is sorted."""
+    if not len(known):
+        return np.zeros(len(x), bool)
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+class Page:
+    """A page of a large host by hashes that are the host's own: of its blocks; of each MIN_RUN words within a block, 0 for other
+    places; and anchors, for each such run the least hash of ANCHOR words in it, so equal runs have equal ones."""
+
+    def __init__(self, blocks: list[str], host: int, hashes: WordHashes):
+        self.seed = mixed(np.uint64([host & (2**64 - 1)]))[0]
+        self.words, starts = word_arrays(blocks, hashes)
+        self.blocks = mixed(np.array([xxhash.xxh3_64_intdigest(t.encode()) for t in blocks], np.uint64) ^ self.seed)
+        self.within = whole(starts, MIN_RUN)[1]
+
+    def placed(self, hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(self.words), np.uint64)
+        out[: len(hashes)] = mixed(hashes ^ self.seed) | np.uint64(1)
+        out[~self.within] = 0
+        return out
+
+    def runs(self) -> np.ndarray:
+        return self.placed(windows(self.words, MIN_RUN))
+
+    def anchors(self) -> np.ndarray:
+        return self.placed(least(windows(self.words, ANCHOR, 1), MIN_RUN - ANCHOR + 1) if len(self.words) >= MIN_RUN else np.empty(0, np.uint64))
+
+
 def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
     """(page_id, url, text string, n_chars long), one row for each row of pages (page_id, url, html).
 
     Null or empty html gives an empty text. A null url is a host of its own. A host with more than host_bytes of html is dealt
-    into groups of about that size by a hash of page_id and html, so no group grows with the corpus; boilerplate of a host is
-    in each of them.
+    into groups of about that size by a hash of page_id and html, so no group grows with the corpus, and its repeats are
+    counted over the whole host: blocks and runs by 64-bit hashes, runs in two steps. First pages count for the anchors of
+    their runs, an eighth of the words or so; then for the runs whose anchor enough pages have. The groups get back what
+    enough pages share. So the result doesn't depend on the groups.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
     rows = pages.select("page_id", "url", "html").withColumn("host", host)
     sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 100) / host_bytes).alias("groups"))
     kind, url = pages.schema["page_id"].dataType.simpleString(), pages.schema["url"].dataType.simpleString()
+    result = f"page_id {kind}, url {url}, text string, n_chars long"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -234,19 +281,76 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
             kinds, texts = [[k for k, _ in x] for x in found], [[t for _, t in x] for x in found]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], [*(x for x in batch.schema.names if x != "html"), "kinds", "blocks"])
 
-    dealt = rows.withColumn("salt", F.xxhash64("page_id", "html")).mapInArrow(parse, f"page_id {kind}, url {url}, host string, salt long, kinds array<int>, blocks array<string>")
+    def texts_of(x: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
+        return pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     def group(x: pd.DataFrame) -> pd.DataFrame:
-        text = main_texts([list(zip(k, b)) for k, b in zip(x["kinds"], x["blocks"])])
-        return pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": text, "n_chars": [len(t) for t in text]})
+        return texts_of(x, main_texts([list(zip(k, b)) for k, b in zip(x["kinds"], x["blocks"])]))
 
-    # Only hosts of several groups need their number; they are broadcast if they are few, else joined, and either way the groups
-    # of a host, not the host, are dealt to tasks.
+    # Only hosts of several groups need their number; they are broadcast if they are few.
     large = saved(sizes.where("groups > 1"))
-    few = large.count() <= FEW_HOSTS
-    dealt = dealt.join(F.broadcast(large) if few else large.hint("merge"), "host", "left").withColumn("part", F.pmod("salt", F.coalesce("groups", F.lit(1))))
-    dealt = dealt if few else dealt.repartition("host", "part")
-    return dealt.groupBy("host", "part").applyInPandas(group, f"page_id {kind}, url {url}, text string, n_chars long")
+    n_large = large.count()
+    hosts = F.broadcast(large) if n_large <= FEW_HOSTS else large.hint("merge")
+    small = rows if not n_large else rows.join(hosts, "host", "left_anti")
+    small = small.select("page_id", "url", "html", "host").mapInArrow(parse, f"page_id {kind}, url {url}, host string, kinds array<int>, blocks array<string>")
+    out = small.groupBy("host").applyInPandas(group, result)
+    if not n_large:
+        return out
+
+    # The seed of a host keeps its hashes apart from other hosts'; a group is a host's rows with one remainder.
+    seed, part = F.xxhash64("host"), F.pmod(F.xxhash64("page_id", "html"), F.col("groups"))
+    dealt = rows.join(hosts, "host").select("page_id", "url", "html", seed.alias("seed"), F.xxhash64("host", part).alias("part"))
+    dealt = dealt.mapInArrow(parse, f"page_id {kind}, url {url}, seed long, part long, kinds array<int>, blocks array<string>")
+    counts = "part long, of_block boolean, key long, n int"
+
+    def counted(found: Counter, part: int, of_block: bool) -> dict:
+        return {"part": [part] * len(found), "of_block": [of_block] * len(found), "key": list(found.keys()), "n": list(found.values())}
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = of_stage("words", WordHashes)
+        for batch in batches:
+            found: dict = {}
+            for g, s, blocks in zip(*(batch.column(c).to_pylist() for c in ("part", "seed", "blocks"))):
+                page = Page(blocks, s, hashes)
+                anchors = page.anchors()
+                for of_block, keys in ((True, page.blocks), (False, anchors[anchors != 0])):
+                    found.setdefault((g, of_block), Counter()).update(np.unique(keys).view(np.int64).tolist())
+            for (g, of_block), keys in found.items():
+                columns = counted(keys, g, of_block)
+                yield pa.RecordBatch.from_arrays([pa.array(columns["part"], pa.int64()), pa.array(columns["of_block"], pa.bool_()), pa.array(columns["key"], pa.int64()), pa.array(columns["n"], pa.int32())], ["part", "of_block", "key", "n"])
+
+    def shared(found: DataFrame) -> DataFrame:
+        """(part, of_block, key): for each group what it has and MIN_PAGES pages of its host have. A key has as many rows as its host
+        has groups at most."""
+        enough = found.groupBy("of_block", "key").agg(F.sum("n").alias("n"), F.collect_set("part").alias("parts")).where(F.col("n") >= MIN_PAGES)
+        return saved(enough.select(F.explode("parts").alias("part"), "of_block", "key"))
+
+    def keys_of(y: pd.DataFrame, of_block: bool) -> np.ndarray:
+        return np.sort(y.loc[y["of_block"] == of_block, "key"].to_numpy(np.int64).view(np.uint64))
+
+    def second(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        hashes, wanted, found = of_stage("words", WordHashes), keys_of(y, False), []
+        if len(x) and len(wanted):
+            for s, blocks in zip(x["seed"], x["blocks"]):
+                page = Page(list(blocks), s, hashes)
+                likely = among(page.anchors(), wanted)
+                if likely.any():
+                    found.append(np.unique(page.runs()[likely]))
+        keys, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+        return pd.DataFrame({"part": np.full(len(keys), x["part"].iloc[0] if len(x) else 0), "of_block": np.zeros(len(keys), bool), "key": keys.view(np.int64), "n": n.astype(np.int32)})
+
+    def last(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        hashes, runs_shared, blocks_shared, texts = of_stage("words", WordHashes), keys_of(y, False), keys_of(y, True), []
+        for s, kinds, blocks in zip(x["seed"], x["kinds"], x["blocks"]):
+            page = Page(list(blocks), s, hashes)
+            at = np.flatnonzero(among(page.runs(), runs_shared)) if len(runs_shared) else np.empty(0, np.int64)
+            texts.append(cut(list(zip(kinds, blocks)), spread(at, len(page.words), MIN_RUN), among(page.blocks, blocks_shared).tolist()))
+        return texts_of(x, texts)
+
+    anchors = shared(dealt.select("seed", "part", "blocks").mapInArrow(first, counts))
+    runs = shared(dealt.select("seed", "part", "blocks").groupBy("part").cogroup(anchors.where("not of_block").groupBy("part")).applyInPandas(second, counts))
+    known = runs.union(anchors.where("of_block"))
+    return out.union(dealt.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(last, result))
 
 
 def op2_html(spark, sf_dir: str) -> DataFrame:

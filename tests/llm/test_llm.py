@@ -233,6 +233,18 @@ def page_rows():
     return say, "page_id long, url string, html string"
 
 
+def test_html_host_in_groups(spark):
+    say, schema = page_rows()
+    # Of 300 pages three share a long run and three a short block; groups of a few pages hold them once or twice.
+    page = lambda i: f"<div>{say(f'own{i}x', 30)} {say('both', 25) if i in (7, 150, 290) else ''} {say(f'end{i}x', 5)}</div>" + ("<p>Three have this</p>" if i in (3, 99, 201) else "<p>Two have this</p>" if i < 2 else "")
+    rows = [*((i, "http://hot.example/", page(i)) for i in range(300)), (900, "http://cold.example/", page(7)), (901, None, None)]
+    frame = spark.createDataFrame(rows, schema).repartition(5)
+    whole, dealt = ({r["page_id"]: r["text"] for r in extract_text(frame, b).collect()} for b in (8 << 20, 4096))
+    assert whole == dealt and len(dealt) == 302
+    assert dealt[7] == f"{say('own7x', 30)} {say('end7x', 5)}" and "both24" in dealt[900]
+    assert "Three" not in dealt[99] and "Two have this" in dealt[1]
+
+
 def test_html_long_repeats(spark):
     say, schema = page_rows()
     note = say("note", 30)
@@ -240,7 +252,7 @@ def test_html_long_repeats(spark):
     rows = [(i, "http://a.example/", f"<body><div>{say(f'a{i}x', 9)} as we have seen {say(f'b{i}x', 9)}</div><p>{note}</p></body>") for i in range(4)]
     rows += [(10 + i, "http://b.example/", f"<article><p>{say(f'c{i}x', 90)}</p><p>{note}</p></article>") for i in range(4)]
     rows += [(20 + i, "http://c.example/", f"<article><p>{note}</p><p>{note}</p></article>") for i in range(4)]
-    for size in (8 << 20,):
+    for size in (8 << 20, 600):
         got = {r["page_id"]: r["text"] for r in extract_text(spark.createDataFrame(rows, schema), size).collect()}
         assert [got[i] for i in range(4)] == [f"{say(f'a{i}x', 9)} as we have seen {say(f'b{i}x', 9)}" for i in range(4)]
         assert [got[10 + i] for i in range(4)] == [say(f"c{i}x", 90) for i in range(4)] and got[20] == f"{note}\n{note}"
