@@ -14,7 +14,7 @@ from docrecon.llm import toxicity as tox
 from docrecon.llm.decontaminate import decontaminate
 from docrecon.llm.fingerprint import fingerprints, likeness
 from docrecon.llm.html_text import OTHER, blocks_of, extract_text, shared_runs
-from docrecon.llm.licences import scan_licences
+from docrecon.llm.licences import ANY, HINTS, KNOWN, scan_licences
 from docrecon.llm.near_dup import near_dedup
 from docrecon.llm.packing import pack, plan
 from docrecon.llm.shards import shard_documents, shard_of, tree
@@ -335,3 +335,29 @@ def test_licences(spark):
     got = {r["doc_id"]: r for r in scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [got[i]["licences"] for i in range(1, 6)] == ["MIT|Proprietary", "", "", "Apache-2.0", ""]
     assert got[1]["sentence_ids"] == "mit|rights" and got[5]["n_sentences"] == 1 and got[2]["n_sentences"] == 0
+
+
+def test_licences_in_their_usual_forms(spark):
+    lines = lambda text, mark: "\n".join(mark + " ".join(text.split()[i : i + 9]) for i in range(0, len(text.split()), 9))
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.\n\n"
+    holders = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS"
+    gnu = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    cases = [
+        ("This project is licensed under the MIT License.", "MIT"),
+        (lines("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including the rights to use. The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", " * "), "MIT"),
+        ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "Apache-2.0"),
+        (bsd + holders, "BSD|BSD-2-Clause"),
+        (bsd + "3. Neither the name of X nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.\n\n" + holders, "BSD|BSD-3-Clause"),
+        (lines(gnu.format("program", "", "3"), "# "), "GPL-3.0-or-later"),
+        (lines(gnu.format("program", "", "2"), "// "), "GPL-2.0-or-later"),
+        (gnu.format("library", "Lesser ", "2.1"), "LGPL-2.1-or-later"),
+        (gnu.format("program", "Affero ", "3"), "AGPL-3.0-or-later"),
+        ("This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", "MPL-2.0"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided", "ISC"),
+        ("The text is licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0"),
+        ("This is free and unencumbered software released into the public domain.", "Unlicense"),
+        ("It was licensed under the\n\nMIT license", ""), ("licensed under cc by 4.05", ""), ("", ""),
+    ]
+    out = scan_licences(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()
+    assert {cases[r["doc_id"]][0]: r["licences"] for r in out} == dict(cases)
+    assert all(re.search("|".join(HINTS), s) and re.fullmatch(ANY, s) for s in KNOWN)
