@@ -242,7 +242,8 @@ def guided_fields(text: Column) -> dict[str, Column]:
 
 
 def parse_declarations(docs: DataFrame) -> DataFrame:
-    """docs with a struct of fields for each part of the declaration (column text), and scored by what the header says."""
+    """docs with a struct of fields for each part of the declaration (column text), and the title. Amounts, articles, tax rows, zones,
+    cleanup and scores aren't part of it."""
     text = F.col("text")
     parts = {"header": header_fields, "transport": transport_fields, "liquidation": liquidation_fields, "countries": country_fields, "values": article_value_fields, "parties": party_fields, "guided": guided_fields}
     structs = {name: F.struct(*[c.alias(k) for k, c in f(text).items()]) for name, f in parts.items()}
