@@ -1,97 +1,174 @@
-"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
-
-The vector of a text has the terms that the labelled examples tell apart: words much more frequent in toxic ones. A text
-that holds none of them has no neighbours and gets the rate of toxic examples among such texts. For the others, examples
-stand in blocks; a term's list keeps, for each block, its largest weight there, which bounds the cosine of all of the
-block's examples. Blocks are read from the highest bound down until none can hold a nearer example than the ones found,
-so the neighbours are the exact ones.
+"""Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, calibrated votes.
+
+All terms of all examples are indexed. A term's weight is its inverse document frequency, times how surely its presence
+moves the share of toxic examples, plus FLOOR, so that no term is without weight: by IDF alone the neighbours of a text are
+those of its subject. Examples stand in blocks of BLOCK, such with the same strongest term together. A block's bound for a
+text has the largest weight in the block of each frequent term, and what rare terms give exactly; blocks that can't hold a
+nearer example than the NEIGHBOURS found are passed over, so the neighbours are the exact ones. Votes are weighted by cosine
+and turned into a score by a logistic curve, fitted on votes for examples of each half by a model of the other half.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import free_names, load, of_stage, saved
+from docrecon.llm.common import WordHashes, free_names, load, of_stage, saved
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the model is fitted on, at most (those with the least hashes of their doc_id).
-MAX_EXAMPLES = 20_000
-MAX_TERMS = 8_192
-NEIGHBOURS, BLOCK = 24, 64
+MAX_EXAMPLES = 8_192
+NEIGHBOURS, BLOCK = 64, 128
+#: Least relevance of a term; terms in this share of the examples or more are kept as dense rows.
+FLOOR, DENSE = 0.1, 1 / 16
 THRESHOLD = 0.7
+#: Texts that are looked up together.
+BATCH = 128
+#: Cosines are compared in steps of 1 / SCALE, on a tie the first place wins. Places need PLACE bits.
+SCALE, PLACE = 1_000_000, 20
+
 
+def terms_of(text: str | None, hashes: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+    """(distinct terms of a text as ascending hashes, how often each occurs, where it occurs first, the words)."""
+    words = WORD.findall(text.lower()) if text else []
+    flat = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
+    terms, first, counts = np.unique(flat, return_index=True, return_counts=True)
+    return terms, counts, first, words
 
-def terms_of(text: str | None) -> Counter:
-    return Counter(WORD.findall(text.lower())) if text else Counter()
+
+def relevance(n: np.ndarray, toxic: np.ndarray, rate: float) -> np.ndarray:
+    """How far the toxic share of n examples is surely (Wilson bounds of 95 %) above or below the rate; 0 to 1."""
+    z = 1.96
+    middle, spread = (toxic + z * z / 2) / (n + z * z), z / (n + z * z) * np.sqrt(toxic * (n - toxic) / n + z * z / 4)
+    above, below = (middle - spread - rate) / (1 - rate), (rate - middle - spread) / rate
+    return np.maximum(0, np.maximum(above, below))
 
 
 @dataclass
 class Model:
-    idf: dict[str, float]
-    blank: float  # score of a text without terms
-    rate: float
+    rate: float  # share of toxic examples
+    curve: tuple[float, float]  # slope and offset of the logistic curve over the log odds of the vote
     ids: np.ndarray
     toxic: np.ndarray
-    postings: dict[str, tuple[np.ndarray, np.ndarray]]
-    highest: dict[str, tuple[np.ndarray, np.ndarray]]
-    seen: dict = field(default_factory=dict, repr=False)
-
-    def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + math.log(n)) * self.idf[t] for t, n in counts.items() if t in self.idf}
-        norm = math.sqrt(sum(x * x for x in v.values()))
-        return {t: v[t] / norm for t in sorted(v)} if norm else {}
-
-    def nearest(self, v: dict[str, float]) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the nearest examples and their cosines, nearest first, on a tie the first place."""
-        blocks = -(-len(self.ids) // BLOCK)
-        bound = np.zeros(blocks)
-        for t, w in v.items():
-            at, most = self.highest[t]
-            bound[at] += w * most
-        places, cosines = np.empty(0, np.int64), np.empty(0)
-        order = np.argsort(-bound, kind="stable")
-        for start in range(0, blocks, 8):
-            chosen = order[start : start + 8]
-            chosen = chosen[bound[chosen] > 0]
-            if not len(chosen) or len(places) >= NEIGHBOURS and bound[chosen[0]] < cosines[-1] - 1e-12:
-                break
-            new = np.zeros((len(chosen), BLOCK))
-            for t, w in v.items():
-                p, x = self.postings[t]
-                for row, b in enumerate(chosen):
-                    i, j = np.searchsorted(p, (b * BLOCK, (b + 1) * BLOCK))
-                    new[row, p[i:j] - b * BLOCK] += w * x[i:j]
-            row, col = np.nonzero(new)
-            places = np.concatenate([places, chosen[row] * BLOCK + col])
-            cosines = np.concatenate([cosines, new[row, col]])
-            keep = np.lexsort((places, -np.round(cosines, 12)))[:NEIGHBOURS]
-            places, cosines = places[keep], cosines[keep]
+    terms: np.ndarray  # hashes, ascending
+    weight: np.ndarray  # of each term
+    row: np.ndarray  # of each term: its dense row, or -1
+    dense: np.ndarray  # rows of frequent terms: weight in each example
+    highest: np.ndarray  # the largest of each block in those rows
+    start: np.ndarray  # of each rare term: where its postings start
+    place: np.ndarray
+    posted: np.ndarray
+
+    def nearest(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]:
+        """For texts as (places of known terms, weights of length 1): places and cosines of their nearest examples, nearest first."""
+        n, size = len(texts), self.dense.shape[1]
+        blocks = size // BLOCK
+        owner = np.repeat(np.arange(n), [len(t) for t, _ in texts])
+        term, weight = np.concatenate([t for t, _ in texts]), np.concatenate([w for _, w in texts])
+        often = self.row[term] >= 0
+        query = np.zeros((n, len(self.dense)), np.float32)
+        query[owner[often], self.row[term[often]]] = weight[often]
+        term, own, w = term[~often], owner[~often], weight[~often]
+        length = self.start[term + 1] - self.start[term]
+        at = np.repeat(self.start[term] - np.cumsum(length) + length, length) + np.arange(length.sum())
+        rare = np.bincount(np.repeat(own, length) * size + self.place[at], np.repeat(w, length) * self.posted[at], n * size).reshape(n, blocks, BLOCK)
+        bound = np.rint((rare.max(2) + query @ self.highest) * SCALE).astype(np.int64) + 2
+        # A candidate is one number: its cosine in steps, then its place, the first one highest.
+        last = np.int64((1 << PLACE) - 1)
+        best = np.full((n, NEIGHBOURS), -1, np.int64)
+        for b in np.argsort(-bound.mean(0)):
+            rows = np.flatnonzero((bound[:, b] >= best[:, 0] >> PLACE) & (bound[:, b] > 2))
+            if len(rows):
+                cosine = rare[rows, b] + query[rows] @ self.dense[:, b * BLOCK : (b + 1) * BLOCK]
+                found = (np.rint(cosine * SCALE).astype(np.int64) << PLACE) | (last - np.arange(b * BLOCK, (b + 1) * BLOCK))
+                # The least of those kept comes first.
+                best[rows] = np.partition(np.concatenate([best[rows], found], 1), BLOCK, 1)[:, BLOCK:]
+        best.sort(1)
+        places, cosines = [], []
+        for found in best[:, ::-1]:
+            found = found[found >> PLACE > 0]
+            places.append(last - (found & last))
+            cosines.append((found >> PLACE) / SCALE)
         return places, cosines
 
-    def score(self, text: str | None) -> tuple[float, list[str], list[int]]:
-        """(score, terms that speak, doc_ids of the nearest three examples)."""
-        counts = {t: n for t, n in terms_of(text).items() if t in self.idf}
-        if not counts:
-            return self.blank, [], []
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            v = self.vector(counts)
-            places, cosines = self.nearest(v)
-            weight = cosines**2
-            score = (float((weight * self.toxic[places]).sum()) + 0.5 * self.rate) / (float(weight.sum()) + 0.5)
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            self.seen[key] = score, sorted(v, key=lambda t: (-v[t], t))[:5], [int(i) for i in self.ids[places[:3]]]
-        return self.seen[key]
+    def known(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places of the known ones among the terms of a text, their places in the model, weights of length 1)."""
+        at = np.searchsorted(self.terms, terms)
+        own = np.flatnonzero(self.terms[np.minimum(at, len(self.terms) - 1)] == terms) if len(self.terms) else np.empty(0, np.int64)
+        at = at[own]
+        w = (1 + np.log(counts[own])) * self.weight[at]
+        return own, at, w / math.sqrt((w * w).sum()) if len(w) else w
+
+    def votes(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The votes for texts (places of known terms, weights), and the places of their nearest examples."""
+        if not len(self.terms):
+            return np.full(len(texts), self.rate), [np.empty(0, np.int64)] * len(texts)
+        places, cosines = self.nearest(texts)
+        # The rate votes as a far example does, so that a text without any has the rate.
+        return np.array([(float((c * self.toxic[p]).sum()) + 0.1 * self.rate) / (float(c.sum()) + 0.1) for p, c in zip(places, cosines)]), places
+
+    def score(self, votes: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.curve[0] * odds(votes) + self.curve[1])))
+
+
+def odds(votes: np.ndarray) -> np.ndarray:
+    votes = np.clip(votes, 1e-6, 1 - 1e-6)
+    return np.log(votes / (1 - votes))
+
+
+def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope (0 at least) and offset of the most likely logistic curve, by Newton's method, slightly drawn to slope 1, offset 0."""
+    points, beta = np.stack([x, np.ones(len(x))], 1), np.array([1.0, 0.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-points @ beta))
+        step = np.linalg.solve((points * (p * (1 - p))[:, None]).T @ points + np.eye(2), points.T @ (y - p) + np.array([1.0, 0.0]) - beta)
+        beta = np.clip(beta + step, [0.0, -20.0], [20.0, 20.0])
+        if np.abs(step).max() < 1e-9:
+            break
+    return float(beta[0]), float(beta[1])
+
+
+def index(examples: pa.Table) -> Model:
+    """A model of examples (doc_id, toxic, terms, counts), with the curve of the plain vote."""
+    n = examples.num_rows
+    toxic = examples.column("toxic").to_numpy().astype(float)
+    rate = float(toxic.mean()) if n else 0.0
+    nothing = np.empty(0, np.int64)
+    if not 0 < rate < 1:
+        return Model(rate, (1.0, 0.0), nothing, np.empty(0), np.empty(0, np.uint64), np.empty(0), nothing, np.empty((0, 0)), np.empty((0, 0)), nothing, nothing, np.empty(0))
+    lists = examples.column("terms").combine_chunks()
+    length = np.asarray(lists.value_lengths())
+    owner = np.repeat(np.arange(n), length)
+    terms, flat = np.unique(lists.flatten().to_numpy().view(np.uint64), return_inverse=True)
+    tf = 1 + np.log(examples.column("counts").combine_chunks().flatten().to_numpy())
+    df, share = np.bincount(flat, minlength=len(terms)), np.bincount(flat, toxic[owner], len(terms))
+    weight = (np.log((1 + n) / (1 + df)) + 1) * (FLOOR + relevance(df, share, rate))
+    w = tf * weight[flat]
+    w /= np.sqrt(np.bincount(owner, w * w, n))[owner]
+    # Examples with the same strongest term that others have too stand together: their blocks have tight bounds.
+    strongest = np.full(n, -1)
+    order = np.lexsort((flat, np.where(df[flat] > 1, w, 0)))
+    strongest[owner[order]] = flat[order]
+    ids = examples.column("doc_id").to_numpy()
+    new = np.lexsort((ids, strongest))
+    moved = np.empty(n, np.int64)
+    moved[new] = np.arange(n)
+    place, size = moved[owner], -(-n // BLOCK) * BLOCK
+    often = df >= max(2, DENSE * n)
+    row = np.where(often, np.cumsum(often) - 1, -1)
+    dense = np.zeros((int(often.sum()), size), np.float32)
+    dense[row[flat[often[flat]]], place[often[flat]]] = w[often[flat]]
+    rare = np.flatnonzero(~often[flat])
+    rare = rare[np.lexsort((place[rare], flat[rare]))]
+    start = np.searchsorted(flat[rare], np.arange(len(terms) + 1))
+    return Model(rate, (1.0, 0.0), ids[new], toxic[new], terms, weight, row, dense, dense.reshape(len(dense), size // BLOCK, BLOCK).max(2), start, place[rare].astype(np.int32), w[rare].astype(np.float32))
 
 
 def held_out() -> F.Column:
@@ -101,61 +178,70 @@ def held_out() -> F.Column:
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """A model from rows of labels (doc_id, toxic) whose crc32(doc_id as text) mod 3 isn't 1, at most max_examples of them.
 
-    The chosen ids are broadcast (max_examples bounds them), so texts aren't shuffled. Only examples' counts of telling terms
-    reach the driver. Labels that are null or without a document teach nothing; of labels that disagree the toxic one holds.
+    The chosen ids are broadcast and the counts of their terms reach the driver (max_examples bounds both). Labels that are
+    null or without a document teach nothing; of labels that disagree the toxic one holds; of documents that repeat a doc_id
+    the text that sorts last is the example's. Without toxic or without other examples all scores are the rate.
     """
     chosen = labels.where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.max("text").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = of_stage("words", WordHashes)
         for batch in batches:
-            maps = [list(terms_of(t).items()) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic"), pa.array(maps, pa.map_(pa.string(), pa.int32()))], ["doc_id", "toxic", "terms"])
-
-    examples = saved(texts.mapInArrow(counted, "doc_id long, toxic int, terms map<string,int>"))
-    n, toxic = (x or 0 for x in examples.agg(F.count("*"), F.sum("toxic")).first())
-    if not toxic or toxic == n:
-        return Model({}, toxic / n if n else 0.0, toxic / n if n else 0.0, np.empty(0, np.int64), np.empty(0), {}, {})
-    rate = toxic / n
-    per_term = examples.select("toxic", F.explode(F.map_keys("terms")).alias("term")).groupBy("term").agg(F.count("*").alias("n"), F.sum("toxic").alias("t"))
-    # Half at least of the examples with the term are toxic, and so many wouldn't be by chance.
-    sure = (F.col("t") - F.col("n") * rate) / F.sqrt(F.col("n") * rate * (1 - rate))
-    picked = per_term.where((F.col("t") >= 3) & (F.col("t") >= 0.5 * F.col("n")) & (sure >= 4)).orderBy(sure.desc(), "term").limit(MAX_TERMS)
-    idf = {r["term"]: math.log((1 + n) / (1 + r["n"])) + 1 for r in picked.collect()}
-    wanted = docs.sparkSession.createDataFrame([(t,) for t in sorted(idf)] or [("",)], "term string")
-    told = examples.select("doc_id", "toxic", F.explode("terms").alias("term", "k")).join(F.broadcast(wanted), "term").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.collect_list(F.struct("term", "k")).alias("terms")).collect()
-    blank_toxic, blanks = toxic - sum(r["toxic"] for r in told), n - len(told)
-    model = Model(idf, (blank_toxic + rate) / (blanks + 1), rate, np.empty(0, np.int64), np.empty(0), {}, {})
-    vectors = [(r["doc_id"], r["toxic"], model.vector({x["term"]: x["k"] for x in r["terms"]})) for r in told]
-    # Examples with the same strongest term stand together: their blocks have tight bounds.
-    vectors.sort(key=lambda x: (max(x[2], key=lambda t: (x[2][t], t)), x[0]))
-    lists: dict[str, list[tuple[int, float]]] = {t: [] for t in idf}
-    for i, (_, _, v) in enumerate(vectors):
-        for t, w in v.items():
-            lists[t].append((i, w))
-    model.ids, model.toxic = np.array([x[0] for x in vectors], np.int64), np.array([x[1] for x in vectors], float)
-    for t, own in lists.items():
-        p, w = np.array([i for i, _ in own], np.int64), np.array([x for _, x in own])
-        at = np.flatnonzero(np.diff(p // BLOCK, prepend=-1))
-        model.postings[t], model.highest[t] = (p, w), (p[at] // BLOCK if len(p) else p, np.maximum.reduceat(w, at) if len(p) else w)
+            found = [terms_of(t, hashes)[:2] for t in batch.column("text").to_pylist()]
+            lists = [pa.array([x[i].view(np.int64) for x in found], pa.list_(pa.int64())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic"), *lists], ["doc_id", "toxic", "terms", "counts"])
+
+    examples = saved(texts.mapInArrow(counted, "doc_id long, toxic int, terms array<long>, counts array<long>"))
+    table = examples.toArrow().sort_by("doc_id")
+    model = index(table)
+    half = np.arange(table.num_rows) % 2 == 0
+    halves = [index(table.filter(pa.array(half == h))) for h in (True, False)]
+    if all(len(m.terms) for m in halves):
+        shared = docs.sparkSession.sparkContext.broadcast((halves, table.column("doc_id").to_numpy()))
+
+        def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            models, ids = shared.value
+            for batch in batches:
+                terms, counts = ([np.array(x) for x in batch.column(c).to_pylist()] for c in ("terms", "counts"))
+                first = np.searchsorted(ids, batch.column("doc_id").to_numpy()) % 2 == 0
+                for own, m in ((first, models[1]), (~first, models[0])):
+                    rows = np.flatnonzero(own)
+                    for i in range(0, len(rows), BATCH):
+                        part = rows[i : i + BATCH]
+                        votes, _ = m.votes([m.known(terms[j].astype(np.int64).view(np.uint64), counts[j])[1:] for j in part])
+                        yield pa.RecordBatch.from_arrays([pa.array(votes), batch.column("toxic").take(pa.array(part)).cast(pa.float64())], ["vote", "toxic"])
+
+        found = examples.repartition(16).mapInArrow(crossed, "vote double, toxic double").toArrow().sort_by([("vote", "ascending"), ("toxic", "ascending")])
+        model.curve = logistic(odds(found.column("vote").to_numpy()), found.column("toxic").to_numpy())
     return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with held_out boolean, score double (0 to 1), predicted int (1 from the threshold on), evidence array<string> (terms),
-    examples array<long> (doc_ids of the nearest). Null and empty texts have no terms. The model is broadcast; its
-    size is bounded by MAX_EXAMPLES and MAX_TERMS."""
+    """docs with held_out boolean, score double (0 to 1), predicted int (1 from the threshold on), evidence array<string> (the
+    terms with the most weight), examples array<long> (doc_ids of the nearest three). Null and empty texts, and such without
+    a term of any example, have no neighbours and the score of the plain rate. Equal texts have equal neighbours; of examples
+    that are equally near the first in the index counts. Columns of docs with one of these names are replaced. The model
+    is broadcast; its size is bounded by MAX_EXAMPLES texts."""
     docs = free_names(docs, ["held_out", "score", "predicted", "evidence", "examples"])
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double, evidence array<string>, examples array<bigint>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        m.seen = of_stage("seen", dict)
-        for batch in batches:
-            s, e, x = zip(*map(m.score, batch.column("text").to_pylist())) if batch.num_rows else ((), (), ())
-            more = {"score": pa.array(s, pa.float64()), "evidence": pa.array(e, pa.list_(pa.string())), "examples": pa.array(x, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
+        m, hashes = shared.value, of_stage("words", WordHashes)
+        for whole_batch in batches:
+            for i in range(0, whole_batch.num_rows, BATCH):
+                batch = whole_batch.slice(i, BATCH)
+                vectors, evidence = [], []
+                for text in batch.column("text").to_pylist():
+                    terms, counts, first, words = terms_of(text, hashes)
+                    own, at, w = m.known(terms, counts)
+                    vectors.append((at, w))
+                    top = np.lexsort((terms[own], -w))[:5] if len(w) < 6 else np.argpartition(-w, 5)[:5]
+                    evidence.append([words[first[own[j]]] for j in top[np.lexsort((terms[own[top]], -w[top]))]])
+                votes, places = m.votes(vectors)
+                more = {"score": pa.array(m.score(votes)), "evidence": pa.array(evidence, pa.list_(pa.string())), "examples": pa.array([m.ids[p[:3]] for p in places], pa.list_(pa.int64()))}
+                yield pa.RecordBatch.from_arrays([*batch.columns, *more.values()], [*batch.schema.names, *more])
 
     return docs.mapInArrow(run, schema).withColumns({"held_out": held_out(), "predicted": (F.col("score") >= threshold).cast("int")})
 
