@@ -1,13 +1,17 @@
-"""Benchmark decontamination by one Aho-Corasick automaton over the windows of all benchmark items.
+"""Benchmark decontamination by one Aho-Corasick automaton over the benchmark's items.
 
 Texts are normalised to words: A-Z lower-cased, everything but ASCII letters, digits and characters beyond ASCII is a
-separator. A pattern is the words of a window between single spaces, a text is its words written the same way, so a match
-is a run of whole words. Each text is scanned once; matches are mapped back to words and to character places of the
-original text. UTF-8 bytes are read as Latin-1, so that one character of the automaton is one byte.
+separator. Every window of an item holds, whole, one of the anchors of ANCHOR words that start at each STRIDE-th word of the
+item; the automaton has the anchors only, so it is small. A text is scanned once. Where an anchor is found, the windows around
+it are looked up by hash and compared word for word; hits are mapped back to character places of the original text.
+
+Words are written as three letters of three alphabets, by their number in the benchmark, so that a node of the automaton has
+few children and matches begin and end with words.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -17,113 +21,163 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import free_names, load, of_stage
+from docrecon.llm.common import WordHashes, free_names, load, of_stage, saved, windows
 
 TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xFF]+")
+#: Words of an anchor, at most.
+ANCHOR = 4
+#: Letters of an alphabet; three of them number 2,097,152 words, more than fit into a block.
+LETTERS = 128
+UNKNOWN = "   "
 #: Bytes of benchmark text in one automaton; a larger benchmark is scanned for in several blocks.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode().translate(TABLE).split() if text else []
 
 
-def patterns(items: list[tuple[str, str]], window: int) -> dict[str, list[str]]:
-    """Pattern -> ids of the items that have it."""
-    out: dict[str, set[str]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            out.setdefault(f" {b' '.join(words[i : i + window]).decode('latin-1')} ", set()).add(item)
-    return {k: sorted(v) for k, v in out.items()}
-
-
-def automaton(found: dict[str, list[str]]) -> ahocorasick.Automaton:
-    a = ahocorasick.Automaton()
-    for pattern, items in found.items():
-        a.add_word(pattern, (len(pattern), pattern.count(" ") - 1, items))
-    a.make_automaton()
-    return a
-
-
-def blocks(items: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
-    out, size = [[]], 0
-    for item in items:
-        if size > BLOCK_BYTES:
-            out, size = [*out, []], 0
-        out[-1].append(item)
-        size += len(item[1] or "")
+class Windows:
+    """The windows of items (id or None, text): `window` words in a row, or all words of a shorter item."""
+
+    def __init__(self, items: list[tuple[str | None, str]], window: int):
+        self.items = [i for i, _ in items]
+        self.letters: dict[bytes, str] = {}
+        self.hashes = WordHashes()
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        anchor, lines, found = min(ANCHOR, window), [], {}
+        self.window, self.stride, at = window, window - anchor + 1, 0
+        for number, (_, text) in enumerate(items):
+            words = words_of(text)
+            if not words:
+                continue
+            line = "".join(map(self.number, words))
+            lines.append(line)
+            for i in range(0, max(1, len(words) - anchor + 1), self.stride):
+                self.machine.add_word(line[3 * i : 3 * (i + anchor)])
+            length = min(window, len(words))
+            own = windows(self.hashed(words), length)
+            found.setdefault(length, []).append((own, np.arange(at, at + len(own)), np.full(len(own), number)))
+            at += len(words)
+        self.line = "".join(lines)
+        # By length: hashes of distinct windows, a place in line of each, and where the numbers of its items are.
+        self.tables = {}
+        for length, parts in found.items():
+            own, places, numbers = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((numbers, own))
+            own, places, numbers = own[order], places[order], numbers[order]
+            first = np.flatnonzero(np.diff(own, prepend=own[0] - np.uint64(1)) != 0)
+            self.tables[length] = own[first], places[first], np.append(first, len(own)), numbers
+        if self.tables:
+            self.machine.make_automaton()
+
+    def number(self, word: bytes) -> str:
+        if word not in self.letters:
+            n = len(self.letters)
+            self.letters[word] = chr(256 + n % LETTERS) + chr(512 + n // LETTERS % LETTERS) + chr(1024 + n // LETTERS**2)
+        return self.letters[word]
+
+    def hashed(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.hashes.__getitem__, words), np.uint64, len(words))
+
+    def search(self, words: list[bytes]) -> tuple[set[int], set[int]]:
+        """(places of the words that a window holds, numbers of the items with such a window)."""
+        hit: set[int] = set()
+        items: set[int] = set()
+        if not self.tables:
+            return hit, items
+        line = "".join([self.letters.get(w, UNKNOWN) for w in words])
+        starts = {(end + 1 - length) // 3 for end, length in self.machine.iter(line)}
+        if not starts:
+            return hit, items
+        flat = self.hashed(words)
+        for length, (known, places, ends, numbers) in self.tables.items():
+            # The anchor of a short item is its beginning.
+            back = self.stride if length == self.window else 1
+            likely = np.array(sorted({s - k for s in starts for k in range(back)}), np.int64)
+            likely = likely[(likely >= 0) & (likely + length <= len(words))]
+            own = windows(flat, length)[likely]
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            for start, i in zip(likely[known[at] == own].tolist(), at[known[at] == own].tolist()):
+                if line[3 * start : 3 * (start + length)] == self.line[3 * places[i] : 3 * (places[i] + length)]:
+                    hit.update(range(start, start + length))
+                    items.update(numbers[ends[i] : ends[i + 1]].tolist())
+        return hit, items
+
+
+def spans_of(text: str | None, hit: list[int]) -> list[dict]:
+    """The characters of runs of hit words."""
+    if not hit:
+        return []
+    raw, out = text.encode(), []
+    at = [m.span() for m in WORD.finditer(raw)]
+    cut = [0, *(np.flatnonzero(np.diff(hit) > 1) + 1).tolist(), len(hit)]
+    for i, j in zip(cut, cut[1:]):
+        a, b = at[hit[i]][0], at[hit[j - 1]][1]
+        begin = len(raw[:a].decode())
+        out.append({"begin": begin, "end": begin + len(raw[a:b].decode())})
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with n_words, n_hit, n_items long, item_ids array<string> (sorted), items_sha256 string (of the ids, joined by
     commas), spans array<struct<begin int, end int>> (characters of the original text, runs of hit words) and
-    contaminated boolean.
+    contaminated boolean. Columns of docs with one of these names are replaced, all others kept.
 
     A window is `window` words of an item in a row; an item of fewer words is one window, an item without words none.
-    Null texts have no words; items that repeat or have null ids (null is left out of the ids, but hits) are as good as
-    others. The benchmark is read in blocks of BLOCK_BYTES, each a broadcast automaton; an item is within one block.
+    Null texts have no words; items that repeat count once; an item with a null id is no id, but hits and is counted. The
+    benchmark is dealt into blocks of about block_bytes of text (an item is within one), which the driver reads one at a time
+    and broadcasts; beyond one block, what was found is written before the next one is scanned for.
     """
     docs = free_names(docs, ["n_words", "n_hit", "n_items", "item_ids", "items_sha256", "spans", "contaminated"])
     spark = docs.sparkSession
-    rows = [(r[0], r[1]) for r in benchmark.select(F.col("item_id").cast("string"), "text").where("text is not null").toLocalIterator()]
-    carried = docs.withColumns({"_hits": F.lit(None).cast("array<int>"), "_items": F.lit(None).cast("array<string>")})
-    schema = carried.schema
-
-    for number, block in enumerate(blocks(rows)):
-        shared = spark.sparkContext.broadcast(patterns(block, window))
-
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, number=number) -> Iterator[pa.RecordBatch]:
-            found = shared.value
-            machine = of_stage(f"automaton {number}", lambda: automaton(found)) if found else None
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
+    blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
+    if blocks > 1:
+        items = saved(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")))
+    taken, state = {c.lower() for c in docs.columns}, []
+    for name in ("hit", "item"):
+        while name in taken:
+            name += "_"
+        state.append(name)
+    plain = docs.columns
+    found = [pa.array([], pa.list_(pa.int32())).type, pa.array([], pa.list_(pa.string())).type]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
+    results = "n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<begin: int, end: int>>"
+    for block in range(blocks):
+        own = items.where(F.col("block") == block) if blocks > 1 else items
+        shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in own.select("item_id", "text").orderBy("item_id", "text").collect()])
+        last = block == blocks - 1
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, block=block, last=last) -> Iterator[pa.RecordBatch]:
+            known = of_stage(f"windows {block}", lambda: Windows(shared.value, window))
             for batch in batches:
-                hits, items = [], []
-                for text, old_hits, old_items in zip(batch.column("text").to_pylist(), batch.column("_hits").to_pylist(), batch.column("_items").to_pylist()):
-                    hit, item = set(old_hits or ()), set(old_items or ())
-                    if machine is not None and text:
-                        line = f" {b' '.join(words_of(text)).decode('latin-1')} "
-                        spaces = None
-                        for end, (length, n, ids) in machine.iter(line):
-                            if spaces is None:
-                                spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-                            first = int(np.searchsorted(spaces, end - length + 1))
-                            hit.update(range(first, first + n))
-                            item.update(i if i is not None else "\0" for i in ids)
-                    hits.append(sorted(hit))
-                    items.append(sorted(item))
-                at = batch.schema.get_field_index
-                yield batch.set_column(at("_hits"), "_hits", pa.array(hits, pa.list_(pa.int32()))).set_column(at("_items"), "_items", pa.array(items, pa.list_(pa.string())))
-
-        carried = carried.mapInArrow(scan, schema)
-
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_words long", "n_hit long", "n_items long", "item_ids array<string>", "spans array<struct<begin: int, end: int>>"])
-
-    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, hits, items = (batch.column(c).to_pylist() for c in ("text", "_hits", "_items"))
-            spans = []
-            for text, hit in zip(texts, hits):
-                own: list[dict] = []
-                if hit:
-                    raw = text.encode()
-                    at = [m.span() for m in WORD.finditer(raw)]
-                    cut = [0, *(np.flatnonzero(np.diff(hit) > 1) + 1).tolist(), len(hit)]
-                    for i, j in zip(cut, cut[1:]):
-                        a, b = at[hit[i]][0], at[hit[j - 1]][1]
-                        begin = len(raw[:a].decode())
-                        own.append({"begin": begin, "end": begin + len(raw[a:b].decode())})
-                spans.append(own)
-            base = batch.drop_columns(["_hits", "_items"])
-            more = {
-                "n_words": pa.array([len(words_of(t)) for t in texts], pa.int64()), "n_hit": pa.array([len(h) for h in hits], pa.int64()), "n_items": pa.array([len(i) for i in items], pa.int64()),
-                "item_ids": pa.array([[x for x in i if x != "\0"] for i in items], pa.list_(pa.string())), "spans": pa.array(spans, pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))),
-            }
-            yield pa.RecordBatch.from_arrays([*base.columns, *more.values()], [*base.schema.names, *more])
-
-    out = carried.mapInArrow(told, fields)
-    return out.withColumns({"items_sha256": F.sha2(F.array_join("item_ids", ","), 256), "contaminated": F.col("n_hit") > 0})
+                texts = batch.column("text").to_pylist()
+                before = zip(*(batch.column(c).to_pylist() for c in state)) if block else ((None, None) for _ in texts)
+                n, hits, ids, spans = [], [], [], []
+                for text, (old_hit, old_ids) in zip(texts, before):
+                    words = words_of(text)
+                    hit, numbers = known.search(words)
+                    hits.append(sorted(hit.union(old_hit or ())))
+                    # A null id is kept, as the empty place at the end.
+                    names = {known.items[i] for i in numbers}.union(old_ids or ())
+                    ids.append(sorted(x for x in names if x is not None) + [None] * (None in names))
+                    n.append(len(words))
+                    if last:
+                        spans.append(spans_of(text, hits[-1]))
+                base = batch.select(plain)
+                if last:
+                    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+                    more = {"n_words": pa.array(n, pa.int64()), "n_hit": pa.array([*map(len, hits)], pa.int64()), "n_items": pa.array([*map(len, ids)], pa.int64()), "item_ids": pa.array([[x for x in i if x is not None] for i in ids], found[1]), "spans": pa.array(spans, span)}
+                else:
+                    more = {name: pa.array(x, kind) for name, x, kind in zip(state, (hits, ids), found)}
+                yield pa.RecordBatch.from_arrays([*base.columns, *more.values()], [*plain, *more])
+
+        docs = docs.mapInArrow(scan, ", ".join([*fields, results if last else f"`{state[0]}` array<int>, `{state[1]}` array<string>"]))
+        if not last:
+            docs = saved(docs)
+    return docs.withColumns({"items_sha256": F.sha2(F.array_join("item_ids", ","), 256), "contaminated": F.col("n_hit") > 0})
 
 
 def op6_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -8,11 +8,14 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docrecon.llm import toxicity as tox
-from docrecon.llm.decontaminate import decontaminate
-from docrecon.llm.fingerprint import fingerprints, likeness
+from docrecon.llm.common import WordHashes, mixed
+from docrecon.llm.decontaminate import Windows, decontaminate
+from docrecon.llm.fingerprint import LEVELS, SUBSETS, fingerprints
 from docrecon.llm.html_text import OTHER, blocks_of, extract_text, shared_runs
 from docrecon.llm.licences import ANY, HINTS, KNOWN, scan_licences
 from docrecon.llm.near_dup import near_dedup
@@ -127,13 +130,37 @@ def test_decontaminate(spark, docs, none):
                     hit.update(range(k, k + len(q)))
                     ids |= owners
         want.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
-    out = decontaminate(docs, bench).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans")
-    got = out.collect()
-    assert sorted(tuple(r)[:6] for r in got) == sorted(want) and sum(w[5] for w in want) > 3
     texts = {i: t for i, t, _ in made()}
-    for r in got:
-        assert sum(len(word.findall(texts[r["doc_id"]][s["begin"] : s["end"]])) for s in r["spans"]) == r["n_hit"]
-    assert decontaminate(none, bench).collect() == []
+    named = docs.withColumnsRenamed({"N_WORDS": "HIT"}).withColumns({"item": F.lit(1), "Spans": F.lit("x")})
+    # In one automaton, and in one for each item or so.
+    for source, size in ((docs, 1 << 20), (named, 60)):
+        out = decontaminate(source, bench.union(bench), block_bytes=size)
+        got = out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans").collect()
+        assert sorted(tuple(r)[:6] for r in got) == sorted(want) and sum(w[5] for w in want) > 3
+        for r in got:
+            assert sum(len(word.findall(texts[r["doc_id"]][s["begin"] : s["end"]])) for s in r["spans"]) == r["n_hit"]
+    assert {"HIT", "item", "spans"} <= set(out.columns)
+    assert decontaminate(none, bench).collect() == [] and not decontaminate(docs, bench.limit(0)).where("contaminated or n_items > 0").count()
+    one = decontaminate(docs.where("doc_id = 102"), spark.createDataFrame([(None, made()[62][1])], bench.schema)).first()
+    assert one["n_hit"] == one["n_words"] and one["n_items"] == 1 and one["item_ids"] == []
+
+
+def test_windows_against_brute_force():
+    rng = random.Random(8)
+    for _ in range(60):
+        some = lambda n: [rng.choice("abc") for _ in range(n)]
+        items, window = [some(rng.choice([0, 1, 2, 4, 6, 30])) for _ in range(5)], rng.choice([1, 2, 5, 7])
+        machine = Windows([(str(i), " ".join(t)) for i, t in enumerate(items)], window)
+        for _ in range(5):
+            text = some(40)
+            hit, found = set(), set()
+            for i, t in enumerate(items):
+                for k in range(max(1, len(t) - window + 1) if t else 0):
+                    w = t[k : k + window]
+                    for at in [at for at in range(40 - len(w) + 1) if text[at : at + len(w)] == w]:
+                        hit.update(range(at, at + len(w)))
+                        found.add(i)
+            assert machine.search([w.encode() for w in text]) == (hit, found)
 
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
@@ -206,8 +233,6 @@ def test_sharding(spark, docs, none):
     for _, own in out.groupby("shard"):
         assert sorted(own["slot"]) == list(range(len(own)))
     assert shard_documents(none).count() == 0
-    from pyspark.sql import functions as F
-
     keys = spark.range(20_000).select(F.col("id").cast("string").alias("k"))
     uneven = [(r, k, 3.0 if r == "r0" else w) for r, k, w in tree(24)]
     x = keys.select(shard_of(F.col("k"), tree(24)).alias("a"), shard_of(F.col("k"), tree(25)).alias("b"), shard_of(F.col("k"), uneven).alias("c")).toPandas()
@@ -300,34 +325,85 @@ def test_toxicity(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in out)
     held = [r for r in out if r["held_out"] and r["doc_id"] < 600]
     assert np.mean([r["predicted"] == (r["doc_id"] % 4 == 0) for r in held]) > 0.97
-    # The block-max search gives the neighbours of a full scan.
-    for _, text in rows[:40:4]:
-        v = model.vector(tox.terms_of(text))
-        every = np.zeros(len(model.ids))
-        for t, w in v.items():
-            p, x = model.postings[t]
-            every[p] += w * x
-        places, cosines = model.nearest(v)
-        assert np.allclose(cosines, np.sort(every[every > 0])[::-1][: len(places)])
     empty = tox.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r["predicted"] for r in tox.score_toxicity(docs, empty).collect()} == {0}
-
-
-def test_fingerprints(spark, docs, none):
-    order = sorted(made(), key=lambda r: (r[0], r[1] or ""))
-    got = fingerprints(docs).collect()
+    # Other columns stay, but for those with the names of results; rows that repeat, and texts of any length, have scores.
+    odd = spark.createDataFrame([(1, "vile " * 50_000, "a", 1), (1, "vile " * 50_000, "a", 1), (None, "vile awful", None, 2)], "doc_id long, text string, SCORE string, more int")
+    out = tox.score_toxicity(odd, model).collect()
+    assert len({r["score"] for r in out[:2]}) == 1 and min(r["score"] for r in out) > 0.7 and out[0]["more"] == 1 and len(out[0]) == 8
+    assert tox.score_toxicity(odd.limit(0), model).collect() == []
+
+
+def test_toxicity_against_a_full_scan(spark):
+    """Term weights, cosines, neighbours and votes in plain Python, on more examples than blocks hold."""
+    rng = random.Random(6)
+    words = [f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'xyz'[i // 100]}" for i in range(300)]
+    texts = [" ".join(rng.choice(words[: rng.choice([5, 30, 300])]) for _ in range(rng.randrange(1, 40))) + (" vile" if i % 5 == 0 else "") for i in range(400)]
+    texts[7] = texts[8]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = tox.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 5 = 0) toxic"))
+    known = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert sorted(model.ids.tolist()) == known and model.dense.shape[1] // tox.BLOCK > 1 and len(model.dense)
+    rate, n = sum(i % 5 == 0 for i in known) / len(known), len(known)
+    df, bad = Counter(w for i in known for w in set(texts[i].split())), Counter(w for i in known if i % 5 == 0 for w in set(texts[i].split()))
+
+    def weight(w):
+        k, t, z = df[w], bad[w], 1.96
+        center, spread = (t + z * z / 2) / (k + z * z), z / (k + z * z) * (t * (k - t) / k + z * z / 4) ** 0.5
+        return (np.log((1 + n) / (1 + k)) + 1) * (0.1 + max(0, (center - spread - rate) / (1 - rate), (rate - center - spread) / rate))
+
+    def vector(text):
+        v = {w: (1 + np.log(c)) * weight(w) for w, c in Counter(text.split()).items() if w in df}
+        norm = sum(x * x for x in v.values()) ** 0.5
+        return {w: x / norm for w, x in v.items()}
+
+    own = {i: vector(texts[i]) for i in known}
+    got = {r["doc_id"]: r for r in tox.score_toxicity(docs, model).collect()}
+    for i in range(0, 400, 7):
+        v = vector(texts[i])
+        cosines = sorted(((sum(x * own[k].get(w, 0) for w, x in v.items()), k) for k in known), reverse=True)
+        near = [(c, k) for c, k in cosines[: tox.NEIGHBOURS] if c > 1e-6]
+        terms, counts, _, _ = tox.terms_of(texts[i], WordHashes())
+        votes, places = model.votes([model.known(terms, counts)[1:]])
+        found = [(sum(x * own[k].get(w, 0) for w, x in v.items()), k) for k in model.ids[places[0]].tolist()]
+        assert np.allclose([c for c, _ in found], [c for c, _ in near], atol=2e-5)
+        # Neighbours that tie for the last place may differ.
+        if cosines[tox.NEIGHBOURS - 1][0] - cosines[tox.NEIGHBOURS][0] > 2e-5:
+            vote = (sum(c * (k % 5 == 0) for c, k in near) + 0.1 * rate) / (sum(c for c, _ in near) + 0.1)
+            assert abs(votes[0] - vote) < 1e-4 and abs(got[i]["score"] - 1 / (1 + np.exp(-(model.curve[0] * np.log(vote / (1 - vote)) + model.curve[1])))) < 1e-3
+
+
+def brute_fingerprint(text, band):
+    terms = sorted({xxhash.xxh3_64_intdigest(w) for w in text.encode().lower().split()} & band)
+    draw = lambda t, s: int(mixed(np.uint64([t ^ int(mixed(np.uint64([s]))[0])]))[0])
+    lists = [terms] + [[t for t in terms if draw(t, s + 1) >> (64 - level) == 0] for level in range(1, LEVELS + 1) for s in range(SUBSETS)]
+    return "".join(f"{1 + xxhash.xxh3_64_intdigest(np.array(x, '<u8').tobytes()) % 0xFFFF if x else 0:04x}" for x in lists)
+
+
+@pytest.mark.parametrize("nulls", [0, 2])
+def test_fingerprints(spark, docs, none, nulls):
+    """nulls: of every so many rows one has no doc_id."""
+    rng = random.Random(4)
+    more = [(400 + i, " ".join(f"r{rng.randrange(90)}" for _ in range(30)), None) for i in range(20)]
+    made_rows = [(None if nulls and k % nulls == 0 else i, t) for k, (i, t, _) in enumerate(made() + more)]
+    order = sorted(made_rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    df = Counter(h for _, t in made_rows for h in {xxhash.xxh3_64_intdigest(w) for w in (t or "").encode().lower().split()})
+    assert len({h >> 42 for h in df}) == len(df)  # no collisions of 22 bits among these words
+    band = {h for h, n in df.items() if 2 <= n <= max(2, 0.2 * len(made_rows))}
     want = []
-    for k, (i, t, _) in enumerate(order):
-        t, n = t or "", order[(k + 1) % len(order)][1] or ""
+    for k, (i, t) in enumerate(order):
+        t, after = t or "", order[(k + 1) % len(order)][1] or ""
         half = len(t) // 2
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + n[:half]).encode()).hexdigest()))
-    assert sorted(tuple(r)[:3] for r in got) == sorted(want)
-    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
-    by = defaultdict(set)
-    for r in got:
-        by[{i: t or "" for i, t, _ in made()}[r["doc_id"]]].add(r["fingerprint"])
-    assert all(len(f) == 1 for f in by.values()) and likeness(got[0]["fingerprint"], got[0]["fingerprint"]) == 1.0
+        edited = t[: len(t) - half] + after[:half]
+        f, e, a = (brute_fingerprint(x, band) for x in (t, edited, after))
+        like = lambda x, y: 1.0 if x == y else 1 - 0.5 ** (sum(x[k : k + 4] == y[k : k + 4] != "0000" for k in range(4, len(x), 4)) / SUBSETS)
+        want.append((-1 if i is None else i, len(t), hashlib.sha256(edited.encode()).hexdigest(), f, e, like(f, e), like(f, a)))
+    source = spark.createDataFrame(made_rows, "doc_id long, text string").withColumn("pid", F.lit(1)).repartition(3)
+    got = fingerprints(source).na.fill(-1).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want) and len(band) > 20
     assert fingerprints(none).collect() == []
+    one = fingerprints(docs.where("doc_id = 304")).first()
+    assert one["near_next"] == 1.0 and one["n_chars"] == len(made()[-1][1])
 
 
 def test_licences(spark):
