@@ -29,8 +29,8 @@ NEIGHBOURS, BLOCK = 64, 128
 #: Least relevance of a term; terms in this share of the examples or more are kept as dense rows.
 FLOOR, DENSE = 0.1, 1 / 16
 THRESHOLD = 0.7
-#: Texts that are looked up together.
-BATCH = 128
+#: Texts that are looked up together, and of these such whose postings are.
+BATCH, PART = 128, 8
 #: Cosines are compared in steps of 1 / SCALE, on a tie the first place wins. Places need PLACE bits.
 SCALE, PLACE = 1_000_000, 20
 
@@ -75,10 +75,14 @@ class Model:
         often = self.row[term] >= 0
         query = np.zeros((n, len(self.dense)), np.float32)
         query[owner[often], self.row[term[often]]] = weight[often]
+        rare = np.zeros((n, blocks, BLOCK), np.float32)
         term, own, w = term[~often], owner[~often], weight[~often]
-        length = self.start[term + 1] - self.start[term]
-        at = np.repeat(self.start[term] - np.cumsum(length) + length, length) + np.arange(length.sum())
-        rare = np.bincount(np.repeat(own, length) * size + self.place[at], np.repeat(w, length) * self.posted[at], n * size).reshape(n, blocks, BLOCK)
+        cuts = np.searchsorted(own, np.arange(0, n + PART, PART))
+        for first, i, j in zip(range(0, n, PART), cuts, cuts[1:]):
+            length = self.start[term[i:j] + 1] - self.start[term[i:j]]
+            at = np.repeat(self.start[term[i:j]] - np.cumsum(length) + length, length) + np.arange(length.sum())
+            some = min(PART, n - first)
+            rare[first : first + some] = np.bincount(np.repeat(own[i:j] - first, length) * size + self.place[at], np.repeat(w[i:j], length) * self.posted[at], some * size).reshape(some, blocks, BLOCK)
         bound = np.rint((rare.max(2) + query @ self.highest) * SCALE).astype(np.int64) + 2
         # A candidate is one number: its cosine in steps, then its place, the first one highest.
         last = np.int64((1 << PLACE) - 1)
