@@ -40,11 +40,23 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
+#: Links of a node that one task may join; nodes with more are hubs, of which there are MAX_HUBS at most.
+HUB, MAX_HUBS = 512, 100_000
+
+
+def with_least(rows: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
+    """rows (u, v) with m, the least v of u; and (u, m). Nodes with more than `hub` rows are joined by broadcast, so that
+    none is a single task's work; rows / hub bounds how many there are. The least is taken from partial ones."""
+    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    hubs = F.broadcast(least.where(F.col("n") > hub).drop("n"))
+    others = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= hub).drop("n").hint("merge"), "u")
+    return rows.join(hubs, "u").select("u", "v", "m").union(others.select("u", "v", "m")), least.select("u", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node long, component long) for the nodes of links (a long, b long) that aren't the least of their component.
 
-    Each round is two aggregations with partial sums and two joins whose large side Spark may split, so a node with very
-    many links is no single task's work. Rounds grow with the logarithm of the size of a component. Links go to no driver.
+    Rounds grow with the logarithm of the size of a component. Links go to no driver.
     """
     links = links.select(F.col(links.columns[0]).alias("a"), F.col(links.columns[1]).alias("b")).where("a <> b")
     links = saved(links.mapInArrow(_contract, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -54,13 +66,12 @@ def components(links: DataFrame) -> DataFrame:
 
     before = state(links)
     while before[0]:
-        both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+        hub = max(HUB, 2 * before[0] // MAX_HUBS)
+        both, _ = with_least(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b"), F.col("a"))), hub)
+        large = both.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
         down = large.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        small = down.join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("u", "m"))
-        links = saved(small.distinct())
+        lower, low = with_least(down, hub)
+        links = saved(lower.select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").union(low).distinct())
         now = state(links)
         if now == before:
             break

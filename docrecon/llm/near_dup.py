@@ -27,8 +27,10 @@ from docrecon.llm.common import NO_ID, WordHashes, load, of_stage, saved, split_
 from docrecon.llm.graph import components
 
 SMALL, WIDTH = 8, 2
-#: Different sets that one task compares; larger groups are split.
-GROUP = 4096
+#: Different sets that one task compares, and bytes of their shingles; larger groups are split.
+GROUP, GROUP_BYTES = 4096, 24 << 20
+#: Groups of several parts that are broadcast, at most.
+FEW_GROUPS = 100_000
 
 
 def shingle_sets(texts: list, words: int, hashes: WordHashes) -> list[np.ndarray]:
@@ -136,7 +138,7 @@ def _solve(percent: int):
         score = np.zeros(len(label))
         order = s.central()
         score[order] = np.arange(len(order), 0, -1) / len(order)
-        return pd.DataFrame({"id": s.ids, "root": low, "group": rows["group"].to_numpy(), "part": rows["part"].to_numpy(), "score": score})
+        return pd.DataFrame({"id": s.ids, "root": low, "group": rows["group"].to_numpy(), "part": rows["part"].to_numpy(), "parts": rows["parts"].to_numpy(), "score": score})
 
     return run
 
@@ -159,32 +161,52 @@ def _across(percent: int):
     return run
 
 
+def _pieces(rows: DataFrame) -> DataFrame:
+    """(group, needed): of rows (group, shingles), the groups that are more than one task's work, and how many."""
+    size = F.greatest(F.count("*") / GROUP, F.sum(F.octet_length("shingles")) / GROUP_BYTES)
+    return rows.groupBy("group").agg(F.ceil(size).cast("int").alias("needed")).where("needed > 1")
+
+
+def _few(groups: DataFrame) -> DataFrame:
+    """A saved table of groups, broadcast if its rows are few."""
+    groups = saved(groups)
+    return F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups.hint("merge")
+
+
+def _dealt(rows: DataFrame, pieces: DataFrame, part: str, parts: str) -> DataFrame:
+    """rows (group, id, ...) with their part in the group, 0 to parts - 1."""
+    count = F.coalesce("needed", F.lit(1))
+    return rows.join(pieces, "group", "left").withColumns({part: F.pmod(F.xxhash64("id"), count).cast("int"), parts: count}).drop("needed")
+
+
 def _links(sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is linked within each group of sets (group, part, id, shingles)."""
-    local = saved(sets.groupBy("group", "part").applyInPandas(_solve(percent), "id long, root long, group long, part int, score double"))
+    """Links (a, b) that connect what is linked within each group of sets (group, id, shingles)."""
+    large = _few(_pieces(sets))
+    dealt = _dealt(sets, large, "part", "parts")
+    local = saved(dealt.groupBy("group", "part").applyInPandas(_solve(percent), "id long, root long, group long, part int, parts int, score double"))
     links = local.select(F.col("id").alias("a"), F.col("root").alias("b"))
-    large = local.where("part > 0").select("group").distinct()
     if not large.take(1):
         return links
     # Groups of several parts: first the most central set of the group is compared with all parts; then those that are still
     # apart from it, with all parts. No set of the group is left out of the second comparison.
-    rooted = saved(sets.join(local.select("id", "root", "group", "part", "score"), ["id", "group", "part"]).join(large, "group", "left_semi"))
-    parts = rooted.select("group", "part").distinct()
-    fields = ["group", "part", "id", "root", "shingles"]
-    members = rooted.select(*[F.col(c).alias(f"m_{c}") for c in fields])
+    rooted = saved(dealt.drop("parts").join(local.where("parts > 1").select("id", "root", "group", "part", "parts", "score"), ["id", "group", "part"]))
 
     def compare(queries: DataFrame) -> DataFrame:
-        dealt = queries.join(parts, "group").select(*[F.col(c).alias(f"q_{c}") for c in fields])
-        return saved(members.groupBy("m_group", "m_part").cogroup(dealt.groupBy("q_group", "q_part")).applyInPandas(_across(percent), "a long, b long"))
+        """Each query with each part of its group, piece by piece of the queries: a task has one part and one piece."""
+        dealt = _dealt(queries, _few(_pieces(queries)), "piece", "pieces")
+        pieces = dealt.select("group", "pieces").distinct()
+        members = rooted.join(pieces, "group").select("group", "part", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), *[F.col(c).alias(f"m_{c}") for c in ("id", "root", "shingles")])
+        asked = dealt.select(F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("q_part"), *[F.col(c).alias(f"q_{c}") for c in ("group", "piece", "id", "root", "shingles")])
+        return saved(members.groupBy("group", "part", "piece").cogroup(asked.groupBy("q_group", "q_part", "q_piece")).applyInPandas(_across(percent), "a long, b long"))
 
     pivots = rooted.groupBy("group").agg(F.max_by("id", F.struct("score", "id")).alias("id"))
-    first = compare(rooted.drop("part").join(pivots, ["group", "id"]))
+    first = compare(rooted.drop("part", "score").join(pivots, ["group", "id"]))
     reached = links.join(rooted.select(F.col("id").alias("a")), "a", "left_semi").union(first)
     labels = components(reached)
-    placed = saved(rooted.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    placed = saved(rooted.drop("part", "score").join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id")))
     main = placed.join(pivots, ["group", "id"]).select("group", F.col("component").alias("main"))
     apart = placed.join(main, "group").where("component <> main")
-    return links.union(first).union(compare(apart.select("group", "id", "root", "shingles")))
+    return links.union(first).union(compare(apart.drop("component", "main")))
 
 
 def near_dedup(docs: DataFrame, similarity: float = 0.85, words: int = 5) -> DataFrame:
@@ -193,7 +215,7 @@ def near_dedup(docs: DataFrame, similarity: float = 0.85, words: int = 5) -> Dat
     Documents are linked if 100 * intersection >= 100 * similarity * union of their sets of `words`-word shingles (A-Z
     lower-cased, words split at ASCII white space); component_id is the smallest doc_id reachable. A text of fewer words is
     one shingle; null and texts without words have no shingles and no links. Rows that repeat a doc_id are one node with the
-    links of each. A null doc_id counts as larger than any other and is returned as null.
+    links of each. A null doc_id counts as larger than any other and is returned as null. Other columns of docs are left out.
     """
     spark, percent = docs.sparkSession, round(100 * similarity)
     docs = docs.select("doc_id", "text").withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(int(NO_ID))))
@@ -207,20 +229,18 @@ def near_dedup(docs: DataFrame, similarity: float = 0.85, words: int = 5) -> Dat
     # None of these sides has a bound, so none may be broadcast; Spark splits skewed partitions of a merge join.
     stars = keyed.join(least.hint("merge"), "key").where("id <> least").select("id", "least")
     maybe = components(stars)
-    maybe = saved(maybe.union(maybe.select(F.col("component").alias("node"), "component").distinct()).toDF("id", "group"))
-    sizes = maybe.groupBy("group").agg(F.count("*").alias("n"))
-    member = maybe.join(sizes, "group").select("id", "group", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / GROUP)).cast("int").alias("part"))
+    member = saved(maybe.union(maybe.select(F.col("component").alias("node"), "component").distinct()).toDF("id", "group"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = of_stage("words", WordHashes)
         for parts in split_batches(batches, "text", 2 << 20):
             table = pa.Table.from_batches(parts)
             blobs = [s.tobytes() for s in shingle_sets(table.column("text").to_pylist(), words, hashes)]
-            for batch in table.select(["group", "part", "id"]).append_column("shingles", pa.array(blobs, pa.binary())).combine_chunks().to_batches():
+            for batch in table.select(["group", "id"]).append_column("shingles", pa.array(blobs, pa.binary())).combine_chunks().to_batches():
                 yield batch.filter(pc.greater(pc.binary_length(batch.column("shingles")), 0))
 
-    texts = docs.withColumnRenamed("doc_id", "id").join(member.hint("merge"), "id").select("group", "part", "id", "text")
-    links = _links(saved(texts.mapInArrow(sets, "group long, part int, id long, shingles binary")), percent)
+    texts = docs.withColumnRenamed("doc_id", "id").join(member.hint("merge"), "id").select("group", "id", "text")
+    links = _links(saved(texts.mapInArrow(sets, "group long, id long, shingles binary")), percent)
     # Rows that repeat a doc_id tie the classes of their texts together.
     repeated = full.join(classes.select("set1", "set2", "n_shingles", "id").hint("merge"), ["set1", "set2", "n_shingles"]).select("doc_id", "id")
     found = components(links.union(repeated.where("doc_id <> id")))

@@ -101,11 +101,22 @@ def brute_components(rows, percent):
 
 @pytest.mark.parametrize("group", [4096, 5])
 def test_near_dup(spark, docs, none, monkeypatch, group):
-    """With groups of 5 the comparison across parts is at work."""
+    """With groups of 5 the comparison across parts is at work, also of several pieces of queries; hubs have 4 links."""
+    import docrecon.llm.graph as g
     import docrecon.llm.near_dup as m
 
     monkeypatch.setattr(m, "GROUP", group)
-    assert sorted(tuple(r) for r in near_dedup(docs).collect()) == brute_components(made(), 85)
+    monkeypatch.setattr(g, "HUB", group - 1)
+    rows = made()
+    if group == 5:
+        monkeypatch.setattr(m, "FEW_GROUPS", 0)
+        rng = random.Random(2)
+        base = [f"b{i}" for i in range(60)]
+        for i in range(40):  # pairs of near copies that share much with all others
+            own = [f"v{i // 2}x{k}" if k % 6 == 0 else w for k, w in enumerate(base)]
+            own[rng.randrange(60)] = "edit"
+            rows.append((500 + i, " ".join(own[:59] + [f"z{i}"]), None))
+    assert sorted(tuple(r) for r in near_dedup(spark.createDataFrame(rows, DOCS).repartition(3)).collect()) == brute_components(rows, 85)
     if group > 5:
         assert near_dedup(none).collect() == []
 
