@@ -37,15 +37,33 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/docrecon-{uuid.uuid4().hex}"
 
 
+#: Folders written by this driver that are still there.
+_scratch: list[str] = []
+
+
 def saved(df: DataFrame) -> DataFrame:
     """Write df as Parquet to the shared scratch folder and read it back: later steps survive lost executors, and rows
     whose keys come from a partition number keep them."""
     spark = df.sparkSession
     path = scratch_dir(spark)
     df.write.option("compression", "zstd").parquet(path)
+    _scratch.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession, since: int) -> None:
+    """Delete the scratch folders written after the first `since` ones, but for the last. Only for those that no DataFrame in use
+    reads any more."""
+    for path in _scratch[since:-1]:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    del _scratch[since:-1]
+
+
+def scratch_count() -> int:
+    return len(_scratch)
+
+
 def parallelism(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
