@@ -1,5 +1,6 @@
 """Column functions: the reference's number, date and text rules."""
 
+import unicodedata
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -20,6 +21,12 @@ def parse_amount(c) -> Column:
     return F.when(plain.rlike(r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"), plain.try_cast("double"))
 
 
+def plain_number(c) -> Column:
+    """A number in the shortest digits that read back as it, with a point and without exponent; whole ones end in '.0'."""
+    wide = F.regexp_replace(F.regexp_replace(c.cast("decimal(38,6)").cast("string"), "0+$", ""), r"\.$", ".0")
+    return F.when(c.isNull(), F.lit(None).cast("string")).when((F.abs(c) < 1e7) & ((F.abs(c) >= 1e-3) | (c == 0)), c.cast("string")).otherwise(wide)
+
+
 def parse_int_amount(c) -> Column:
     return F.bround(parse_amount(c), 0).cast("int")
 
@@ -43,15 +50,36 @@ def normalize_date(c) -> Column:
 
 
 def fix_year_typo(c) -> Column:
-    """Years 3000 to 3099 lose a thousand."""
-    return F.regexp_replace(c, "-30([0-9]{2})$", "-20$1")
+    """Dates dd-MM-yyyy, also with slashes or points, get dashes; a year 3000 to 3099 loses a thousand if that makes a date."""
+    plain = F.regexp_replace(F.trim(c), "[/.]", "-")
+    right = F.regexp_replace(plain, "-30([0-9]{2})$", "-20$1")
+    typo = plain.rlike("-30[0-9]{2}$") & F.try_to_timestamp(right, F.lit("dd-MM-yyyy")).isNotNull()
+    return F.when(~plain.rlike("^[0-9]{2}-[0-9]{2}-[0-9]{4}$"), c).when(typo, right).otherwise(plain)
+
+
+def _folded() -> tuple[str, str, dict[str, str]]:
+    """Letters beyond ASCII whose decomposition is one letter and marks, and that letter; and such with several letters."""
+    ones: dict[str, str] = {}
+    several: dict[str, str] = {}
+    for code in [*range(0xA0, 0x530), *range(0x1E00, 0x2000), *range(0x2100, 0x2150), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)]:
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x)).upper()
+        if plain != chr(code).upper() or chr(code).upper() != chr(code):
+            (ones if len(plain) == 1 else several)[chr(code)] = plain
+    return "".join(ones), "".join(ones.values()), several
 
 
-ACCENTED, PLAIN = "ÀÂÄÁÃÇÉÈÊËÎÏÍÔÖÓÕÙÛÜÚÑ", "AAAAACEEEEIIIOOOOUUUUN"
+LETTERS, PLAIN, SEVERAL = _folded()
 
 
 def fold_text(c) -> Column:
-    return F.translate(F.upper(F.replace(c, F.lit("ß"), F.lit("ss"))), ACCENTED, PLAIN)
+    """Upper case without accents: compatible forms are taken apart, marks go. The table covers Latin, Greek and Cyrillic letters,
+    letter-like signs and full-width forms; loose marks (U+0300 to U+036F) go too; other scripts stay."""
+    c = F.regexp_replace(F.replace(F.replace(c, F.lit("â€™"), F.lit("'")), F.lit("™"), F.lit("T")), "[\u0300-\u036f]", "")
+    apart = c
+    for letter, plain in SEVERAL.items():
+        apart = F.replace(apart, F.lit(letter), F.lit(plain))
+    c = F.when(c.rlike("[" + "".join(SEVERAL) + "]"), apart).otherwise(c)
+    return F.upper(F.translate(c, LETTERS, PLAIN))
 
 
 def name_similarity(a, b) -> Column:

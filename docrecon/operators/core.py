@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrecon.functions.scalars import filled, parse_amount, parse_int_amount
+from docrecon.functions.scalars import filled, parse_amount, parse_int_amount, plain_number
 
 
 def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -29,46 +29,103 @@ def resolved_status(declarations: DataFrame, sessions: DataFrame) -> DataFrame:
     return declarations.join(last, "id", "left").withColumn("resolved", status)
 
 
-def compare_inputs(declarations: DataFrame) -> DataFrame:
-    return declarations.select(
-        F.col("id").alias("dum_id"), F.col("numero").alias("dum_numero"), F.col("statut").alias("dum_statut"), parse_amount(F.col("montant_ptfn")).alias("pfn"), F.col("devise").alias("dum_devise"),
-        parse_int_amount(F.col("nombre_colis")).alias("dum_colis"), parse_amount(F.col("poids_net")).alias("dum_poids"), F.col("mode_livraison").alias("dum_mode"))
+def compare_inputs(declarations: DataFrame, overrides: DataFrame | None = None) -> DataFrame:
+    """The values of declarations that invoices are compared with. overrides (dum_id, and any of pfn, declared double, devise,
+    numero, mode string, colis int, poids double) go first; a declared amount counts where there is no PFN at all."""
+    own = declarations.select(
+        F.col("id").alias("dum_id"), filled(F.col("numero")).alias("dum_numero"), F.col("statut").alias("dum_statut"), parse_amount(F.col("montant_ptfn")).alias("pfn"), filled(F.col("devise")).alias("dum_devise"),
+        parse_int_amount(F.col("nombre_colis")).alias("dum_colis"), parse_amount(F.col("poids_net")).alias("dum_poids"), filled(F.col("mode_livraison")).alias("dum_mode"))
+    if overrides is None:
+        return own
+    given = overrides.select("dum_id", *[F.col(c).alias(f"o_{c}") for c in overrides.columns if c != "dum_id"])
+    names = {"pfn": "pfn", "devise": "dum_devise", "numero": "dum_numero", "colis": "dum_colis", "poids": "dum_poids", "mode": "dum_mode"}
+    there = lambda c: filled(F.col(f"o_{c}")) if c in ("devise", "numero", "mode") else F.col(f"o_{c}")
+    first = {name: F.coalesce(there(c), F.col(name)) for c, name in names.items() if f"o_{c}" in given.columns}
+    if "o_declared" in given.columns:
+        first["pfn"] = F.coalesce(first.get("pfn", F.col("pfn")), F.col("o_declared"))
+    return own.join(given, "dum_id", "left").withColumns(first).select(own.columns)
+
+
+# What a control of an invoice leaves on it.
+CONTROL = ["numero_declaration_dum", "date_declaration_dum", "montant_declare_dum", "devise_declaree_dum", "ecart_montant", "ecart_commentaire", "statut_controle", "compared_at", "controle_anomalies_json"]
 
 
 def link_one_to_one(invoices: DataFrame) -> DataFrame:
-    """Of the invoices on a declaration the one linked last keeps its link."""
+    """Of the invoices on a declaration the one linked last keeps its link; the others lose it and the columns of CONTROL."""
     linked = invoices.where("dum_id is not null")
     winner = F.row_number().over(Window.partitionBy("dum_id").orderBy(F.col("created_at").desc(), F.col("id").desc())) == 1
-    return linked.withColumn("dum_id", F.when(winner, F.col("dum_id"))).unionByName(invoices.where("dum_id is null"))
+    lost = [c for c in ("dum_id", *CONTROL) if c in invoices.columns]
+    kept = linked.withColumn("_keep", winner).withColumns({c: F.when(F.col("_keep"), F.col(c)) for c in lost}).drop("_keep")
+    return kept.unionByName(invoices.where("dum_id is null"))
+
+
+# The anomalies of a control, in their order, and what is said about them.
+NO_AMOUNT, NO_PFN = "Aucun NET PAY (ni TTC) sur la facture pour comparer.", "PFN article / montant PTFN DUM non fourni."
+PRINCIPAL, PACKAGES, WEIGHT, TERMS = "Comparaison principale : NET PAY (facture) vs PFN article (DUM).", "Nombre de colis différent.", "Poids net (kg) différent.", "Incoterm / mode livraison différent."
+ALIGNED = "OK — NET PAY facture aligné avec PFN article DUM (tolérance respectée)."
 
 
 def reconcile(invoices: DataFrame, inputs: DataFrame, tolerance: float = 0.01) -> DataFrame:
-    """Invoices joined with their declarations' values: base, gap, status, codes of the anomalies in order."""
+    """Invoices joined with their declarations' values: base, gap, status, comment, and anomalies, an array of (code, severity,
+    message, facture_value, dum_value) in a fixed order; codes is the codes alone."""
     tol = tolerance or 0.01
-    j = invoices.join(inputs, "dum_id", "left")
-    base = F.coalesce("net_pay", "montant_ttc")
-    missing, no_pfn = base.isNull(), F.col("pfn").isNull()
-    gap = F.when(missing | no_pfn, F.lit(0.0)).otherwise(F.round(base - F.col("pfn"), 4))
-    j = j.withColumns({"base": base, "gap": gap})
-    usable = ~(F.col("base").isNull() | F.col("pfn").isNull())
-    a, b = filled(F.upper("devise")), filled(F.upper("dum_devise"))
-    currency = F.coalesce(usable & (a != b), F.lit(False))
-    off = F.abs("gap") > tol
-    severe = F.abs("gap") > max(10 * tol, 1.0)
-    packages = F.coalesce(usable & (F.col("nombre_colis") != F.col("dum_colis")), F.lit(False))
-    weight = F.coalesce(usable & (F.abs(F.col("poids_net") - F.col("dum_poids")) > 0.5), F.lit(False))
-    mode = F.coalesce(usable & (F.upper(F.substring("mode_livraison", 1, 3)) != F.upper(F.substring("dum_mode", 1, 3))), F.lit(False))
-    linked = usable & F.coalesce(filled(F.col("dum_numero")).isNotNull(), F.lit(False))
-    status = F.when(~usable, "error").when(off & severe, "error").when(off | currency | packages | weight | mode, "warning").otherwise("ok")
-    codes = F.array(
-        F.when(F.col("base").isNull(), "invoice_amount_missing"), F.when(F.col("base").isNotNull() & F.col("pfn").isNull(), "dum_pfn_missing"), F.when(currency, "currency_mismatch"), F.when(usable, "montant_net_pay_vs_pfn"),
-        F.when(usable & off, "amount_gap"), F.when(usable & ~off & ~currency, "amount_ok"), F.when(packages, "packages_mismatch"), F.when(weight, "weight_mismatch"), F.when(mode, "incoterm_mismatch"), F.when(linked, "declaration_linked"))
-    return j.withColumns({"status": status, "codes": F.filter(codes, lambda c: c.isNotNull())})
+    j = invoices.join(inputs, "dum_id", "left").withColumn("base", F.coalesce("net_pay", "montant_ttc"))
+    base, pfn, gap = F.col("base"), F.col("pfn"), F.col("gap")
+    usable = base.isNotNull() & pfn.isNotNull()
+    j = j.withColumn("gap", F.when(usable, F.round(base - pfn, 4)).otherwise(F.lit(0.0)))
+    yes = lambda c: F.coalesce(usable & c, F.lit(False))
+    own, theirs = F.coalesce(F.trim(F.upper("devise")), F.lit("")), F.coalesce(F.trim(F.upper("dum_devise")), F.lit(""))
+    off, severe = usable & (F.abs(gap) > tol), F.abs(gap) > max(10 * tol, 1.0)
+    currency = usable & (own != "") & (theirs != "") & (own != theirs)
+    packages, weight = yes(F.col("nombre_colis") != F.col("dum_colis")), yes(F.abs(F.col("poids_net") - F.col("dum_poids")) > 0.5)
+    term = lambda c: F.substring(F.trim(F.upper(c)), 1, 3)
+    mode = yes((F.col("mode_livraison") != "") & (F.col("dum_mode") != "") & (term("mode_livraison") != term("dum_mode")))
+    number = filled(F.col("dum_numero"))
+    differ = F.concat(F.lit("Devises différentes : facture="), own, F.lit(", DUM="), theirs, F.lit(" — vérifiez la comparaison."))
+    signed = F.format_string("%+.4f", gap)
+    wide = F.concat(F.lit("Écart montant "), signed, F.lit(" (facture − DUM PFN)."))
+    amount, declared = plain_number(base), plain_number(pfn)
+    whole = lambda c: F.col(c).cast("string")
+
+    def anomaly(when: Column, code: str, severity, message, mine: Column, other: Column) -> Column:
+        text = lambda x: F.lit(x) if isinstance(x, str) else x
+        return F.when(when, F.struct(F.lit(code).alias("code"), text(severity).alias("severity"), text(message).alias("message"), mine.cast("string").alias("facture_value"), other.cast("string").alias("dum_value")))
+
+    none = F.lit(None)
+    found = F.array(
+        anomaly(base.isNull(), "invoice_amount_missing", "error", NO_AMOUNT, none, declared),
+        anomaly(base.isNotNull() & pfn.isNull(), "dum_pfn_missing", "error", NO_PFN, amount, none),
+        anomaly(currency, "currency_mismatch", "warning", differ, own, theirs),
+        anomaly(usable, "montant_net_pay_vs_pfn", "info", PRINCIPAL, F.trim(F.concat_ws(" ", amount, own)), F.trim(F.concat_ws(" ", declared, theirs))),
+        anomaly(off, "amount_gap", F.when(severe, "error").otherwise("warning"), wide, amount, declared),
+        anomaly(usable & ~off & ~currency, "amount_ok", "info", F.concat(F.lit("Écart "), signed, F.lit(f" dans la tolérance ±{tol}.")), amount, declared),
+        anomaly(packages, "colis_mismatch", "warning", PACKAGES, whole("nombre_colis"), whole("dum_colis")),
+        anomaly(weight, "poids_net_mismatch", "warning", WEIGHT, plain_number(F.col("poids_net")), plain_number(F.col("dum_poids"))),
+        anomaly(mode, "incoterm_mismatch", "warning", TERMS, term("mode_livraison"), term("dum_mode")),
+        anomaly(usable & number.isNotNull(), "declaration_linked", "info", F.concat(F.lit("Déclaration DUM n° "), number, F.lit(".")), none, number))
+    status = F.when(~usable | off & severe, "error").when(off | currency | packages | weight | mode, "warning").otherwise("ok")
+    comment = F.when(base.isNull(), "Montant facture manquant").when(pfn.isNull(), "Montant DUM manquant").when(off, wide).when(currency, differ).otherwise(ALIGNED)
+    out = j.withColumns({"status": status, "comment": comment, "anomalies": F.filter(found, lambda a: a.isNotNull())})
+    return out.withColumn("codes", F.transform("anomalies", lambda a: a["code"]))
+
+
+def anomaly_rows(reconciled: DataFrame) -> DataFrame:
+    """(id, position long, code, severity, message, facture_value, dum_value): the anomalies one by one."""
+    return reconciled.select("id", F.posexplode("anomalies").alias("position", "a")).select("id", "position", "a.*")
+
+
+def amount_aligned(reconciled: DataFrame, tolerance: float = 0.01) -> Column:
+    """Whether an amount is aligned: no error, no gap told, NET PAY and PFN near each other; where one is missing, the stored gap, and
+    without that the status decides."""
+    near = F.when(F.col("net_pay").isNotNull() & F.col("pfn").isNotNull(), F.abs(F.col("net_pay") - F.col("pfn")) <= tolerance)
+    stored = F.when(F.col("ecart_montant").isNotNull(), F.abs("ecart_montant") <= tolerance) if "ecart_montant" in reconciled.columns else F.lit(None).cast("boolean")
+    return (F.col("status") != "error") & ~F.array_contains("codes", "amount_gap") & F.coalesce(near, stored, F.col("status") == "ok")
 
 
 def field_f1(truth: DataFrame, predicted: DataFrame, keys: list[str], settings: list[tuple]) -> DataFrame:
-    """(keys.., field) with tp, fp, fn, precision, recall, f1 for each of the settings, the values of keys that were tried;
-    truth (file, field, value), predicted (keys.., file, field, value)."""
+    """(keys.., field) with tp, fp, fn, documents, precision, recall, f1, coverage (of documents with a value predicted where one is
+    told) for each of the settings, the values of keys that were tried; truth (file, field, value), predicted (keys..,
+    file, field, value)."""
     norm = lambda c: F.lower(F.trim(F.coalesce(F.col(c), F.lit(""))))
     t = truth.select("file", "field", norm("value").alias("t"))
     p = predicted.select(*keys, "file", "field", norm("value").alias("p"))
@@ -76,7 +133,8 @@ def field_f1(truth: DataFrame, predicted: DataFrame, keys: list[str], settings:
     wanted = t.withColumn("_s", F.explode(tried)).select("_s.*", "file", "field", "t")
     j = wanted.join(p, [*keys, "file", "field"], "left").withColumn("p", F.coalesce("p", F.lit("")))
     hit, miss = (F.col("t") != "") & (F.col("t") == F.col("p")), (F.col("t") != "") & (F.col("t") != F.col("p"))
-    out = j.groupBy(*keys, "field").agg(F.count_if(hit).alias("tp"), F.count_if((miss | (F.col("t") == "")) & (F.col("p") != "")).alias("fp"), F.count_if(miss).alias("fn"))
+    out = j.groupBy(*keys, "field").agg(F.count_if(hit).alias("tp"), F.count_if((miss | (F.col("t") == "")) & (F.col("p") != "")).alias("fp"), F.count_if(miss).alias("fn"), F.count("*").alias("documents"))
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return out.withColumns({"precision": F.round(ratio(tp, tp + fp), 4), "recall": F.round(ratio(tp, tp + fn), 4), "f1": F.round(ratio(2 * tp, 2 * tp + fp + fn), 4)})
+    tp, fp, fn, documents = F.col("tp"), F.col("fp"), F.col("fn"), F.col("documents")
+    scores = {"precision": F.round(ratio(tp, tp + fp), 4), "recall": F.round(ratio(tp, tp + fn), 4), "f1": F.round(ratio(2 * tp, 2 * tp + fp + fn), 4), "coverage": F.round(ratio(tp + fp, documents), 4)}
+    return out.withColumns(scores)

@@ -49,8 +49,8 @@ def comparison_rows(reconciled: DataFrame) -> DataFrame:
     tones = {
         "montant_net_pay_vs_pfn": F.when(aligned, "ok").when(has("amount_gap") & (F.abs("gap") > 1.0), "error").otherwise("warning"),
         "currency_mismatch": F.when(differ, "warning").otherwise("ok"),
-        "packages_mismatch": _same(c("nombre_colis"), c("dum_colis"), c("nombre_colis") == c("dum_colis"), has("packages_mismatch")),
-        "weight_mismatch": _same(c("poids_net"), c("dum_poids"), F.abs(c("poids_net") - c("dum_poids")) < 0.01, has("weight_mismatch")),
+        "colis_mismatch": _same(c("nombre_colis"), c("dum_colis"), c("nombre_colis") == c("dum_colis"), has("colis_mismatch")),
+        "poids_net_mismatch": _same(c("poids_net"), c("dum_poids"), F.abs(c("poids_net") - c("dum_poids")) < 0.01, has("poids_net_mismatch")),
         "incoterm_mismatch": _same(c("mode_livraison"), c("dum_mode"), F.upper(F.trim("mode_livraison")) == F.upper(F.trim("dum_mode")), has("incoterm_mismatch")),
         "declaration_number": there("dum_numero"), "declaration_date": there("dum_date"), "invoice_number": there("numero"), "invoice_date": there("created_at"),
     }
@@ -87,3 +87,55 @@ def field_confidences(headers: DataFrame) -> DataFrame:
     }
     pairs = [x for name, (good, high, low) in forms.items() for x in (F.lit(name), F.when(text(name) == "", 0).when(good, high).otherwise(low))]
     return headers.withColumn("confidence", F.create_map(*pairs))
+
+
+# The keys of an extraction result that become rows.
+EXTRACTED = """exportateur adresse_exportateur code_exportateur importateur adresse_importateur code_importateur declarant repertoire numero_credit numero_declaration date_declaration type_declaration nbre_articles
+numero_dae nombre_articles nombre_colis exportateur_nom exportateur_code importateur_nom importateur_pays declarant_code declarant_nom transport_international_nationalite transport_international_mode
+transport_international_identite transport_national_nationalite transport_national_mode mode_transport date_arrivee_depart pays_provenance pays_destination pays_achat pays_premiere_destination pays_destination_finale
+adresse_entreposage mode_livraison devise montant_ptfn mode_paiement relation_acheteur_vendeur engagement valeur_totale assurance fret valeur_dinars engag_c solde_autres_elements_ptfn cours_conversion_zone
+valeur_fob_dt taux_conversion designation_marchandises poids_brut poids_net numero_article code_sh_ndp code_pays_origine valeur_prise_en_charge code_qcs qcs pfn qualite_fiscale regime_douanier imposition_speciale
+code_titre_ce numero_titre_ce code_regime_precedent code_regime_financier code_regime_transit code_delai code_oci regime valeur_fob douane coefficient_ajustement description_marchandise bureau_frontiere destination
+localisation_export bureau_douane code_bureau designation_bureau code_taxe assiette quotite montant code_gdt montant_liquidation montant_total total totaux itineraire certificat_decharge numero_escale rubrique
+commissaire_douane texte_engagement nom_declarant date_validation cachet num_agrement num_repertoire cle_authentification score_confiance qualite qr_code""".split()
+
+
+def fields_to_long(results: DataFrame, keys: list[str] = EXTRACTED) -> DataFrame:
+    """(id, field_key, value): the keys that results has, trimmed, without blank ones."""
+    there = [k for k in keys if k in results.columns]
+    wide = results.select("id", *[F.trim(F.col(k).cast("string")).alias(k) for k in there])
+    return wide.unpivot("id", there, "field_key", "value").where("value <> ''")
+
+
+def export_target(dossier: Column, declaration: Column, invoice: Column) -> Column:
+    """What a history row exports: the compared dossier before the validated declaration before the validated invoice."""
+    return F.when(dossier, "dossier").when(declaration, "dum").when(invoice, "invoice")
+
+
+def export_gate(kind: Column, status: Column, aligned: Column, admin: Column) -> Column:
+    """A dossier goes only with aligned amounts; its errors need an administrator, and errors and warnings a confirmation of
+    their own; everything else the plain confirmation."""
+    of_dossier = F.when(~aligned, "refused").when((status == "error") & ~admin, "admin_only").when(status == "error", "confirm_critical").when(status == "warning", "confirm_attention").otherwise("confirm")
+    return F.when(kind == "dossier", of_dossier).otherwise("confirm")
+
+
+def export_payloads(invoices: DataFrame, declarations: DataFrame, users: DataFrame, at: str, fields: list[str], kind: str = "dossier") -> DataFrame:
+    """invoices with payload_json: version, kind, reference, exporter (users: user_id, exported_by struct), the declaration's
+    columns, the invoice's `fields` and the outcome of its control. A missing declaration or exporter is null."""
+    snapshot = declarations.select(F.col("id").alias("dum_id"), F.struct(*declarations.columns).alias("dum"))
+    nobody = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in users.schema["exported_by"].dataType.fields])
+    control = F.struct("statut_controle", "ecart_montant", "ecart_commentaire", "montant_declare_dum", "numero_declaration_dum", "date_declaration_dum")
+    payload = F.struct(
+        F.lit("1.0").alias("schema_version"), F.lit(kind).alias("kind"), F.col("numero").alias("reference"), F.lit(at).alias("exported_at"), F.coalesce("exported_by", nobody).alias("exported_by"),
+        "dum", F.struct(*fields).alias("invoice"), control.alias("controle"))
+    return invoices.join(snapshot, "dum_id", "left").join(users, "user_id", "left").withColumn("payload_json", F.to_json(payload, {"ignoreNullFields": "false"}))
+
+
+def migration_log(exports: DataFrame, now: Column, prefix: str) -> DataFrame:
+    """Rows for the log of migrations, which the sink appends: exports (export_id, kind, reference, payload, payload_reference)
+    with success (the payload isn't empty), message, erp_reference and the status that goes back to the export."""
+    full = F.coalesce(F.col("payload") != "", F.lit(False))
+    name = F.coalesce(filled(F.col("reference")), filled(F.col("payload_reference")), F.concat(F.lit("EXP-"), F.col("export_id").cast("string")))
+    reference = F.concat_ws("-", F.lit(prefix), F.upper(F.coalesce("kind", F.lit("dossier"))), F.col("export_id").cast("string"), F.date_format(now, "yyyyMMdd"))
+    message = F.when(full, F.concat(F.lit("Migration ERP simulée réussie ("), name, F.lit(")."))).otherwise("Payload ERP vide.")
+    return exports.withColumns({"success": full, "erp_reference": F.when(full, reference), "message": message, "migrated_at": now, "status": F.when(full, "migration_ok").otherwise("migration_failed")})

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docrecon.operators.core import field_f1, resolved_status
+from docrecon.operators.reports import corrections_per_document, document_stats, non_empty_coverage, row_counts, totals_from_lines
 from docrecon.registry import query
 from docrecon.sources.tables import NOW, WITH, table
 
@@ -11,10 +12,16 @@ resolved AS (SELECT d.*, CASE WHEN ls.status IN ('validated','rejected','in_prog
 """
 
 
-@query("agg1_document_stats", WITH + """SELECT user_id, count(*) AS total, count(*) FILTER (statut IN ('pending','processing','done')) AS pending, count(*) FILTER (statut = 'validated') AS erp_ready FROM v_declarations GROUP BY user_id""")
+@query("agg1_document_stats", WITH + f"""SELECT d.user_id, count(*) AS documents_processed, count(*) FILTER (statut IN ('pending','processing','done')) AS pending_validation, count(*) FILTER (statut = 'validated') AS ready_for_erp, coalesce(max(v.n), 0) AS validated_this_month
+FROM v_declarations d LEFT JOIN (SELECT e.user_id, count(*) AS n FROM v_sessions s JOIN v_declarations e ON e.id = s.document_id WHERE s.status = 'validated' AND s.ended_at >= date_trunc('month', {NOW}) GROUP BY 1) v ON v.user_id IS NOT DISTINCT FROM d.user_id GROUP BY d.user_id""")
 def agg1(spark, d):
-    s = F.col("statut")
-    return table(spark, d, "v_declarations").groupBy("user_id").agg(F.count("*").alias("total"), F.count_if(s.isin("pending", "processing", "done")).alias("pending"), F.count_if(s == "validated").alias("erp_ready"))
+    return document_stats(table(spark, d, "v_declarations"), table(spark, d, "v_sessions"), F.expr(NOW), per_user=True)
+
+
+@query("agg1_document_stats_all", WITH + f"""SELECT count(*) AS documents_processed, count(*) FILTER (statut IN ('pending','processing','done')) AS pending_validation, count(*) FILTER (statut = 'validated') AS ready_for_erp,
+(SELECT count(*) FROM v_sessions s JOIN v_declarations e ON e.id = s.document_id WHERE s.status = 'validated' AND s.ended_at >= date_trunc('month', {NOW})) AS validated_this_month FROM v_declarations""")
+def agg1_all(spark, d):
+    return document_stats(table(spark, d, "v_declarations"), table(spark, d, "v_sessions"), F.expr(NOW))
 
 
 @query("agg2_monthly_indicators", WITH + f""", m AS (SELECT unnest(generate_series(date_trunc('month', {NOW}) - INTERVAL 5 MONTH, date_trunc('month', {NOW}), INTERVAL 1 MONTH)) AS month)
@@ -53,8 +60,8 @@ FIELDS = ["numero", "devise", "montant_ptfn", "nombre_colis", "poids_net", "mode
 STEPS = [("0.58", 11), ("0.62", 17), ("0.68", 13)]
 TRUTH_SQL = ", gt AS (" + " UNION ALL ".join(f"SELECT id AS file, '{f}' AS field, {f} AS value FROM v_declarations" for f in FIELDS) + "), pr AS (" + " UNION ALL ".join(
     f"SELECT '{t}' AS threshold, file, field, CASE WHEN file % {m} = length(field) % {m} THEN NULL WHEN file % {m} = 1 THEN 'x' ELSE value END AS value FROM gt" for t, m in STEPS) + """), f1 AS (
-SELECT threshold, field, tp, fp, fn, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 4) AS f1
-FROM (SELECT threshold, field, count(*) FILTER (t <> '' AND t = p) AS tp, count(*) FILTER (t <> p AND p <> '') AS fp, count(*) FILTER (t <> '' AND t <> p) AS fn
+SELECT threshold, field, tp, fp, fn, documents, round((tp + fp) / documents, 4) AS coverage, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 4) AS "precision", round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 4) AS recall, round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 4) AS f1
+FROM (SELECT threshold, field, count(*) FILTER (t <> '' AND t = p) AS tp, count(*) FILTER (t <> p AND p <> '') AS fp, count(*) FILTER (t <> '' AND t <> p) AS fn, count(*) AS documents
 FROM (SELECT threshold, field, lower(trim(coalesce(gt.value, ''))) AS t, lower(trim(coalesce(pr.value, ''))) AS p FROM gt JOIN pr USING (file, field)) GROUP BY 1, 2)) """
 
 
@@ -80,13 +87,16 @@ CRITICAL = ["numero", "devise", "montant_ptfn"]
 
 def summary(spark, d):
     f = field_f1(truth(spark, d), predictions(spark, d), ["threshold"], [(s,) for s, _ in STEPS])
-    return f.groupBy("threshold").agg(F.round(F.avg("f1"), 4).alias("macro_f1"), F.round(F.avg(F.when(F.col("field").isin(CRITICAL), F.col("f1"))), 4).alias("critical_f1"))
+    f1 = F.col("f1").cast("decimal(10,4)")
+    mean = lambda c, name: F.round(F.avg(c), 4).cast("double").alias(name)
+    return f.groupBy("threshold").agg(mean(f1, "macro_f1"), mean(F.when(F.col("field").isin(CRITICAL), f1), "critical_f1"), F.max("documents").alias("documents"))
 
 
-MACRO_SQL = "SELECT threshold, round(avg(f1), 4) AS macro_f1, round(avg(f1) FILTER (field IN ('numero','devise','montant_ptfn')), 4) AS critical_f1"
+CRITICAL_SQL = "CAST(round(CAST(avg(f1) FILTER (field IN ('numero','devise','montant_ptfn')) AS DECIMAL(18,8)), 4) AS DOUBLE)"
+MACRO_SQL = f"SELECT threshold, CAST(round(CAST(avg(f1) AS DECIMAL(18,8)), 4) AS DOUBLE) AS macro_f1, {CRITICAL_SQL} AS critical_f1, max(documents) AS documents"
 
 
-@query("agg8_macro_critical_f1", WITH + TRUTH_SQL + MACRO_SQL + ", round(avg(f1) FILTER (field IN ('numero','devise','montant_ptfn')), 4) >= 0.8 AS passed FROM f1 GROUP BY 1")
+@query("agg8_macro_critical_f1", WITH + TRUTH_SQL + MACRO_SQL + f", {CRITICAL_SQL} >= 0.8 AS passed FROM f1 GROUP BY 1")
 def agg8(spark, d):
     return summary(spark, d).withColumn("passed", F.col("critical_f1") >= 0.8)
 
@@ -96,19 +106,18 @@ def agg9(spark, d):
     return summary(spark, d).agg(F.max_by("threshold", F.struct("critical_f1", "macro_f1")).alias("best"), F.round(F.stddev_pop("critical_f1"), 6).alias("spread"))
 
 
-@query("agg10_non_empty_coverage", WITH + TRUTH_SQL + "SELECT threshold, field, round(avg(CASE WHEN coalesce(trim(value), '') <> '' THEN 1.0 ELSE 0.0 END), 3) AS coverage, count(*) AS documents FROM pr GROUP BY 1, 2")
+@query("agg10_non_empty_coverage", WITH + TRUTH_SQL + """, p AS (SELECT *, CASE WHEN file % 50 = 7 THEN 'timeout' END AS error FROM pr) SELECT threshold, field, round(avg(CASE WHEN error IS NULL AND coalesce(trim(value), '') <> '' THEN 1.0 ELSE 0.0 END), 3) AS coverage, count(*) AS documents, count(error) AS in_error FROM p GROUP BY 1, 2""")
 def agg10(spark, d):
-    full = F.when(F.coalesce(F.trim("value"), F.lit("")) != "", 1.0).otherwise(0.0)
-    return predictions(spark, d).groupBy("threshold", "field").agg(F.round(F.avg(full), 3).alias("coverage"), F.count("*").alias("documents"))
+    rows = predictions(spark, d).withColumn("error", F.when(F.col("file") % 50 == 7, "timeout"))
+    return non_empty_coverage(rows, ["threshold", "field"])
 
 
-@query("agg13_line_total_fallback", WITH + """SELECT i.id, CASE WHEN coalesce(i.net_pay, 0) < 1000 AND coalesce(l.total, 0) >= 500 THEN l.total ELSE i.net_pay END AS net_pay
-FROM v_invoices i LEFT JOIN (SELECT invoice_id, CAST(sum(CAST(montant_ligne AS DECIMAL(18,2))) FILTER (montant_ligne > 0) AS DOUBLE) AS total FROM v_lines GROUP BY 1) l ON l.invoice_id = i.id""")
+@query("agg13_line_total_fallback", WITH + """SELECT i.id, use, CASE WHEN use THEN l.total ELSE i.net_pay END AS net_pay, CASE WHEN use THEN l.total ELSE i.montant_ttc END AS montant_ttc, CASE WHEN use THEN l.total ELSE i.net_pay END AS montant_brut, CASE WHEN use THEN l.total END AS montant_net, CASE WHEN use THEN greatest(0.72, (i.id % 100) / 100.0) ELSE (i.id % 100) / 100.0 END AS confidence
+FROM v_invoices i LEFT JOIN (SELECT invoice_id, CAST(sum(CAST(montant_ligne AS DECIMAL(18,2))) FILTER (montant_ligne > 0) AS DOUBLE) AS total FROM v_lines GROUP BY 1) l ON l.invoice_id = i.id, LATERAL (SELECT coalesce(i.net_pay, 0) < 30000 AND coalesce(l.total, 0) >= 500 AS use) u""")
 def agg13(spark, d):
-    total = table(spark, d, "v_lines").where("montant_ligne > 0").groupBy(F.col("invoice_id").alias("id")).agg(F.sum(F.col("montant_ligne").cast("decimal(18,2)")).cast("double").alias("total"))
-    j = table(spark, d, "v_invoices").join(total, "id", "left")
-    use = (F.coalesce("net_pay", F.lit(0.0)) < 1000) & (F.coalesce("total", F.lit(0.0)) >= 500)
-    return j.select("id", F.when(use, F.col("total")).otherwise(F.col("net_pay")).alias("net_pay"))
+    invoices = table(spark, d, "v_invoices").withColumns({"montant_brut": F.col("net_pay"), "montant_net": F.lit(None).cast("double"), "confidence": F.col("id") % 100 / 100})
+    out = totals_from_lines(invoices, table(spark, d, "v_lines"), least=30000.0)
+    return out.select("id", F.col("totals_from_lines").alias("use"), "net_pay", "montant_ttc", "montant_brut", "montant_net", "confidence")
 
 
 @query("agg16_page_word_stats", "SELECT source, count(*) AS pages, sum(len(regexp_extract_all(text, '[A-Za-z0-9_]+')))::BIGINT AS words, sum(length(text))::BIGINT AS chars, round(avg(len(regexp_extract_all(text, '[A-Za-z0-9_]+'))), 1) AS mean_words FROM documents GROUP BY source")
@@ -117,12 +126,12 @@ def agg16(spark, d):
     return table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("pages"), F.sum(n).alias("words"), F.sum(F.length("text")).alias("chars"), F.round(F.avg(n), 1).alias("mean_words"))
 
 
-@query("agg18_corrections_per_document", WITH + "SELECT s.document_id, count(*) AS corrections FROM v_corrections c JOIN v_sessions s ON s.id = c.session_id GROUP BY 1")
+@query("agg18_corrections_per_document", WITH + """SELECT s.document_id, count(*) AS corrections, concat(CAST(count(*) AS STRING), ' correction', CASE WHEN count(*) > 1 THEN 's' ELSE '' END, coalesce(' · ' || arg_max(u.username, struct_pack(a := c.changed_at, i := c.id)), '')) AS hint
+FROM v_corrections c JOIN v_sessions s ON s.id = c.session_id LEFT JOIN v_users u ON u.id = s.validator_id GROUP BY 1""")
 def agg18(spark, d):
-    s = table(spark, d, "v_sessions").select(F.col("id").alias("session_id"), "document_id")
-    return table(spark, d, "v_corrections").join(s, "session_id").groupBy("document_id").agg(F.count("*").alias("corrections"))
+    return corrections_per_document(table(spark, d, "v_corrections"), table(spark, d, "v_sessions"), table(spark, d, "v_users"))
 
 
-@query("agg17_row_counts", WITH + "SELECT id, numero FROM v_invoices ORDER BY id DESC LIMIT 10")
+@query("agg17_row_counts", WITH + " UNION ALL ".join(f"SELECT '{t}' AS source, 'rows' AS what, count(*) AS value FROM {t} UNION ALL (SELECT '{t}', 'id', id FROM {t} ORDER BY id DESC LIMIT 10)" for t in ("v_invoices", "v_declarations", "v_users")))
 def agg17(spark, d):
-    return table(spark, d, "v_invoices").select("id", "numero").orderBy(F.desc("id")).limit(10)
+    return row_counts({t: table(spark, d, t) for t in ("v_invoices", "v_declarations", "v_users")})

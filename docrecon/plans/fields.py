@@ -100,9 +100,17 @@ def scl6(spark, d):
     return orders(spark, d, f"CASE WHEN {K} % 5 = 0 THEN '30/02/2020' ELSE {DAY.format('/')} END AS c").select("id", S.normalize_date(F.col("c")).alias("date"))
 
 
-@query("scl7_fix_year_typo", f"SELECT {K} AS id, concat('01-02-20', lpad(CAST({K} % 100 AS STRING), 2, '0')) AS date FROM orders")
+@query("scl7_fix_year_typo", f"SELECT {K} AS id, CASE {K} % 4 WHEN 0 THEN {DAY.format('-')} WHEN 2 THEN concat('31-02-30', lpad(CAST({K} % 100 AS STRING), 2, '0')) ELSE 'le 01/02/3024' END AS date FROM orders WHERE NOT ({K} % 4 = 1)")
 def scl7(spark, d):
-    return orders(spark, d, f"concat('01-02-30', lpad(CAST({K} % 100 AS STRING), 2, '0')) AS c").select("id", S.fix_year_typo(F.col("c")).alias("date"))
+    # Right dates with slashes, years 3000 to 3099 of dates that are none, and other text.
+    df = orders(spark, d, f"CASE {K} % 4 WHEN 0 THEN {DAY.format('/')} WHEN 2 THEN concat('31.02.30', lpad(CAST({K} % 100 AS STRING), 2, '0')) ELSE 'le 01/02/3024' END AS c").where("id % 4 <> 1")
+    return df.select("id", S.fix_year_typo(F.col("c")).alias("date"))
+
+
+@query("scl7_fix_year_typo_right", f"SELECT {K} AS id, concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-20', lpad(CAST({K} % 100 AS STRING), 2, '0')) AS date FROM orders WHERE day(o_orderdate) < 29")
+def scl7_right(spark, d):
+    df = orders(spark, d, f"concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), CASE WHEN {K} % 2 = 0 THEN '/' ELSE '-' END, lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '.30', lpad(CAST({K} % 100 AS STRING), 2, '0')) AS c, day(o_orderdate) AS day").where("day < 29")
+    return df.select("id", S.fix_year_typo(F.col("c")).alias("date"))
 
 
 @query("scl9_normalize_ocr_noise", f"SELECT {K} AS id, concat('DECLARATION ', CAST({K} AS STRING), ' USD', chr(10), chr(10), 'POIDS USA') AS text FROM orders")

@@ -14,9 +14,9 @@ def scl1(spark, d):
     return table(spark, d, "v_declarations").select("id", parse_amount(c).alias("amount"), parse_int_amount(c).alias("whole"), amount_eu(c).alias("eu"))
 
 
-@query("scl8_fold_text", "SELECT doc_id, translate(upper(replace(substring(text, 1, 200), 'ß', 'ss')), 'ÀÂÄÁÃÇÉÈÊËÎÏÍÔÖÓÕÙÛÜÚÑ', 'AAAAACEEEEIIIOOOOUUUUN') AS folded FROM documents WHERE lang <> 'de'")
+@query("scl8_fold_text", "SELECT doc_id, upper(strip_accents(replace(text, 'ß', 'ss'))) AS folded FROM documents")
 def scl8(spark, d):
-    return table(spark, d, "documents").where("lang <> 'de'").select("doc_id", fold_text(F.substring("text", 1, 200)).alias("folded"))
+    return table(spark, d, "documents").select("doc_id", fold_text(F.col("text")).alias("folded"))
 
 
 @query("scl14_name_similarity", "SELECT p_partkey, CASE WHEN length(p_type) >= 4 AND list_contains(list_filter(string_split(upper(p_name), ' '), lambda t: length(t) >= 4), p_type) THEN 1.0 / len(list_distinct(list_filter(string_split(upper(p_name), ' '), lambda t: length(t) >= 4))) ELSE 0.0 END AS similarity FROM part")

@@ -68,8 +68,8 @@ def val6(spark, d):
 @query("rec7_comparison_table", WITH + REC + """, c AS (SELECT * FROM rec)
 SELECT id, 'montant_net_pay_vs_pfn' AS code, 1 AS position, CASE WHEN usable AND status <> 'error' AND NOT off THEN 'ok' WHEN usable AND off AND severe THEN 'error' ELSE 'warning' END AS tone FROM c
 UNION ALL SELECT id, 'currency_mismatch', 2, CASE WHEN cur THEN 'warning' ELSE 'ok' END FROM c
-UNION ALL SELECT id, 'packages_mismatch', 3, CASE WHEN usable AND pk THEN 'warning' WHEN nombre_colis IS NULL OR dum_colis IS NULL THEN 'neutral' WHEN nombre_colis = dum_colis THEN 'ok' ELSE 'warning' END FROM c
-UNION ALL SELECT id, 'weight_mismatch', 4, CASE WHEN usable AND wt THEN 'warning' WHEN poids_net IS NULL OR dum_poids IS NULL THEN 'neutral' WHEN abs(poids_net - dum_poids) < 0.01 THEN 'ok' ELSE 'warning' END FROM c
+UNION ALL SELECT id, 'colis_mismatch', 3, CASE WHEN usable AND pk THEN 'warning' WHEN nombre_colis IS NULL OR dum_colis IS NULL THEN 'neutral' WHEN nombre_colis = dum_colis THEN 'ok' ELSE 'warning' END FROM c
+UNION ALL SELECT id, 'poids_net_mismatch', 4, CASE WHEN usable AND wt THEN 'warning' WHEN poids_net IS NULL OR dum_poids IS NULL THEN 'neutral' WHEN abs(poids_net - dum_poids) < 0.01 THEN 'ok' ELSE 'warning' END FROM c
 UNION ALL SELECT id, 'incoterm_mismatch', 5, CASE WHEN usable AND md THEN 'warning' WHEN mode_livraison IS NULL OR dum_mode IS NULL THEN 'neutral' WHEN mode_livraison = dum_mode THEN 'ok' ELSE 'warning' END FROM c
 UNION ALL SELECT id, 'declaration_number', 6, CASE WHEN dum_numero IS NULL THEN 'neutral' ELSE 'ok' END FROM c
 UNION ALL SELECT id, 'declaration_date', 7, CASE WHEN dum_id IS NULL THEN 'neutral' ELSE 'ok' END FROM c

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 NOW = "TIMESTAMP '2024-02-15 00:00:00'"
 
+DAY = "concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', CAST(year(o_orderdate) AS STRING))"
+
 #: name: (source table, SELECT list)
 VIEWS = {
     "v_users": ("customer", [
@@ -17,11 +19,12 @@ VIEWS = {
         "o_orderkey AS id", "CASE WHEN o_orderkey % 20 = 0 THEN NULL ELSE o_custkey END AS user_id",
         "CASE WHEN o_orderkey % 23 = 0 THEN 'rejected' WHEN o_orderkey % 29 = 0 THEN 'pending' WHEN o_orderstatus = 'F' THEN 'validated' WHEN o_orderstatus = 'O' THEN 'done' ELSE 'processing' END AS statut",
         "lpad(CAST(o_orderkey AS STRING), 6, '0') AS numero", "CASE WHEN o_orderkey % 31 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN 'EUR' WHEN o_orderkey % 3 = 1 THEN 'USD' ELSE 'TND' END AS devise",
-        "CASE WHEN o_orderkey % 5 = 0 THEN replace(CAST(CAST(o_totalprice AS DECIMAL(18,3)) AS STRING), '.', ',') ELSE CAST(CAST(o_totalprice AS DECIMAL(18,3)) AS STRING) END AS montant_ptfn",
+        "CASE WHEN o_orderkey % 43 = 0 THEN NULL WHEN o_orderkey % 5 = 0 THEN replace(CAST(CAST(o_totalprice AS DECIMAL(18,3)) AS STRING), '.', ',') ELSE CAST(CAST(o_totalprice AS DECIMAL(18,3)) AS STRING) END AS montant_ptfn",
         "CAST(o_orderkey % 40 + 1 AS STRING) AS nombre_colis", "CAST(o_orderkey % 900 + 20 AS STRING) AS poids_brut",
         "CAST(CASE WHEN o_orderkey % 37 = 0 THEN o_orderkey % 900 + 30 ELSE o_orderkey % 900 + 20 - o_orderkey % 15 END AS STRING) AS poids_net",
         "CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'FOB' WHEN '2' THEN 'CIF' WHEN '3' THEN 'DAP' WHEN '4' THEN 'EXW' ELSE 'CFR' END AS mode_livraison",
-        "o_orderdate + INTERVAL '23' YEAR AS created_at"]),
+        "o_orderdate + INTERVAL '23' YEAR AS created_at", f"CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE {DAY} END AS date_declaration", "concat('dum_', CAST(o_orderkey AS STRING), '.pdf') AS fichier",
+        "CAST(o_orderkey % 101 AS INT) AS score_confiance", "CAST(o_orderkey % 3 AS STRING) AS nbre_articles"]),
     "v_invoices": ("orders", [
         "o_orderkey AS id", "concat('FA', lpad(CAST(o_orderkey AS STRING), 7, '0')) AS numero", "CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_custkey END AS user_id",
         "CASE WHEN o_orderkey % 41 = 0 THEN NULL ELSE o_totalprice + CASE o_orderkey % 5 WHEN 1 THEN 0.005 WHEN 2 THEN 0.5 WHEN 3 THEN -0.05 WHEN 4 THEN 25.0 ELSE 0.0 END END AS net_pay",
@@ -31,7 +34,10 @@ VIEWS = {
         "CAST(o_orderkey % 40 + 1 + CASE WHEN o_orderkey % 13 = 0 THEN 1 ELSE 0 END AS INT) AS nombre_colis",
         "CAST(o_orderkey % 900 + 20 - o_orderkey % 15 + CASE WHEN o_orderkey % 19 = 0 THEN 1 ELSE 0 END AS DOUBLE) AS poids_net",
         "CASE WHEN o_orderkey % 21 = 0 THEN 'FCA' ELSE CASE substring(o_orderpriority, 1, 1) WHEN '1' THEN 'FOB' WHEN '2' THEN 'CIF' WHEN '3' THEN 'DAP' WHEN '4' THEN 'EXW' ELSE 'CFR' END END AS mode_livraison",
-        "o_orderdate + INTERVAL '23' YEAR + INTERVAL '1' DAY AS created_at"]),
+        "o_orderdate + INTERVAL '23' YEAR + INTERVAL '1' DAY AS created_at", f"CASE WHEN o_orderkey % 7 = 0 THEN NULL ELSE {DAY} END AS date_facture", "concat('fac_', CAST(o_orderkey AS STRING), '.pdf') AS fichier",
+        "CASE WHEN o_orderkey % 9 <> 0 THEN lpad(CAST(o_orderkey AS STRING), 6, '0') END AS numero_declaration_dum", f"CASE WHEN o_orderkey % 9 <> 0 THEN {DAY} END AS date_declaration_dum", "CASE WHEN o_orderkey % 9 <> 0 THEN o_totalprice END AS montant_declare_dum",
+        "CASE WHEN o_orderkey % 18 > 9 THEN 'USD' END AS devise_declaree_dum", "CASE WHEN o_orderkey % 41 = 0 THEN CAST(0.004 AS DOUBLE) WHEN o_orderkey % 4 = 2 THEN CAST(0.5 AS DOUBLE) END AS ecart_montant", "CASE WHEN o_orderkey % 4 = 2 THEN 'à revoir' END AS ecart_commentaire",
+        "CASE o_orderkey % 4 WHEN 1 THEN 'ok' WHEN 2 THEN 'warning' WHEN 3 THEN 'error' END AS statut_controle", "CASE WHEN o_orderkey % 4 <> 0 THEN o_orderdate + INTERVAL '23' YEAR + INTERVAL '2' DAY END AS compared_at", "CASE WHEN o_orderkey % 4 = 2 THEN '[]' END AS controle_anomalies_json"]),
     "v_lines": ("lineitem", ["l_orderkey AS invoice_id", "l_linenumber AS line_order", "l_quantity AS quantite", "l_extendedprice AS montant_ligne"]),
     "v_traces": ("lineitem", [
         "l_orderkey AS document_id", "l_shipdate AS uploaded_at", "l_partkey * 100000 + l_suppkey * 100 + l_linenumber AS id",
