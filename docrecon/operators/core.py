@@ -18,6 +18,20 @@ def visible(df: DataFrame, user: int, admin: bool = False, ownerless: bool = Fal
     return df if admin else df.where(own | F.col("user_id").isNull() if ownerless else own)
 
 
+# Characters of text that are kept, of a declaration and of an invoice.
+RAW_TEXT, INVOICE_TEXT = 5000, 120_000
+
+
+def clamp(df: DataFrame, lengths: dict[str, int]) -> DataFrame:
+    """df with its string columns cut to their declared lengths; columns that aren't there are passed over."""
+    return df.withColumns({c: F.substring(c, 1, n) for c, n in lengths.items() if c in df.columns})
+
+
+def known_columns(results: DataFrame, columns: list[str], ignored: tuple[str, ...] = ("taxes", "articles", "flags_validation", "storage", "erreur")) -> DataFrame:
+    """Of results only what are columns of the wide table, but for the ignored ones."""
+    return results.select(*[c for c in columns if c in results.columns and c not in ignored])
+
+
 def latest_sessions(sessions: DataFrame) -> DataFrame:
     return latest(sessions, ["document_id"], [F.coalesce("ended_at", "started_at").desc_nulls_last(), F.col("id")])
 

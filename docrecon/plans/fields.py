@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docrecon.functions import scalars as S
+from docrecon.operators.core import known_columns
 from docrecon.operators.extraction import bounded, country_label, party_score
 from docrecon.operators.quality import fields_to_correct
 from docrecon.registry import query
@@ -23,9 +24,8 @@ def flt5(spark, d):
 
 @query("flt10_project_known_columns", WITH + "SELECT id, numero, devise FROM v_declarations")
 def flt10(spark, d):
-    declared, ignored = ["id", "numero", "devise", "statut", "not_there"], ["statut"]
-    df = table(spark, d, "v_declarations")
-    return df.select(*[c for c in declared if c in df.columns and c not in ignored])
+    results = table(spark, d, "v_declarations").withColumns({"taxes": F.lit(1), "erreur": F.lit("x"), "storage": F.lit("s")})
+    return known_columns(results, ["id", "numero", "devise", "taxes", "erreur", "storage", "not_there"])
 
 
 FIELDS = f"'header' AS section, concat('k', CAST({K} % 3 AS STRING)) AS field_key, CASE WHEN {K} % 4 = 0 THEN ' ' WHEN {K} % 4 = 1 THEN 'b' ELSE 'a' END AS value, 'a' AS ocr_value, CAST({K} % 100 AS INT) AS confidence, {K} % 50 = 0 AS has_error, {K} - {K} % 16 AS doc"

@@ -3,10 +3,12 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docrecon.functions.scalars import dum_validated, invoice_validated, path_segment
-from docrecon.operators.core import latest, latest_sessions, visible
+from docrecon.functions.scalars import dum_validated, invoice_validated
+from docrecon.operators.core import INVOICE_TEXT, RAW_TEXT, clamp, latest, latest_sessions, visible
+from docrecon.operators.history import heavy_pages, line_contexts, long_contexts, page, recent_activity
+from docrecon.plans.joins import HISTORY, owned
 from docrecon.registry import query
-from docrecon.sources.tables import NOW, WITH, table
+from docrecon.sources.tables import WITH, archive_path, table
 
 
 @query("flt1_visible_documents", WITH + "SELECT id, user_id, statut FROM v_declarations WHERE user_id = 7")
@@ -36,21 +38,20 @@ def flt6(spark, d):
     return table(spark, d, "v_users").where("not is_approved").select("id", "username", "email").orderBy("id")
 
 
-@query("flt7_history_filter", WITH + f"SELECT id, numero, created_at FROM v_declarations WHERE statut IN ('processing', 'pending') AND created_at >= {NOW} - INTERVAL '180' DAY AND contains(lower(numero), '1')")
-def flt7(spark, d):
-    return table(spark, d, "v_declarations").where(F.col("statut").isin("processing", "pending") & (F.col("created_at") >= F.expr(f"{NOW} - INTERVAL '180' DAY")) & F.lower("numero").contains("1")).select("id", "numero", "created_at")
-
-
 @query("flt8_validated_predicates", WITH + "SELECT i.id, lower(trim(d.statut)) IN ('validated','valide') AS dum_ok, lower(trim(i.statut)) IN ('valide','controle_croise','controle_ok','controle_warning','controle_ecart') AS invoice_ok FROM v_invoices i JOIN v_declarations d ON d.id = i.dum_id")
 def flt8(spark, d):
     dums = table(spark, d, "v_declarations").select(F.col("id").alias("dum_id"), dum_validated(F.col("statut")).alias("dum_ok"))
     return table(spark, d, "v_invoices").join(dums, "dum_id").select("id", "dum_ok", invoice_validated(F.col("statut")).alias("invoice_ok"))
 
 
-@query("flt9_clamp_strings", "SELECT doc_id, substring(text, 1, 5000) AS raw_text, substring(source, 1, 3) AS source FROM documents")
+@query("flt9_clamp_strings", "SELECT doc_id, substring(text, 1, 5000) AS raw_text, substring(source, 1, 4) AS source, lang, n_chars FROM documents")
 def flt9(spark, d):
-    sizes = {"raw_text": 5000, "source": 3}
-    return table(spark, d, "documents").withColumnRenamed("text", "raw_text").select("doc_id", *[F.substring(c, 1, n).alias(c) for c, n in sizes.items()])
+    return clamp(table(spark, d, "documents").withColumnRenamed("text", "raw_text"), {"raw_text": RAW_TEXT, "source": 4, "not_there": 9})
+
+
+@query("flt9_clamp_invoice_text", "SELECT doc_id, substring(text, 1, 120000) AS text, length(substring(text, 1, 120000)) AS n FROM documents")
+def flt9_invoices(spark, d):
+    return clamp(table(spark, d, "documents").select("doc_id", "text"), {"text": INVOICE_TEXT}).withColumn("n", F.length("text").cast("long"))
 
 
 @query("win1_latest_session", WITH + "SELECT id, document_id, status FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(ended_at, started_at) DESC, id) AS n FROM v_sessions) WHERE n = 1")
@@ -77,28 +78,46 @@ def win10(spark, d):
     return table(spark, d, "v_logins").where("failed").select("id", F.count("*").over(w).alias("n"))
 
 
-@query("win11_history_paging", WITH + "SELECT id, created_at FROM v_declarations ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 100")
+@query("win11_history_paging", WITH + "SELECT id, created_at, (SELECT count(*) FROM v_declarations) AS total FROM v_declarations ORDER BY created_at DESC, id DESC LIMIT 200 OFFSET 100")
 def win11(spark, d):
-    return table(spark, d, "v_declarations").select("id", "created_at").orderBy(F.desc("created_at"), F.desc("id")).offset(100).limit(50)
+    rows, total = page(table(spark, d, "v_declarations").select("id", "created_at"), [F.desc("created_at"), F.desc("id")], 100, 500)
+    return rows.withColumn("total", F.lit(total).cast("long"))
 
 
-@query("srt1_recent_activity", WITH + "SELECT id, coalesce(nullif(trim(numero), ''), concat('Document #', CAST(id AS STRING))) AS label, created_at FROM v_declarations ORDER BY created_at DESC, id DESC LIMIT 20")
+@query("srt1_recent_activity", HISTORY + "SELECT document_id, document, date, status, tone, owner FROM hist ORDER BY created_at DESC, document_id DESC LIMIT 20")
 def srt1(spark, d):
-    top = table(spark, d, "v_declarations").orderBy(F.desc("created_at"), F.desc("id")).limit(20)
-    return top.select("id", F.coalesce(F.nullif(F.trim("numero"), F.lit("")), F.concat(F.lit("Document #"), F.col("id").cast("string"))).alias("label"), "created_at")
+    return recent_activity(table(spark, d, "v_declarations"), table(spark, d, "v_sessions"), table(spark, d, "v_users"), 50)
 
 
-@query("srt3_invoice_summaries", WITH + "SELECT i.id, i.numero, u.username FROM (SELECT * FROM v_invoices ORDER BY created_at DESC, id DESC LIMIT 100) i LEFT JOIN v_users u ON u.id = i.user_id")
+@query("srt3_invoice_summaries", HISTORY + "SELECT id, numero, owner FROM owned ORDER BY created_at DESC, id DESC LIMIT 100")
 def srt3(spark, d):
-    users = table(spark, d, "v_users").select(F.col("id").alias("user_id"), "username")
-    return table(spark, d, "v_invoices").orderBy(F.desc("created_at"), F.desc("id")).limit(100).join(users, "user_id", "left").select("id", "numero", "username")
+    top, _ = page(table(spark, d, "v_invoices"), [F.desc("created_at"), F.desc("id")], 0, 100)
+    return owned(spark, d, top).select("id", "numero", "owner")
+
 
+WORDS = r"[\p{L}\p{N}_]+"
+KINDS = {"diagram": r"(?i)\bcopyright\b", "figure": r"(?i)licen[cs]e"}
+CONTEXTS = f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), f AS (SELECT doc_id, trim(regexp_replace(line, '\\s+', ' ', 'g')) AS line, pos FROM l), g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM f WHERE line <> ''),
+c AS (SELECT doc_id, n, line, coalesce(string_agg(line, ' ') OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING), '') AS before FROM g),
+ctx AS (SELECT doc_id, n, substring(line, 1, 220) AS line, CASE WHEN regexp_matches(line, '(?i)\\bcopyright\\b') THEN 'diagram' ELSE 'figure' END AS kind, len(regexp_extract_all(before, '{WORDS}')) AS before_words, right(before, 450) AS before_excerpt FROM c WHERE regexp_matches(line, '(?i)\\bcopyright\\b|licen[cs]e')) """
 
-@query("srt5_heavy_pages", "SELECT doc_id, CAST(len(regexp_extract_all(text, '[A-Za-z0-9_]+')) AS BIGINT) AS words FROM documents ORDER BY words DESC, doc_id LIMIT 20")
+
+@query("win8_line_context", CONTEXTS + "SELECT * FROM ctx")
+def win8(spark, d):
+    return line_contexts(table(spark, d, "documents"), KINDS)
+
+
+@query("srt5_heavy_pages", f"SELECT doc_id, CAST(len(regexp_extract_all(text, '{WORDS}')) AS BIGINT) AS words FROM documents ORDER BY words DESC, doc_id LIMIT 20")
 def srt5(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_count("text", F.lit("[A-Za-z0-9_]+")).cast("long").alias("words")).orderBy(F.desc("words"), "doc_id").limit(20)
+    return heavy_pages(table(spark, d, "documents"))
+
+
+@query("srt5_long_contexts", CONTEXTS + "SELECT * FROM ctx WHERE before_words >= 45 ORDER BY before_words DESC, doc_id, n LIMIT 80")
+def srt5_contexts(spark, d):
+    return long_contexts(line_contexts(table(spark, d, "documents"), KINDS))
 
 
-@query("src8_archive_layout", WITH + """SELECT t.id, t.document_id, concat_ws('/', 'archive', coalesce(nullif(regexp_replace(regexp_replace(username, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'inconnu'), strftime(uploaded_at, '%Y/%m/%d/%H%M%S')) AS path FROM v_traces t""")
+@query("src8_archive_layout", WITH + """SELECT t.id, t.document_id, concat_ws('/', 'archive', CASE WHEN id % 2 = 0 THEN 'factures' END, coalesce(nullif(regexp_replace(regexp_replace(username, '[^A-Za-z0-9._-]+', '_', 'g'), '^[._-]+|[._-]+$', '', 'g'), ''), 'inconnu'), strftime(uploaded_at, '%Y/%m/%d'), concat(strftime(uploaded_at, '%H%M%S'), '_', 'a_', CAST(id AS STRING), '.pdf')) AS path FROM v_traces t""")
 def src8(spark, d):
-    return table(spark, d, "v_traces").select("id", "document_id", F.concat_ws("/", F.lit("archive"), path_segment(F.col("username"), "inconnu"), F.date_format("uploaded_at", "yyyy/MM/dd/HHmmss")).alias("path"))
+    name = F.concat(F.lit("..a / "), F.col("id").cast("string"), F.lit(".pdf"))
+    return table(spark, d, "v_traces").select("id", "document_id", archive_path("archive", F.col("username"), F.col("uploaded_at"), name, F.col("id") % 2 == 0).alias("path"))

@@ -1,6 +1,5 @@
 """Scalar rules and extraction over text columns."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docrecon.functions.scalars import amount_eu, fold_text, name_similarity, parse_amount, parse_int_amount
@@ -24,17 +23,6 @@ def scl14(spark, d):
     return table(spark, d, "part").select("p_partkey", name_similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))
 
 
-@query("win8_line_context", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents), f AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS n FROM l WHERE trim(line) <> ''),
-c AS (SELECT doc_id, n, line, string_agg(line, ' ') OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS before FROM f)
-SELECT doc_id, n, length(coalesce(before, '')) AS before_chars, right(coalesce(before, ''), 450) AS context FROM c WHERE contains(lower(line), 'licen')""")
-def win8(spark, d):
-    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).where("trim(line) <> ''")
-    w = Window.partitionBy("doc_id").orderBy("at")
-    seen = F.array_join(F.collect_list("line").over(w.rowsBetween(-8, -1)), " ")
-    c = lines.select("doc_id", F.row_number().over(w).cast("long").alias("n"), "line", seen.alias("before")).where(F.lower("line").contains("licen"))
-    return c.select("doc_id", "n", F.length("before").cast("long").alias("before_chars"), F.right("before", F.lit(450)).alias("context"))
-
-
 @query("ext11_anchor_numeric", "SELECT doc_id, regexp_extract(text, '[Vv]ersion[^0-9]{0,120}([0-9]{1,3})', 1) AS version FROM documents")
 def ext11(spark, d):
     return table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "[Vv]ersion[^0-9]{0,120}([0-9]{1,3})", 1).alias("version"))

@@ -3,9 +3,11 @@ so the checks' SQL reads the same rows."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docrecon.functions.scalars import path_segment
+
 NOW = "TIMESTAMP '2024-02-15 00:00:00'"
 
 DAY = "concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '-', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '-', CAST(year(o_orderdate) AS STRING))"
@@ -47,7 +49,11 @@ VIEWS = {
         "ts AS started_at", "CASE WHEN event_type = 'view' THEN NULL ELSE ts + INTERVAL '1' HOUR END AS ended_at"]),
     "v_corrections": ("events", [
         "event_id AS id", "event_id AS session_id", "CASE WHEN event_id % 50 = 0 THEN NULL ELSE concat('field_', CAST(event_id % 8 AS STRING)) END AS field_key", "CAST(CAST(value AS DECIMAL(18,2)) AS STRING) AS new_value",
-        "CASE event_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS action_type", "ts AS changed_at"]),
+        "CASE event_id % 3 WHEN 0 THEN 'add' WHEN 1 THEN 'update' ELSE 'delete' END AS action_type", "ts AS changed_at",
+        "CASE WHEN event_id % 50 = 0 THEN NULL ELSE event_id % 300 + 1 END AS extracted_field_id", "CASE WHEN event_id % 3 = 0 THEN NULL ELSE 'old' END AS old_value", "user_id AS changed_by"]),
+    "v_fields": ("part", ["p_partkey AS id", "concat('field_', CAST(p_partkey % 8 AS STRING)) AS field_key", "p_name AS value"]),
+    "v_articles": ("lineitem", ["l_orderkey AS document_id", "l_linenumber AS place", "l_linenumber % 3 + 1 AS num_ligne", "concat('620', CAST(l_suppkey % 2 AS STRING)) AS code_hs", "l_quantity AS quantite", "CAST(floor(l_extendedprice) AS BIGINT) % 2 AS total_ligne"]),
+    "v_taxes": ("lineitem", ["l_orderkey AS document_id", "l_linenumber AS id", "concat('T', CAST(l_linenumber AS STRING)) AS code", "l_tax AS quotite"]),
     "v_logins": ("events", ["event_id AS id", "concat('10.0.0.', CAST(user_id % 20 AS STRING)) AS ip", "concat('user', CAST(user_id AS STRING), '@example.com') AS email", "event_type = 'error' AS failed", "ts AS at"]),
 }
 WITH = "WITH " + ", ".join(f"{name} AS (SELECT {', '.join(columns)} FROM {source})" for name, (source, columns) in VIEWS.items()) + " "
@@ -61,6 +67,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def archive_path(root: str, uploader: Column, at: Column, file: Column, invoice: Column) -> Column:
+    """root[/factures]/uploader/yyyy/MM/dd/HHmmss_file, with segments of plain characters."""
+    named = F.concat(F.date_format(at, "HHmmss"), F.lit("_"), path_segment(file, "document"))
+    return F.concat_ws("/", F.lit(root), F.when(invoice, "factures"), path_segment(uploader, "inconnu"), F.date_format(at, "yyyy/MM/dd"), named)
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, low: int, high: int, parts: int) -> DataFrame:
     """A table of a relational database, read in ranges of its id."""
     return spark.read.jdbc(url, name, column="id", lowerBound=low, upperBound=high, numPartitions=parts)
@@ -70,7 +82,7 @@ def list_input_files(spark: SparkSession, folder: str, named: DataFrame | None =
     """Documents of a folder by the known extensions; with `named` (column file) only those in it."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "length", F.element_at(F.split("path", "/"), -1).alias("file"))
     files = files.where(F.lower("file").rlike(r"\.(png|jpe?g|tiff?|pdf)$"))
-    return files.join(named.select("file"), "file", "left_semi") if named is not None else files
+    return (files.join(named.select("file"), "file", "left_semi") if named is not None else files).orderBy("path")
 
 
 def read_predictions(spark: SparkSession, path: str, part: str = "result") -> DataFrame:
@@ -80,9 +92,42 @@ def read_predictions(spark: SparkSession, path: str, part: str = "result") -> Da
     return rows.select("file", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(part)[f].cast("string").alias("value")) for f in fields])).alias("x")).select("file", "x.field", "x.value")
 
 
-def write_history_csv(df: DataFrame, path: str) -> None:
-    df.write.csv(path, sep=";", quoteAll=True, escape='"', header=True, mode="overwrite")
+def _csv_line(columns: list[Column]) -> Column:
+    cells = [F.concat(F.lit('"'), F.replace(F.coalesce(c, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in columns]
+    return F.concat_ws(";", *cells)
+
+
+BOM = "\ufeff"
+
+
+def csv_text(lines: DataFrame, headings: list[str], order: list[str]) -> DataFrame:
+    """(value): the lines of a CSV file as text, in order: a byte order mark and the plain headings, then quoted cells."""
+    sorted_lines = lines.orderBy(*order).select(_csv_line([F.col(f"`{h}`") for h in headings]).alias("value"))
+    head = lines.sparkSession.createDataFrame([(BOM + ";".join(headings),)], "value string")
+    return head.union(sorted_lines)
+
+
+def write_history_csv(lines: DataFrame, path: str, headings: list[str], order: list[str]) -> None:
+    """History lines as CSV files; the first of them begins with the byte order mark and the headings, each next one goes on."""
+    csv_text(lines, headings, order).write.mode("overwrite").text(path)
+
+
+def report_lines(reports: DataFrame, rows: DataFrame, source: str, generated: Column) -> DataFrame:
+    """(invoice_id, position, line): for each report (invoice_id, dum_id, numero_dum, numero_facture, pfn, net_pay, gap_abs, aligned,
+    control, comment, compared_at) 14 lines about it, an empty line, the headings and its rows (invoice_id, place, category,
+    dum_value, invoice_value, gap, tone)."""
+    dash = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("—"))
+    meta = [
+        ("Généré le", F.date_format(generated, "dd/MM/yyyy HH:mm:ss")), ("Source", F.lit(source or "—")), ("ID DUM", dash("dum_id")), ("ID Facture", dash("invoice_id")), ("N° déclaration DUM", dash("numero_dum")), ("N° facture", dash("numero_facture")),
+        ("PFN DUM", dash("pfn")), ("NET PAY facture", dash("net_pay")), ("Écart montant (abs.)", dash("gap_abs")), ("Montants alignés", F.when(F.col("aligned"), "Oui").otherwise("Non")), ("Statut contrôle", dash("control")), ("Commentaire", dash("comment")),
+        ("Date comparaison", F.coalesce(F.date_format("compared_at", "dd/MM/yyyy HH:mm:ss"), F.lit("—")))]
+    lines = [_csv_line([F.lit("Rapport de vérification croisée DUM — Facture")]), *[_csv_line([F.lit(name), value]) for name, value in meta], F.lit(""), _csv_line([F.lit(h) for h in ("Catégorie", "Valeur DUM", "Valeur facture", "Écart", "Statut ligne")])]
+    head = reports.select("invoice_id", F.posexplode(F.array(*lines)).alias("position", "line"))
+    body = rows.select("invoice_id", (F.lit(len(lines) - 1) + F.col("place")).cast("int").alias("position"), _csv_line([F.col(c) for c in ("category", "dum_value", "invoice_value", "gap", "tone")]).alias("line"))
+    return head.unionByName(body)
 
 
-def write_reports(df: DataFrame, path: str) -> None:
-    df.write.partitionBy("invoice_id").csv(path, sep=";", quoteAll=True, escape='"', header=True, mode="overwrite")
+def write_reports(lines: DataFrame, path: str) -> None:
+    """Report lines as text, whole reports one after the other in files of about equal size; no folder for each report."""
+    ordered = lines.repartitionByRange("invoice_id").sortWithinPartitions("invoice_id", "position")
+    ordered.select(F.concat(F.when(F.col("position") == 0, BOM).otherwise(""), "line").alias("value")).write.mode("overwrite").text(path)
