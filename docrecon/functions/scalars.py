@@ -78,7 +78,8 @@ def fold_text(c) -> Column:
     apart = c
     for letter, plain in SEVERAL.items():
         apart = F.replace(apart, F.lit(letter), F.lit(plain))
-    c = F.when(c.rlike("[" + "".join(SEVERAL) + "]"), apart).otherwise(c)
+    # Texts with such letters are few, and a translation tells them faster than a pattern would.
+    c = F.when(F.translate(c, "".join(SEVERAL), "") != c, apart).otherwise(c)
     return F.upper(F.translate(c, LETTERS, PLAIN))
 
 

@@ -1,11 +1,19 @@
-"""Fields of declarations and invoices found in their text, as column expressions: one pass over the text, no shuffle."""
+"""Fields of declarations and invoices found in their text, as column expressions: one pass over the text, no shuffle.
+
+The parts of a declaration read folded text (upper case, no accents), which `fields` and the functions over tables fold once, into
+a column that all patterns read.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docrecon.functions.scalars import amount_eu, clean_amount, filled, fold_text, normalize_date
+from docrecon.functions.scalars import amount_eu, clean_amount, filled, fold_text, normalize_date, parse_amount
+from docrecon.operators.quality import cleanup
+from docrecon.operators.workflow import score_declaration
 
 # Forms and words of the declaration's print. Patterns read folded text (upper case, no accents).
 DAY = r"\d{2}[/.-]\d{2}[/.-]\d{4}"
@@ -33,9 +41,18 @@ COUNTRY_LABELS = {"origin": r"PAYS\s+(?:DE\s+)?PROVENANCE", "purchase": r"PAYS\s
 TITLE = r"T(?:I|[1L!|])TRE\s+CE"
 TITLES = [
     rf"CODE\s+{TITLE}[^\d]{{0,55}}(\d{{1,3}})\b[\s\S]{{0,300}}?(?:N\s*[°O0]?\s*|NUM\s*E?RO\s*){TITLE}[^\d]{{0,55}}(\d{{5,12}})\b", r"\b43\b[^\d]{0,45}(\d{1,3})\b[\s\S]{0,120}?\b44\b[^\d]{0,45}(\d{5,12})\b",
+    rf"{TITLE}[^\d]{{0,80}}(\d{{1,3}})\b[^\d]{{1,40}}(\d{{6,8}})\b",
     r"\b532\b\D{0,650}?(\d{1,3})\D{0,55}(\d{6,8})\b[\s\S]{0,220}?\b21\b\D{0,40}\b11\b", r"\b362\b[\s\S]{0,180}?\b532\b[\s\S]{0,650}?(\d{1,3})\D{0,55}(\d{6,8})\b[\s\S]{0,220}?\b21\b\D{0,40}\b11\b",
 ]
-ARTICLE = r"\b([1-9]\d?)\s+((?:\d\s*){8,12})\s+([A-Z]{1,3})\s+(\d{3,12}[,.]\d{3})(?=([\s\S]{0,1300}))"
+ROW = r"\b([1-9]\d?)\s+((?:\d\s*){8,12})\s+([A-Z]{1,3})\s+(\d{3,12}[,.]\d{3})"
+ARTICLE = r"(\b[1-9]\d?\s+(?:\d\s*){8,12}\s+[A-Z]{1,3}\s+\d{3,12}[,.]\d{3})(?=([\s\S]{0,1300}))"
+LINE_AND_CODE = r"(?m)^\s*([1-9]\d?)\s+(\d{4}\s?\d{2}\s?\d{2}(?:\s?\d{2,3})?)\b"
+PRICED = r"^\s*([1-9]\d?)\s+(\d{8,11})\s+(.{2,120}?)\s+(\d+(?:[.,]\d+)?)\s+(KG|U|PCE|PCS|M|L|T)\s+(\d+(?:[.,]\d+)?)\s*$"
+# Rows of duties, amounts with their currency, conversion rates.
+DUTY = r"\b(\d{3})\s+(\d{1,10}[,.]\d{3})\s+(\d{1,6}[,.]\d{6})\s+(\d{1,10}[,.]\d{3})"
+MONEY = r"\b(USD|EUR|GBP|TND|CHF|JPY|CAD)\s+(\d{3,12}[,.]\d{3})\b"
+CONVERSION = r"(?:CONVERSION|FACTURATION|EXPORT)[\s\S]{0,220}?(\d{1,2}[,.]\d{6,8})\s+(\d{4,12}\s*[,.]\s*\d{3})"
+RATE_ONLY = r"\b(?:TAUX|CONVERSION)\b[^\d]{0,40}(\d{1,2}[,.]\d{6,8})\b"
 ARTICLE_FIELDS = {
     "qcs": (r"(?:CODE\s+Q(?:CS|C5)|QCS|QC5|ACS)[\s\S]{0,140}?\b(0?\d{1,2})\s+(\d{1,4})\s+(\d{3,12}[,.]\d{3})", 2),
     "pfn": (r"(?:CODE\s+Q(?:CS|C5)|QCS|QC5|ACS)[\s\S]{0,140}?\b(0?\d{1,2})\s+(\d{1,4})\s+(\d{3,12}[,.]\d{3})", 3),
@@ -69,9 +86,19 @@ def first_day(text: Column, pattern: str, group: int = 1) -> Column:
     return F.get(F.filter(days, lambda x: x.isNotNull()), F.lit(0))
 
 
-def header_fields(text: Column) -> dict[str, Column]:
+def folded(docs: DataFrame, name: str = "_t") -> DataFrame:
+    """docs (text) with the folded text. It isn't inlined into the patterns: they are many, and folding isn't cheap."""
+    return docs.withColumn(name, fold_text(F.col("text")))
+
+
+def fields(docs: DataFrame, part: Callable) -> DataFrame:
+    """docs (.., text) with the columns of a part of the declaration, e.g. fields(docs, header_fields)."""
+    return folded(docs).select(*docs.columns, *[c.alias(k) for k, c in part(F.col("_t")).items()])
+
+
+def header_fields(t: Column) -> dict[str, Column]:
     """Number, date, type, counts of articles and packages, exporter's code; but for packages from the first 3,000 characters."""
-    whole, head = fold_text(text), fold_text(F.substring(text, 1, 3000))
+    whole, head = t, F.substring(t, 1, 3000)
     both = F.arrays_zip(F.regexp_extract_all(head, F.lit(NUMBER_AND_DAY), F.lit(1)).alias("n"), F.transform(F.regexp_extract_all(head, F.lit(NUMBER_AND_DAY), F.lit(2)), normalize_date).alias("d"))
     pair = F.get(F.filter(both, lambda x: x["d"].isNotNull()), F.lit(0))
     kind = F.coalesce(found(head, rf"TYPE\s+(?:DECLARATION|ESCIATATION)[\s\S]{{0,160}}?\b({KIND})\b"), found(head, rf"\b({BARE_KIND})\b\s+\d{{1,3}}\s+\d{{1,4}}\b"))
@@ -85,9 +112,8 @@ def header_fields(text: Column) -> dict[str, Column]:
     }
 
 
-def transport_fields(text: Column) -> dict[str, Column]:
+def transport_fields(t: Column) -> dict[str, Column]:
     """Vehicle, modes, arrival and terms. A flight outweighs a ship, a ship named with its mode outweighs both."""
-    t = fold_text(F.replace(text, F.lit("™"), F.lit("T")))
     ship, flight = found(t, rf"\b({SHIP})\b"), t.rlike(r"\bVOL\s+DU\b")
     small = lambda g: F.when(found(t, SHORT_TERMS, g).cast("int").between(1, 9), found(t, SHORT_TERMS, g))
     named = found(t, LONG_TERMS).isNotNull()
@@ -107,8 +133,7 @@ def route(text: Column) -> Column:
     return F.get(F.filter(pairs, lambda x: x.rlike("SFAX|RADES|TUNIS|TC") & ~x.rlike("COLIS|BUREAU|LOCALISATION|FRET|ASSURANCE|BR-")), F.lit(0))
 
 
-def liquidation_fields(text: Column) -> dict[str, Column]:
-    t = fold_text(text)
+def liquidation_fields(t: Column) -> dict[str, Column]:
     return {
         "duty_code": any_of(t, DUTY_TOTAL, 1), "duty_total": clean_amount(any_of(t, DUTY_TOTAL, 2)), "office_code": found(t, OFFICE, 1), "office": F.concat(F.lit("BR - "), found(t, OFFICE, 2)),
         "border_office": found(t, MOVEMENT, 1), "destination": found(t, MOVEMENT, 2), "movement": found(t, MOVEMENT, 3), "route": route(t), "approval": found(t, APPROVAL, 1), "directory": found(t, APPROVAL, 2),
@@ -122,15 +147,13 @@ def country_label(code: Column) -> Column:
     return F.concat_ws(" ", plain, names[plain])
 
 
-def country_fields(text: Column) -> dict[str, Column]:
+def country_fields(t: Column) -> dict[str, Column]:
     """The country after each label, within 260 characters."""
-    t = fold_text(text)
     codes = {name: found(t, rf"{label}[\s\S]{{0,240}}?{COUNTRY}") for name, label in COUNTRY_LABELS.items()}
     return {name: F.when(code.isNotNull(), country_label(code)) for name, code in codes.items()}
 
 
-def article_value_fields(text: Column) -> dict[str, Column]:
-    t = fold_text(text)
+def article_value_fields(t: Column) -> dict[str, Column]:
     known = [F.when(~found(t, p).isin(NOT_REGIMES), found(t, p)) for p in REGIME]
     block = found(t, WEIGHTS_TO_FOB, 0)
     point = lambda c: F.replace(c, F.lit(","), F.lit("."))
@@ -142,34 +165,80 @@ def article_value_fields(text: Column) -> dict[str, Column]:
     }
 
 
-def title_pair(text: Column) -> Column:
+def title_pair(t: Column) -> Column:
     """struct(code, number) by the first pattern whose pair is plausible; null if none is."""
 
-    def pair(t: Column, p: str) -> Column:
-        code, number = found(t, p, 1), found(t, p, 2)
-        n = code.cast("int")
+    def plausible(x: Column) -> Column:
+        n = x["code"].cast("int")
         # Codes up to 21 with two digits, 56 and those over 99 are other boxes; so are numbers that begin with a tariff heading.
-        other = n.between(1, 21) & (F.length(code) == 2) | (n == 56) | ~n.between(1, 99)
-        return F.when(~other & number.cast("long").between(100_000, 99_999_999) & ~number.rlike("^(880|854)"), F.struct(code.alias("code"), number.alias("number")))
+        other = n.between(1, 21) & (F.length(x["code"]) == 2) | (n == 56) | ~n.between(1, 99)
+        return ~other & x["number"].cast("long").between(100_000, 99_999_999) & ~x["number"].rlike("^(880|854)")
+
+    # An array of one pair is filtered, so that no pattern runs more often than its two groups are read.
+    pair = lambda p: F.get(F.filter(F.array(F.struct(found(t, p, 1).alias("code"), found(t, p, 2).alias("number"))), plausible), F.lit(0))
+    return F.coalesce(*[pair(p) for p in TITLES])
+
 
-    # The folded text is named once, as the one element of an array: repeated in each pattern it would outgrow generated code.
-    return F.get(F.transform(F.array(fold_text(text)), lambda t: F.coalesce(*[pair(t, p) for p in TITLES])), F.lit(0))
+def article_rows(docs: DataFrame) -> DataFrame:
+    """(id, rows): an array of (row, after) for docs (id, _t): the rows `line HS country value` of the folded text, each with the text
+    after it."""
+    row, after = (F.regexp_extract_all("_t", F.lit(ARTICLE), F.lit(i)) for i in (1, 2))
+    return docs.withColumn("rows", F.arrays_zip(row.alias("row"), after.alias("after")))
+
+
+def _details(rows: DataFrame) -> DataFrame:
+    """rows (.., row, after) with line, hs, country, value and the details that are told in 1,300 characters from the row's beginning."""
+    part = lambda i: F.regexp_extract("row", ROW, i)
+    rows = rows.withColumns({"line": part(1), "hs": F.regexp_replace(part(2), r"\s+", ""), "country": part(3), "amount": clean_amount(part(4))})
+    rows = rows.withColumn("window", F.expr("substring(after, 1, 1300 - length(row))"))
+    rows = rows.withColumns({name: found(F.col("window"), p, g) for name, (p, g) in ({"gross": (ARTICLE_WEIGHTS, 1), "net": (ARTICLE_WEIGHTS, 2)} | ARTICLE_FIELDS).items()})
+    gross, net = F.col("gross"), F.col("net")
+    real = (net.cast("int") > 0) & (gross.cast("int") >= net.cast("int")) & ~printed_box(gross) & ~printed_box(net)
+    return rows.withColumns({"gross": F.when(real, gross), "net": F.when(real, net), "title": title_pair(F.col("window")), "value": F.col("amount").try_cast("double"), "line": F.col("line").cast("int")})
+
+
+DETAILS = ["line", "hs", "country", "value", *ARTICLE_FIELDS, "gross", "net", "title"]
 
 
 def articles(docs: DataFrame) -> DataFrame:
     """(id, position, line, hs, country, value and details) of all article rows of docs (id, text); of rows that repeat line,
-    code and value the first. Details are looked for in 1,300 characters from the row's beginning."""
-    t = fold_text(F.replace("text", F.lit("™"), F.lit("T")))
-    part = lambda i: F.regexp_extract_all(t, F.lit(ARTICLE), F.lit(i))
-    zipped = F.arrays_zip(part(1).alias("line"), F.transform(part(2), lambda x: F.regexp_replace(x, r"\s+", "")).alias("hs"), part(3).alias("country"), F.transform(part(4), clean_amount).alias("value"), part(5).alias("after"))
-    keys = F.transform("rows", lambda r: F.concat_ws(" ", r["line"], r["hs"], r["value"]))
-    once = F.filter("rows", lambda r, i: F.array_position(F.col("keys"), F.get("keys", i)) == i + 1)
-    rows = docs.select("id", zipped.alias("rows")).withColumn("keys", keys).select("id", F.posexplode(once).alias("position", "r"))
-    window = F.expr("substring(r.after, 1, 1300 - length(concat_ws(' ', r.line, r.hs, r.country, r.value)))")
-    gross, net = found(window, ARTICLE_WEIGHTS, 1), found(window, ARTICLE_WEIGHTS, 2)
-    real = (net.cast("int") > 0) & (gross.cast("int") >= net.cast("int")) & ~printed_box(gross) & ~printed_box(net)
-    details = [found(window, p, g).alias(name) for name, (p, g) in ARTICLE_FIELDS.items()]
-    return rows.select("id", "position", F.col("r.line").cast("int").alias("line"), "r.hs", "r.country", F.col("r.value").try_cast("double").alias("value"), *details, F.when(real, gross).alias("gross"), F.when(real, net).alias("net"), title_pair(window).alias("title"))
+    code and value the first."""
+    rows = _details(article_rows(folded(docs)).select("id", F.posexplode("rows").alias("position", "r")).select("id", "position", "r.*"))
+    repeats = F.row_number().over(Window.partitionBy("id", "line", "hs", "amount").orderBy("position"))
+    return rows.withColumn("_n", repeats).where("_n = 1").select("id", "position", *DETAILS)
+
+
+def text_articles(docs: DataFrame) -> DataFrame:
+    """(id, position, num_ligne, code_hs): rows of a text that tell a line and an HS code, without the rest; repeats go."""
+    pairs = F.arrays_zip(*[F.regexp_extract_all("_t", F.lit(LINE_AND_CODE), F.lit(i)).alias(n) for i, n in ((1, "num_ligne"), (2, "code_hs"))])
+    once = F.array_distinct(F.transform(pairs, lambda r: F.struct(r["num_ligne"].cast("int").alias("num_ligne"), F.regexp_replace(r["code_hs"], r"\s+", "").alias("code_hs"))))
+    return folded(docs).select("id", F.posexplode(once).alias("position", "r")).select("id", "position", "r.*")
+
+
+def priced_lines(lines: DataFrame) -> DataFrame:
+    """lines (.., line) of the single-line form `line HS designation quantity unit total` with its fields and the unit price, the
+    total by the quantity to 6 digits; null where a line isn't of that form."""
+    t = fold_text(F.col("line"))
+    out = lines.withColumn("_t", t)
+    part = lambda i: found(F.col("_t"), PRICED, i)
+    out = out.withColumns({"num_ligne": part(1).cast("int"), "code_hs": part(2), "designation": F.trim(part(3)), "quantite": parse_amount(part(4)), "unite": part(5), "total_ligne": parse_amount(part(6))})
+    return out.withColumn("prix_unitaire", F.when(F.col("quantite") > 0, F.round(F.col("total_ligne") / F.col("quantite"), 6))).drop("_t")
+
+
+def financial_fields(t: Column) -> dict[str, Column]:
+    """Currency and amount; conversion rate and total, or, where no total is told, amount by rate to 3 digits."""
+    amount, rate, total = clean_amount(found(t, MONEY, 2)), clean_amount(found(t, CONVERSION, 1)), clean_amount(F.regexp_replace(found(t, CONVERSION, 2), r"\s+", ""))
+    rate = F.coalesce(rate, clean_amount(found(t, RATE_ONLY)))
+    made = F.format_string("%.3f", amount.try_cast("double") * rate.try_cast("double"))
+    told = F.coalesce(total, clean_amount(found(t, FOB_AND_CUSTOMS, 1)))
+    computed = amount.try_cast("double") * rate.try_cast("double")
+    low = total.isNull() & computed.isNotNull() & (told.isNull() | (told.try_cast("double") < 0.8 * computed))
+    return {"currency": found(t, MONEY, 1), "amount": amount, "rate": rate, "total": F.when(low, made).otherwise(told)}
+
+
+def tax_rows(t: Column) -> Column:
+    """An array of (code, base, rate, amount): the rows of duties."""
+    return F.arrays_zip(*[F.regexp_extract_all(t, F.lit(DUTY), F.lit(i)).alias(c) for i, c in enumerate(["code", "base", "rate", "amount"], 1)])
 
 
 # Forms and words of the invoice's print.
@@ -196,8 +265,16 @@ def invoice_fields(text: Column) -> dict[str, Column]:
         "tax_id": F.coalesce(found(text, r"(?i)Matricule\s+Fiscal\s*[:\s]*([A-Z]{2}\d{9,11})"), found(text, r"\b(DE\d{9,11})\b")),
         "incoterm": F.upper(found(text, r"(?i)Incoterm[se]?\s*[:\s*]*([A-Z]{3})")), "payment": F.substring(F.trim(found(text, r"(?i)(Virement\s+[^\n]+|Payment\s+Term\s*[:\s]*[^\n]+)")), 1, 256), "net_pay": total,
     }
+    numbered = lambda p: found(text, p)
+    note = F.concat_ws(" | ", F.concat(F.lit("Devis "), F.regexp_replace(numbered(r"(?i)quotes\s*N°?\s*[:\s]*([A-Z0-9/\-]+)"), "/+$", "")), F.concat(F.lit("BL"), numbered(r"(?i)(?:Delivery\s*/\s*)?BL\s*(\d{6,10})")), F.trim(numbered(r"(?i)notes\s*N°\s*[:\s]*([^\n]+)")))
+    weight = lambda a, b: amount_eu(numbered(rf"(?i)(?:{a}\s+in\s+Kg|{b}\s+Weight)\s*[:\s]*([0-9\s]+[,.]\d{{2}})"))
+    party = lambda what: F.trim(F.regexp_replace(numbered(rf"(?is){what}\s+Adress\s*:?\s*(.{{10,200}}?)(?=\n\s*\n|Expedition\s+Adress|Delivery\s+Adress|Belling\s+Adress|$)"), r"\s+", " "))
+    fields |= {
+        "notes": F.nullif(F.substring(note, 1, 2000), F.lit("")), "transport": F.substring(F.trim(numbered(r"(?i)Incoterme?\s*[:\s*]*[A-Z]{3}\.\s*([A-Za-z]+)")), 1, 128), "packages": numbered(r"(?i)Package\s*Number\s*[:\s]*(\d+)").try_cast("int"), "gross": weight("PB", "Gross"), "net": weight("PN", "Net"),
+        "client_name": F.trim(F.regexp_replace(numbered(r"(?i)CL\s*\d{2,5}\s+([A-Z][A-Za-z0-9\s&.,'\-]{2,60}(?:GmbH|KG|SARL|SA|Inc|LLC)\b)"), r"\s+", " ")), "billing_address": party("Belling"), "shipping_address": party("Expedition"), "delivery_address": party("Delivery"),
+    }
     day = F.when(near.isNotNull(), 0.92).when(labelled.isNotNull(), 0.88).otherwise(0.72)
-    sure = {"number": 0.9, "date": day, "currency": 0.75, "client": 0.8, "tax_id": 0.82, "incoterm": 0.85, "payment": 0.55, "net_pay": 0.8}
+    sure = {"number": 0.9, "date": day, "currency": 0.75, "client": 0.8, "tax_id": 0.82, "incoterm": 0.85, "payment": 0.55, "net_pay": 0.8, "notes": 0.7, "packages": 0.75, "gross": 0.75, "net": 0.75, "client_name": 0.72, "billing_address": 0.68, "shipping_address": 0.75, "delivery_address": 0.7}
     pairs = [x for name, c in sure.items() for x in (F.lit(name), F.when(fields[name].isNotNull(), c))]
     return fields | {"confidence": F.map_filter(F.create_map(*pairs), lambda k, v: v.isNotNull())}
 
@@ -228,26 +305,65 @@ def best_party_line(window: Column) -> Column:
     return F.array_max(scored)["line"]
 
 
-def party_fields(text: Column) -> dict[str, Column]:
+def party_fields(t: Column) -> dict[str, Column]:
     """Each party's best line between its label and the next, up to 200 characters or a six-digit number beyond the first 40."""
-    t = fold_text(text)
     cut = lambda w: F.substring(F.regexp_replace(w, r"(?s)^(.{40}.*?)(?<!:)\b\d{6}\b.*$", "$1"), 1, 200)
     return {name: best_party_line(cut(found(t, p))) for name, p in PARTY_WINDOWS.items()}
 
 
-def guided_fields(text: Column) -> dict[str, Column]:
-    """Directory and credit numbers near their labels."""
-    t = fold_text(text)
-    return {"directory": found(t, r"\bREPERTOI?RE\b\D{0,120}?\b(\d{3,6})\b"), "credit": found(t, r"\b(?:N[°O]?\s*C[RE]DIT|NUMERO\s+C[RE]DIT|CREDIT)\b\D{0,120}?\b(\d{4,10})\b")}
+# Labels that guide to fields, and words that aren't in a declarant's name.
+DIRECTORY, CREDIT = r"\bREPERTOI?RE\b", r"\b(?:N[°O]?\s*C[RE]DIT|NUMERO\s+C[RE]DIT|CREDIT)\b"
+SAME_ROW = r"\bBUREAU\s*FRONTI\w*\b[^\d]{0,20}(\d{1,3})[\s\S]{0,60}?\bDESTINATION\b[^\d]{0,20}(\d{1,4})[\s\S]{0,60}?\bLOCALIS\w*\b[^A-Z]{0,20}(EXPORT|IMPORT|TRANSIT)\b"
+QUANTITIES = r"\bCODE\s+QCS\b[^\d]{0,20}(\d{1,3})[\s\S]{0,40}?\bQCS\b[^\d]{0,20}(\d{1,5})[\s\S]{0,40}?\bPFN\b[^\d]{0,20}(\d{1,12}(?:[.,]\d{1,3})?)"
+DECLARANT_BLOCK = r"\bDECLARANT\b([\s\S]{0,220}?)(?:\bMOYEN\s+DE\s+TRANSPORT\b|$)"
+NOT_DECLARANT = r"\b(?:REPERTOI?RE|CREDIT|N[°O]|CODE|TN|US|DE|FR|TYPE|DECLARATION|REGIME|TRANSPORT|RUE|AVENUE|SUITE|SFAX|TUNIS)\b"
+GUIDED_COUNTRIES = {"guided_origin": r"PAYS\s+DE\s+PROVENANCE", "guided_purchase": r"PAYS\s+D['’ ]?\s*ACHAT", "guided_first_destination": r"PAYS\s+PREMIERE?\s+DESTINATION", "guided_final_destination": r"PAYS\s+DESTINATION\s+DEFINITIVE"}
+
+
+def near_anchor(t: Column, anchor: str, low: int = 3, high: int = 10, within: int = 120) -> Column:
+    """The first number of low to high digits, whole within so many characters after the anchor."""
+    return found(F.substring(F.regexp_extract(t, rf"{anchor}([\s\S]{{0,{within}}})", 1), 1, within), rf"\b(\d{{{low},{high}}})\b")
+
+
+def guided_fields(t: Column) -> dict[str, Column]:
+    """Fields near their labels. What the strict first pass finds isn't looked for again: the row of border office, destination and
+    movement goes before each label on its own, a number in the window of a label before one right after it."""
+    after = lambda label, form: found(t, rf"{label}{form}")
+    row = found(t, SAME_ROW, 1).isNotNull()
+    one_row = lambda i, other: F.when(row, found(t, SAME_ROW, i)).otherwise(other)
+    weight = lambda name: F.when(after(rf"\bPOIDS\s+{name}(?:\s*\(KG\))?\b", r"[^\d]{0,24}(\d{1,5})\b").cast("int").between(5, 99999), after(rf"\bPOIDS\s+{name}(?:\s*\(KG\))?\b", r"[^\d]{0,24}(\d{1,5})\b").cast("int").cast("string"))
+    lines = F.transform(F.split(found(t, DECLARANT_BLOCK), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ \-|:;,.]+|[ \-|:;,.]+$", ""))
+    name = F.get(F.filter(lines, lambda x: F.length(x).between(4, 64) & ~x.rlike(NOT_DECLARANT) & ~x.rlike(r"^\d{3,6}\b") & (F.length(F.regexp_replace(x, "[^A-Z]", "")) >= 5)), F.lit(0))
+    country = lambda label: F.when(found(t, rf"{label}[\s\S]{{0,120}}?\b({'|'.join(COUNTRIES)}|1N|TM)\b").isNotNull(), country_label(found(t, rf"{label}[\s\S]{{0,120}}?\b({'|'.join(COUNTRIES)}|1N|TM)\b")))
+    return {
+        "directory": F.coalesce(near_anchor(t, DIRECTORY, 3, 6), after(DIRECTORY, r"[^\d]{0,24}(\d{3,6})\b")), "credit": F.coalesce(near_anchor(t, CREDIT, 4, 10), after(CREDIT, r"[^\d]{0,24}(\d{4,10})\b")), "guided_declarant": name,
+        "guided_office": one_row(1, near_anchor(t, r"\bBUREAU\s*FRONTI\w*\b", 1, 3)), "guided_destination": one_row(2, near_anchor(t, r"\bDESTINATION\b", 1, 4)), "guided_movement": one_row(3, after(r"\bLOCALIS\w*\b", r"[\s\S]{0,60}?\b(EXPORT|IMPORT|TRANSIT)\b")),
+        "code_qcs": found(t, QUANTITIES, 1), "qcs": found(t, QUANTITIES, 2), "pfn": F.replace(found(t, QUANTITIES, 3), F.lit(","), F.lit(".")), "guided_gross": weight("BRUT"), "guided_net": weight("NET"),
+        "stopover": after(r"N[°O]?\s*D['’]?\s*ESCALE", r"[^\d]{0,12}(\d{3,6})"), "heading": after(r"\bRUBRIQUE\b", r"[^\d]{0,12}(\d{1,6})"),
+        "financial_regime": after(r"\b(?:REG(?:LEMENT)?\s*FINANCIER|FINANCIER)\b", r"[^\d]{0,16}(\d{1,2})\b"), "delay": after(r"\b(?:CODE\s+)?DELAI\b", r"[^\d]{0,16}(\d{1,2})\b"), "oci": after(r"\b(?:CODE\s+)?OCI\b", r"[^\d]{0,16}(\d{1,2})\b"),
+    } | {name: country(label) for name, label in GUIDED_COUNTRIES.items()}
+
+
+PARTS = {"header": header_fields, "transport": transport_fields, "financials": financial_fields, "liquidation": liquidation_fields, "countries": country_fields, "values": article_value_fields, "parties": party_fields, "guided": guided_fields}
 
 
 def parse_declarations(docs: DataFrame) -> DataFrame:
-    """docs with a struct of fields for each part of the declaration (column text), and the title. Amounts, articles, tax rows, zones,
-    cleanup and scores aren't part of it."""
-    text = F.col("text")
-    parts = {"header": header_fields, "transport": transport_fields, "liquidation": liquidation_fields, "countries": country_fields, "values": article_value_fields, "parties": party_fields, "guided": guided_fields}
-    structs = {name: F.struct(*[c.alias(k) for k, c in f(text).items()]) for name, f in parts.items()}
-    return docs.withColumns(structs | {"title": title_pair(text)})
+    """docs (id, text; zones, a map, if there) with a struct of fields for each part of the declaration, title, articles and taxes
+    (arrays), then score, flags and quality of what is left after cleanup, and reasons: why values went. Zones go before the
+    text where they tell number, date, importer or declarant."""
+    t = F.col("_t")
+    out = article_rows(folded(docs)).withColumns({name: F.struct(*[c.alias(k) for k, c in f(t).items()]) for name, f in PARTS.items()} | {"title": title_pair(t), "taxes": tax_rows(t)})
+    part = lambda i: lambda r: F.regexp_extract(r["row"], ROW, i)
+    row = F.transform("rows", lambda r: F.struct(part(1)(r).cast("int").alias("line"), F.regexp_replace(part(2)(r), r"\s+", "").alias("hs"), part(3)(r).alias("country"), clean_amount(part(4)(r)).alias("value")))
+    out = out.withColumn("articles", F.array_distinct(row)).drop("rows", "_t")
+    zone = lambda key: filled(F.col("zones")[f"tpl_{key}"]) if "zones" in docs.columns else F.lit(None).cast("string")
+    first = lambda *c: F.coalesce(*[F.col(x) if isinstance(x, str) else x for x in c])
+    wide = out.withColumns({
+        "number": first(found(zone("numero_declaration"), r"\b(\d{6})\b"), "header.number"), "date": first(normalize_date(found(zone("date_declaration"), f"({DAY})")), "header.date"), "type": F.col("header.type"), "currency": F.col("financials.currency"),
+        "exporter": F.col("parties.exporter"), "importer": first(zone("importateur_nom"), "parties.importer"), "declarant_nom": first(zone("declarant_nom"), "parties.declarant", "guided.guided_declarant"), "poids_brut": F.col("guided.guided_gross"), "poids_net": F.col("guided.guided_net"),
+        "destination": first("liquidation.destination", "guided.guided_destination"), "code_regime_financier": F.col("guided.financial_regime"), "code_delai": F.col("guided.delay"), "office": first("liquidation.office", F.lit("")), "auth_key": F.col("liquidation.auth_key")})
+    clean = cleanup(wide).withColumns({"gross": F.col("poids_brut"), "net": F.col("poids_net")})
+    return score_declaration(clean)
 
 
 def zone_fields(zones: DataFrame) -> DataFrame:

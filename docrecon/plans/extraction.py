@@ -31,7 +31,7 @@ FORM = f"""SELECT {K} AS id, concat(CASE WHEN {K} % 7 = 0 THEN concat('Numéro :
 
 
 def form(spark, d, fields):
-    return rows(spark, d, FORM).select("id", *[c.alias(k) for k, c in fields(F.col("text")).items()])
+    return E.fields(rows(spark, d, FORM), fields).drop("text")
 
 
 @query("ext1_declaration_header", f"SELECT {K} AS id, {NUMBER} AS number, {DASHED} AS date, replace({pick(KINDS)}, ' ', '') AS type, CAST({K} % 4 + 1 AS INT) AS articles, CAST({K} % 900 + 100 AS INT) AS packages, concat(lpad(CAST({K} % 10000000 AS STRING), 7, '0'), 'K') AS exporter_code FROM orders")
@@ -66,8 +66,8 @@ def ext6(spark, d):
 
 @query("ext9_titre_ce_pair", f"SELECT {K} AS id, '22' AS code, CAST({K} % 1000000 + 100000 AS STRING) AS number FROM orders WHERE NOT regexp_matches(CAST({K} % 1000000 + 100000 AS STRING), '^(880|854)')")
 def ext9(spark, d):
-    found = form(spark, d, lambda t: {"title": E.title_pair(t)})
-    return found.where("title is not null").select("id", "title.code", "title.number")
+    found = form(spark, d, lambda t: {"title": F.array(E.title_pair(t))})
+    return found.select("id", F.inline("title")).where("code is not null")
 
 
 @query("ext10_party_windows", f"SELECT {K} AS id, concat('575 : CLERK ', CAST(o_custkey AS STRING), ' PRECISION') AS exporter, 'DUPONT SARL' AS importer, 'MARTIN ET FILS' AS declarant FROM orders")
@@ -77,7 +77,7 @@ def ext10(spark, d):
 
 @query("ext18_guided_fields", f"SELECT {K} AS id, '4321' AS directory, '98765' AS credit FROM orders")
 def ext18(spark, d):
-    return form(spark, d, E.guided_fields)
+    return form(spark, d, E.guided_fields).select("id", "directory", "credit")
 
 
 @query("ext17_full_declaration_parse", f"SELECT {K} AS id, {NUMBER} AS number, {DASHED} AS arrival, {PRICE} AS duty_total, {pick(LABELLED)} AS origin, {PRICE} AS fob, 'DUPONT SARL' AS importer, '98765' AS credit FROM orders")

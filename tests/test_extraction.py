@@ -13,7 +13,10 @@ PARTS = [E.header_fields, E.transport_fields, E.liquidation_fields, E.country_fi
 
 
 def fields(spark, text, part):
-    return spark.createDataFrame([(text,)], "text string").select(*[c.alias(k) for k, c in part(F.col("text")).items()]).first().asDict()
+    df = spark.createDataFrame([(text,)], "text string")
+    if part is E.invoice_fields:
+        return df.select(*[c.alias(k) for k, c in part(F.col("text")).items()]).first().asDict()
+    return E.fields(df, part).drop("text").first().asDict()
 
 
 @pytest.mark.parametrize("text", [None, "", " \n "])
