@@ -24,7 +24,7 @@ from docrecon.llm.common import WordHashes, free_names, load, of_stage, saved
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Labelled rows that the model is fitted on, at most (those with the least hashes of their doc_id).
-MAX_EXAMPLES = 8_192
+MAX_EXAMPLES = 4_096
 NEIGHBOURS, BLOCK = 64, 128
 #: Least relevance of a term; terms in this share of the examples or more are kept as dense rows.
 FLOOR, DENSE = 0.1, 1 / 16
@@ -198,17 +198,19 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
 
     examples = saved(texts.mapInArrow(counted, "doc_id long, toxic int, terms array<long>, counts array<long>"))
     table = examples.toArrow().sort_by("doc_id")
+    ids, half = table.column("doc_id").to_numpy(), np.arange(table.num_rows) % 2 == 0
     model = index(table)
-    half = np.arange(table.num_rows) % 2 == 0
     halves = [index(table.filter(pa.array(half == h))) for h in (True, False)]
+    del table
     if all(len(m.terms) for m in halves):
-        shared = docs.sparkSession.sparkContext.broadcast((halves, table.column("doc_id").to_numpy()))
+        shared = docs.sparkSession.sparkContext.broadcast((halves, ids))
+        del halves
 
         def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            models, ids = shared.value
+            models, every = shared.value
             for batch in batches:
                 terms, counts = ([np.array(x) for x in batch.column(c).to_pylist()] for c in ("terms", "counts"))
-                first = np.searchsorted(ids, batch.column("doc_id").to_numpy()) % 2 == 0
+                first = np.searchsorted(every, batch.column("doc_id").to_numpy()) % 2 == 0
                 for own, m in ((first, models[1]), (~first, models[0])):
                     rows = np.flatnonzero(own)
                     for i in range(0, len(rows), BATCH):
@@ -218,6 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
 
         found = examples.repartition(16).mapInArrow(crossed, "vote double, toxic double").toArrow().sort_by([("vote", "ascending"), ("toxic", "ascending")])
         model.curve = logistic(odds(found.column("vote").to_numpy()), found.column("toxic").to_numpy())
+        shared.destroy()
+    pa.default_memory_pool().release_unused()
     return model
 
 
