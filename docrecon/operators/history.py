@@ -83,7 +83,7 @@ def history_items(rows: DataFrame, invoices: DataFrame, corrections: DataFrame)
         word(F.col("l_statut_controle"), 1, "Comparé").alias("control_label"), F.when(has, F.coalesce(filled(F.col("l_numero")), F.concat(F.lit("FACT-"), _text("l_id")))).alias("partner_number"), filled(F.col("l_date_facture")).alias("partner_date"),
         F.when(has, invoice_validated(F.col("l_statut"))).alias("partner_validated"), (F.col("l_compared_at").isNotNull() | F.col("l_statut_controle").isNotNull()).alias("reconciled"), F.col("l_statut_controle").alias("control"),
         F.col("l_montant_declare_dum").alias("pfn"), F.col("l_net_pay").alias("net_pay"), F.col("l_ecart_montant").alias("gap"), F.coalesce("l_devise_declaree_dum", "l_devise").alias("currency"), F.col("l_compared_at").alias("compared_at"),
-        F.col("document_id").alias("dum_id"), F.col("l_id").alias("invoice_id"), F.coalesce(_text("corrections"), F.lit("0")).alias("corrections"))
+        F.col("document_id").alias("dum_id"), F.col("l_id").alias("invoice_id"), F.coalesce(_text("corrections"), F.lit("0")).alias("corrections"), (F.col("status") == "Validé").alias("validated"))
     dums = rows.select(F.col("document_id").alias("dum_id"), F.col("numero_declaration").alias("d_numero"), F.col("date_declaration").alias("d_date"), F.col("status").alias("d_status"))
     i = invoices.join(dums, "dum_id", "left")
     there, dum = F.col("dum_id").isNotNull(), F.concat(F.lit("DUM #"), _text("dum_id"))
@@ -95,10 +95,28 @@ def history_items(rows: DataFrame, invoices: DataFrame, corrections: DataFrame)
         F.when(there, F.concat_ws(" · ", dum, said)).otherwise(NONE).alias("reconciliation"), F.when(there, word(F.col("statut_controle"), 1, "Comparé")).otherwise(NONE).alias("control_label"),
         F.when(there, F.coalesce(filled(F.col("numero_declaration_dum")), filled(F.col("d_numero")), dum)).alias("partner_number"), F.when(there, F.coalesce(filled(F.col("date_declaration_dum")), filled(F.col("d_date")))).alias("partner_date"),
         F.when(there, F.coalesce(dum_validated(F.col("d_status")) | (F.col("d_status") == "Validé"), F.lit(False))).alias("partner_validated"), (F.col("compared_at").isNotNull() | F.col("statut_controle").isNotNull()).alias("reconciled"), F.col("statut_controle").alias("control"),
-        F.col("montant_declare_dum").alias("pfn"), "net_pay", F.col("ecart_montant").alias("gap"), F.coalesce("devise_declaree_dum", "devise").alias("currency"), "compared_at", "dum_id", F.col("id").alias("invoice_id"), F.lit(NONE).alias("corrections"))
+        F.col("montant_declare_dum").alias("pfn"), "net_pay", F.col("ecart_montant").alias("gap"), F.coalesce("devise_declaree_dum", "devise").alias("currency"), "compared_at", "dum_id", F.col("id").alias("invoice_id"), F.lit(NONE).alias("corrections"), invoice_validated(F.col("statut")).alias("validated"))
     return one.unionByName(two)
 
 
+# The steps import, extraction, validation, reconciliation and export, by the number of those that are done.
+def progress(items: DataFrame) -> Column:
+    """The states of the five steps of a history item: done ones, the current one, pending ones."""
+    validated = F.col("status").isin("Validé", "Contrôlé") | (F.col("filter_key") == "validated")
+    done = F.when(~validated & F.col("filter_key").isin("in_progress", "pending"), 2).when(~validated, 1).when(F.col("control").eqNullSafe("ok"), 4).otherwise(3)
+    return F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i < done, "done").when(i == done, "current").otherwise("pending"))
+
+
+def row_actions(items: DataFrame) -> DataFrame:
+    """History items with steps and what may be done: show_validation, show_reconcile (a control that isn't ok may be done again; a
+    linked partner that isn't validated hides it), report_invoice_id (after a comparison), export_kind (dossier first)."""
+    control = F.coalesce("control", F.lit(""))
+    reconcile = F.col("validated") & (control != "ok") & (control.isin("warning", "error") | F.coalesce("partner_validated", F.lit(True)))
+    report = F.when((control != "") | F.col("reconciled"), F.col("invoice_id"))
+    kind = F.when(report.isNotNull(), "dossier").when(F.col("validated"), F.col("type"))
+    return items.withColumns({"steps": progress(items), "show_validation": ~F.col("validated"), "show_reconcile": reconcile, "report_invoice_id": report, "export_kind": kind})
+
+
 def filter_history(items: DataFrame, now: Column, search: str = "", type: str = "all", status: str = "all", days: int = 0) -> DataFrame:
     """History items of a type and status ('in_progress' takes pending ones too, 'reconciled' looks at its flag) of the last `days`
     days that hold `search` in reference, file name, owner, reconciliation or type, whatever the case."""

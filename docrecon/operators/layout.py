@@ -76,3 +76,9 @@ def merge_pages(pages: DataFrame, order: list[str]) -> DataFrame:
     return pages.groupBy("doc").agg(
         F.min_by("first_field", full("first_field")).alias("first_field"), F.max_by("last_field", full("last_field")).alias("last_field"), F.array_join(F.sort_array(F.collect_set("flag")), ",").alias("flags"),
         F.sum("quality").alias("quality_sum"), (F.sum("quality") / F.count("quality")).alias("quality_mean"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(*order, "text"))), lambda p: p["text"]), "|").alias("text"))
+
+
+def batch_outcome(files: DataFrame) -> DataFrame:
+    """(batch, n, done, failed, first_error) of files (batch, id, error): a failed file keeps the text of its error and fails no job."""
+    first = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("id")))
+    return files.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("done"), F.count("error").alias("failed"), first.alias("first_error"))

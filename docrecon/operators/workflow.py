@@ -40,8 +40,50 @@ def _same(a: Column, b: Column, equal: Column, anomaly: Column) -> Column:
     return F.when(anomaly, "warning").when(a.isNull() | b.isNull(), "neutral").when(equal, "ok").otherwise("warning")
 
 
+def patch_columns(invoices: DataFrame, patches: DataFrame) -> DataFrame:
+    """invoices with the columns of patches (id, provided: the names that are supplied, and columns), null where null is supplied."""
+    names = [c for c in patches.columns if c in invoices.columns and c != "id"]
+    j = invoices.join(patches.select("id", "provided", *[F.col(c).alias(f"_new_{c}") for c in names]), "id", "left")
+    given = lambda c: F.coalesce(F.array_contains("provided", c), F.lit(False))
+    return j.withColumns({c: F.when(given(c), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in names}).select(invoices.columns)
+
+
+# What a session's status is called, and the status that it gives its document.
+SESSION_WORDS = {"validated": "validated", "valide": "validated", "rejected": "rejected", "rejete": "rejected"}
+
+
+def corrected_documents(documents: DataFrame, changes: DataFrame, sessions: DataFrame) -> DataFrame:
+    """documents (id, statut, raw_json: an object) after sessions (id, status): status and raw JSON are written back, with the new
+    values of changes (diff_fields); corrections is their number. Documents without a session stay as they are."""
+    word = F.lower(F.trim("status"))
+    status = F.coalesce(*[F.when(word == said, name) for said, name in SESSION_WORDS.items()], F.lit("processing"))
+    per = changes.groupBy("id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("field_key", "new_value")))).alias("_new"), F.count("*").alias("_n"))
+    j = documents.join(sessions.select("id", status.alias("_status")), "id", "left").join(per, "id", "left")
+    old = F.coalesce(F.from_json("raw_json", "map<string,string>"), F.create_map().cast("map<string,string>"))
+    kept = F.map_filter(old, lambda k, v: ~F.coalesce(F.map_contains_key("_new", k), F.lit(False)))
+    merged = F.when(F.col("_new").isNotNull(), F.to_json(F.map_concat(kept, "_new"))).otherwise(F.col("raw_json"))
+    return j.withColumns({"statut": F.coalesce("_status", "statut"), "raw_json": merged, "corrections": F.coalesce("_n", F.lit(0))}).drop("_status", "_new", "_n")
+
+
 def comparison_rows(reconciled: DataFrame) -> DataFrame:
-    """(id, code, position, tone): nine rows for each reconciled invoice, in their fixed order."""
+    """(id, code, position, tone, category, dum_value, invoice_value, label): nine rows for each reconciled invoice, in their fixed order."""
+    return reconciled.select("id", F.inline(comparison(reconciled)))
+
+
+def issues_of(reconciled: DataFrame) -> DataFrame:
+    """reconciled with issues, how many of the nine rows are errors or warnings, and aligned, whether the amounts' row is fine."""
+    rows = reconciled.withColumn("_rows", comparison(reconciled))
+    count = F.size(F.filter("_rows", lambda r: r["tone"].isin("error", "warning"))).cast("long")
+    return rows.withColumns({"issues": count, "aligned": F.col("_rows")[0]["tone"] == "ok"}).drop("_rows")
+
+
+# The categories of the rows and the words for their tones.
+CATEGORIES = ["NET PAY vs PFN (DUM)", "Devise", "Nombre de colis", "Poids net (kg)", "Incoterm / livraison", "N° déclaration (DUM)", "Date déclaration (DUM)", "N° facture", "Date facture"]
+TONES = {"ok": "Conforme", "warning": "Attention", "error": "Écart", "neutral": "—"}
+
+
+def comparison(reconciled: DataFrame) -> Column:
+    """The nine rows as an array."""
     c, has = F.col, lambda code: F.array_contains("codes", code)
     aligned = F.coalesce((c("status") != "error") & ~has("amount_gap") & c("base").isNotNull() & c("pfn").isNotNull() & (F.abs("gap") <= 0.01), F.lit(False))
     there = lambda name: F.when(c(name).isNotNull(), "ok").otherwise("neutral")
@@ -54,8 +96,12 @@ def comparison_rows(reconciled: DataFrame) -> DataFrame:
         "incoterm_mismatch": _same(c("mode_livraison"), c("dum_mode"), F.upper(F.trim("mode_livraison")) == F.upper(F.trim("dum_mode")), has("incoterm_mismatch")),
         "declaration_number": there("dum_numero"), "declaration_date": there("dum_date"), "invoice_number": there("numero"), "invoice_date": there("created_at"),
     }
-    rows = F.array(*[F.struct(F.lit(code).alias("code"), F.lit(i).alias("position"), tone.alias("tone")) for i, (code, tone) in enumerate(tones.items(), 1)])
-    return reconciled.select("id", F.inline(rows))
+    dash = lambda x: F.coalesce(F.nullif(x.cast("string"), F.lit("")), F.lit("—"))
+    values = [(c("pfn"), c("net_pay")), (c("dum_devise"), c("devise")), (c("dum_colis"), c("nombre_colis")), (c("dum_poids"), c("poids_net")), (c("dum_mode"), c("mode_livraison")), (c("dum_numero"), F.lit(None)), (c("dum_date"), F.lit(None)), (F.lit(None), c("numero")), (F.lit(None), c("created_at"))]
+    label = lambda tone: F.coalesce(*[F.when(tone == k, v) for k, v in TONES.items()])
+    return F.array(*[
+        F.struct(F.lit(code).alias("code"), F.lit(i).alias("position"), tone.alias("tone"), F.lit(CATEGORIES[i - 1]).alias("category"), dash(values[i - 1][0]).alias("dum_value"), dash(values[i - 1][1]).alias("invoice_value"), label(tone).alias("label"))
+        for i, (code, tone) in enumerate(tones.items(), 1)])
 
 
 def score_declaration(headers: DataFrame) -> DataFrame:
@@ -84,11 +130,20 @@ def field_confidences(headers: DataFrame) -> DataFrame:
         "number": (text("number").rlike(NUMBER), 95, 35), "date": (text("date").rlike(f"^{DATE}$"), 90, 45), "type": (F.upper(text("type")).rlike(TYPE), 88, 40),
         "importer": (F.length(F.regexp_replace(text("importer"), "[^A-Za-z]", "")) >= 6, 78, 45), "gross": (text("gross").rlike(number), 80, 50), "net": (text("net").rlike(number), 80, 50),
         "auth_key": (F.upper(text("auth_key")).rlike(KEY) | F.upper(text("auth_key")).rlike(LONG_KEY), 92, 35),
+        "duty_code": (F.lit(True), 65, 65), "duty_total": (text("duty_total").rlike(number), 80, 50),
     }
+    forms = {name: form for name, form in forms.items() if name in headers.columns}
     pairs = [x for name, (good, high, low) in forms.items() for x in (F.lit(name), F.when(text(name) == "", 0).when(good, high).otherwise(low))]
     return headers.withColumn("confidence", F.create_map(*pairs))
 
 
+def mean_confidence(confidence: Column, score: Column) -> dict[str, Column]:
+    """mean of a map of confidences, or the document's score where there are none; and rounded, half up."""
+    values = F.map_values(confidence)
+    mean = F.coalesce(F.when(F.size(values) > 0, F.aggregate(values, F.lit(0), lambda a, x: a + x) / F.size(values)), score.cast("double"))
+    return {"mean": mean, "rounded": F.floor(mean + 0.5).cast("int")}
+
+
 # The keys of an extraction result that become rows.
 EXTRACTED = """exportateur adresse_exportateur code_exportateur importateur adresse_importateur code_importateur declarant repertoire numero_credit numero_declaration date_declaration type_declaration nbre_articles
 numero_dae nombre_articles nombre_colis exportateur_nom exportateur_code importateur_nom importateur_pays declarant_code declarant_nom transport_international_nationalite transport_international_mode

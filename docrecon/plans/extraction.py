@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docrecon.operators import extraction as E
+from docrecon.operators.embedded import embedded_layout
 from docrecon.plans.layout import rows
 from docrecon.registry import query
 
@@ -121,3 +122,14 @@ UNION ALL SELECT {K}, 'declarant', 'MARTIN FILS' FROM orders WHERE {K} % 2 = 1""
 def ext12(spark, d):
     zones = rows(spark, d, f"SELECT {K} AS id, map(" + ", ".join(f"'{k}', {v}" for k, v in ZONES.items()) + ") AS zones FROM orders")
     return E.zone_fields(zones)
+
+
+EMBEDDED = f"""SELECT {K} AS id, concat('Exportateur', chr(10), 'MAISON ', {pick(['NORD', 'SUD'])}, chr(10), 'USA', chr(10), 'Importateur', chr(10), '5751 : ATELIERS REUNIS', chr(10), CAST({K} AS STRING), ' RUE HAUTE', chr(10), 'Déclarant', chr(10), 'MARTIN ET FILS', chr(10), 'Moyen de transport', chr(10),
+'Pays de provenance', chr(10), 'US', chr(10), 'U.S.A', chr(10), 'Pays d''achat', chr(10), {pick(CODES[:3])}, chr(10), {pick(PLACES[:3])}, chr(10), 'Pays de première destination', chr(10), 'BELGIQUE', chr(10), 'Pays de destination définitive', chr(10), 'TN', chr(10), 'Moyen', chr(10), '73181520001', chr(10), 'TN', chr(10), '01', chr(10), '120', chr(10), {PRICE}, chr(10), 'D798DDM1W') AS text FROM orders"""
+EXPECTED = {"exportateur_nom": "concat('MAISON ', " + pick(["NORD", "SUD"]) + ")", "importateur_nom": "'ATELIERS REUNIS'", "adresse_importateur": "'5751 : ATELIERS REUNIS'", "declarant_nom": "'MARTIN ET FILS'", "code_exportateur": "'5751'", "pays_provenance": "'US USA'", "pays_achat": pick([f"{c} {n}" for c, n in zip(CODES[:3], PLACES[:3])]),
+            "pays_premiere_destination": "'BE BELGIQUE'", "pays_destination_finale": "'TN TUNISIE'", "code_sh_ndp": "'73181520001'", "code_pays_origine": "'TN'", "code_qcs": "'01'", "qcs": "'120'", "pfn": PRICE, "montant_ptfn": PRICE, "cle_authentification": "'D798DDM1W'"}
+
+
+@query("ext13_embedded_layout", " UNION ALL ".join(f"SELECT {K} AS id, '{k}' AS field_key, {v} AS value FROM orders" for k, v in EXPECTED.items()))
+def ext13(spark, d):
+    return embedded_layout(rows(spark, d, EMBEDDED)).where(F.col("field_key") != "designation_marchandises")

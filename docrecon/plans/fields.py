@@ -7,14 +7,13 @@ from docrecon.operators.core import known_columns
 from docrecon.operators.extraction import bounded, country_label, party_score
 from docrecon.operators.quality import fields_to_correct
 from docrecon.registry import query
-from docrecon.sources.tables import WITH, table
+from docrecon.sources.tables import WITH, over, table
 
 K = "o_orderkey"
 
 
 def orders(spark, d, sql):
-    table(spark, d, "orders").createOrReplaceTempView("orders")
-    return spark.sql(f"SELECT {K} AS id, {sql} FROM orders")
+    return over(spark, d, f"SELECT {K} AS id, {sql} FROM orders", "orders")
 
 
 @query("flt5_reports_only", WITH + "SELECT id FROM v_invoices WHERE dum_id IS NOT NULL OR montant_ttc IS NOT NULL")

@@ -31,11 +31,11 @@ bydum AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY dum_id ORDER
 items AS (SELECT 'dum' AS type, 'DUM' AS type_label, h.document_id AS id, h.document AS reference, h.fichier AS file_name, h.owner, h.created_at, h.status, CASE h.status WHEN 'Validé' THEN 'validated' WHEN 'Rejeté' THEN 'rejected' WHEN 'En cours' THEN 'in_progress' ELSE 'pending' END AS filter_key,
 CASE WHEN i.id IS NULL THEN '—' ELSE concat('Facture ', i.numero) END AS reconciliation, CASE i.statut_controle WHEN 'ok' THEN 'Conforme' WHEN 'warning' THEN 'Attention' WHEN 'error' THEN 'Écart' ELSE '—' END AS control_label, i.numero AS partner_number, i.date_facture AS partner_date,
 CASE WHEN i.id IS NOT NULL THEN i.statut = 'valide' END AS partner_validated, i.compared_at IS NOT NULL OR i.statut_controle IS NOT NULL AS reconciled, i.statut_controle AS control, i.montant_declare_dum AS pfn, i.net_pay, i.ecart_montant AS gap, coalesce(i.devise_declaree_dum, i.devise) AS currency, i.compared_at,
-h.document_id AS dum_id, i.id AS invoice_id, CAST(coalesce(corrections, 0) AS STRING) AS corrections FROM hist h LEFT JOIN bydum i ON i.dum_id = h.document_id LEFT JOIN corr ON corr.document_id = h.document_id
+h.document_id AS dum_id, i.id AS invoice_id, CAST(coalesce(corrections, 0) AS STRING) AS corrections, h.status = 'Validé' AS validated FROM hist h LEFT JOIN bydum i ON i.dum_id = h.document_id LEFT JOIN corr ON corr.document_id = h.document_id
 UNION ALL SELECT 'invoice', 'Facture', i.id, i.numero, i.fichier, i.owner, i.created_at, CASE i.statut WHEN 'extracted' THEN 'Extrait' ELSE 'Validé' END, CASE WHEN compared_at IS NOT NULL THEN 'reconciled' WHEN i.statut = 'valide' THEN 'validated' ELSE 'in_progress' END,
 CASE WHEN dum_id IS NULL THEN '—' ELSE concat_ws(' · ', concat('DUM #', CAST(dum_id AS STRING)), CASE statut_controle WHEN 'ok' THEN 'OK' WHEN 'warning' THEN 'Attention' WHEN 'error' THEN 'Écart' END) END, CASE WHEN dum_id IS NULL THEN '—' ELSE CASE statut_controle WHEN 'ok' THEN 'Conforme' WHEN 'warning' THEN 'Attention' WHEN 'error' THEN 'Écart' ELSE '—' END END,
 CASE WHEN dum_id IS NOT NULL THEN coalesce(numero_declaration_dum, d.numero_declaration, concat('DUM #', CAST(dum_id AS STRING))) END, CASE WHEN dum_id IS NOT NULL THEN coalesce(date_declaration_dum, d.date_declaration) END, CASE WHEN dum_id IS NOT NULL THEN coalesce(d.status = 'Validé', false) END,
-compared_at IS NOT NULL OR statut_controle IS NOT NULL, statut_controle, montant_declare_dum, net_pay, ecart_montant, coalesce(devise_declaree_dum, devise), compared_at, dum_id, i.id, '—' FROM owned i LEFT JOIN hist d ON d.document_id = i.dum_id)
+compared_at IS NOT NULL OR statut_controle IS NOT NULL, statut_controle, montant_declare_dum, net_pay, ecart_montant, coalesce(devise_declaree_dum, devise), compared_at, dum_id, i.id, '—', i.statut = 'valide' FROM owned i LEFT JOIN hist d ON d.document_id = i.dum_id)
 """
 
 
@@ -113,6 +113,21 @@ def set1(spark, d):
     return history(spark, d).orderBy(F.col("created_at").desc_nulls_last(), "type", "id")
 
 
+STEPS = "CASE {} WHEN 1 THEN 'done,current,pending,pending,pending' WHEN 2 THEN 'done,done,current,pending,pending' WHEN 3 THEN 'done,done,done,current,pending' ELSE 'done,done,done,done,current' END"
+DONE = "CASE WHEN NOT ok AND filter_key IN ('in_progress', 'pending') THEN 2 WHEN NOT ok THEN 1 WHEN control = 'ok' THEN 4 ELSE 3 END"
+
+
+@query("rec8_workflow_progress", HISTORY + f"""SELECT type, id, {STEPS.format('(' + DONE + ')')} AS steps, NOT validated AS show_validation, validated AND coalesce(control, '') <> 'ok' AND (coalesce(control, '') IN ('warning', 'error') OR coalesce(partner_validated, true)) AS show_reconcile,
+report AS report_invoice_id, CASE WHEN report IS NOT NULL THEN 'dossier' WHEN validated THEN type END AS export_kind FROM (SELECT *, status IN ('Validé', 'Contrôlé') OR filter_key = 'validated' AS ok, CASE WHEN control IS NOT NULL OR reconciled THEN invoice_id END AS report FROM items)""")
+def rec8(spark, d):
+    return H.row_actions(history(spark, d)).select("type", "id", F.array_join("steps", ",").alias("steps"), "show_validation", "show_reconcile", "report_invoice_id", "export_kind")
+
+
+@query("val5_history_rows", HISTORY + "SELECT * FROM hist")
+def val5(spark, d):
+    return H.history_rows(*[table(spark, d, t) for t in ("v_declarations", "v_sessions", "v_users")])
+
+
 @query("set1_history_totals", HISTORY + "SELECT count(*) AS total, count(*) FILTER (type = 'dum') AS dum_total, count(*) FILTER (type = 'invoice') AS invoice_total FROM items")
 def set1_totals(spark, d):
     return H.history_totals(history(spark, d))

@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from docrecon.operators.core import latest
-from docrecon.operators.layout import best_candidates, group_cells, merge_pages, zone_overlaps
+from docrecon.operators.layout import batch_outcome, best_candidates, group_cells, merge_pages, zone_overlaps
 from docrecon.registry import query
-from docrecon.sources.tables import table
+from docrecon.sources.tables import over, table
 
 ID = "l_partkey * 100000 + l_suppkey * 100 + l_linenumber AS id"
 ZONES = f"SELECT l_orderkey AS page, {ID}, l_partkey % 40 AS x1, l_suppkey % 40 AS y1, l_partkey % 40 + CAST(l_quantity AS BIGINT) AS x2, l_suppkey % 40 + l_linenumber * 3 AS y2 FROM lineitem"
@@ -22,9 +22,7 @@ TOTALS = "SELECT o_orderkey AS id, concat('total ', CASE o_orderkey % 3 WHEN 0 T
 
 
 def rows(spark, d, sql):
-    for name in ("lineitem", "orders"):
-        table(spark, d, name).createOrReplaceTempView(name)
-    return spark.sql(sql)
+    return over(spark, d, sql, "lineitem", "orders")
 
 
 @query("jn11_zone_overlap", f"WITH z AS ({ZONES}) SELECT a.page, a.id AS a, b.id AS b FROM z a JOIN z b ON a.page = b.page AND a.id < b.id AND a.x1 < b.x2 AND a.x2 > b.x1 AND a.y1 < b.y2 AND a.y2 > b.y1")
@@ -70,10 +68,10 @@ def agg12(spark, d):
     return merge_pages(rows(spark, d, PAGES), ["page", "id"])
 
 
-@query("agg19_batch_outcome", "SELECT strftime(ts, '%Y-%m-%d') AS batch, count(*) AS n, count(*) FILTER (event_type <> 'error') AS done, count(*) FILTER (event_type = 'error') AS failed FROM events GROUP BY 1")
+@query("agg19_batch_outcome", "SELECT strftime(ts, '%Y-%m-%d') AS batch, count(*) AS n, count(*) FILTER (event_type <> 'error') AS done, count(*) FILTER (event_type = 'error') AS failed, arg_min(concat('timeout ', CAST(user_id AS STRING)), event_id) FILTER (event_type = 'error') AS first_error FROM events GROUP BY 1")
 def agg19(spark, d):
-    failed = F.col("event_type") == "error"
-    return table(spark, d, "events").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("batch")).agg(F.count("*").alias("n"), F.count_if(~failed).alias("done"), F.count_if(failed).alias("failed"))
+    error = F.when(F.col("event_type") == "error", F.concat(F.lit("timeout "), F.col("user_id").cast("string")))
+    return batch_outcome(table(spark, d, "events").select(F.date_format("ts", "yyyy-MM-dd").alias("batch"), F.col("event_id").alias("id"), error.alias("error")))
 
 
 @query("ext8_tax_rows", f"WITH t AS ({DUTIES}) SELECT id, line, " + ", ".join(f"regexp_extract(text, '{DUTY}', {i}) AS {c}" for i, c in enumerate(["code", "base", "rate", "amount"], 1)) + f" FROM t WHERE regexp_matches(text, '{DUTY}')")

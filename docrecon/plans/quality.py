@@ -5,14 +5,13 @@ from pyspark.sql import functions as F
 from docrecon.operators import quality as Q
 from docrecon.operators.extraction import best_party_line
 from docrecon.registry import query
-from docrecon.sources.tables import table
+from docrecon.sources.tables import over, table
 
 K = "o_orderkey"
 
 
 def of(spark, d, source, sql):
-    table(spark, d, source).createOrReplaceTempView(source)
-    return spark.sql(sql)
+    return over(spark, d, sql, source)
 
 
 PACKAGES = f"CAST({K} % 40 + 1 AS STRING)"
@@ -62,9 +61,9 @@ METRICS = "SELECT l_partkey * 100000 + l_suppkey * 100 + l_linenumber AS id, 100
 
 @query("qlt8_image_metrics_gate", f"""WITH m AS ({METRICS}), w AS (SELECT *, round(least(width / 8.27::DOUBLE, height / 11.69::DOUBLE), 1) AS dpi FROM m), c AS (SELECT id, bytes, concat_ws(',', CASE WHEN width < 1200 THEN 'resolution_width_low' END, CASE WHEN height < 1600 THEN 'resolution_height_low' END, CASE WHEN dpi < 200 THEN 'estimated_dpi_low' END, CASE WHEN blur < 35 THEN 'image_blurry' END) AS hard,
 concat_ws(',', CASE WHEN contrast < 28 THEN 'low_contrast' END, CASE WHEN brightness < 55 THEN 'underexposed' END, CASE WHEN brightness > 220 THEN 'overexposed' END, CASE WHEN content_type = 'image/jpeg' AND bytes < width * height // 12 THEN 'jpeg_heavily_compressed' END) AS soft FROM w)
-SELECT id, CASE WHEN bytes = 0 THEN '' ELSE concat_ws(',', nullif(hard, ''), nullif(soft, '')) END AS warnings, CASE WHEN bytes = 0 THEN 'fichier_vide' ELSE hard END AS errors, bytes = 0 OR hard <> '' AS block FROM c""")
+SELECT id, CASE WHEN bytes = 0 THEN '' ELSE concat_ws(',', nullif(hard, ''), nullif(soft, '')) END AS warnings, CASE WHEN bytes = 0 THEN 0 ELSE len(list_filter(string_split(concat_ws(',', nullif(hard, ''), nullif(soft, '')), ','), lambda x: x <> '')) END AS tips, CASE WHEN bytes = 0 THEN 'fichier_vide' ELSE hard END AS errors, bytes = 0 OR hard <> '' AS block FROM c""")
 def qlt8(spark, d):
-    return Q.image_gate(of(spark, d, "lineitem", METRICS)).select("id", F.array_join("warnings", ",").alias("warnings"), F.array_join("errors", ",").alias("errors"), "block")
+    return Q.image_gate(of(spark, d, "lineitem", METRICS)).select("id", F.array_join("warnings", ",").alias("warnings"), F.size("advice").alias("tips"), F.array_join("errors", ",").alias("errors"), "block")
 
 
 VIEW = [("number", [], "header", True), ("exporter", ["exporter_name"], "parties", True), ("value_dinars", ["value_fob", "customs"], "values", False)]

@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from docrecon.functions.scalars import dum_validated, filled, parse_amount
 from docrecon.operators.core import latest_sessions, link_one_to_one, resolved_status
-from docrecon.operators.workflow import apply_corrections, comparison_rows, diff_fields, field_confidences, patch_lines, score_declaration
+from docrecon.operators.workflow import apply_corrections, comparison_rows, corrected_documents, diff_fields, field_confidences, issues_of, mean_confidence, patch_columns, patch_lines, score_declaration
 from docrecon.plans.aggregates import RESOLVED
 from docrecon.plans.reconciliation import REC, reconciled
 from docrecon.registry import query
-from docrecon.sources.tables import WITH, table
+from docrecon.sources.tables import over, WITH, table
 
 # What a user submits for a declaration: some values edited, some cleared, some filled in.
 SUBMITTED = {
@@ -43,18 +43,14 @@ def val3(spark, d):
     return apply_corrections(kept, diff_fields(stored(spark, d), submitted(spark, d)))
 
 
-@query("val5_history_rows", WITH + RESOLVED + """, s AS (SELECT document_id, validator_id, ended_at FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY coalesce(ended_at, started_at) DESC, id) AS n FROM v_sessions) WHERE n = 1)
-SELECT d.id AS document_id, coalesce(nullif(d.numero, ''), concat('Document #', CAST(d.id AS STRING))) AS document, d.numero, o.username AS owner, strftime(d.created_at, '%Y-%m-%d') AS date, r.resolved AS status,
-s.ended_at AS validated_at, v.username AS validator FROM v_declarations d JOIN resolved r ON r.id = d.id LEFT JOIN v_users o ON o.id = d.user_id LEFT JOIN s ON s.document_id = d.id LEFT JOIN v_users v ON v.id = s.validator_id""")
-def val5(spark, d):
-    sessions = table(spark, d, "v_sessions")
-    ends = latest_sessions(sessions).select(F.col("document_id").alias("id"), F.col("ended_at").alias("validated_at"))
-    users = table(spark, d, "v_users")
-    owners = users.select(F.col("id").alias("user_id"), F.col("username").alias("owner"))
-    validators = users.select(F.col("id").alias("validator_id"), F.col("username").alias("validator"))
-    rows = resolved_status(table(spark, d, "v_declarations"), sessions).join(ends, "id", "left").join(owners, "user_id", "left").join(validators, "validator_id", "left")
-    label = F.coalesce(F.nullif("numero", F.lit("")), F.concat(F.lit("Document #"), F.col("id").cast("string")))
-    return rows.select(F.col("id").alias("document_id"), label.alias("document"), "numero", "owner", F.date_format("created_at", "yyyy-MM-dd").alias("date"), F.col("resolved").alias("status"), "validated_at", "validator")
+@query("val3_corrected_documents", WITH + DIFF + """SELECT d.id, coalesce(c.n, 0) AS corrections, CASE WHEN c.n IS NULL THEN d.statut WHEN d.id % 2 = 0 THEN 'validated' WHEN d.id % 3 = 0 THEN 'rejected' ELSE 'processing' END AS statut, concat('{', coalesce(c.raw, ''), '}') AS raw_json FROM v_declarations d
+LEFT JOIN (SELECT id, count(*) AS n, string_agg(concat('"', field_key, '":"', new_value, '"'), ',' ORDER BY field_key) AS raw FROM changed GROUP BY 1) c ON c.id = d.id""")
+def val3_documents(spark, d):
+    changes = diff_fields(stored(spark, d), submitted(spark, d))
+    k = F.col("id")
+    said = changes.select("id").distinct().withColumn("status", F.when(k % 2 == 0, " Valide").when(k % 3 == 0, "REJETE").otherwise("inprogress"))
+    dums = table(spark, d, "v_declarations").select("id", "statut", F.lit("{}").alias("raw_json"))
+    return corrected_documents(dums, changes, said).select("id", "corrections", "statut", "raw_json")
 
 
 @query("val6_patch_invoices", WITH + """, new AS (SELECT invoice_id, line_order, quantite * 2 AS quantite, montant_ligne FROM v_lines WHERE invoice_id % 10 = 3 AND line_order <= 2)
@@ -65,6 +61,15 @@ def val6(spark, d):
     return patch_lines(lines, new)
 
 
+@query("val6_patch_headers", WITH + "SELECT id, CASE WHEN id % 10 = 3 THEN 'CHF' WHEN id % 10 = 4 THEN NULL ELSE devise END AS devise, CASE WHEN id % 10 = 4 THEN 1.5 ELSE net_pay END AS net_pay, numero FROM v_invoices")
+def val6_headers(spark, d):
+    # One patch sets a currency, the other clears it and sets the amount; columns that aren't named stay.
+    k = F.col("id")
+    some = table(spark, d, "v_invoices").where("id % 10 in (3, 4)")
+    patches = some.select("id", F.when(k % 10 == 3, F.array(F.lit("devise"))).otherwise(F.array(F.lit("devise"), F.lit("net_pay"))).alias("provided"), F.when(k % 10 == 3, "CHF").alias("devise"), F.when(k % 10 == 4, 1.5).alias("net_pay"))
+    return patch_columns(table(spark, d, "v_invoices"), patches).select("id", "devise", "net_pay", "numero")
+
+
 @query("rec7_comparison_table", WITH + REC + """, c AS (SELECT * FROM rec)
 SELECT id, 'montant_net_pay_vs_pfn' AS code, 1 AS position, CASE WHEN usable AND status <> 'error' AND NOT off THEN 'ok' WHEN usable AND off AND severe THEN 'error' ELSE 'warning' END AS tone FROM c
 UNION ALL SELECT id, 'currency_mismatch', 2, CASE WHEN cur THEN 'warning' ELSE 'ok' END FROM c
@@ -84,25 +89,13 @@ def with_dates(spark, d):
     return reconciled(spark, d).join(dates, "dum_id", "left")
 
 
-@query("rec8_workflow_progress", WITH + REC + """SELECT id, CASE WHEN dum_numero IS NULL OR NOT lower(trim(dum_statut)) IN ('validated', 'valide') THEN CASE WHEN dum_statut IN ('processing', 'pending') THEN 'done,done,current,pending,pending' ELSE 'done,current,pending,pending,pending' END
-WHEN status = 'ok' THEN 'done,done,done,done,current' ELSE 'done,done,done,current,pending' END AS steps FROM rec""")
-def rec8(spark, d):
-    # Steps: import, extraction, validation, reconciliation, export. The first that isn't done is the current one.
-    validated = F.coalesce(dum_validated(F.col("dum_statut")), F.lit(False))
-    done = F.when(validated & (F.col("status") == "ok"), 4).when(validated, 3).when(F.col("dum_statut").isin("processing", "pending"), 2).otherwise(1)
-    steps = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.when(i < F.col("_done"), "done").when(i == F.col("_done"), "current").otherwise("pending"))
-    return reconciled(spark, d).withColumn("_done", done).select("id", F.array_join(steps, ",").alias("steps"))
-
-
 @query("rec9_dossier_report", WITH + REC + """, c AS (SELECT id, dum_id, status, gap, usable AND status <> 'error' AND NOT off AS aligned,
 CASE WHEN usable AND status <> 'error' AND NOT off THEN 0 ELSE 1 END + CASE WHEN cur THEN 1 ELSE 0 END + CASE WHEN nombre_colis <> dum_colis THEN 1 ELSE 0 END
 + CASE WHEN usable AND wt OR abs(poids_net - dum_poids) >= 0.01 THEN 1 ELSE 0 END + CASE WHEN mode_livraison <> dum_mode THEN 1 ELSE 0 END AS issues FROM rec)
 SELECT id, dum_id, status, gap, aligned, issues, status = 'ok' AND aligned AND issues = 0 AS conforme FROM c""")
 def rec9(spark, d):
-    r = with_dates(spark, d)
-    issues = comparison_rows(r).groupBy("id").agg(F.count_if(F.col("tone").isin("error", "warning")).alias("issues"), F.bool_or((F.col("position") == 1) & (F.col("tone") == "ok")).alias("aligned"))
-    j = r.select("id", "dum_id", "status", "gap").join(issues, "id")
-    return j.select("id", "dum_id", "status", "gap", "aligned", "issues", ((F.col("status") == "ok") & F.col("aligned") & (F.col("issues") == 0)).alias("conforme"))
+    r = issues_of(with_dates(spark, d))
+    return r.select("id", "dum_id", "status", "gap", "aligned", "issues", ((F.col("status") == "ok") & F.col("aligned") & (F.col("issues") == 0)).alias("conforme"))
 
 
 @query("erp1_export_request_check", WITH + """, q AS (SELECT id, CASE id % 4 WHEN 0 THEN ' DUM ' WHEN 1 THEN 'invoice' WHEN 2 THEN 'Dossier' ELSE 'other' END AS kind, dum_id, CASE WHEN id % 6 = 1 THEN NULL ELSE id END AS invoice_id FROM v_invoices)
@@ -120,13 +113,11 @@ def erp1(spark, d):
 # A declaration's header with the fields that the score looks at.
 HEADER = """SELECT d.id, CASE WHEN d.id % 10 = 1 THEN concat(d.numero, 'X') ELSE d.numero END AS number, CASE WHEN d.id % 9 = 0 THEN NULL ELSE date_text END AS date, CASE d.id % 4 WHEN 0 THEN 'I.M 4' WHEN 1 THEN 'EA' WHEN 2 THEN 'ex1' ELSE 'ZZ' END AS type, d.devise AS currency,
 CASE WHEN d.id % 8 = 0 THEN 'AB 12' ELSE u.username END AS exporter, CASE WHEN d.id % 12 = 0 THEN ' AB ' ELSE u.username END AS importer, d.poids_brut AS gross, d.poids_net AS net, CASE WHEN d.id % 6 = 0 THEN '' ELSE '12' END AS office,
-CASE WHEN d.id % 5 = 0 THEN 'D2024AB1C' ELSE 'none' END AS auth_key FROM (SELECT *, {date} AS date_text FROM v_declarations) d LEFT JOIN v_users u ON u.id = d.user_id"""
+CASE WHEN d.id % 5 = 0 THEN 'D2024AB1C' ELSE 'none' END AS auth_key, CASE WHEN d.id % 3 = 0 THEN '602' END AS duty_code, CASE d.id % 3 WHEN 0 THEN '13,5' WHEN 1 THEN 'x' END AS duty_total, d.score_confiance FROM (SELECT *, {date} AS date_text FROM v_declarations) d LEFT JOIN v_users u ON u.id = d.user_id"""
 
 
 def header(spark, d):
-    for name in ("v_declarations", "v_users"):
-        table(spark, d, name).createOrReplaceTempView(name)
-    return spark.sql(HEADER.format(date="date_format(created_at, 'dd/MM/yyyy')"))
+    return over(spark, d, HEADER.format(date="date_format(created_at, 'dd/MM/yyyy')"), "v_declarations", "v_users")
 
 
 QLT1 = """, h AS (""" + HEADER.format(date="strftime(created_at, '%d/%m/%Y')") + """), c AS (SELECT *, coalesce(regexp_full_match(number, '[0-9]{6}'), false) AS a, coalesce(regexp_matches(date, '[0-9]{2}[/.-][0-9]{2}[/.-][0-9]{4}'), false) AS b,
@@ -144,19 +135,22 @@ def qlt1(spark, d):
 
 CONFIDENCE = WITH + ", h AS (" + HEADER.format(date="strftime(created_at, '%d/%m/%Y')") + """), c AS (SELECT id, CASE WHEN coalesce(number, '') = '' THEN 0 WHEN regexp_full_match(number, '[0-9]{6}') THEN 95 ELSE 35 END AS number, CASE WHEN coalesce(date, '') = '' THEN 0 WHEN regexp_full_match(date, '[0-9]{2}[-/.][0-9]{2}[-/.][0-9]{4}') THEN 90 ELSE 45 END AS date,
 CASE WHEN regexp_full_match(upper(type), '(EA|SE|EE|DUM|IM[0-9]*|EX[0-9]*|T1)') THEN 88 ELSE 40 END AS type, CASE WHEN trim(coalesce(importer, '')) = '' THEN 0 WHEN length(regexp_replace(importer, '[^A-Za-z]', '', 'g')) >= 6 THEN 78 ELSE 45 END AS importer, 80 AS gross, 80 AS net,
-CASE WHEN regexp_full_match(auth_key, 'D[0-9]{2,6}[A-Z]{2,4}[0-9][A-Z]') THEN 92 ELSE 35 END AS auth_key FROM h) """
+CASE WHEN regexp_full_match(auth_key, 'D[0-9]{2,6}[A-Z]{2,4}[0-9][A-Z]') THEN 92 ELSE 35 END AS auth_key, CASE WHEN duty_code IS NULL THEN 0 ELSE 65 END AS duty_code, CASE WHEN duty_total IS NULL THEN 0 WHEN duty_total = 'x' THEN 50 ELSE 80 END AS duty_total, score_confiance FROM h) """
 
 
-@query("qlt2_field_confidences", CONFIDENCE + "SELECT id, number, date, type, importer, gross, net, auth_key FROM c")
+@query("qlt2_field_confidences", CONFIDENCE + "SELECT id, number, date, type, importer, gross, net, auth_key, duty_code, duty_total FROM c")
 def qlt2(spark, d):
-    return field_confidences(header(spark, d)).select("id", *[F.col("confidence")[k].alias(k) for k in ("number", "date", "type", "importer", "gross", "net", "auth_key")])
+    return field_confidences(header(spark, d)).select("id", *[F.col("confidence")[k].alias(k) for k in ("number", "date", "type", "importer", "gross", "net", "auth_key", "duty_code", "duty_total")])
+
+
+NINE = "(number + date + type + importer + gross + net + auth_key + duty_code + duty_total) / 9.0"
 
 
-@query("agg15_mean_field_confidence", CONFIDENCE + "SELECT id, (number + date + type + importer + gross + net + auth_key) / 7.0 AS mean, CAST(floor((number + date + type + importer + gross + net + auth_key) / 7.0 + 0.5) AS INT) AS rounded FROM c")
+@query("agg15_mean_field_confidence", CONFIDENCE + f"SELECT id, CASE WHEN id % 14 = 0 THEN score_confiance ELSE {NINE} END AS mean, CASE WHEN id % 14 = 0 THEN score_confiance ELSE CAST(floor({NINE} + 0.5) AS INT) END AS rounded FROM c")
 def agg15(spark, d):
-    values = F.map_values("confidence")
-    mean = F.aggregate(values, F.lit(0), lambda a, x: a + x) / F.size(values)
-    return field_confidences(header(spark, d)).select("id", mean.alias("mean"), F.floor(mean + 0.5).cast("int").alias("rounded"))
+    # Some documents have no confidences at all; their own score stands in.
+    docs = field_confidences(header(spark, d)).withColumn("confidence", F.when(F.col("id") % 14 != 0, F.col("confidence")))
+    return docs.select("id", *[c.alias(k) for k, c in mean_confidence(F.col("confidence"), F.col("score_confiance")).items()])
 
 
 @query("jn4_dum_meta_fill", WITH + "SELECT i.id, coalesce(CASE WHEN i.id % 2 = 0 THEN concat('N', i.numero) END, d.numero) AS dum_numero, d.created_at AS dum_date FROM v_invoices i LEFT JOIN v_declarations d ON d.id = i.dum_id")

@@ -3,6 +3,8 @@ so the checks' SQL reads the same rows."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +75,14 @@ def archive_path(root: str, uploader: Column, at: Column, file: Column, invoice:
     return F.concat_ws("/", F.lit(root), F.when(invoice, "factures"), path_segment(uploader, "inconnu"), F.date_format(at, "yyyy/MM/dd"), named)
 
 
+def over(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
+    """A query over the named tables, which go by names of this library in the session, so that the user's views stay."""
+    for name in names:
+        table(spark, sf_dir, name).createOrReplaceTempView(f"docrecon_{name}")
+        sql = re.sub(rf"\b(FROM|JOIN) {name}\b", rf"\1 docrecon_{name}", sql)
+    return spark.sql(sql)
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, low: int, high: int, parts: int) -> DataFrame:
     """A table of a relational database, read in ranges of its id."""
     return spark.read.jdbc(url, name, column="id", lowerBound=low, upperBound=high, numPartitions=parts)
