@@ -4,10 +4,17 @@ from pyspark.sql import functions as F
 
 from docrecon.operators import extraction as E
 from docrecon.operators.embedded import embedded_layout
-from docrecon.plans.layout import rows
+from docrecon.plans import layout
 from docrecon.registry import query
+from docrecon.sources.tables import spread
 
 K = "o_orderkey"
+
+
+def rows(spark, d, sql):
+    return spread(layout.rows(spark, d, sql))
+
+
 DAY = "concat(lpad(CAST(day(o_orderdate) AS STRING), 2, '0'), '/', lpad(CAST(month(o_orderdate) AS STRING), 2, '0'), '/', CAST(year(o_orderdate) AS STRING))"
 DASHED = f"replace({DAY}, '/', '-')"
 NUMBER = f"lpad(CAST({K} % 1000000 AS STRING), 6, '0')"

@@ -83,6 +83,12 @@ def over(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     return spark.sql(sql)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer tasks than there are cores is dealt over all of them, before costly work by row; others stay."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_jdbc(spark: SparkSession, url: str, name: str, low: int, high: int, parts: int) -> DataFrame:
     """A table of a relational database, read in ranges of its id."""
     return spark.read.jdbc(url, name, column="id", lowerBound=low, upperBound=high, numPartitions=parts)
