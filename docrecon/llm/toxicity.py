@@ -11,6 +11,7 @@ and turned into a score by a logistic curve, fitted on votes for examples of eac
 from __future__ import annotations
 
 import math
+import pickle
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -175,14 +176,30 @@ def index(examples: pa.Table) -> Model:
     return Model(rate, (1.0, 0.0), ids[new], toxic[new], terms, weight, row, dense, dense.reshape(len(dense), size // BLOCK, BLOCK).max(2), start, place[rare].astype(np.int32), w[rare].astype(np.float32))
 
 
+EXAMPLES = pa.schema([("doc_id", pa.int64()), ("toxic", pa.int32()), ("terms", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64()))])
+
+
+@dataclass
+class Fitted:
+    """A model as bytes, and its curve."""
+
+    blob: bytes
+    curve: tuple[float, float]
+
+    def model(self) -> Model:
+        m = pickle.loads(self.blob)
+        m.curve = self.curve
+        return m
+
+
 def held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Fitted:
     """A model from rows of labels (doc_id, toxic) whose crc32(doc_id as text) mod 3 isn't 1, at most max_examples of them.
 
-    The chosen ids are broadcast and the counts of their terms reach the driver (max_examples bounds both). Labels that are
+    The chosen ids are broadcast, one task indexes their texts, and the model's bytes reach the driver (max_examples bounds all). Labels that are
     null or without a document teach nothing; of labels that disagree the toxic one holds; of documents that repeat a doc_id
     the text that sorts last is the example's. Without toxic or without other examples all scores are the rate.
     """
@@ -197,35 +214,38 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("toxic"), *lists], ["doc_id", "toxic", "terms", "counts"])
 
     examples = saved(texts.mapInArrow(counted, "doc_id long, toxic int, terms array<long>, counts array<long>"))
-    table = examples.toArrow().sort_by("doc_id")
-    ids, half = table.column("doc_id").to_numpy(), np.arange(table.num_rows) % 2 == 0
-    model = index(table)
-    halves = [index(table.filter(pa.array(half == h))) for h in (True, False)]
-    del table
-    if all(len(m.terms) for m in halves):
-        shared = docs.sparkSession.sparkContext.broadcast((halves, ids))
-        del halves
-
-        def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            models, every = shared.value
-            for batch in batches:
-                terms, counts = ([np.array(x) for x in batch.column(c).to_pylist()] for c in ("terms", "counts"))
-                first = np.searchsorted(every, batch.column("doc_id").to_numpy()) % 2 == 0
-                for own, m in ((first, models[1]), (~first, models[0])):
-                    rows = np.flatnonzero(own)
-                    for i in range(0, len(rows), BATCH):
-                        part = rows[i : i + BATCH]
-                        votes, _ = m.votes([m.known(terms[j].astype(np.int64).view(np.uint64), counts[j])[1:] for j in part])
-                        yield pa.RecordBatch.from_arrays([pa.array(votes), batch.column("toxic").take(pa.array(part)).cast(pa.float64())], ["vote", "toxic"])
-
-        found = examples.repartition(16).mapInArrow(crossed, "vote double, toxic double").toArrow().sort_by([("vote", "ascending"), ("toxic", "ascending")])
-        model.curve = logistic(odds(found.column("vote").to_numpy()), found.column("toxic").to_numpy())
-        shared.destroy()
-    pa.default_memory_pool().release_unused()
-    return model
-
-
-def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), EXAMPLES).sort_by("doc_id")
+        even = np.arange(table.num_rows) % 2 == 0
+        for name, part in (("all", table), ("even", table.filter(pa.array(even))), ("odd", table.filter(pa.array(~even)))):
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([pickle.dumps(index(part))], pa.binary())], ["name", "model"])
+
+    # One task indexes the bounded sample, so the driver holds models as bytes only.
+    built = saved(examples.coalesce(1).mapInArrow(build, "name string, model binary"))
+    blob = lambda name: bytes(row["model"]) if (row := built.where(F.col("name") == name).first()) else pickle.dumps(index(EXAMPLES.empty_table()))
+    ids = np.sort(np.array([r[0] for r in examples.select("doc_id").collect()], np.int64))
+    shared = docs.sparkSession.sparkContext.broadcast((blob("even"), blob("odd"), ids))
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, every = of_stage("halves", lambda: [*map(pickle.loads, shared.value[:2])]), shared.value[2]
+        for batch in batches:
+            terms, counts = ([np.array(x) for x in batch.column(c).to_pylist()] for c in ("terms", "counts"))
+            first = np.searchsorted(every, batch.column("doc_id").to_numpy()) % 2 == 0
+            for own, m in ((first, models[1]), (~first, models[0])):
+                rows = np.flatnonzero(own) if len(m.terms) else []
+                for i in range(0, len(rows), BATCH):
+                    part = rows[i : i + BATCH]
+                    votes, _ = m.votes([m.known(terms[j].astype(np.int64).view(np.uint64), counts[j])[1:] for j in part])
+                    yield pa.RecordBatch.from_arrays([pa.array(votes), batch.column("toxic").take(pa.array(part)).cast(pa.float64())], ["vote", "toxic"])
+
+    found = sorted((r["vote"], r["toxic"]) for r in examples.repartition(16).mapInArrow(crossed, "vote double, toxic double").collect())
+    shared.destroy()
+    curve = logistic(odds(np.array([v for v, _ in found])), np.array([t for _, t in found])) if found else (1.0, 0.0)
+    return Fitted(blob("all"), curve)
+
+
+def score_toxicity(docs: DataFrame, model: Fitted, threshold: float = THRESHOLD) -> DataFrame:
     """docs with held_out boolean, score double (0 to 1), predicted int (1 from the threshold on), evidence array<string> (the
     terms with the most weight), examples array<long> (doc_ids of the nearest three). Null and empty texts, and such without
     a term of any example, have no neighbours and the score of the plain rate. Equal texts have equal neighbours; of examples
@@ -236,7 +256,7 @@ def score_toxicity(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "score double, evidence array<string>, examples array<bigint>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m, hashes = shared.value, of_stage("words", WordHashes)
+        m, hashes = of_stage("model", lambda: shared.value.model()), of_stage("words", WordHashes)
         for whole_batch in batches:
             for i in range(0, whole_batch.num_rows, BATCH):
                 batch = whole_batch.slice(i, BATCH)

@@ -352,7 +352,8 @@ def test_toxicity_against_a_full_scan(spark):
     texts = [" ".join(rng.choice(words[: rng.choice([5, 30, 300])]) for _ in range(rng.randrange(1, 40))) + (" vile" if i % 5 == 0 else "") for i in range(400)]
     texts[7] = texts[8]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    model = tox.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 5 = 0) toxic"))
+    fitted = tox.fit(docs, docs.selectExpr("doc_id", "int(doc_id % 5 = 0) toxic"))
+    model = fitted.model()
     known = [i for i in range(400) if zlib.crc32(str(i).encode()) % 3 != 1]
     assert sorted(model.ids.tolist()) == known and model.dense.shape[1] // tox.BLOCK > 1 and len(model.dense)
     rate, n = sum(i % 5 == 0 for i in known) / len(known), len(known)
@@ -369,7 +370,7 @@ def test_toxicity_against_a_full_scan(spark):
         return {w: x / norm for w, x in v.items()}
 
     own = {i: vector(texts[i]) for i in known}
-    got = {r["doc_id"]: r for r in tox.score_toxicity(docs, model).collect()}
+    got = {r["doc_id"]: r for r in tox.score_toxicity(docs, fitted).collect()}
     for i in range(0, 400, 7):
         v = vector(texts[i])
         cosines = sorted(((sum(x * own[k].get(w, 0) for w, x in v.items()), k) for k in known), reverse=True)
