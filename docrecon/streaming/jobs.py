@@ -4,12 +4,14 @@ tables, both share the rule."""
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
+from docrecon.operators.extraction import parse_declarations
 from docrecon.operators.layout import in_order
 
 
@@ -29,17 +31,22 @@ def rate_limit(requests: DataFrame, limit: int = 10, seconds: int = 60) -> DataF
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = 10, seconds: int = 60) -> DataFrame:
-    """rate_limit over a stream: within a micro-batch requests pass in order of their time."""
+    """rate_limit over a stream: within a micro-batch requests pass in order of their time. The state of a key that has been quiet for
+    two windows of clock time goes: all its stamps are too old by then."""
 
     def step(key, frames, state):
+        if state.hasTimedOut:
+            state.remove()
+            return
         stamps = deque(state.get[0]) if state.exists else deque()
         rows = pd.concat(list(frames)).sort_values(["micros", "id"])
         accepted = [_admit(stamps, int(t), limit, seconds * 1_000_000) for t in rows["micros"]]
         state.update((list(stamps),))
+        state.setTimeoutDuration(2_000 * seconds)
         yield rows[["route", "ip", "id", "micros"]].assign(accepted=accepted)
 
     keyed = requests.select("route", "ip", "id", "micros").groupBy("route", "ip")
-    return keyed.applyInPandasWithState(step, "route string, ip string, id long, micros long, accepted boolean", "stamps array<long>", "append", GroupStateTimeout.NoTimeout)
+    return keyed.applyInPandasWithState(step, "route string, ip string, id long, micros long, accepted boolean", "stamps array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def failed_logins(logins: DataFrame, failures: int = 5) -> DataFrame:
@@ -59,13 +66,23 @@ def revocation_stream(revocations: DataFrame, keep: str = "1 day") -> DataFrame:
     return revocations.withWatermark("revoked_at", keep).dropDuplicatesWithinWatermark(["jti"])
 
 
-def ingest(documents: DataFrame, extract, folder: str, checkpoint: str):
-    """Start a stream of documents (id, text) into two tables: header rows extract(batch) and lines (id, n, line). A batch
-    overwrites its own folders only, so one that runs again leaves no row twice."""
+def declaration_tables(documents: DataFrame) -> dict[str, DataFrame]:
+    """The rows that new declarations (id, text) give: header (fields, score, quality, flags, reasons), articles, taxes."""
+    parsed = parse_declarations(documents.select("id", "text")).drop("text")
+    return {
+        "header": parsed.drop("articles", "taxes"), "articles": parsed.select("id", F.posexplode("articles").alias("position", "a")).select("id", "position", "a.*"),
+        "taxes": parsed.select("id", F.posexplode("taxes").alias("position", "t")).select("id", "position", "t.*"),
+    }
+
+
+def ingest(documents: DataFrame, folder: str, checkpoint: str, tables: Callable[[DataFrame], dict[str, DataFrame]] = declaration_tables):
+    """Start a stream of documents (id, text) into the tables that each batch gives. A batch overwrites its own folders only, so one
+    that runs again leaves no row twice."""
 
     def write(batch: DataFrame, number: int) -> None:
-        extract(batch).write.mode("overwrite").parquet(f"{folder}/header/batch={number}")
-        lines = batch.select("id", F.posexplode(F.split("text", "\n")).alias("n", "line")).where("trim(line) <> ''")
-        lines.write.mode("overwrite").parquet(f"{folder}/lines/batch={number}")
+        batch.persist()
+        for name, rows in tables(batch).items():
+            rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        batch.unpersist()
 
     return documents.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -63,12 +63,15 @@ def test_failed_login_windows(spark):
 
 def test_ingest(spark):
     folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    docs = spark.createDataFrame([(1, "a\n\nb"), (2, None), (3, "c")], "id long, text string")
+    text = "654321 05-06-2022\nTYPE DECLARATION EA 1 20 fin\n1 8542319000 TN 100.500 x 2 8542319000 DE 7000,250 y\n602 10.500 1.250000 13.000 end"
+    docs = spark.createDataFrame([(1, text), (2, None), (3, "c")], "id long, text string")
     docs.write.parquet(f"{folder}/in")
     stream = spark.readStream.schema(docs.schema).parquet(f"{folder}/in")
-    ingest(stream, lambda b: b.select("id", F.length("text").alias("n_chars")), f"{folder}/out", f"{folder}/c").awaitTermination(120)
-    assert spark.read.parquet(f"{folder}/out/header").count() == 3
-    assert sorted(r["line"] for r in spark.read.parquet(f"{folder}/out/lines").collect()) == ["a", "b", "c"]
+    ingest(stream, f"{folder}/out", f"{folder}/c").awaitTermination(180)
+    header = {r["id"]: r for r in spark.read.parquet(f"{folder}/out/header").collect()}
+    assert set(header) == {1, 2, 3} and header[1]["number"] == "654321" and header[1]["score"] > header[2]["score"] and "number" in header[3]["flags"]
+    assert sorted(tuple(r)[:5] for r in spark.read.parquet(f"{folder}/out/articles").drop("batch").select("id", "position", "line", "hs", "value").collect()) == [(1, 0, 1, "8542319000", "100.500"), (1, 1, 2, "8542319000", "7000.250")]
+    assert [r["code"] for r in spark.read.parquet(f"{folder}/out/taxes").collect()] == ["602"]
 
 
 def test_zone_overlap_across_cells(spark):
