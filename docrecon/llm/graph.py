@@ -47,10 +47,14 @@ HUB, MAX_HUBS = 512, 100_000
 def with_least(rows: DataFrame, hub: int) -> tuple[DataFrame, DataFrame]:
     """rows (u, v) with m, the least v of u; and (u, m). Nodes with more than `hub` rows are joined by broadcast, so that
     none is a single task's work; rows / hub bounds how many there are. The least is taken from partial ones."""
-    least = rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-    hubs = F.broadcast(least.where(F.col("n") > hub).drop("n"))
-    others = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= hub).drop("n").hint("merge"), "u")
-    return rows.join(hubs, "u").select("u", "v", "m").union(others.select("u", "v", "m")), least.select("u", "m")
+    least = saved(rows.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+    plain = least.select("u", "m")
+    large = least.where(F.col("n") > hub).select("u", "m")
+    if not large.take(1):
+        return rows.join(plain.hint("merge"), "u").select("u", "v", "m"), plain
+    hubs = F.broadcast(large)
+    others = rows.join(hubs.select("u"), "u", "left_anti").join(least.where(F.col("n") <= hub).select("u", "m").hint("merge"), "u")
+    return rows.join(hubs, "u").select("u", "v", "m").union(others.select("u", "v", "m")), plain
 
 
 def components(links: DataFrame) -> DataFrame:
