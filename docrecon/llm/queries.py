@@ -11,8 +11,9 @@ from docrecon.llm.packing import op10_packing
 from docrecon.llm.shards import op5_sharding
 from docrecon.llm.substring import op1_substring
 from docrecon.llm.toxicity import op4_toxicity
+from docrecon.llm.warc import OP12_SQL, op12_warc
 from docrecon.llm.wavelet import op8_wavelet
 from docrecon.llm.whitening import op11_whitening
 
-QUERIES = {f.__name__: f for f in (op1_substring, op2_html, op3_minhash, op4_toxicity, op5_sharding, op6_decontaminate, op7_fingerprint, op8_wavelet, op9_licences, op10_packing, op11_whitening)}
-SQL = {"op9_licences": OP9_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring, op2_html, op3_minhash, op4_toxicity, op5_sharding, op6_decontaminate, op7_fingerprint, op8_wavelet, op9_licences, op10_packing, op11_whitening, op12_warc)}
+SQL = {"op9_licences": OP9_SQL, "op12_warc": OP12_SQL}
