@@ -75,12 +75,11 @@ def fold_text(c) -> Column:
     """Upper case without accents: compatible forms are taken apart, marks go. The table covers Latin, Greek and Cyrillic letters,
     letter-like signs and full-width forms; loose marks (U+0300 to U+036F) go too; other scripts stay."""
     c = F.regexp_replace(F.replace(F.replace(c, F.lit("â€™"), F.lit("'")), F.lit("™"), F.lit("T")), "[\u0300-\u036f]", "")
-    apart = c
-    for letter, plain in SEVERAL.items():
-        apart = F.replace(apart, F.lit(letter), F.lit(plain))
+    letters = F.str_to_map(F.lit("\n".join(f"{k}\t{v}" for k, v in SEVERAL.items())), F.lit("\n"), F.lit("\t"))
+    apart = F.array_join(F.transform(F.split(c, ""), lambda x: F.coalesce(F.try_element_at(letters, x), x)), "")
     # Texts with such letters are few, and a translation tells them faster than a pattern would.
     c = F.when(F.translate(c, "".join(SEVERAL), "") != c, apart).otherwise(c)
-    return F.upper(F.translate(c, LETTERS, PLAIN))
+    return F.upper(F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, LETTERS, PLAIN)))
 
 
 def name_similarity(a, b) -> Column:

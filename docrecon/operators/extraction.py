@@ -7,8 +7,10 @@ a column that all patterns read.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docrecon.functions.scalars import amount_eu, clean_amount, filled, fold_text, normalize_date, parse_amount
@@ -39,13 +41,16 @@ COUNTRIES = {"TN": "TUNISIE", "DE": "ALLEMAGNE", "FR": "FRANCE", "IT": "ITALIE",
 COUNTRY = r"\b(TN|1N|TM|DE|FR|US|IT|ES|BE|CN|TR|NL|GB)\s+(?:TUNISIE|FRANCE|ALLEMAGNE|U\.?\s*S\.?\s*A\.?|USA|ITALIE|ESPAGNE|BELGIQUE|CHINE|TURQUIE|PAYS\s+BAS|ROYAUME\s+UNI)(?![A-Z])"
 COUNTRY_LABELS = {"origin": r"PAYS\s+(?:DE\s+)?PROVENANCE", "purchase": r"PAYS\s+D[' ]?ACHAT", "first_destination": r"PREMIERE\s+DESTINATION", "final_destination": r"DESTINATION\s+DEFINITIVE"}
 TITLE = r"T(?:I|[1L!|])TRE\s+CE"
+LABELLED_TITLE = r"CODE\s+TITRE\s+CE[^\d]{0,55}(\d{1,3})\b[\s\S]{0,300}?NUMERO\s+TITRE\s+CE[^\d]{0,55}(\d{5,12})\b"
+# The patterns of a title, each behind the words without which it can't match; it begins with the first.
 TITLES = [
-    rf"CODE\s+{TITLE}[^\d]{{0,55}}(\d{{1,3}})\b[\s\S]{{0,300}}?(?:N\s*[°O0]?\s*|NUM\s*E?RO\s*){TITLE}[^\d]{{0,55}}(\d{{5,12}})\b", r"\b43\b[^\d]{0,45}(\d{1,3})\b[\s\S]{0,120}?\b44\b[^\d]{0,45}(\d{5,12})\b",
-    rf"{TITLE}[^\d]{{0,80}}(\d{{1,3}})\b[^\d]{{1,40}}(\d{{6,8}})\b",
-    r"\b532\b\D{0,650}?(\d{1,3})\D{0,55}(\d{6,8})\b[\s\S]{0,220}?\b21\b\D{0,40}\b11\b", r"\b362\b[\s\S]{0,180}?\b532\b[\s\S]{0,650}?(\d{1,3})\D{0,55}(\d{6,8})\b[\s\S]{0,220}?\b21\b\D{0,40}\b11\b",
+    (["CODE", "TRE"], rf"CODE\s+{TITLE}[^\d]{{0,55}}(\d{{1,3}})\b[\s\S]{{0,300}}?(?:N\s*[°O0]?\s*|NUM\s*E?RO\s*){TITLE}[^\d]{{0,55}}(\d{{5,12}})\b"), (["CODE", "TITRE"], LABELLED_TITLE),
+    (["43", "44"], r"\b43\b[^\d]{0,45}(\d{1,3})\b[\s\S]{0,120}?\b44\b[^\d]{0,45}(\d{5,12})\b"),
+    (["532", "21", "11"], r"\b532\b\D{0,650}?(\d{1,3})\D{0,55}(\d{6,8})\b[\s\S]{0,220}?\b21\b\D{0,40}\b11\b"), (["362", "532", "21", "11"], r"\b362\b[\s\S]{0,180}?\b532\b[\s\S]{0,650}?(\d{1,3})\D{0,55}(\d{6,8})\b[\s\S]{0,220}?\b21\b\D{0,40}\b11\b"),
 ]
-ROW = r"\b([1-9]\d?)\s+((?:\d\s*){8,12})\s+([A-Z]{1,3})\s+(\d{3,12}[,.]\d{3})"
-ARTICLE = r"(\b[1-9]\d?\s+(?:\d\s*){8,12}\s+[A-Z]{1,3}\s+\d{3,12}[,.]\d{3})(?=([\s\S]{0,1300}))"
+ROW = r"[1-9]\d?\s+(?:\d\s*){8,12}\s+[A-Z]{1,3}\s+\d{3,12}[,.]\d{3}"
+ROW_PARTS = r"^([1-9]\d?)\s+((?:\d\s*){8,12})\s+([A-Z]{1,3})\s+(\d{3,12}[,.]\d{3})$"
+ARTICLE = rf"\b(?=({ROW}[\s\S]{{0,1300}})){ROW}"
 LINE_AND_CODE = r"(?m)^\s*([1-9]\d?)\s+(\d{4}\s?\d{2}\s?\d{2}(?:\s?\d{2,3})?)\b"
 PRICED = r"^\s*([1-9]\d?)\s+(\d{8,11})\s+(.{2,120}?)\s+(\d+(?:[.,]\d+)?)\s+(KG|U|PCE|PCS|M|L|T)\s+(\d+(?:[.,]\d+)?)\s*$"
 # Rows of duties, amounts with their currency, conversion rates.
@@ -53,12 +58,50 @@ DUTY = r"\b(\d{3})\s+(\d{1,10}[,.]\d{3})\s+(\d{1,6}[,.]\d{6})\s+(\d{1,10}[,.]\d{
 MONEY = r"\b(USD|EUR|GBP|TND|CHF|JPY|CAD)\s+(\d{3,12}[,.]\d{3})\b"
 CONVERSION = r"(?:CONVERSION|FACTURATION|EXPORT)[\s\S]{0,220}?(\d{1,2}[,.]\d{6,8})\s+(\d{4,12}\s*[,.]\s*\d{3})"
 RATE_ONLY = r"\b(?:TAUX|CONVERSION)\b[^\d]{0,40}(\d{1,2}[,.]\d{6,8})\b"
-ARTICLE_FIELDS = {
-    "qcs": (r"(?:CODE\s+Q(?:CS|C5)|QCS|QC5|ACS)[\s\S]{0,140}?\b(0?\d{1,2})\s+(\d{1,4})\s+(\d{3,12}[,.]\d{3})", 2),
-    "pfn": (r"(?:CODE\s+Q(?:CS|C5)|QCS|QC5|ACS)[\s\S]{0,140}?\b(0?\d{1,2})\s+(\d{1,4})\s+(\d{3,12}[,.]\d{3})", 3),
-    "regime": (r"(?:REGIMES?|DOUANIERS?)[\s\S]{0,180}?\b(\d{3})\s+(\d{3})\b", 1), "previous_regime": (r"(?:REGIMES?|DOUANIERS?)[\s\S]{0,180}?\b(\d{3})\s+(\d{3})\b", 2),
-}
-ARTICLE_WEIGHTS = r"P(?:OI|O|OTA|OR)DS\s*BRUT[^\d]{0,70}(\d{1,5})[\s\S]{0,120}?P(?:OI|O|OTA|OR)DS\s*NET[^\d]{0,70}(\d{1,5})"
+# Details of an article: the words that a pattern begins with, the pattern, and the fields of its groups.
+QCS = r"(?:CODE\s+Q(?:CS|C5)|QCS|QC5|ACS)[\s\S]{0,140}?\b(0?\d{1,2})\s+(\d{1,4})\s+(\d{3,12}[,.]\d{3})"
+REGIMES = r"(?:REGIMES?|DOUANIERS?)[\s\S]{0,180}?\b(\d{3})\s+(\d{3})\b"
+WEIGHTS = r"P(?:OI|O|OTA|OR)DS\s*BRUT[^\d]{0,70}(\d{1,5})[\s\S]{0,120}?P(?:OI|O|OTA|OR)DS\s*NET[^\d]{0,70}(\d{1,5})(?:[\s\S]{0,100}?(?:QUALITE|FISCALE)[^\d]{0,60}(\d{1,2}))?"
+FINANCE = [r"(?:CREG|C\.REG|REGLEMENT|REGIEMENT|FINANCIER)[^\d]{0,80}(\d{2})[\s\S]{0,100}?DELAI[^\d]{0,80}(\d{1,2})\b", r"(?:REGLEMENT|REGIEMENT|FINANCIER|CREG|C\.REG)[\s\S]{0,160}?\b(\d{2})\s+(\d{1,2})\b"]
+OCI = r"(?:CODE\s+[QO]CI|\b[QO]CI\b)[^\d]{0,40}(\d{1,3})\b"
+REGULATION = ["CREG", "C.REG", "REGLEMENT", "REGIEMENT", "FINANCIER"]
+ARTICLE_DETAILS = [(["CODE", "QCS", "QC5", "ACS"], QCS, ["code_qcs", "qcs", "pfn"]), (["REGIME", "DOUANIER"], REGIMES, ["regime", "previous_regime"]), (["POIDS", "PODS", "POTADS", "PORDS"], WEIGHTS, ["gross", "net", "fiscal_quality"]), (["CODE", "QCI", "OCI"], OCI, ["oci"])]
+NOT_OCI = ["21", "11", "56"]
+TITLE_22 = r"\b(22)\s+[|<]?\s*(\d{6,8})\b"
+MARK = "\x01\x02"
+
+
+def groups(text: Column, pattern: str, n: int) -> Column:
+    """The n groups of the first match, from one run of the pattern: an array, '' for a group that took no part; null without a match."""
+    marked = F.regexp_replace(text, rf"^[\s\S]*?(?:{pattern})[\s\S]*$", MARK + MARK.join(f"${i}" for i in range(1, n + 1)))
+    # An array of one string is filtered, so that the pattern runs once however often the result is read.
+    return F.split(F.substring(F.get(F.filter(F.array(marked), lambda m: m.startswith(MARK)), F.lit(0)), 3, 1 << 30), MARK)
+
+
+def near(text: Column, *words: str) -> Column:
+    """The text from the first of the words that patterns over it begin with (and one character before it); null without any. Finding
+    a word costs next to nothing beside running a pattern over the text before it."""
+    places = [F.nullif(F.instr(text, w), F.lit(0)) for w in words]
+    return F.substr(text, (places[0] if len(places) == 1 else F.least(*places)) - 1)
+
+
+class Matches:
+    """A text and the groups of patterns in it, each pattern run once: `of` is a column for each, made in one projection."""
+
+    def __init__(self, text: Column):
+        self.text, self.columns = text, {}
+
+    def of(self, pattern: str, n: int, text: Column | None = None) -> Callable[[int], Column]:
+        """The groups of a pattern by number, null where empty or without a match."""
+        name = f"_m{len(self.columns)}"
+        self.columns[name] = groups(self.text if text is None else text, pattern, n)
+        return lambda i: F.nullif(F.get(F.col(name), F.lit(i - 1)), F.lit(""))
+
+    def once(self, value: Column) -> Column:
+        """A value that is read several times."""
+        name = f"_m{len(self.columns)}"
+        self.columns[name] = value
+        return F.col(name)
 
 
 def found(text: Column, pattern: str, group: int = 1) -> Column:
@@ -93,37 +136,44 @@ def folded(docs: DataFrame, name: str = "_t") -> DataFrame:
 
 def fields(docs: DataFrame, part: Callable) -> DataFrame:
     """docs (.., text) with the columns of a part of the declaration, e.g. fields(docs, header_fields)."""
-    return folded(docs).select(*docs.columns, *[c.alias(k) for k, c in part(F.col("_t")).items()])
+    m = Matches(F.col("_t"))
+    wanted = part(m)
+    return folded(docs).withColumns(m.columns).select(*docs.columns, *[c.alias(k) for k, c in wanted.items()])
 
 
-def header_fields(t: Column) -> dict[str, Column]:
+def header_fields(m: Matches) -> dict[str, Column]:
     """Number, date, type, counts of articles and packages, exporter's code; but for packages from the first 3,000 characters."""
-    whole, head = t, F.substring(t, 1, 3000)
-    both = F.arrays_zip(F.regexp_extract_all(head, F.lit(NUMBER_AND_DAY), F.lit(1)).alias("n"), F.transform(F.regexp_extract_all(head, F.lit(NUMBER_AND_DAY), F.lit(2)), normalize_date).alias("d"))
-    pair = F.get(F.filter(both, lambda x: x["d"].isNotNull()), F.lit(0))
-    kind = F.coalesce(found(head, rf"TYPE\s+(?:DECLARATION|ESCIATATION)[\s\S]{{0,160}}?\b({KIND})\b"), found(head, rf"\b({BARE_KIND})\b\s+\d{{1,3}}\s+\d{{1,4}}\b"))
+    whole, head = m.text, F.substring(m.text, 1, 3000)
+    both = F.transform(F.regexp_extract_all(head, F.lit(NUMBER_AND_DAY), F.lit(0)), lambda x: F.struct(F.substring(x, 1, 6).alias("n"), normalize_date(F.substring(x, -10, 10)).alias("d")))
+    pair = m.once(F.get(F.filter(both, lambda x: x["d"].isNotNull()), F.lit(0)))
+    kind = F.coalesce(found(near(head, "TYPE"), rf"TYPE\s+(?:DECLARATION|ESCIATATION)[\s\S]{{0,160}}?\b({KIND})\b"), found(head, rf"\b({BARE_KIND})\b\s+\d{{1,3}}\s+\d{{1,4}}\b"))
+    counts = m.of(COUNTS, 2, head)
     return {
         "number": F.coalesce(pair["n"], found(head, r"(?:DECLARATION|NUMERO|N[°O]?)\D{0,90}\b(\d{6})\b")),
-        "date": F.coalesce(pair["d"], normalize_date(found(head, rf"(?:DATE|DECLARATION)\D{{0,120}}\b({DAY})\b"))),
+        "date": F.coalesce(pair["d"], normalize_date(found(near(head, "DATE", "DECLARATION"), rf"(?:DATE|DECLARATION)\D{{0,120}}\b({DAY})\b"))),
         "type": F.regexp_replace(kind, r"\s+", ""),
-        "articles": bounded(found(head, COUNTS, 1), 1, 99),
-        "packages": F.coalesce(bounded(found(head, COUNTS, 2), 1, 999), any_of(whole, [r"\b99999\s+(\d{1,4})\b", r"\b(?:NBRE|NOMBRE|BRE)\s*COLIS[^\d]{0,40}(\d{1,4})\b"]).cast("int")),
+        "articles": bounded(counts(1), 1, 99),
+        "packages": F.coalesce(bounded(counts(2), 1, 999), F.coalesce(found(near(whole, "99999"), r"\b99999\s+(\d{1,4})\b"), found(near(whole, "NBRE", "NOMBRE", "BRE"), r"\b(?:NBRE|NOMBRE|BRE)\s*COLIS[^\d]{0,40}(\d{1,4})\b")).cast("int")),
         "exporter_code": found(head, r"\b(\d{6,8}[A-Z])\b"),
     }
 
 
-def transport_fields(t: Column) -> dict[str, Column]:
+def transport_fields(m: Matches) -> dict[str, Column]:
     """Vehicle, modes, arrival and terms. A flight outweighs a ship, a ship named with its mode outweighs both."""
-    ship, flight = found(t, rf"\b({SHIP})\b"), t.rlike(r"\bVOL\s+DU\b")
-    small = lambda g: F.when(found(t, SHORT_TERMS, g).cast("int").between(1, 9), found(t, SHORT_TERMS, g))
-    named = found(t, LONG_TERMS).isNotNull()
+    t = m.text
+    vessels = SHIP.split("|")
+    ship, flight = m.once(found(near(t, *vessels), rf"\b({SHIP})\b")), m.once(F.coalesce(near(t, "VOL").rlike(r"\bVOL\s+DU\b"), F.lit(False)))
+    terms = near(t, *TERMS.split("|"))
+    long, short = m.of(LONG_TERMS, 3, F.when(t.contains("PAIEMENT"), terms)), m.of(SHORT_TERMS, 3, terms)
+    small = lambda g: F.when(short(g).cast("int").between(1, 9), short(g))
+    named = long(1).isNotNull()
     return {
         "vehicle": F.when(flight, "VOL DU").when(ship == "BATEAU", "BATEAU").when(ship.isNotNull(), "NAVIRE"),
-        "mode": F.when(t.rlike(rf"\bT?N\s+7\s+(?:{SHIP})\b"), "7 - MARITIME").when(flight, "2 - AERIEN").when(ship.isNotNull(), "7 - MARITIME"),
-        "national_mode": F.when(t.rlike(r"\bT?N\s+4\s+CAMION\b"), "4 - ROUTIER"),
-        "arrival": first_day(t, rf"\b(?:{SHIP}|VOL\s+DU)\b[\s\S]{{0,260}}?({DAY})"),
-        "terms": F.coalesce(found(t, LONG_TERMS, 1), found(t, SHORT_TERMS, 1)),
-        "payment": F.when(named, found(t, LONG_TERMS, 2)).otherwise(small(2)), "relation": F.when(named, found(t, LONG_TERMS, 3)).otherwise(small(3)),
+        "mode": F.when(ship.isNotNull() & t.rlike(rf"\bT?N\s+7\s+(?:{SHIP})\b"), "7 - MARITIME").when(flight, "2 - AERIEN").when(ship.isNotNull(), "7 - MARITIME"),
+        "national_mode": F.when(t.contains("CAMION") & t.rlike(r"\bT?N\s+4\s+CAMION\b"), "4 - ROUTIER"),
+        "arrival": first_day(near(t, *vessels, "VOL"), rf"\b(?:{SHIP}|VOL\s+DU)\b[\s\S]{{0,260}}?({DAY})"),
+        "terms": F.coalesce(long(1), short(1)),
+        "payment": F.when(named, long(2)).otherwise(small(2)), "relation": F.when(named, long(3)).otherwise(small(3)),
     }
 
 
@@ -133,11 +183,13 @@ def route(text: Column) -> Column:
     return F.get(F.filter(pairs, lambda x: x.rlike("SFAX|RADES|TUNIS|TC") & ~x.rlike("COLIS|BUREAU|LOCALISATION|FRET|ASSURANCE|BR-")), F.lit(0))
 
 
-def liquidation_fields(t: Column) -> dict[str, Column]:
+def liquidation_fields(m: Matches) -> dict[str, Column]:
+    t = m.text
+    first, second = (m.of(p, 2, near(t, word)) for p, word in zip(DUTY_TOTAL, ("GDT", "602")))
+    office, movement, key, approval = m.of(OFFICE, 2, F.when(t.contains("BR"), t)), m.of(MOVEMENT, 3, F.when(t.contains("PORT") | t.contains("TRANSIT"), t)), m.of(KEY, 2), m.of(APPROVAL, 2, near(t, "935"))
     return {
-        "duty_code": any_of(t, DUTY_TOTAL, 1), "duty_total": clean_amount(any_of(t, DUTY_TOTAL, 2)), "office_code": found(t, OFFICE, 1), "office": F.concat(F.lit("BR - "), found(t, OFFICE, 2)),
-        "border_office": found(t, MOVEMENT, 1), "destination": found(t, MOVEMENT, 2), "movement": found(t, MOVEMENT, 3), "route": route(t), "approval": found(t, APPROVAL, 1), "directory": found(t, APPROVAL, 2),
-        "auth_key": found(t, KEY, 1), "qr_code": found(t, KEY, 2),
+        "duty_code": F.coalesce(first(1), second(1)), "duty_total": clean_amount(F.coalesce(first(2), second(2))), "office_code": office(1), "office": F.concat(F.lit("BR - "), office(2)),
+        "border_office": movement(1), "destination": movement(2), "movement": movement(3), "route": route(t), "approval": approval(1), "directory": approval(2), "auth_key": key(1), "qr_code": key(2),
     }
 
 
@@ -147,98 +199,117 @@ def country_label(code: Column) -> Column:
     return F.concat_ws(" ", plain, names[plain])
 
 
-def country_fields(t: Column) -> dict[str, Column]:
+def country_fields(m: Matches) -> dict[str, Column]:
     """The country after each label, within 260 characters."""
-    codes = {name: found(t, rf"{label}[\s\S]{{0,240}}?{COUNTRY}") for name, label in COUNTRY_LABELS.items()}
+    codes = {name: m.once(found(near(m.text, label.partition("\\")[0]), rf"{label}[\s\S]{{0,240}}?{COUNTRY}")) for name, label in COUNTRY_LABELS.items()}
     return {name: F.when(code.isNotNull(), country_label(code)) for name, code in codes.items()}
 
 
-def article_value_fields(t: Column) -> dict[str, Column]:
-    known = [F.when(~found(t, p).isin(NOT_REGIMES), found(t, p)) for p in REGIME]
-    block = found(t, WEIGHTS_TO_FOB, 0)
+def article_value_fields(m: Matches) -> dict[str, Column]:
+    t = m.text
+    known = [m.once(found(near(t, *words), p)) for words, p in zip((["REGIME"], ["REGIME"], ["CODE", "QCI"]), REGIME)]
+    block, both = m.once(found(near(t, "POIDS"), WEIGHTS_TO_FOB, 0)), m.of(FOB_AND_CUSTOMS, 2, near(t, "FOB"))
     point = lambda c: F.replace(c, F.lit(","), F.lit("."))
     return {
-        "fob": clean_amount(F.coalesce(found(t, FOB_AND_CUSTOMS, 1), found(t, rf"\b(?:FOB|VALEUR\s+EN\s+DINARS)\b[^\d]{{0,50}}({MONEY3})\b"))),
-        "customs": clean_amount(F.coalesce(found(t, FOB_AND_CUSTOMS, 2), found(t, rf"\bDOUANE\b[^\d]{{0,50}}({MONEY3})\b"))),
-        "regime": F.coalesce(*known, found(block, r"\bREGIME\b[^\d]{0,18}(\d{2})\b"), found(block, r"\b([1-5][0-9])\b"), found(t, r"\bREGIME\b(?!\s+DOUAN)[^\d]{0,18}(\d{2})\b")),
-        "adjustment": point(found(t, r"\bCOEF(?:FICIENT)?\.?\s*(?:D['’]?\s*)?AJUSTEMENT\b[^\d]{0,30}(\d{1,3}(?:[.,]\d{1,6})?)\b")),
+        "fob": clean_amount(F.coalesce(both(1), found(near(t, "FOB", "VALEUR"), rf"\b(?:FOB|VALEUR\s+EN\s+DINARS)\b[^\d]{{0,50}}({MONEY3})\b"))),
+        "customs": clean_amount(F.coalesce(both(2), found(near(t, "DOUANE"), rf"\bDOUANE\b[^\d]{{0,50}}({MONEY3})\b"))),
+        "regime": F.coalesce(*[F.when(~c.isin(NOT_REGIMES), c) for c in known], found(block, r"\bREGIME\b[^\d]{0,18}(\d{2})\b"), found(block, r"\b([1-5][0-9])\b"), found(near(t, "REGIME"), r"\bREGIME\b(?!\s+DOUAN)[^\d]{0,18}(\d{2})\b")),
+        "adjustment": point(found(near(t, "COEF"), r"\bCOEF(?:FICIENT)?\.?\s*(?:D['’]?\s*)?AJUSTEMENT\b[^\d]{0,30}(\d{1,3}(?:[.,]\d{1,6})?)\b")),
     }
 
 
+def _pair(text: Column, pattern: str) -> Column:
+    """struct(code, number) of a pattern's two groups, null without a match."""
+    return F.get(F.transform(F.array(groups(text, pattern, 2)), lambda g: F.when(g.isNotNull(), F.struct(g[0].alias("code"), g[1].alias("number")))), F.lit(0))
+
+
 def title_pair(t: Column) -> Column:
     """struct(code, number) by the first pattern whose pair is plausible; null if none is."""
 
     def plausible(x: Column) -> Column:
+        # Codes 01 to 21 with two digits, and 56, are other boxes; so are numbers that begin with a tariff heading.
         n = x["code"].cast("int")
-        # Codes up to 21 with two digits, 56 and those over 99 are other boxes; so are numbers that begin with a tariff heading.
-        other = n.between(1, 21) & (F.length(x["code"]) == 2) | (n == 56) | ~n.between(1, 99)
+        other = n.between(1, 21) & (F.length(x["code"]) == 2) | (x["code"] == "56") | ~n.between(1, 99)
         return ~other & x["number"].cast("long").between(100_000, 99_999_999) & ~x["number"].rlike("^(880|854)")
 
-    # An array of one pair is filtered, so that no pattern runs more often than its two groups are read.
-    pair = lambda p: F.get(F.filter(F.array(F.struct(found(t, p, 1).alias("code"), found(t, p, 2).alias("number"))), plausible), F.lit(0))
-    return F.coalesce(*[pair(p) for p in TITLES])
+    good = lambda first, p: F.get(F.filter(F.array(_pair(near(t, first), p)), lambda x: x.isNotNull() & plausible(x)), F.lit(0))
+    there = lambda words: reduce(and_, [t.contains(w) for w in words])
+    return F.coalesce(*[F.when(there(words), good(words[0], p)) for words, p in TITLES])
 
 
 def article_rows(docs: DataFrame) -> DataFrame:
-    """(id, rows): an array of (row, after) for docs (id, _t): the rows `line HS country value` of the folded text, each with the text
-    after it."""
-    row, after = (F.regexp_extract_all("_t", F.lit(ARTICLE), F.lit(i)) for i in (1, 2))
-    return docs.withColumn("rows", F.arrays_zip(row.alias("row"), after.alias("after")))
-
-
-def _details(rows: DataFrame) -> DataFrame:
-    """rows (.., row, after) with line, hs, country, value and the details that are told in 1,300 characters from the row's beginning."""
-    part = lambda i: F.regexp_extract("row", ROW, i)
-    rows = rows.withColumns({"line": part(1), "hs": F.regexp_replace(part(2), r"\s+", ""), "country": part(3), "amount": clean_amount(part(4))})
-    rows = rows.withColumn("window", F.expr("substring(after, 1, 1300 - length(row))"))
-    rows = rows.withColumns({name: found(F.col("window"), p, g) for name, (p, g) in ({"gross": (ARTICLE_WEIGHTS, 1), "net": (ARTICLE_WEIGHTS, 2)} | ARTICLE_FIELDS).items()})
-    gross, net = F.col("gross"), F.col("net")
+    """docs (.., _t) with articles: an array of (line, hs, country, amount, window) of the rows `line HS country value` of the folded
+    text, each with 1,300 characters from where it begins; of rows that repeat line, code and value the first."""
+
+    def told(r: Column) -> Column:
+        told = F.split(F.regexp_replace(F.regexp_extract(r, f"^{ROW}", 0), ROW_PARTS, MARK.join(f"${i}" for i in range(1, 5))), MARK)
+        return F.get(F.transform(F.array(told), lambda g: F.struct(g[0].cast("int").alias("line"), F.regexp_replace(g[1], r"\s+", "").alias("hs"), g[2].alias("country"), clean_amount(g[3]).alias("amount"), F.substring(r, 1, 1300).alias("window"))), F.lit(0))
+
+    docs = docs.withColumn("articles", F.transform(F.regexp_extract_all("_t", F.lit(ARTICLE), F.lit(1)), told))
+    docs = docs.withColumn("_keys", F.transform("articles", lambda a: F.concat_ws(" ", a["line"], a["hs"], a["amount"])))
+    return docs.withColumn("articles", F.filter("articles", lambda a, i: F.array_position("_keys", F.get("_keys", i)) == i + 1)).drop("_keys")
+
+
+def details(rows: DataFrame) -> DataFrame:
+    """rows (.., window) with the details of an article that its window tells."""
+    w = F.col("window")
+    parts = {f"_d{i}": groups(near(w, *words), p, len(names)) for i, (words, p, names) in enumerate(ARTICLE_DETAILS)}
+    finance = [groups(near(w, *REGULATION), p, 2) for p in FINANCE]
+    labelled = LABELLED_TITLE.replace("{0,55}", "{0,50}").replace("{0,300}", "{0,220}")
+    title = F.coalesce(F.when(w.contains("TITRE"), _pair(near(w, "CODE"), labelled)), _pair(near(w, "22"), TITLE_22), title_pair(w))
+    rows = rows.withColumns(parts | {"_finance": F.coalesce(*finance), "title": title})
+    at = lambda c, i: F.nullif(F.get(F.col(c), F.lit(i)), F.lit(""))
+    told = {name: at(f"_d{k}", i) for k, (_, _, names) in enumerate(ARTICLE_DETAILS) for i, name in enumerate(names)}
+    gross, net, quality, oci = (told[k] for k in ("gross", "net", "fiscal_quality", "oci"))
     real = (net.cast("int") > 0) & (gross.cast("int") >= net.cast("int")) & ~printed_box(gross) & ~printed_box(net)
-    return rows.withColumns({"gross": F.when(real, gross), "net": F.when(real, net), "title": title_pair(F.col("window")), "value": F.col("amount").try_cast("double"), "line": F.col("line").cast("int")})
+    told |= {"code_qcs": F.lpad(told["code_qcs"], 2, "0"), "pfn": clean_amount(told["pfn"]), "gross": F.when(real, gross), "net": F.when(real, net), "fiscal_quality": F.when(real & ~printed_box(quality), quality), "oci": F.when(~printed_box(oci) & ~oci.isin(NOT_OCI), oci)}
+    return rows.withColumns(told | {"financial_regime": at("_finance", 0), "delay": at("_finance", 1)}).drop(*parts, "_finance")
 
 
-DETAILS = ["line", "hs", "country", "value", *ARTICLE_FIELDS, "gross", "net", "title"]
+DETAILS = ["line", "hs", "country", "value", *[n for _, _, names in ARTICLE_DETAILS for n in names], "financial_regime", "delay", "title"]
 
 
 def articles(docs: DataFrame) -> DataFrame:
-    """(id, position, line, hs, country, value and details) of all article rows of docs (id, text); of rows that repeat line,
-    code and value the first."""
-    rows = _details(article_rows(folded(docs)).select("id", F.posexplode("rows").alias("position", "r")).select("id", "position", "r.*"))
-    repeats = F.row_number().over(Window.partitionBy("id", "line", "hs", "amount").orderBy("position"))
-    return rows.withColumn("_n", repeats).where("_n = 1").select("id", "position", *DETAILS)
+    """(id, position, line, hs, country, value and details) of all article rows of docs (id, text): no shuffle, repeats are told within
+    a text."""
+    # An outer generator: for another one Spark would look at its input, patterns and all, once more to see whether it is empty.
+    rows = article_rows(folded(docs)).select("id", F.posexplode_outer("articles").alias("position", "r")).where("r is not null").select("id", "position", "r.*")
+    return details(rows).withColumn("value", F.col("amount").try_cast("double")).select("id", "position", *DETAILS)
 
 
 def text_articles(docs: DataFrame) -> DataFrame:
     """(id, position, num_ligne, code_hs): rows of a text that tell a line and an HS code, without the rest; repeats go."""
-    pairs = F.arrays_zip(*[F.regexp_extract_all("_t", F.lit(LINE_AND_CODE), F.lit(i)).alias(n) for i, n in ((1, "num_ligne"), (2, "code_hs"))])
-    once = F.array_distinct(F.transform(pairs, lambda r: F.struct(r["num_ligne"].cast("int").alias("num_ligne"), F.regexp_replace(r["code_hs"], r"\s+", "").alias("code_hs"))))
-    return folded(docs).select("id", F.posexplode(once).alias("position", "r")).select("id", "position", "r.*")
+    rows = F.transform(F.regexp_extract_all("_t", F.lit(LINE_AND_CODE), F.lit(0)), lambda r: F.split(F.trim(r), r"\s+", 2))
+    once = F.array_distinct(F.transform(rows, lambda r: F.struct(r[0].cast("int").alias("num_ligne"), F.regexp_replace(r[1], r"\s+", "").alias("code_hs"))))
+    return folded(docs).select("id", F.posexplode_outer(once).alias("position", "r")).where("r is not null").select("id", "position", "r.*")
 
 
 def priced_lines(lines: DataFrame) -> DataFrame:
     """lines (.., line) of the single-line form `line HS designation quantity unit total` with its fields and the unit price, the
     total by the quantity to 6 digits; null where a line isn't of that form."""
-    t = fold_text(F.col("line"))
-    out = lines.withColumn("_t", t)
-    part = lambda i: found(F.col("_t"), PRICED, i)
+    out = lines.withColumn("_t", groups(fold_text(F.col("line")), PRICED, 6))
+    part = lambda i: F.get(F.col("_t"), F.lit(i - 1))
     out = out.withColumns({"num_ligne": part(1).cast("int"), "code_hs": part(2), "designation": F.trim(part(3)), "quantite": parse_amount(part(4)), "unite": part(5), "total_ligne": parse_amount(part(6))})
     return out.withColumn("prix_unitaire", F.when(F.col("quantite") > 0, F.round(F.col("total_ligne") / F.col("quantite"), 6))).drop("_t")
 
 
-def financial_fields(t: Column) -> dict[str, Column]:
+def financial_fields(m: Matches) -> dict[str, Column]:
     """Currency and amount; conversion rate and total, or, where no total is told, amount by rate to 3 digits."""
-    amount, rate, total = clean_amount(found(t, MONEY, 2)), clean_amount(found(t, CONVERSION, 1)), clean_amount(F.regexp_replace(found(t, CONVERSION, 2), r"\s+", ""))
-    rate = F.coalesce(rate, clean_amount(found(t, RATE_ONLY)))
+    t = m.text
+    words = ["CONVERSION", "FACTURATION", "EXPORT"]
+    money, conversion, both = m.of(MONEY, 2, near(t, "USD", "EUR", "GBP", "TND", "CHF", "JPY", "CAD")), m.of(CONVERSION, 2, near(t, *words)), m.of(FOB_AND_CUSTOMS, 2, near(t, "FOB"))
+    amount, total = clean_amount(money(2)), clean_amount(F.regexp_replace(conversion(2), r"\s+", ""))
+    rate = m.once(F.coalesce(clean_amount(found(near(t, *words), CONVERSION)), clean_amount(found(near(t, "TAUX", "CONVERSION"), RATE_ONLY))))
     made = F.format_string("%.3f", amount.try_cast("double") * rate.try_cast("double"))
-    told = F.coalesce(total, clean_amount(found(t, FOB_AND_CUSTOMS, 1)))
+    told = F.coalesce(total, clean_amount(both(1)))
     computed = amount.try_cast("double") * rate.try_cast("double")
     low = total.isNull() & computed.isNotNull() & (told.isNull() | (told.try_cast("double") < 0.8 * computed))
-    return {"currency": found(t, MONEY, 1), "amount": amount, "rate": rate, "total": F.when(low, made).otherwise(told)}
+    return {"currency": money(1), "amount": amount, "rate": rate, "total": F.when(low, made).otherwise(told)}
 
 
 def tax_rows(t: Column) -> Column:
     """An array of (code, base, rate, amount): the rows of duties."""
-    return F.arrays_zip(*[F.regexp_extract_all(t, F.lit(DUTY), F.lit(i)).alias(c) for i, c in enumerate(["code", "base", "rate", "amount"], 1)])
+    return F.transform(F.regexp_extract_all(t, F.lit(DUTY), F.lit(0)), lambda r: F.struct(*[F.get(F.split(r, r"\s+"), F.lit(i)).alias(c) for i, c in enumerate(["code", "base", "rate", "amount"])]))
 
 
 # Forms and words of the invoice's print.
@@ -285,6 +356,7 @@ PARTY_WINDOWS = {
     "importer": r"\b(?:IMPORTATEUR|IMPORTATEWR|IMPORTAT|IPORTATEUR|LMPORTATEUR|IMMPONATEUR)\b([\s\S]{0,240}?)(?=DECLARANT|ADRESSE|PAYS\s+DE|MOYEN)",
     "declarant": r"\bDECLARANT\b([\s\S]{0,320}?)(?=MOYEN|PAYS|ADRESSE|TRANSPORT|IMPORTATEUR|$)",
 }
+PARTY_WORDS = {"exporter": ["EXPORTA", "XP0RTA"], "importer": ["IMPORTAT", "IPORTAT", "LMPORTAT", "IMMPONA"], "declarant": ["DECLARANT"]}
 COMPANY, CODE_AND_NAME = r"\b(?:GMBH|B\.V|BV|SARL|SA|STE|SYSTEMS|SYSTEME|PRECISION|MACHINING|EQUIPEMENTS)\b", r"\b\d{3,5}\s*[:;]\s*[A-Z]"
 PARTY_NOISE = r"\b(?:CERTIFICAT|NUMERO|DECLARATION|BECLARATION|DATE|TYPE\s+DECLARATION|NBRE\s+TOTAL)\b"
 
@@ -305,10 +377,10 @@ def best_party_line(window: Column) -> Column:
     return F.array_max(scored)["line"]
 
 
-def party_fields(t: Column) -> dict[str, Column]:
+def party_fields(m: Matches) -> dict[str, Column]:
     """Each party's best line between its label and the next, up to 200 characters or a six-digit number beyond the first 40."""
     cut = lambda w: F.substring(F.regexp_replace(w, r"(?s)^(.{40}.*?)(?<!:)\b\d{6}\b.*$", "$1"), 1, 200)
-    return {name: best_party_line(cut(found(t, p))) for name, p in PARTY_WINDOWS.items()}
+    return {name: best_party_line(cut(found(near(m.text, *PARTY_WORDS[name]), p))) for name, p in PARTY_WINDOWS.items()}
 
 
 # Labels that guide to fields, and words that aren't in a declarant's name.
@@ -325,22 +397,32 @@ def near_anchor(t: Column, anchor: str, low: int = 3, high: int = 10, within: in
     return found(F.substring(F.regexp_extract(t, rf"{anchor}([\s\S]{{0,{within}}})", 1), 1, within), rf"\b(\d{{{low},{high}}})\b")
 
 
-def guided_fields(t: Column) -> dict[str, Column]:
+def guided_fields(m: Matches) -> dict[str, Column]:
     """Fields near their labels. What the strict first pass finds isn't looked for again: the row of border office, destination and
     movement goes before each label on its own, a number in the window of a label before one right after it."""
-    after = lambda label, form: found(t, rf"{label}{form}")
-    row = found(t, SAME_ROW, 1).isNotNull()
-    one_row = lambda i, other: F.when(row, found(t, SAME_ROW, i)).otherwise(other)
-    weight = lambda name: F.when(after(rf"\bPOIDS\s+{name}(?:\s*\(KG\))?\b", r"[^\d]{0,24}(\d{1,5})\b").cast("int").between(5, 99999), after(rf"\bPOIDS\s+{name}(?:\s*\(KG\))?\b", r"[^\d]{0,24}(\d{1,5})\b").cast("int").cast("string"))
-    lines = F.transform(F.split(found(t, DECLARANT_BLOCK), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ \-|:;,.]+|[ \-|:;,.]+$", ""))
+    t = m.text
+    after = lambda label, form, *words: found(near(t, *words) if words else t, rf"{label}{form}")
+    same, quantities = m.of(SAME_ROW, 3, F.when(t.contains("LOCALIS"), near(t, "BUREAU"))), m.of(QUANTITIES, 3, F.when(t.contains("PFN"), near(t, "CODE")))
+    credit = F.when(t.contains("DIT"), near(t, "N", "CREDIT"))
+    one_row = lambda i, other: F.when(same(1).isNotNull(), same(i)).otherwise(other)
+
+    def weight(name: str) -> Column:
+        kilos = m.once(after(rf"\bPOIDS\s+{name}(?:\s*\(KG\))?\b", r"[^\d]{0,24}(\d{1,5})\b", "POIDS").cast("int"))
+        return F.when(kilos.between(5, 99999), kilos.cast("string"))
+
+    lines = F.transform(F.split(found(near(t, "DECLARANT"), DECLARANT_BLOCK), "\n"), lambda x: F.regexp_replace(F.regexp_replace(x, r"\s+", " "), r"^[ \-|:;,.]+|[ \-|:;,.]+$", ""))
     name = F.get(F.filter(lines, lambda x: F.length(x).between(4, 64) & ~x.rlike(NOT_DECLARANT) & ~x.rlike(r"^\d{3,6}\b") & (F.length(F.regexp_replace(x, "[^A-Z]", "")) >= 5)), F.lit(0))
-    country = lambda label: F.when(found(t, rf"{label}[\s\S]{{0,120}}?\b({'|'.join(COUNTRIES)}|1N|TM)\b").isNotNull(), country_label(found(t, rf"{label}[\s\S]{{0,120}}?\b({'|'.join(COUNTRIES)}|1N|TM)\b")))
+
+    def country(label: str) -> Column:
+        code = m.once(found(near(t, "PAYS"), rf"{label}[\s\S]{{0,120}}?\b({'|'.join(COUNTRIES)}|1N|TM)\b"))
+        return F.when(code.isNotNull(), country_label(code))
+
     return {
-        "directory": F.coalesce(near_anchor(t, DIRECTORY, 3, 6), after(DIRECTORY, r"[^\d]{0,24}(\d{3,6})\b")), "credit": F.coalesce(near_anchor(t, CREDIT, 4, 10), after(CREDIT, r"[^\d]{0,24}(\d{4,10})\b")), "guided_declarant": name,
-        "guided_office": one_row(1, near_anchor(t, r"\bBUREAU\s*FRONTI\w*\b", 1, 3)), "guided_destination": one_row(2, near_anchor(t, r"\bDESTINATION\b", 1, 4)), "guided_movement": one_row(3, after(r"\bLOCALIS\w*\b", r"[\s\S]{0,60}?\b(EXPORT|IMPORT|TRANSIT)\b")),
-        "code_qcs": found(t, QUANTITIES, 1), "qcs": found(t, QUANTITIES, 2), "pfn": F.replace(found(t, QUANTITIES, 3), F.lit(","), F.lit(".")), "guided_gross": weight("BRUT"), "guided_net": weight("NET"),
-        "stopover": after(r"N[°O]?\s*D['’]?\s*ESCALE", r"[^\d]{0,12}(\d{3,6})"), "heading": after(r"\bRUBRIQUE\b", r"[^\d]{0,12}(\d{1,6})"),
-        "financial_regime": after(r"\b(?:REG(?:LEMENT)?\s*FINANCIER|FINANCIER)\b", r"[^\d]{0,16}(\d{1,2})\b"), "delay": after(r"\b(?:CODE\s+)?DELAI\b", r"[^\d]{0,16}(\d{1,2})\b"), "oci": after(r"\b(?:CODE\s+)?OCI\b", r"[^\d]{0,16}(\d{1,2})\b"),
+        "directory": F.coalesce(near_anchor(near(t, "REPERT"), DIRECTORY, 3, 6), after(DIRECTORY, r"[^\d]{0,24}(\d{3,6})\b", "REPERT")), "credit": F.coalesce(near_anchor(credit, CREDIT, 4, 10), found(credit, rf"{CREDIT}[^\d]{{0,24}}(\d{{4,10}})\b")), "guided_declarant": name,
+        "guided_office": one_row(1, near_anchor(near(t, "BUREAU"), r"\bBUREAU\s*FRONTI\w*\b", 1, 3)), "guided_destination": one_row(2, near_anchor(near(t, "DESTINATION"), r"\bDESTINATION\b", 1, 4)), "guided_movement": one_row(3, after(r"\bLOCALIS\w*\b", r"[\s\S]{0,60}?\b(EXPORT|IMPORT|TRANSIT)\b", "LOCALIS")),
+        "code_qcs": quantities(1), "qcs": quantities(2), "pfn": F.replace(quantities(3), F.lit(","), F.lit(".")), "guided_gross": weight("BRUT"), "guided_net": weight("NET"),
+        "stopover": after(r"N[°O]?\s*D['’]?\s*ESCALE", r"[^\d]{0,12}(\d{3,6})", "N"), "heading": after(r"\bRUBRIQUE\b", r"[^\d]{0,12}(\d{1,6})", "RUBRIQUE"),
+        "financial_regime": after(r"\b(?:REG(?:LEMENT)?\s*FINANCIER|FINANCIER)\b", r"[^\d]{0,16}(\d{1,2})\b", "REG", "FINANCIER"), "delay": after(r"\b(?:CODE\s+)?DELAI\b", r"[^\d]{0,16}(\d{1,2})\b", "CODE", "DELAI"), "oci": after(r"\b(?:CODE\s+)?OCI\b", r"[^\d]{0,16}(\d{1,2})\b", "CODE", "OCI"),
     } | {name: country(label) for name, label in GUIDED_COUNTRIES.items()}
 
 
@@ -352,10 +434,11 @@ def parse_declarations(docs: DataFrame) -> DataFrame:
     (arrays), then score, flags and quality of what is left after cleanup, and reasons: why values went. Zones go before the
     text where they tell number, date, importer or declarant."""
     t = F.col("_t")
-    out = article_rows(folded(docs)).withColumns({name: F.struct(*[c.alias(k) for k, c in f(t).items()]) for name, f in PARTS.items()} | {"title": title_pair(t), "taxes": tax_rows(t)})
-    part = lambda i: lambda r: F.regexp_extract(r["row"], ROW, i)
-    row = F.transform("rows", lambda r: F.struct(part(1)(r).cast("int").alias("line"), F.regexp_replace(part(2)(r), r"\s+", "").alias("hs"), part(3)(r).alias("country"), clean_amount(part(4)(r)).alias("value")))
-    out = out.withColumn("articles", F.array_distinct(row)).drop("rows", "_t")
+    m = Matches(t)
+    parts = {name: f(m) for name, f in PARTS.items()}
+    out = article_rows(folded(docs)).withColumns(m.columns | {"title": title_pair(t), "taxes": tax_rows(t)})
+    out = out.withColumns({name: F.struct(*[c.alias(k) for k, c in columns.items()]) for name, columns in parts.items()})
+    out = out.withColumn("articles", F.transform("articles", lambda a: F.struct(a["line"], a["hs"], a["country"], a["amount"].alias("value")))).drop("_t", *m.columns)
     zone = lambda key: filled(F.col("zones")[f"tpl_{key}"]) if "zones" in docs.columns else F.lit(None).cast("string")
     first = lambda *c: F.coalesce(*[F.col(x) if isinstance(x, str) else x for x in c])
     wide = out.withColumns({

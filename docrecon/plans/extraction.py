@@ -38,8 +38,8 @@ FORM = f"""SELECT {K} AS id, concat(CASE WHEN {K} % 7 = 0 THEN concat('Numéro :
 'DECLARANT', chr(10), 'MARTIN ET FILS', chr(10), 'MOYEN répertoire 4321 crédit 98765', chr(10)) AS text FROM orders"""
 
 
-def form(spark, d, fields):
-    return E.fields(rows(spark, d, FORM), fields).drop("text")
+def form(spark, d, fields, sql=FORM):
+    return E.fields(rows(spark, d, sql), fields).drop("text")
 
 
 @query("ext1_declaration_header", f"SELECT {K} AS id, {NUMBER} AS number, {DASHED} AS date, replace({pick(KINDS)}, ' ', '') AS type, CAST({K} % 4 + 1 AS INT) AS articles, CAST({K} % 900 + 100 AS INT) AS packages, concat(lpad(CAST({K} % 10000000 AS STRING), 7, '0'), 'K') AS exporter_code FROM orders")
@@ -72,10 +72,19 @@ def ext6(spark, d):
     return form(spark, d, E.article_value_fields)
 
 
-@query("ext9_titre_ce_pair", f"SELECT {K} AS id, '22' AS code, CAST({K} % 1000000 + 100000 AS STRING) AS number FROM orders WHERE NOT regexp_matches(CAST({K} % 1000000 + 100000 AS STRING), '^(880|854)')")
+TITLE_NUMBER = f"CAST({K} % 1000000 + 100000 AS STRING)"
+# One for each pattern of a title, in their order; the last three have pairs that aren't plausible or no pattern's form.
+TITLE_FORMS = [
+    f"'Code Titre CE 22 N° T1TRE CE ', {TITLE_NUMBER}", f"'code t1tre ce 05 n titre ce 123456 / Code Titre CE : 23 Numéro Titre CE ', {TITLE_NUMBER}", f"'boxes 43 : 24 and 44 : ', {TITLE_NUMBER}", f"'532 x 25 y ', {TITLE_NUMBER}, ' z 21 - 11'", f"'532 y 362 x 532 7 and 26 y ', {TITLE_NUMBER}, ' z 21 - 11'",
+    f"'43 x 56 44 y ', {TITLE_NUMBER}", f"'TITRE CE 22 A ', {TITLE_NUMBER}", "'43 22 44 880123'",
+]
+TITLE_FORM = f"SELECT {K} AS id, concat('Déclaration {'x' * 300} ', CASE {K} % 8 " + " ".join(f"WHEN {i} THEN concat({f})" for i, f in enumerate(TITLE_FORMS)) + " END, ' fin') AS text FROM orders"
+
+
+@query("ext9_titre_ce_pair", f"SELECT {K} AS id, CAST({K} % 8 + 22 AS STRING) AS code, {TITLE_NUMBER} AS number FROM orders WHERE {K} % 8 < 5 AND NOT regexp_matches({TITLE_NUMBER}, '^(880|854)')")
 def ext9(spark, d):
-    found = form(spark, d, lambda t: {"title": F.array(E.title_pair(t))})
-    return found.select("id", F.inline("title")).where("code is not null")
+    found = E.folded(rows(spark, d, TITLE_FORM)).select("id", F.inline_outer(F.array(E.title_pair(F.col("_t")))))
+    return found.where("code is not null")
 
 
 @query("ext10_party_windows", f"SELECT {K} AS id, concat('575 : CLERK ', CAST(o_custkey AS STRING), ' PRECISION') AS exporter, 'DUPONT SARL' AS importer, 'MARTIN ET FILS' AS declarant FROM orders")
@@ -83,25 +92,73 @@ def ext10(spark, d):
     return form(spark, d, E.party_fields)
 
 
-@query("ext18_guided_fields", f"SELECT {K} AS id, '4321' AS directory, '98765' AS credit FROM orders")
+# Labels with their fields, and what the guided pass must find.
+GUIDE = {"directory": ("Répertoire : {}", "4321"), "credit": ("N° crédit {}", "98765"), "guided_office": ("Bureau frontière {}", "301"), "guided_destination": (" destination {}", "20"), "guided_movement": (" localisation : {}", "EXPORT"), "code_qcs": ("code QCS {}", "01"), "qcs": (" QCS {}", "12"), "pfn": (" PFN {}", "345.678"),
+         "guided_gross": ("poids brut (kg) {}", "240"), "guided_net": ("poids net (kg) {}", "120"), "stopover": ("N° d''escale {}", "4455"), "heading": ("rubrique {}", "771"), "financial_regime": ("règlement financier {}", "80"), "delay": ("code délai {}", "03"), "oci": ("code OCI {}", "2"), "guided_declarant": ("Déclarant{}", "MARTIN ET FILS"),
+         "guided_origin": ("pays de provenance {}", "DE ALLEMAGNE"), "guided_purchase": ("pays d''achat {}", "FR FRANCE"), "guided_first_destination": ("pays première destination {}", "TN TUNISIE"), "guided_final_destination": ("pays destination définitive {}", "NL PAYS BAS")}
+VARIES = {"directory": f"CAST({K} % 9000 + 1000 AS STRING)", "pfn": PRICE, "guided_net": f"CAST({K} % 900 + 100 AS STRING)"}
+
+
+def guide(name):
+    """What stands behind a label, as SQL."""
+    if name in VARIES:
+        return VARIES[name]
+    value = GUIDE[name][1]
+    return f"'{value[:2] if name.startswith('guided_') and value[2:3] == ' ' else value}'"
+
+
+def label(name):
+    before = GUIDE[name][0].format("")
+    return f"'{before}', " + ("chr(10), " if name == "guided_declarant" else "") + guide(name) + ("" if name in ("guided_office", "guided_destination", "code_qcs", "qcs") else ", chr(10)")
+
+
+GUIDED_FORM = f"SELECT {K} AS id, concat(" + ", ".join(map(label, GUIDE)) + ", 'moyen de transport') AS text FROM orders"
+
+
+@query("ext18_guided_fields", f"SELECT {K} AS id, " + ", ".join(f"{VARIES.get(n, repr(v))} AS {n}" for n, (_, v) in GUIDE.items()) + " FROM orders")
 def ext18(spark, d):
-    return form(spark, d, E.guided_fields).select("id", "directory", "credit")
+    return form(spark, d, E.guided_fields, GUIDED_FORM).select("id", *GUIDE)
 
 
-@query("ext17_full_declaration_parse", f"SELECT {K} AS id, {NUMBER} AS number, {DASHED} AS arrival, {PRICE} AS duty_total, {pick(LABELLED)} AS origin, {PRICE} AS fob, 'DUPONT SARL' AS importer, '98765' AS credit FROM orders")
+FULL = FORM.replace("'MOYEN répertoire", f"'Devise EUR ', {PRICE}, chr(10), '1 8542319000 TN ', {PRICE}, ' 2 8542319001 DE 7000,250 qcs', chr(10), '602 10.500 1.250000 13.000', chr(10), 'MOYEN répertoire")
+
+
+@query("ext17_full_declaration_parse", f"""SELECT {K} AS id, {NUMBER} AS number, {DASHED} AS date, {DASHED} AS arrival, 'EUR' AS currency, {PRICE} AS duty_total, {pick(LABELLED)} AS origin, {PRICE} AS fob, 'DUPONT SARL' AS importer, '98765' AS credit, '22' AS title, CAST(2 AS INT) AS articles,
+'8542319000' AS hs, {PRICE} AS value, '7000.250' AS second_value, '602' AS tax, '13.000' AS tax_amount, CAST(94 AS INT) AS score FROM orders""")
 def ext17(spark, d):
-    docs = rows(spark, d, FORM)
-    return E.parse_declarations(docs).select("id", "header.number", "transport.arrival", "liquidation.duty_total", "countries.origin", "values.fob", "parties.importer", "guided.credit")
+    out = E.parse_declarations(rows(spark, d, FULL))
+    return out.select("id", "header.number", "header.date", "transport.arrival", "financials.currency", "liquidation.duty_total", "countries.origin", "values.fob", "parties.importer", "guided.credit", F.col("title.code").alias("title"), F.size("articles").alias("articles"), F.get("articles", F.lit(0))["hs"].alias("hs"),
+                      F.get("articles", F.lit(0))["value"].alias("value"), F.get("articles", F.lit(1))["value"].alias("second_value"), F.get("taxes", F.lit(0))["code"].alias("tax"), F.get("taxes", F.lit(0))["amount"].alias("tax_amount"), "score")
 
 
 L, HS, VALUE = "l_orderkey * 10 + l_linenumber", "CAST(l_partkey % 10000000 + 80000000 AS STRING)", "CAST(CAST(l_extendedprice AS DECIMAL(12,3)) AS STRING)"
-ROW = f"{HS}, ' TN ', {VALUE}, ' qcs 01 12 345.678 poids brut ', CAST(l_suppkey % 50 + 200 AS STRING), ' poids net 120 régimes douaniers 362 532 fin', chr(10)"
+DETAIL = {"code_qcs": "'01'", "qcs": "'12'", "pfn": "'345.678'", "gross": "CAST(l_suppkey % 50 + 200 AS STRING)", "net": "'120'", "fiscal_quality": "'3'", "regime": "'362'", "previous_regime": "'532'", "financial_regime": "'80'", "delay": "'7'", "oci": "'2'", "code": "'22'", "number": "CAST(l_partkey % 1000000 + 1000000 AS STRING)"}
+ROW = f"{HS}, ' TN ', {VALUE}, ' qcs 1 12 345.678 poids brut ', {DETAIL['gross']}, ' poids net 120 qualité 3 régimes douaniers 362 532 règlement 80 délai 7 code OCI 2 et 22 ', {DETAIL['number']}, ' fin', chr(10)"
 ARTICLES = f"SELECT {L} AS id, concat(CAST(l_linenumber AS STRING), ' ', {ROW}, CAST(l_linenumber AS STRING), ' ', {ROW}, CAST(l_linenumber + 1 AS STRING), ' ', {ROW}) AS text FROM lineitem"
 
 
-@query("ext7_articles", " UNION ALL ".join(f"SELECT {L} AS id, CAST(l_linenumber + {i} AS INT) AS line, {HS} AS hs, CAST({VALUE} AS DOUBLE) AS value, '12' AS qcs, '345.678' AS pfn, '362' AS regime, '532' AS previous_regime, CAST(l_suppkey % 50 + 200 AS STRING) AS gross, '120' AS net FROM lineitem" for i in (0, 1)))
+@query("ext7_articles", " UNION ALL ".join(f"SELECT {L} AS id, CAST(l_linenumber + {i} AS INT) AS line, {HS} AS hs, 'TN' AS country, CAST({VALUE} AS DOUBLE) AS value, " + ", ".join(f"{v} AS {k}" for k, v in DETAIL.items()) + " FROM lineitem" for i in (0, 1)))
 def ext7(spark, d):
-    return E.articles(rows(spark, d, ARTICLES)).select("id", "line", "hs", "value", "qcs", "pfn", "regime", "previous_regime", "gross", "net")
+    out = E.articles(rows(spark, d, ARTICLES))
+    return out.select("id", "line", "hs", "country", "value", *[k for k in DETAIL if k not in ("code", "number")], "title.code", "title.number")
+
+
+CODES_ONLY = f"SELECT {L} AS id, concat('Articles', chr(10), '  ', CAST(l_linenumber AS STRING), ' ', {HS}, chr(10), CAST(l_linenumber AS STRING), ' ', {HS}, ' again', chr(10), 'x 5 12345678', chr(10), '9 1234 56 78 901', chr(10)) AS text FROM lineitem"
+
+
+@query("ext7_text_articles", f"SELECT {L} AS id, CAST(0 AS INT) AS position, CAST(l_linenumber AS INT) AS num_ligne, {HS} AS code_hs FROM lineitem UNION ALL SELECT {L}, 1, 9, '12345678901' FROM lineitem")
+def ext7_text(spark, d):
+    return E.text_articles(rows(spark, d, CODES_ONLY))
+
+
+QUANTITY = "CAST(CAST(l_quantity AS BIGINT) AS STRING)"
+PRICED = f"SELECT {L} AS id, CASE WHEN l_linenumber % 4 = 0 THEN concat('total ', {VALUE}) ELSE concat(CAST(l_linenumber AS STRING), ' ', {HS}, ' Vis à bois ', {QUANTITY}, ' pcs ', {QUANTITY}, ',5') END AS line FROM lineitem"
+
+
+@query("ext7_priced_lines", f"""SELECT {L} AS id, CASE WHEN p THEN CAST(l_linenumber AS INT) END AS num_ligne, CASE WHEN p THEN {HS} END AS code_hs, CASE WHEN p THEN 'VIS A BOIS' END AS designation, CASE WHEN p THEN l_quantity END AS quantite, CASE WHEN p THEN 'PCS' END AS unite, CASE WHEN p THEN l_quantity + 0.5 END AS total_ligne,
+CASE WHEN p THEN round((l_quantity + 0.5) / l_quantity, 6) END AS prix_unitaire FROM (SELECT *, l_linenumber % 4 <> 0 AS p FROM lineitem)""")
+def ext7_priced(spark, d):
+    return E.priced_lines(rows(spark, d, PRICED)).drop("line")
 
 
 EURO = f"concat(CAST({K} % 90 + 10 AS STRING), ' ', lpad(CAST({K} % 1000 AS STRING), 3, '0'), ',50')"

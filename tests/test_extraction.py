@@ -46,11 +46,36 @@ def test_labelled_totals(spark):
 
 
 def test_title_pairs_are_plausible(spark):
-    pair = lambda text: fields(spark, text, lambda c: {"x": E.title_pair(c)})["x"]
+    pair = lambda text: fields(spark, text, lambda m: {"x": E.title_pair(m.text)})["x"]
     assert tuple(pair("43 x 22 y 44 z 123456")) == ("22", "123456")
     assert pair("43 x 56 y 44 z 123456") is None and pair("43 x 22 y 44 z 880123") is None
 
 
+def test_titles_that_no_pattern_has(spark):
+    pair = lambda text: fields(spark, text, lambda m: {"x": E.title_pair(m.text)})["x"]
+    assert pair("TITRE CE 22 A 1234567") is None
+    assert tuple(pair("CODE T1TRE CE 05 N TITRE CE 123456 CODE TITRE CE 22 NUMERO TITRE CE 654321")) == ("22", "654321")
+    assert tuple(pair("532 x 25 y 1234567 z 21 - 11")) == ("25", "1234567") and tuple(pair("43 x 5 44 y 1234567")) == ("5", "1234567")
+
+
+def test_article_details(spark):
+    """What a window tells, with readings that a form's own numbers would give left out; of repeated rows the first."""
+    text = "9 8542319000 TN 100,500 QCS 1 12 123.456 Pods brut 80 Pods net 70 fiscale 4 réglement 44 délai 7 OCI 11 code titre ce 24 numéro titre ce 1234567\n9 8542319000 DE 100.500\n1 85 42 31 90 FR 7000.250 poids brut 12 poids net 11 regime 100 200 financier x 81 5 QCI 3 et 22 | 7654321"
+    df = spark.createDataFrame([(1, text), (2, None), (3, "")], "id int, text string")
+    a, b = sorted(E.articles(df).collect(), key=lambda r: r["position"])
+    assert (a["line"], a["hs"], a["country"], a["value"], a["code_qcs"], a["qcs"], a["pfn"]) == (9, "8542319000", "TN", 100.5, "01", "12", "123.456")
+    assert (a["gross"], a["net"], a["fiscal_quality"], a["oci"], tuple(a["title"])) == ("80", "70", "4", None, ("24", "1234567"))
+    assert (b["hs"], b["gross"], b["net"], b["regime"], b["previous_regime"], b["financial_regime"], b["delay"], b["oci"], tuple(b["title"])) == ("85423190", None, None, "100", "200", "81", "5", "3", ("22", "7654321"))
+
+
+def test_single_lines_and_codes(spark):
+    lines = spark.createDataFrame([("3 85423190 Vis à tête 12 pcs 30,6",), ("x",), (None,), ("3 85423190 a 0 U 5",)], "line string")
+    got = [tuple(r)[1:] for r in E.priced_lines(lines).collect()]
+    assert got == [(3, "85423190", "VIS A TETE", 12.0, "PCS", 30.6, 2.55), (None,) * 7, (None,) * 7, (None,) * 7]
+    codes = spark.createDataFrame([(1, "1 8542 31 90\n1 85423190\n 2 1234567890 x\n3 12"), (2, None)], "id int, text string")
+    assert [tuple(r) for r in E.text_articles(codes).collect()] == [(1, 0, 1, "85423190"), (1, 1, 2, "1234567890")]
+
+
 def test_anchor_scores(spark):
     df = spark.createDataFrame([("XDECLARX",), ("DECIARANT",), ("",), (None,)], "t string")
     got = [r[0] for r in df.select(anchor_score(F.col("t"), ["DECLARANT", "DECLAR"])).collect()]
