@@ -1,12 +1,9 @@
 """Column functions: the reference's number, date and text rules."""
 
 import unicodedata
-from difflib import SequenceMatcher
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 
 def filled(c) -> Column:
@@ -129,7 +126,8 @@ MISREAD = [
 
 
 def normalize_noise(c) -> Column:
-    """Misread words put right, blanks and empty lines closed up."""
+    """Curved quotes and backticks made straight, misread words put right, blanks and empty lines closed up."""
+    c = F.replace(F.replace(c, F.lit("’"), F.lit("'")), F.lit("`"), F.lit("'"))
     for pattern, word in MISREAD:
         c = F.regexp_replace(c, "(?iU)" + pattern, word)
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}", " "), "\n{3,}", "\n\n"))
@@ -166,17 +164,3 @@ def valid_field(kind, c) -> Column:
     for name, shape in SHAPES.items():
         test = F.when(kind == name, text.rlike(shape)).otherwise(test)
     return (text != "") & test
-
-
-@F.pandas_udf(DoubleType())
-def _sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)], dtype="float64")
-
-
-def anchor_score(token, variants: list[str]) -> Column:
-    """1 for a token that holds a variant of a label, else the best ratio of equal runs with one of them."""
-    holds = F.lit(False)
-    for v in variants:
-        holds = holds | token.contains(v)
-    ratios = [_sequence_ratio(token, F.lit(v)) for v in variants]
-    return F.when(holds, 1.0).otherwise(F.greatest(*ratios) if len(ratios) > 1 else ratios[0])

@@ -447,15 +447,3 @@ def parse_declarations(docs: DataFrame) -> DataFrame:
         "destination": first("liquidation.destination", "guided.guided_destination"), "code_regime_financier": F.col("guided.financial_regime"), "code_delai": F.col("guided.delay"), "office": first("liquidation.office", F.lit("")), "auth_key": F.col("liquidation.auth_key")})
     clean = cleanup(wide).withColumns({"gross": F.col("poids_brut"), "net": F.col("poids_net")})
     return score_declaration(clean)
-
-
-def zone_fields(zones: DataFrame) -> DataFrame:
-    """(id, field_key, value) of zones (id, zones map): tpl_* entries by the family of their field, blank or wrong ones left out."""
-    rows = zones.select("id", F.explode("zones").alias("zone", "raw")).where("zone like 'tpl@_%' escape '@' and zone not like 'tpl@_block@_%' escape '@'")
-    key, value = F.substring("zone", 5, 99), filled(F.regexp_replace("raw", r"\s+", " "))
-    by_code = F.coalesce(*[F.when(fold_text(value).rlike(rf"\b({code}|{name})\b"), F.lit(f"{code} {name}")) for code, name in COUNTRIES.items()])
-    typed = (
-        F.when(key.startswith("pays_"), by_code).when(key == "numero_declaration", found(value, r"\b(\d{6})\b")).when(key == "date_declaration", normalize_date(found(value, f"({DAY})")))
-        .when(key.isin("declarant", "declarant_nom", "nom_declarant"), F.when(F.length(F.regexp_replace(value, "[^A-Za-z]", "")) >= 3, value)).otherwise(value)
-    )
-    return rows.select("id", key.alias("field_key"), typed.alias("value")).where("value is not null")

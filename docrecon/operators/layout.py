@@ -1,9 +1,10 @@
-"""Zones, cells and pages of scanned documents, and scans in order within a key."""
+"""Zones, cells and pages of scanned documents, and runs of a key's rows in order."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from docrecon.operators.core import latest
 
 
-def in_order(df: DataFrame, key: list[str], order: list[str], start: Callable, step: Callable, schema: str) -> DataFrame:
-    """df, all columns, with the value that step(state, row) gives for each row of a key in order; state = start() for each key.
+def by_runs(df: DataFrame, key: list[str], order: list[str], solve: Callable, schema: str) -> DataFrame:
+    """df, all columns, with a column of the values of solve(state, rows) -> (values, state): rows are those of one key in a batch, in
+    order, state is what the key's rows before left, None for the first.
 
     Rows pass in batches of a sorted partition and only the state is carried over, so a key may hold any number of rows.
     The order must be total, so that a task that runs again gives the same rows.
@@ -22,27 +24,48 @@ def in_order(df: DataFrame, key: list[str], order: list[str], start: Callable, s
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
         for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                now = tuple(getattr(row, k) for k in key)
-                if now != last:
-                    last, state = now, start()
-                out.append(step(state, row))
-            yield batch.assign(**{name: out})
+            if not len(batch):
+                continue
+            fresh = np.zeros(len(batch), bool)
+            fresh[0] = True
+            for k in key:
+                c, before = batch[k], batch[k].shift()
+                fresh |= ((c != before) & ~(c.isna() & before.isna())).to_numpy(bool)
+            starts = np.flatnonzero(fresh)
+            values = []
+            for i, j in zip(starts, [*starts[1:], len(batch)]):
+                now = tuple(None if pd.isna(x) else x for x in batch[key].iloc[i])
+                out, state = solve(state if now == last else None, batch.iloc[i:j])
+                last = now
+                values.append(out)
+            yield batch.assign(**{name: np.concatenate(values)})
 
     fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), schema])
     return df.repartition(*key).sortWithinPartitions(*key, *order).mapInPandas(run, fields)
 
 
+def row_numbers(y: np.ndarray, tolerance: float, anchor: float | None = None, row: int = 0) -> tuple[np.ndarray, float, int]:
+    """For ascending y, the row of each, the last row's first y and number: a row ends before the next y that is more than tolerance
+    beyond its first. One search a row, none a cell."""
+    out = np.empty(len(y), np.int64)
+    at = 0
+    while at < len(y):
+        if anchor is None or y[at] > anchor + tolerance:
+            anchor, row = y[at], row + 1
+        end = max(at + 1, int(np.searchsorted(y, anchor + tolerance, side="right")))
+        out[at:end] = row
+        at = end
+    return out, anchor, row
+
+
 def group_cells(cells: DataFrame, tolerance: int = 14) -> DataFrame:
     """cells (page, id, x, y) with row: a new one begins where y is more than `tolerance` from the row's first cell."""
 
-    def step(state: dict, cell) -> int:
-        if not state or abs(cell.y - state["y"]) > tolerance:
-            state.update(y=cell.y, row=state.get("row", 0) + 1)
-        return state["row"]
+    def solve(state, rows: pd.DataFrame) -> tuple:
+        out, *state = row_numbers(rows["y"].to_numpy(), tolerance, *(state or (None, 0)))
+        return out, state
 
-    return in_order(cells, ["page"], ["y", "x", "id"], dict, step, "row long")
+    return by_runs(cells, ["page"], ["y", "x", "id"], solve, "row long")
 
 
 def zone_overlaps(zones: DataFrame, cell: int = 32) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from docrecon.operators import extraction as E
 from docrecon.operators.embedded import embedded_layout
+from docrecon.operators.field_rules import zone_fields
 from docrecon.plans import layout
 from docrecon.registry import query
 from docrecon.sources.tables import spread
@@ -178,14 +179,20 @@ def ext15(spark, d):
     return rows(spark, d, BILL).select("id", E.invoice_fields(F.col("text"))["net_pay"].alias("net_pay"))
 
 
-ZONES = {"tpl_numero_declaration": f"concat('n ', {NUMBER}, ' x')", "tpl_date_declaration": f"concat('le ', {DAY})", "tpl_pays_achat": pick(PLACES[:3]), "tpl_declarant": pick(["A", " MARTIN  FILS "]), "tpl_block_1": "'left out'", "other": "'left out'"}
+# Cells of templates as SQL, and the fields that they give.
+ZONES = {
+    "numero_declaration": (f"concat('n ', {NUMBER}, ' x')", {"numero_declaration": NUMBER}), "date_declaration": (f"concat('le ', {DAY})", {"date_declaration": DASHED}), "type_declaration": ("'type im4 .'", {"type_declaration": "'IM4'"}), "pays_achat": (pick(PLACES[:3]), {"pays_achat": pick(LABELLED[:3])}),
+    "pays_destination_finale": ("'US U.S.A'", {"pays_destination_finale": "'US USA'", "pays_destination": "'US USA'"}), "exportateur": (f"concat('Ateliers Réunis ', CAST({K} % 7 AS STRING), ' Numero 12')", {k: f"concat('ATELIERS REUNIS ', CAST({K} % 7 AS STRING))" for k in ("exportateur", "exportateur_nom")}),
+    "importateur_nom": ("'Dupont et  fils'", {k: "'Dupont et fils'" for k in ("importateur", "importateur_nom")}), "declarant": ("' MARTIN  FILS '", {k: "'MARTIN FILS'" for k in ("declarant", "declarant_nom", "nom_declarant")}), "nombre_colis": (f"concat('22 ', CAST({K} % 90 + 100 AS STRING), ' 33')", {"nombre_colis": f"CAST({K} % 90 + 100 AS STRING)"}),
+    "code_gdt": ("'x 602 603'", {"code_gdt": "'602'"}), "destination": ("'301 020'", {"destination": "'20'"}), "poids_net": ("'120 kg 21'", {"poids_net": "'120'"}), "montant_ptfn": (f"concat('TND ', replace({PRICE}, '.', ','))", {"montant_ptfn": PRICE}), "bureau_douane": ("'12 br -  tunis'", {"bureau_douane": "'BR - TUNIS'"}),
+    "itineraire": ("'Rades - Sfax'", {"itineraire": "'RADES-SFAX'"}), "mode_transport": ("' par  AVION'", {"mode_transport": "'par AVION'"}), "importateur": ("'code'", {}), "poids_brut": ("'21 33'", {}), "block_1": ("'left out'", {}), "adresse_exportateur": ("' '", {}),
+}
 
 
-@query("ext12_zone_fields", f"""SELECT {K} AS id, 'numero_declaration' AS field_key, {NUMBER} AS value FROM orders UNION ALL SELECT {K}, 'date_declaration', {DASHED} FROM orders UNION ALL SELECT {K}, 'pays_achat', {pick(LABELLED[:3])} FROM orders
-UNION ALL SELECT {K}, 'declarant', 'MARTIN FILS' FROM orders WHERE {K} % 2 = 1""")
+@query("ext12_zone_fields", " UNION ALL ".join(f"SELECT {K} AS id, '{k}' AS field_key, {v} AS value FROM orders" for _, told in ZONES.values() for k, v in told.items()))
 def ext12(spark, d):
-    zones = rows(spark, d, f"SELECT {K} AS id, map(" + ", ".join(f"'{k}', {v}" for k, v in ZONES.items()) + ") AS zones FROM orders")
-    return E.zone_fields(zones)
+    zones = rows(spark, d, f"SELECT {K} AS id, map(" + ", ".join(f"'tpl_{k}', {v}" for k, (v, _) in ZONES.items()) + ", 'other', 'left out') AS zones FROM orders")
+    return zone_fields(zones)
 
 
 EMBEDDED = f"""SELECT {K} AS id, concat('Exportateur', chr(10), 'MAISON ', {pick(['NORD', 'SUD'])}, chr(10), 'USA', chr(10), 'Importateur', chr(10), '5751 : ATELIERS REUNIS', chr(10), CAST({K} AS STRING), ' RUE HAUTE', chr(10), 'Déclarant', chr(10), 'MARTIN ET FILS', chr(10), 'Moyen de transport', chr(10),

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from docrecon.functions.scalars import amount_eu, fold_text, name_similarity, parse_amount, parse_int_amount
+from docrecon.operators.extraction import near_anchor
+from docrecon.operators.field_rules import text_profile
 from docrecon.registry import query
 from docrecon.sources.tables import WITH, table
 
@@ -23,12 +25,16 @@ def scl14(spark, d):
     return table(spark, d, "part").select("p_partkey", name_similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))
 
 
-@query("ext11_anchor_numeric", "SELECT doc_id, regexp_extract(text, '[Vv]ersion[^0-9]{0,120}([0-9]{1,3})', 1) AS version FROM documents")
+@query("ext11_anchor_numeric", "SELECT doc_id, nullif(regexp_extract(regexp_extract(upper(text), 'VERSION([\\s\\S]{0,120})', 1), '\\b([0-9]{1,3})\\b', 1), '') AS version FROM documents")
 def ext11(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "[Vv]ersion[^0-9]{0,120}([0-9]{1,3})", 1).alias("version"))
+    return table(spark, d, "documents").select("doc_id", near_anchor(F.upper("text"), "VERSION", 1, 3).alias("version"))
 
 
-@query("scl19_text_profile", "SELECT doc_id, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) AS letters, length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) >= 400 AS enough FROM documents")
+PROFILED = "CASE doc_id % 6 WHEN 0 THEN 'Déclaration en détail' WHEN 1 THEN 'certificat de décharge SA 12345' WHEN 2 THEN 'douanes tunisiennes / sa1234567' WHEN 3 THEN 'Douanes Tunisiennes' WHEN 4 THEN 'Déclaration en detail' ELSE '' END"
+
+
+@query("scl19_text_profile", f"""SELECT doc_id, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) AS letters, length(regexp_replace(t, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 400 AS enough, ['dum_detail', 'sa_text', 'sa_text', 'tunisia_customs', 'unknown', 'unknown'][doc_id % 6 + 1] AS profile, CASE WHEN doc_id % 6 IN (2, 3) THEN 1 ELSE 0 END AS customs
+FROM (SELECT doc_id, concat({PROFILED}, chr(10), text) AS t FROM documents)""")
 def scl19(spark, d):
-    n = F.length(F.regexp_replace("text", "[^\\p{L}\\p{N}]", ""))
-    return table(spark, d, "documents").select("doc_id", n.cast("long").alias("letters"), (n >= 400).alias("enough"))
+    out = table(spark, d, "documents").select("doc_id", text_profile(F.concat(F.expr(PROFILED), F.lit("\n"), "text")).alias("p"))
+    return out.select("doc_id", "p.letters", "p.enough", "p.profile", F.coalesce(F.try_element_at("p.hits", F.lit("tunisia_customs")), F.lit(0)).alias("customs"))

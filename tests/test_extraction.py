@@ -1,12 +1,13 @@
 """Fields of texts and candidates on small rows: nulls, empty texts, order of the rules."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from docrecon.functions.scalars import anchor_score
 from docrecon.operators import extraction as E
+from docrecon.operators import field_rules as R
 from docrecon.operators import quality as Q
 
 PARTS = [E.header_fields, E.transport_fields, E.liquidation_fields, E.country_fields, E.article_value_fields, E.party_fields, E.guided_fields]
@@ -77,10 +78,17 @@ def test_single_lines_and_codes(spark):
 
 
 def test_anchor_scores(spark):
-    df = spark.createDataFrame([("XDECLARX",), ("DECIARANT",), ("",), (None,)], "t string")
-    got = [r[0] for r in df.select(anchor_score(F.col("t"), ["DECLARANT", "DECLAR"])).collect()]
-    assert got[0] == 1.0 and got[2] == 0.0
-    assert got[1] == max(SequenceMatcher(None, "DECIARANT", v).ratio() for v in ("DECLARANT", "DECLAR"))
+    """As SequenceMatcher scores them, down to the least score that counts; few tokens need it."""
+    rng = random.Random(1)
+    words = ["".join(rng.choices("DECLARNTIOPXY", k=rng.randrange(1, 14))) for _ in range(500)] + ["XDECLARX", "DECIARANT", "DECLRANT", "", None]
+    df = spark.createDataFrame([(w,) for w in words + words[:50]], "token string")
+    variants = R.ANCHORS["declarant"]
+    want = []
+    for w in words + words[:50]:
+        best = 1.0 if w and any(v in w for v in variants) else max(SequenceMatcher(None, w or "", v).ratio() for v in variants)
+        want.append((w, best if best >= R.LEAST_LIKENESS else 0.0))
+    assert sorted(map(tuple, R.anchor_scores(df, variants).collect()), key=str) == sorted(want, key=str)
+    assert R.anchor_pairs(df, variants).select("token").distinct().count() < len(set(words)) / 10
 
 
 def test_candidates(spark):

@@ -3,11 +3,13 @@
 import tempfile
 from collections import defaultdict
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docrecon.operators.layout import zone_overlaps
+from docrecon.operators.layout import row_numbers, zone_overlaps
 from docrecon.plans.access import requests
-from docrecon.streaming.jobs import failed_logins, ingest, rate_limit, rate_limit_stream, revocation_stream
+from docrecon.streaming.jobs import admit, failed_login_stream, failed_logins, ingest, rate_limit, rate_limit_stream, revocation_stream
 
 SF = "/root/testdata/sf0.001"
 
@@ -34,14 +36,54 @@ def streamed(spark, df, parts, name, job):
     return spark.table(name)
 
 
+def test_admitted_by_blocks():
+    rng = np.random.default_rng(1)
+    for _ in range(300):
+        times, limit, window = np.sort(rng.integers(0, 200, rng.integers(0, 60))), int(rng.integers(1, 6)), int(rng.integers(0, 60))
+        kept, want = [], []
+        for t in times:
+            kept = [s for s in kept if s >= t - window]
+            want.append(len(kept) < limit)
+            kept += [t] * want[-1]
+        cut = int(rng.integers(0, len(times) + 1))
+        one, stamps = admit(times[:cut], np.empty(0, np.int64), limit, window)
+        two, _ = admit(times[cut:], stamps, limit, window)
+        assert [*one, *two] == want
+
+
 def test_rate_limit_batch_and_stream(spark):
+    """Batch and stream decide alike, though the stream's rows arrive in another order."""
     req = requests(spark, SF)
     want = by_loop(req.collect(), 2, 18_000_000_000)
     assert 0 < len(want) < req.count()
     assert {r["id"] for r in rate_limit(req, 2, 18_000).where("accepted").collect()} == want
-    middle = req.agg(F.median("micros")).first()[0]
-    got = streamed(spark, req, [f"micros < {middle}", f"micros >= {middle}"], "limited", lambda s: rate_limit_stream(s, 2, 18_000))
-    assert {r["id"] for r in got.where("accepted").collect()} == want
+    last = req.selectExpr("'end' AS route", "'' AS ip", "-1L AS id", "micros + 1000000000000000 AS micros").limit(1)
+    got = streamed(spark, req.union(last), ["id % 3 = 0", "id % 3 = 1", "id % 3 = 2", "id = -1"], "limited", lambda s: rate_limit_stream(s, 2, 18_000, "3000 days"))
+    rows = got.collect()
+    assert len(rows) == req.count() and {r["id"] for r in rows if r["accepted"]} == want
+
+
+def test_failed_logins_as_the_window_counts_them(spark):
+    rows = spark.sql("select id, timestamp_seconds(1000000 + pow(id * 37 % 101, 2)) as at, if(id % 3 = 0, ' A@x ', 'b@x') as email, 'i' as ip, id % 5 > 0 as failed from range(101)")
+    last = spark.sql("select -1L as id, timestamp_seconds(90000000) as at, 'end' as email, '' as ip, true as failed")
+    got = streamed(spark, rows.union(last), ["id % 2 = 0 and id >= 0", "id % 2 = 1", "id = -1"], "failures", lambda s: failed_login_stream(s, "300 days"))
+    own = rows.where("failed").withColumn("email", F.lower(F.trim("email")))
+    want = own.withColumn("n", F.count("*").over(Window.partitionBy("email", "ip").orderBy(F.unix_micros("at")).rangeBetween(-900_000_000, 0)))
+    assert {(r["id"], r["n"]) for r in got.collect()} == {(r["id"], r["n"]) for r in want.collect()}
+
+
+def test_rows_of_cells():
+    rng = np.random.default_rng(2)
+    for _ in range(100):
+        y = np.sort(rng.integers(0, 300, rng.integers(1, 80)))
+        want, anchor, row = [], None, 0
+        for v in y:
+            if anchor is None or v - anchor > 14:
+                anchor, row = v, row + 1
+            want.append(row)
+        cut = int(rng.integers(0, len(y) + 1))
+        one, *state = row_numbers(y[:cut], 14)
+        assert [*one, *row_numbers(y[cut:], 14, *state)[0]] == want
 
 
 def test_rejected_requests_do_not_count(spark):
