@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrecon.llm.common import WordHashes, load, mixed, of_stage, saved, whole, windows, word_arrays
@@ -42,19 +42,23 @@ RAW = frozenset("script style noscript template textarea title svg iframe object
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CHROME = frozenset("nav footer aside form menu dialog head button".split())
-NAMES = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer menu modal nav navbar navigation newsletter notice pagination popup promo related search share sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo respond".split())
+NAMES = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer menu modal nav navbar navigation newsletter notice pagination popup promo related search share sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo respond".split())
 ARTICLE = frozenset(["article", "main"])
 #: Elements whose names say something about the page, not about what they hold.
 WHOLE = frozenset(["html", "body", "main"])
 #: A name that begins so tells of something beside the element; parts that may follow the telling one.
 BESIDE = frozenset("has with without no is".split())
 AFTER = frozenset("area bar block bottom box container inner item items left link links list outer right section top wrap wrapper".split())
+#: Parts that may follow a telling one in the middle of a name.
+WITHIN = frozenset("block box form item items link links list placeholder slot unit zone".split())
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 BODY, TEXT, OTHER = 0, 1, 2
 
 
 def telling(attributes: str) -> bool:
-    """Whether a class, id or role is one of NAMES, ends in one (cookie-notice) or is one with a common part after it
-    (sidebar-left); page-wide ones such as has-sidebar, content-sidebar-wrap or search-page aren't."""
+    """Whether a class, id or role is one of NAMES, ends in one (cookie-notice), is one with a common part after it (sidebar-left) or
+    has one with a part of something small after it (user-comment-list); page-wide ones such as has-sidebar,
+    content-sidebar-wrap or search-page aren't."""
     for value in NAMED.findall(attributes):
         for name in value.strip("\"'").lower().split():
             parts = [p for p in SPLIT.split(name) if p]
@@ -62,6 +66,9 @@ def telling(attributes: str) -> bool:
                 continue
             if parts[-1] in NAMES or parts[0] in NAMES and all(p in AFTER or p.isdigit() for p in parts[1:]):
                 return True
+            last = max((i for i, p in enumerate(parts) if p in NAMES), default=len(parts))
+            if last < len(parts) and all(p in WITHIN or p.isdigit() for p in parts[last + 1 :]):
+                return True
     return False
 
 
@@ -121,7 +128,7 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         _, now, hints, firm = stack[-1] if stack else top
         hint = tag == "form" or tag not in WHOLE and telling(attributes)
         hints += hint
-        if tag in CHROME and tag != "form" or tag == "header" and now != TEXT:
+        if tag in CHROME and tag != "form" or tag == "header" and now != TEXT or HIDDEN.search(attributes):
             now, firm = OTHER, True
         elif tag in ARTICLE and not firm:
             now = TEXT
@@ -190,10 +197,16 @@ def cut(blocks: list[tuple[int, str]], covered: np.ndarray, repeated: list[bool]
     for _, text in blocks:
         places.append((at, at := at + text.count(" ") + 1))
     article = [covered[i:j] for (i, j), (kind, _) in zip(places, blocks) if kind == TEXT]
+    # A page of which repeats would leave nothing is a copy (a print version, a mirror), and keeps its undecided blocks.
+    undecided = [(covered[i:j].all() or whole_block) for (i, j), (kind, _), whole_block in zip(places, blocks, repeated) if kind == BODY]
+    mirror = bool(undecided) and all(undecided) and not article
     # An article that copies another shares much of it; that is the page's text all the same.
     copied = sum(int(x.sum()) for x in article) * COPIED > sum(map(len, article))
     kept = []
     for (i, j), (kind, text), whole_block in zip(places, blocks, repeated):
+        if kind == BODY and mirror:
+            kept.append(text)
+            continue
         if kind == OTHER or whole_block and kind == BODY or whole_block and covered[i:j].all() and not copied:
             continue
         if kind == BODY and covered[i:j].any():
@@ -203,19 +216,21 @@ def cut(blocks: list[tuple[int, str]], covered: np.ndarray, repeated: list[bool]
     return "\n".join(kept)
 
 
-def main_texts(pages: list[list[tuple[int, str]]], run: int = MIN_RUN, least: int = MIN_PAGES) -> list[str]:
-    """The texts of a host's pages, given as blocks."""
+def main_texts(pages: list[list[tuple[int, str]]], run: int = MIN_RUN, least: int = MIN_PAGES, ids: list | None = None) -> list[str]:
+    """The texts of a host's pages, given as blocks. ids: rows that repeat one are one page; such without an id are pages of their own."""
+    number: dict = {}
+    page = [number.setdefault(("row", p) if ids is None or ids[p] is None or ids[p] != ids[p] else ids[p], len(number)) for p in range(len(pages))]
     words: dict[str, int] = defaultdict()
     words.default_factory = words.__len__
     stream, owner = [], []
-    having = Counter(text for blocks in pages for text in {t for _, t in blocks})
+    having = Counter(text for _, text in {(page[p], t) for p, blocks in enumerate(pages) for _, t in blocks})
     for p, blocks in enumerate(pages):
         for _, text in blocks:
             stream.extend(map(words.__getitem__, text.split(" ")))
             stream.append(-1)
         owner += [p] * (len(stream) - len(owner))
     tokens, owners = np.array(stream, np.int64), np.array(owner, np.int64)
-    covered = shared_runs(tokens, owners, run, least)[tokens != -1]
+    covered = shared_runs(tokens, np.array(page, np.int64)[owners] if len(owners) else owners, run, least)[tokens != -1]
     ends = np.searchsorted(owners[tokens != -1], np.arange(len(pages) + 1))
     return [cut(b, covered[ends[p] : ends[p + 1]], [having[t] >= least for _, t in b]) for p, b in enumerate(pages)]
 
@@ -262,14 +277,16 @@ class Page:
 def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
     """(page_id, url, text string, n_chars long), one row for each row of pages (page_id, url, html).
 
-    Null or empty html gives an empty text. A null url is a host of its own. A host with more than host_bytes of html is dealt
+    Null or empty html gives an empty text. A page whose url names no host is a host of its own. Rows that repeat a page_id count
+    as one page and have a text each; pages without page_id count one by one. A host with more than host_bytes of html is dealt
     into groups of about that size by a hash of page_id and html, so no group grows with the corpus, and its repeats are
     counted over the whole host: blocks and runs by 64-bit hashes, runs in two steps. First pages count for the anchors of
     their runs, an eighth of the words or so; then for the runs whose anchor enough pages have. The groups get back what
     enough pages share. So the result doesn't depend on the groups.
     """
     host = F.lower(F.coalesce(F.regexp_extract("url", "^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    rows = pages.select("page_id", "url", "html").withColumn("host", host)
+    alone = F.concat(F.lit("#"), F.xxhash64("page_id", "url", "html").cast("string"))
+    rows = pages.select("page_id", "url", "html").withColumn("host", F.when(host != "", host).otherwise(alone))
     sizes = rows.groupBy("host").agg(F.ceil(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 100) / host_bytes).alias("groups"))
     kind, url = pages.schema["page_id"].dataType.simpleString(), pages.schema["url"].dataType.simpleString()
     result = f"page_id {kind}, url {url}, text string, n_chars long"
@@ -285,7 +302,7 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
         return pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     def group(x: pd.DataFrame) -> pd.DataFrame:
-        return texts_of(x, main_texts([list(zip(k, b)) for k, b in zip(x["kinds"], x["blocks"])]))
+        return texts_of(x, main_texts([list(zip(k, b)) for k, b in zip(x["kinds"], x["blocks"])], ids=[None if pd.isna(i) else i for i in x["page_id"]]))
 
     # Only hosts of several groups need their number; they are broadcast if they are few.
     large = saved(sizes.where("groups > 1"))
@@ -299,22 +316,31 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
 
     # The seed of a host keeps its hashes apart from other hosts'; a group is a host's rows with one remainder.
     seed, part = F.xxhash64("host"), F.pmod(F.xxhash64("page_id", "html"), F.col("groups"))
-    dealt = rows.join(hosts, "host").select("page_id", "url", "html", seed.alias("seed"), F.xxhash64("host", part).alias("part"))
-    dealt = dealt.mapInArrow(parse, f"page_id {kind}, url {url}, seed long, part long, kinds array<int>, blocks array<string>")
+    dealt = rows.join(hosts, "host")
+    # Of rows that repeat a page_id one counts. They are few, if there are any; only they are sorted.
+    again = dealt.where("page_id is not null").groupBy("host", "page_id").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    if again.take(1):
+        first = Window.partitionBy("host", "page_id").orderBy("html", "url")
+        both = dealt.join(again, ["host", "page_id"]).withColumn("counts", F.row_number().over(first) == 1).select(*dealt.columns, "counts")
+        dealt = dealt.join(again, ["host", "page_id"], "left_anti").withColumn("counts", F.lit(True)).select(*dealt.columns, "counts").union(both)
+    else:
+        dealt = dealt.withColumn("counts", F.lit(True))
+    dealt = dealt.select("page_id", "url", "html", "counts", seed.alias("seed"), F.xxhash64("host", part).alias("part"))
+    dealt = dealt.mapInArrow(parse, f"page_id {kind}, url {url}, counts boolean, seed long, part long, kinds array<int>, blocks array<string>")
     counts = "part long, of_block boolean, key long, n int"
 
     def counted(found: Counter, part: int, of_block: bool) -> dict:
         return {"part": [part] * len(found), "of_block": [of_block] * len(found), "key": list(found.keys()), "n": list(found.values())}
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = of_stage("words", WordHashes)
         for batch in batches:
             found: dict = {}
-            for g, s, blocks in zip(*(batch.column(c).to_pylist() for c in ("part", "seed", "blocks"))):
+            for g, s, once, blocks in zip(*(batch.column(c).to_pylist() for c in ("part", "seed", "counts", "blocks"))):
                 page = Page(blocks, s, hashes)
                 anchors = page.anchors()
                 for of_block, keys in ((True, page.blocks), (False, anchors[anchors != 0])):
-                    found.setdefault((g, of_block), Counter()).update(np.unique(keys).view(np.int64).tolist())
+                    found.setdefault((g, of_block), Counter()).update(dict.fromkeys(np.unique(keys).view(np.int64).tolist(), int(once)))
             for (g, of_block), keys in found.items():
                 columns = counted(keys, g, of_block)
                 yield pa.RecordBatch.from_arrays([pa.array(columns["part"], pa.int64()), pa.array(columns["of_block"], pa.bool_()), pa.array(columns["key"], pa.int64()), pa.array(columns["n"], pa.int32())], ["part", "of_block", "key", "n"])
@@ -331,12 +357,14 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
     def second(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         hashes, wanted, found = of_stage("words", WordHashes), keys_of(y, False), []
         if len(x) and len(wanted):
-            for s, blocks in zip(x["seed"], x["blocks"]):
+            for s, once, blocks in zip(x["seed"], x["counts"], x["blocks"]):
                 page = Page(list(blocks), s, hashes)
                 likely = among(page.anchors(), wanted)
                 if likely.any():
-                    found.append(np.unique(page.runs()[likely]))
-        keys, n = np.unique(np.concatenate(found) if found else np.empty(0, np.uint64), return_counts=True)
+                    runs = np.unique(page.runs()[likely])
+                    found.append((runs, np.full(len(runs), int(once))))
+        keys, back = np.unique(np.concatenate([r for r, _ in found]) if found else np.empty(0, np.uint64), return_inverse=True)
+        n = np.bincount(back, np.concatenate([w for _, w in found]), len(keys)) if found else np.empty(0)
         return pd.DataFrame({"part": np.full(len(keys), x["part"].iloc[0] if len(x) else 0), "of_block": np.zeros(len(keys), bool), "key": keys.view(np.int64), "n": n.astype(np.int32)})
 
     def last(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
@@ -347,8 +375,8 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
             texts.append(cut(list(zip(kinds, blocks)), spread(at, len(page.words), MIN_RUN), among(page.blocks, blocks_shared).tolist()))
         return texts_of(x, texts)
 
-    anchors = shared(dealt.select("seed", "part", "blocks").mapInArrow(first, counts))
-    runs = shared(dealt.select("seed", "part", "blocks").groupBy("part").cogroup(anchors.where("not of_block").groupBy("part")).applyInPandas(second, counts))
+    anchors = shared(dealt.select("seed", "part", "counts", "blocks").mapInArrow(counted_keys, counts))
+    runs = shared(dealt.select("seed", "part", "counts", "blocks").groupBy("part").cogroup(anchors.where("not of_block").groupBy("part")).applyInPandas(second, counts))
     known = runs.union(anchors.where("of_block"))
     return out.union(dealt.groupBy("part").cogroup(known.groupBy("part")).applyInPandas(last, result))
 

@@ -281,6 +281,30 @@ def test_html_host_in_groups(spark):
     assert "Three" not in dealt[99] and "Two have this" in dealt[1]
 
 
+@pytest.mark.parametrize("size", [8 << 20, 4096])
+def test_html_repeated_rows_and_mirrors(spark, size):
+    """Rows that repeat a page_id are one page, with other html too; a page all of which others have keeps its text; pages of no host,
+    and such without page_id, aren't compared; other columns may have any names."""
+    say, schema = page_rows()
+    note = say("note", 30)
+    page = lambda tag: f"<div>{say(tag, 60)}</div><p>{note}</p>"
+    rows = [(1, "http://a/", page("one"))] * 3 + [(2, "http://a/", page("two")), (2, "http://a/", page("two") + "<p>x</p>"), (3, "http://a/", page("three"))]
+    rows += [(10 + i, f"http://m/{i}", page("same")) for i in range(4)] + [(20 + i, None if i % 2 else "/x", page(f"p{i}q")) for i in range(6)]
+    rows += [(None, "http://n/", page(f"n{i}q")) for i in range(3)] + [(40, "http://big/", f"<div>{say('long', 40_000)}</div>")] + [(50 + i, "http://a/", page(f"z{i}z")) for i in range(12)]
+    out = extract_text(spark.createDataFrame(rows, schema).selectExpr("*", "1 AS host", "2 AS TEXT", "3 AS part").repartition(3), size).collect()
+    texts = {}
+    for r in out:
+        texts.setdefault(r["page_id"], []).append(r["text"])
+    assert len(out) == len(rows) and texts[1] == [say("one", 60)] * 3 and sorted(texts[2]) == [say("two", 60), say("two", 60) + "\nx"]
+    assert all(texts[10 + i] == [f"{say('same', 60)}\n{note}"] for i in range(4)) and all(texts[20 + i] == [f"{say(f'p{i}q', 60)}\n{note}"] for i in range(6))
+    assert sorted(texts[None]) == sorted(say(f"n{i}q", 60) for i in range(3)) and texts[40] == [say("long", 40_000)]
+
+
+def test_html_hidden_and_named_parts():
+    page = "<article>Kept<p hidden>no</p><div style='display: none'>no</div><div class='user-comment-list'>no</div><div class='post-ad-slot'>no</div><p class='hidden-gem' data-hidden-x='1'>too</p></article><div id='copyright'>no</div><div class='content-sidebar-wrap'>Body</div>"
+    assert [text for kind, text in blocks_of(page) if kind != OTHER] == ["Kept", "too", "Body"]
+
+
 def test_html_long_repeats(spark):
     say, schema = page_rows()
     note = say("note", 30)
