@@ -13,6 +13,14 @@ def latest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def newest(df: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
+    """The row of each key with the greatest order, nulls being least: an aggregate with partial maxima, so a key that many rows share
+    (a placeholder's id) is one row a task before the shuffle, and no window sorts it."""
+    rest = [c for c in df.columns if c not in key]
+    best = F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")
+    return df.groupBy(*key).agg(best).select(*[F.col(c) if c in key else F.col("_r")[c].alias(c) for c in df.columns])
+
+
 def visible(df: DataFrame, user: int, admin: bool = False, ownerless: bool = False) -> DataFrame:
     own = F.col("user_id") == user
     return df if admin else df.where(own | F.col("user_id").isNull() if ownerless else own)
@@ -33,7 +41,7 @@ def known_columns(results: DataFrame, columns: list[str], ignored: tuple[str, ..
 
 
 def latest_sessions(sessions: DataFrame) -> DataFrame:
-    return latest(sessions, ["document_id"], [F.coalesce("ended_at", "started_at").desc_nulls_last(), F.col("id")])
+    return newest(sessions, ["document_id"], [F.coalesce("ended_at", "started_at"), -F.col("id")])
 
 
 def resolved_status(declarations: DataFrame, sessions: DataFrame) -> DataFrame:
@@ -65,12 +73,14 @@ CONTROL = ["numero_declaration_dum", "date_declaration_dum", "montant_declare_du
 
 
 def link_one_to_one(invoices: DataFrame) -> DataFrame:
-    """Of the invoices on a declaration the one linked last keeps its link; the others lose it and the columns of CONTROL."""
+    """Of the invoices on a declaration the one linked last (of those of one time the one with the largest id) keeps its link; the others
+    lose it and the columns of CONTROL. The last of a declaration comes from partial maxima and is joined back, so invoices on one
+    placeholder needn't meet in a task."""
     linked = invoices.where("dum_id is not null")
-    winner = F.row_number().over(Window.partitionBy("dum_id").orderBy(F.col("created_at").desc(), F.col("id").desc())) == 1
+    last = linked.groupBy("dum_id").agg(F.max(F.struct("created_at", "id"))["id"].alias("_last"))
     lost = [c for c in ("dum_id", *CONTROL) if c in invoices.columns]
-    kept = linked.withColumn("_keep", winner).withColumns({c: F.when(F.col("_keep"), F.col(c)) for c in lost}).drop("_keep")
-    return kept.unionByName(invoices.where("dum_id is null"))
+    kept = linked.join(last, "dum_id").withColumn("_keep", F.col("id") == F.col("_last")).withColumns({c: F.when(F.col("_keep"), F.col(c)) for c in lost})
+    return kept.select(invoices.columns).unionByName(invoices.where("dum_id is null"))
 
 
 # The anomalies of a control, in their order, and what is said about them.

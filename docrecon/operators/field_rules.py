@@ -311,3 +311,27 @@ def compact_parts(number: Column, date: Column, fallback: Column, prefix: str =
     """struct(number, date) for lists: the number, else the prefix and the id, else a dash."""
     other = F.coalesce(F.concat(F.lit(f"{prefix} #"), fallback.cast("string")), F.lit("—"))
     return F.struct(F.coalesce(filled(number.cast("string")), other).alias("number"), filled(date.cast("string")).alias("date"))
+
+
+# Kinds and names of files that are taken in.
+CONTENT, FILES = ["image/png", "image/jpeg", "image/jpg", "image/tiff", "application/pdf"], r"\.(png|jpe?g|tiff?|pdf)$"
+
+
+def rejected_content(kind: Column, name: Column) -> Column:
+    """Why a file isn't taken in: null where its kind or its name says that it is an image or a PDF."""
+    allowed = F.coalesce(kind.isin(CONTENT), F.lit(False)) | F.coalesce(F.lower(name).rlike(FILES), F.lit(False))
+    return F.when(~allowed, "content_type_not_allowed")
+
+
+def json_rows(raw: Column, fields: str) -> Column:
+    """The rows of a JSON array column, e.g. json_rows(c, "code: string"); none where it is null or broken; null rows go."""
+    kind = f"array<struct<{fields}>>"
+    return F.coalesce(F.filter(F.from_json(raw, kind, {"mode": "PERMISSIVE"}), lambda x: x.isNotNull()), F.array().cast(kind))
+
+
+def union_flags(*flags: Column) -> Column:
+    """All flags of several arrays once, in order; null counts as none."""
+    out = F.array().cast("array<string>")
+    for f in flags:
+        out = F.array_union(out, F.coalesce(f, F.array().cast("array<string>")))
+    return F.array_sort(out)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docrecon.functions.scalars import dum_validated, filled, importer_code, invoice_validated, fold_text, plain_number
-from docrecon.operators.core import latest, latest_sessions
+from docrecon.operators.core import latest, latest_sessions, newest
 
 # Labels, tones and filter keys of statuses.
 DUM_STATUS = {"validated": ("Validé", "success", "validated"), "rejected": ("Rejeté", "danger", "rejected"), "in_progress": ("En cours", "warning", "in_progress"), "processing": ("En cours", "warning", "in_progress")}
@@ -30,7 +30,7 @@ def _text(x) -> Column:
 
 def owner_labels(invoices: DataFrame, traces: DataFrame, users: DataFrame) -> DataFrame:
     """invoices with owner: the latest trace with a username, else the user's name or e-mail, else 'Utilisateur #id', else null."""
-    last = latest(traces.where("trim(username) <> ''"), ["document_id"], [F.desc("uploaded_at"), F.desc("id")]).select(F.col("document_id").alias("id"), F.trim("username").alias("_trace"))
+    last = newest(traces.where("trim(username) <> ''").select("document_id", "username", "uploaded_at", "id"), ["document_id"], [F.col("uploaded_at"), F.col("id")]).select(F.col("document_id").alias("id"), F.trim("username").alias("_trace"))
     names = users.select(F.col("id").alias("user_id"), F.coalesce(filled(F.col("username")), filled(F.col("email"))).alias("_name"))
     label = F.when(F.col("user_id").isNotNull(), F.concat(F.lit("Utilisateur #"), _text("user_id")))
     return invoices.join(last, "id", "left").join(names, "user_id", "left").withColumn("owner", F.coalesce("_trace", "_name", label)).drop("_trace", "_name")
@@ -70,8 +70,8 @@ def recent_activity(declarations: DataFrame, sessions: DataFrame, users: DataFra
 def history_items(rows: DataFrame, invoices: DataFrame, corrections: DataFrame) -> DataFrame:
     """Declarations (rows of history_rows) and invoices (with owner) as one table of history items, each with its partner: the
     invoice that is linked last, or the linked declaration. corrections (document_id, corrections)."""
-    by_dum = latest(invoices.where("dum_id is not null"), ["dum_id"], [F.desc("created_at"), F.desc("id")])
     names = ["id", "numero", "date_facture", "statut", "statut_controle", "compared_at", "montant_declare_dum", "net_pay", "ecart_montant", "devise_declaree_dum", "devise"]
+    by_dum = newest(invoices.where("dum_id is not null").select("dum_id", "created_at", *names), ["dum_id"], [F.col("created_at"), F.col("id")])
     linked = by_dum.select(F.col("dum_id").alias("document_id"), *[F.col(c).alias(f"l_{c}") for c in names])
     j = rows.join(linked, "document_id", "left").join(corrections.select("document_id", "corrections"), "document_id", "left")
     has = F.col("l_id").isNotNull()
@@ -138,9 +138,49 @@ def history_totals(items: DataFrame) -> DataFrame:
     return items.agg(F.count("*").alias("total"), F.count_if(F.col("type") == "dum").alias("dum_total"), F.count_if(F.col("type") == "invoice").alias("invoice_total"))
 
 
-def page(df: DataFrame, order: list[Column], skip: int = 0, limit: int = 50) -> tuple[DataFrame, int]:
-    """Rows skip to skip + limit (1 to 200), and how many there are altogether."""
-    return df.orderBy(*order).offset(max(0, skip)).limit(max(1, min(limit, 200))), df.count()
+def history_stats(items: DataFrame) -> DataFrame:
+    """All history items, those validated, those under way, those whose control is right, and those reconciled with a warning or error;
+    and their owners."""
+    key, control = F.col("filter_key"), F.col("control")
+    return items.agg(
+        F.count("*").alias("total"), F.count_if(key == "validated").alias("validated"), F.count_if(key.isin("in_progress", "pending")).alias("in_progress"), F.count_if(control == "ok").alias("reconciled_ok"),
+        F.count_if(F.col("reconciled") & control.isin("warning", "error")).alias("reconciled_warning"), F.count_distinct("owner").alias("owners"))
+
+
+def page(df: DataFrame, order: list[Column], skip: int = 0, limit: int = 50) -> tuple[DataFrame, Column]:
+    """Rows skip to skip + limit (1 to 200), and how many there are altogether: a column that is counted when it is read."""
+    return df.orderBy(*order).offset(max(0, skip)).limit(max(1, min(limit, 200))), df.agg(F.count("*")).scalar()
+
+
+def deep_page(df: DataFrame, at: str = "created_at", key: str = "id", skip: int = 0, limit: int = 50) -> tuple[DataFrame, int]:
+    """page() by time (newest first, unknown last) and key, however deep: rows are counted by day, and only the days that hold the page
+    are read and sorted. The driver gets a row a day."""
+    skip, limit = max(0, skip), max(1, min(limit, 200))
+    days = sorted(((r.day, r.n) for r in df.groupBy(F.to_date(at).alias("day")).agg(F.count("*").alias("n")).collect()), key=lambda x: (x[0] is not None, x[0] or 0), reverse=True)
+    before, wanted, passed = 0, [], 0
+    for day, n in days:
+        if passed + n <= skip:
+            before = passed + n
+        elif passed < skip + limit:
+            wanted.append(day)
+        passed += n
+    known = [d for d in wanted if d is not None]
+    told = F.col(at).cast("date").between(F.lit(known[-1]), F.lit(known[0])) if known else F.lit(False)
+    if known:
+        # By time, not by day, so that the range reaches the scan.
+        told = (F.col(at) >= F.lit(str(known[-1])).cast(df.schema[at].dataType)) & (F.col(at) < F.date_add(F.lit(str(known[0])).cast("date"), 1).cast(df.schema[at].dataType))
+    rows = df.where(told | F.col(at).isNull() if None in wanted else told)
+    return rows.orderBy(F.desc(at), F.desc(key)).offset(skip - before).limit(limit), passed
+
+
+def next_page(df: DataFrame, after: tuple | None, at: str = "created_at", key: str = "id", limit: int = 50) -> DataFrame:
+    """The page behind the row (time, key) that the page before has ended with, newest first: a filter on the range, no offset. The time of
+    after is None where the last row had none."""
+    if after is not None:
+        time, last = after
+        older = F.col(at).isNull() & (F.col(key) < last) if time is None else (F.col(at) < F.lit(time)) | (F.col(at) == F.lit(time)) & (F.col(key) < last) | F.col(at).isNull()
+        df = df.where(older)
+    return df.orderBy(F.desc(at), F.desc(key)).limit(max(1, min(limit, 200)))
 
 
 # The headings of the two exports.
@@ -219,11 +259,13 @@ def lookup_importer(documents: DataFrame, entries: DataFrame, code: str = "code"
 def line_contexts(pages: DataFrame, kinds: dict[str, str], before: int = 8, last: int = 450) -> DataFrame:
     """(doc_id, n, line, kind, before_words, before_excerpt): lines of pages (doc_id, text) that match one of kinds (name -> pattern, the
     first that matches), with the up to `before` non-empty lines that come before."""
-    lines = pages.select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line")).withColumn("line", F.trim(F.regexp_replace("line", r"\s+", " "))).where("line <> ''")
-    w = Window.partitionBy("doc_id").orderBy("at")
-    kind = F.coalesce(*[F.when(F.col("line").rlike(pattern), name) for name, pattern in kinds.items()])
-    c = lines.select("doc_id", F.row_number().over(w).cast("long").alias("n"), "line", F.array_join(F.collect_list("line").over(w.rowsBetween(-before, -1)), " ").alias("before"), kind.alias("kind")).where("kind is not null")
-    return c.select("doc_id", "n", F.substring("line", 1, 220).alias("line"), "kind", F.regexp_count("before", F.lit(WORDS)).cast("long").alias("before_words"), F.right("before", F.lit(last)).alias("before_excerpt"))
+    kind = lambda c: F.coalesce(*[F.when(c.rlike(pattern), name) for name, pattern in kinds.items()])
+    # Texts without a match have no lines to look at. Lines stay in their text: no shuffle, no window.
+    lines = F.filter(F.transform(F.split(F.when(kind(F.col("text")).isNotNull(), F.col("text")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))), lambda x: x != "")
+    hits = F.filter(F.transform("_lines", lambda x, i: F.struct((i + 1).alias("n"), x.alias("line"), kind(x).alias("kind"))), lambda h: h["kind"].isNotNull())
+    told = F.transform(hits, lambda h: F.struct(h["n"].cast("long").alias("n"), F.substring(h["line"], 1, 220).alias("line"), h["kind"].alias("kind"), F.array_join(F.slice("_lines", F.greatest(h["n"] - before, F.lit(1)), F.least(h["n"] - 1, F.lit(before))), " ").alias("before")))
+    c = pages.select("doc_id", lines.alias("_lines")).where("_lines is not null").select("doc_id", F.explode_outer(told).alias("c")).where("c is not null").select("doc_id", "c.*")
+    return c.select("doc_id", "n", "line", "kind", F.regexp_count("before", F.lit(WORDS)).cast("long").alias("before_words"), F.right("before", F.lit(last)).alias("before_excerpt"))
 
 
 def heavy_pages(pages: DataFrame, most: int = 20) -> DataFrame:

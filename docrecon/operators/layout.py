@@ -105,3 +105,17 @@ def batch_outcome(files: DataFrame) -> DataFrame:
     """(batch, n, done, failed, first_error) of files (batch, id, error): a failed file keeps the text of its error and fails no job."""
     first = F.min_by("error", F.when(F.col("error").isNotNull(), F.col("id")))
     return files.groupBy("batch").agg(F.count("*").alias("n"), F.count_if(F.col("error").isNull()).alias("done"), F.count("error").alias("failed"), first.alias("first_error"))
+
+
+# Headings of chapters and of numbered sections.
+CHAPTER, SECTION = r"^\s*(?:chapitre|chapter)\s+([0-9IVXLC]+)\b[:\s-]*(.*)$", r"^\s*(\d+(?:\.\d+){0,4})\s+(.{3,120})$"
+
+
+def outline(pages: DataFrame, lines: int = 8) -> DataFrame:
+    """(doc_id, n, kind chapter or section, line): the headings among the first non-empty lines of pages (doc_id, text). Null and empty
+    texts have none."""
+    every = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " "))), lambda x: x != "")
+    first = pages.select("doc_id", F.posexplode_outer(F.slice(every, 1, lines)).alias("n", "line"))
+    chapter = F.col("line").rlike("(?i)" + CHAPTER)
+    section = F.col("line").rlike(SECTION) & ~F.regexp_extract("line", SECTION, 2).rlike("(?i)^(figure|tableau)")
+    return first.where(chapter | section).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.when(chapter, "chapter").otherwise("section").alias("kind"), "line")

@@ -3,7 +3,9 @@
 from pyspark.sql import functions as F
 
 from docrecon.operators.core import field_f1, resolved_status
+from docrecon.operators.history import history_stats
 from docrecon.operators.reports import corrections_per_document, document_stats, non_empty_coverage, row_counts, totals_from_lines
+from docrecon.plans.joins import HISTORY, history
 from docrecon.registry import query
 from docrecon.sources.tables import NOW, WITH, table
 
@@ -56,6 +58,11 @@ def agg5(spark, d):
     return resolved_status(table(spark, d, "v_declarations"), table(spark, d, "v_sessions")).agg(F.count("*").alias("total"), F.count_if(r == "validated").alias("validated"), F.count_if(r.isin("in_progress", "pending", "processing")).alias("in_progress"), F.count_distinct("user_id").alias("owners"))
 
 
+@query("agg5_unified_history_stats", HISTORY + "SELECT count(*) AS total, count(*) FILTER (filter_key = 'validated') AS validated, count(*) FILTER (filter_key IN ('in_progress', 'pending')) AS in_progress, count(*) FILTER (control = 'ok') AS reconciled_ok, count(*) FILTER (reconciled AND control IN ('warning', 'error')) AS reconciled_warning, count(DISTINCT owner) AS owners FROM items")
+def agg5_unified(spark, d):
+    return history_stats(history(spark, d))
+
+
 FIELDS = ["numero", "devise", "montant_ptfn", "nombre_colis", "poids_net", "mode_livraison"]
 STEPS = [("0.58", 11), ("0.62", 17), ("0.68", 13)]
 TRUTH_SQL = ", gt AS (" + " UNION ALL ".join(f"SELECT id AS file, '{f}' AS field, {f} AS value FROM v_declarations" for f in FIELDS) + "), pr AS (" + " UNION ALL ".join(

@@ -51,21 +51,19 @@ def srt4(spark, d):
 @query("set2_flag_union", f"SELECT {K} AS id, CASE {K} % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN 'a,c' ELSE 'a' END AS flags FROM orders")
 def set2(spark, d):
     df = orders(spark, d, f"array('a', 'a') AS x, CASE {K} % 3 WHEN 0 THEN array('b') WHEN 1 THEN array('c', 'a') END AS y")
-    return df.select("id", F.array_join(F.array_sort(F.array_union("x", F.coalesce("y", F.array().cast("array<string>")))), ",").alias("flags"))
+    return df.select("id", F.array_join(R.union_flags(F.col("x"), F.col("y")), ",").alias("flags"))
 
 
 @query("src9_content_type_gate", f"SELECT {K} AS id, CASE WHEN {K} % 4 IN (0, 2) THEN NULL ELSE 'content_type_not_allowed' END AS reason FROM orders")
 def src9(spark, d):
     df = orders(spark, d, f"CASE {K} % 4 WHEN 0 THEN 'image/png' WHEN 1 THEN 'text/plain' ELSE 'application/octet-stream' END AS kind, CASE {K} % 4 WHEN 2 THEN 'A.PDF' ELSE 'a.exe' END AS name")
-    allowed = F.col("kind").isin("image/png", "image/jpeg", "image/jpg", "image/tiff", "application/pdf") | F.lower("name").rlike(r"\.(png|jpe?g|tiff?|pdf)$")
-    return df.select("id", F.when(~allowed, "content_type_not_allowed").alias("reason"))
+    return df.select("id", R.rejected_content(F.col("kind"), F.col("name")).alias("reason"))
 
 
 @query("src4_parse_json_columns", f"SELECT {K} AS id, CASE WHEN {K} % 3 = 0 THEN 2 ELSE 0 END AS n, CASE WHEN {K} % 3 = 0 THEN 'x' END AS code FROM orders")
 def src4(spark, d):
     df = orders(spark, d, f"CASE {K} % 3 WHEN 0 THEN '[{{\"code\": \"x\"}}, null, {{\"code\": \"y\"}}]' WHEN 1 THEN '{{broken' END AS raw")
-    rows = F.coalesce(F.filter(F.from_json("raw", "array<struct<code: string>>", {"mode": "PERMISSIVE"}), lambda x: x.isNotNull()), F.array().cast("array<struct<code: string>>"))
-    return df.select("id", rows.alias("r")).select("id", F.size("r").alias("n"), F.get("r", F.lit(0))["code"].alias("code"))
+    return df.select("id", R.json_rows(F.col("raw"), "code: string").alias("r")).select("id", F.size("r").alias("n"), F.get("r", F.lit(0))["code"].alias("code"))
 
 
 NOISY = f"concat('-', CAST({K} % 900 AS STRING), ',5 EUR')"

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docrecon.operators.core import latest
-from docrecon.operators.layout import batch_outcome, best_candidates, group_cells, merge_pages, zone_overlaps
+from docrecon.operators.layout import CHAPTER, SECTION, batch_outcome, best_candidates, group_cells, merge_pages, outline, zone_overlaps
 from docrecon.registry import query
 from docrecon.sources.tables import over, table
 
@@ -15,8 +15,6 @@ PAGES = f"SELECT l_orderkey AS doc, l_linenumber AS page, {ID}, CASE l_returnfla
 # Rows of duties (code, base, rate, amount) and amounts with their currency.
 DUTY = r"\b(\d{3})\s+(\d{1,10}[,.]\d{3})\s+(\d{1,6}[,.]\d{6})\s+(\d{1,10}[,.]\d{3})"
 MONEY = r"\b(USD|EUR|GBP|TND|CHF|JPY|CAD)\s+(\d{3,12}[,.]\d{3})\b"
-# Headings of chapters and of numbered sections.
-CHAPTER, SECTION = r"^\s*(?:chapitre|chapter)\s+([0-9IVXLC]+)\b[:\s-]*(.*)$", r"^\s*(\d+(?:\.\d+){0,4})\s+(.{3,120})$"
 DUTIES = "SELECT l_orderkey AS id, l_linenumber AS line, concat('duty ', lpad(CAST(l_partkey % 1000 AS STRING), 3, '0'), ' ', CAST(CAST(l_extendedprice AS DECIMAL(12,3)) AS STRING), ' ', CAST(CAST(l_tax AS DECIMAL(8,6)) AS STRING), ' ', CAST(CAST(l_quantity AS DECIMAL(12,3)) AS STRING), ' end') AS text FROM lineitem"
 TOTALS = "SELECT o_orderkey AS id, concat('total ', CASE o_orderkey % 3 WHEN 0 THEN 'eur' WHEN 1 THEN 'USD' ELSE 'XYZ' END, ' ', replace(CAST(CAST(o_totalprice AS DECIMAL(14,3)) AS STRING), '.', ','), ' end') AS text FROM orders"
 
@@ -87,11 +85,10 @@ def ext3(spark, d):
     return rows(spark, d, TOTALS).select("id", F.upper(part(1)).alias("currency"), F.replace(part(2), F.lit(","), F.lit(".")).try_cast("double").alias("amount"))
 
 
-@query("ext16_document_outline", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents), f AS (SELECT doc_id, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l WHERE trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) <> '')
+HEADED = "concat('  Chapitre ', CASE doc_id % 3 WHEN 0 THEN 'IV' WHEN 1 THEN '12' ELSE 'de la' END, ' : la  mise', chr(10), chr(10), CASE WHEN doc_id % 2 = 0 THEN '1.2.' ELSE '3 ' END, CAST(doc_id % 9 AS STRING), ' Objet du texte', chr(10), '4.1 Figure de page', chr(10), CASE WHEN doc_id % 5 = 0 THEN '7 no' ELSE '7.1 Suite' END, chr(10), text)"
+
+
+@query("ext16_document_outline", f"""WITH d AS (SELECT doc_id, {HEADED} AS text FROM documents), l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d), f AS (SELECT doc_id, trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM l WHERE trim(regexp_replace(line, '[ \\t]+', ' ', 'g')) <> '')
 SELECT doc_id, n, CASE WHEN regexp_matches(line, '(?i){CHAPTER}') THEN 'chapter' ELSE 'section' END AS kind, line FROM f WHERE n <= 8 AND (regexp_matches(line, '(?i){CHAPTER}') OR regexp_matches(line, '{SECTION}') AND NOT regexp_matches(regexp_extract(line, '{SECTION}', 2), '(?i)^(figure|tableau)'))""")
 def ext16(spark, d):
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " "))), lambda x: x != "")
-    first = table(spark, d, "documents").select("doc_id", F.posexplode(F.slice(lines, 1, 8)).alias("n", "line"))
-    chapter = F.col("line").rlike("(?i)" + CHAPTER)
-    section = F.col("line").rlike(SECTION) & ~F.regexp_extract("line", SECTION, 2).rlike("(?i)^(figure|tableau)")
-    return first.where(chapter | section).select("doc_id", (F.col("n") + 1).cast("long").alias("n"), F.when(chapter, "chapter").otherwise("section").alias("kind"), "line")
+    return outline(table(spark, d, "documents").select("doc_id", F.expr(HEADED).alias("text")))

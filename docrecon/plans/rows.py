@@ -4,8 +4,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from docrecon.functions.scalars import dum_validated, invoice_validated
-from docrecon.operators.core import INVOICE_TEXT, RAW_TEXT, clamp, latest, latest_sessions, visible
-from docrecon.operators.history import heavy_pages, line_contexts, long_contexts, page, recent_activity
+from docrecon.operators.core import INVOICE_TEXT, RAW_TEXT, clamp, latest_sessions, newest, visible
+from docrecon.operators.history import deep_page, heavy_pages, line_contexts, long_contexts, page, recent_activity
 from docrecon.plans.joins import HISTORY, owned
 from docrecon.registry import query
 from docrecon.sources.tables import WITH, archive_path, table
@@ -24,7 +24,7 @@ def flt2(spark, d):
 @query("flt3_document_access", WITH + """, t AS (SELECT document_id, username, row_number() OVER (PARTITION BY document_id ORDER BY uploaded_at DESC, id DESC) AS n FROM v_traces)
 SELECT d.id, coalesce(CAST(d.user_id AS STRING), nullif(t.username, ''), 'open') AS owner FROM v_declarations d LEFT JOIN (SELECT * FROM t WHERE n = 1) t ON t.document_id = d.id""")
 def flt3(spark, d):
-    last = latest(table(spark, d, "v_traces"), ["document_id"], [F.desc("uploaded_at"), F.desc("id")]).select(F.col("document_id").alias("id"), "username")
+    last = newest(table(spark, d, "v_traces").select("document_id", "id", "username", "uploaded_at"), ["document_id"], [F.col("uploaded_at"), F.col("id")]).select(F.col("document_id").alias("id"), "username")
     return table(spark, d, "v_declarations").join(last, "id", "left").select("id", F.coalesce(F.col("user_id").cast("string"), F.nullif("username", F.lit("")), F.lit("open")).alias("owner"))
 
 
@@ -64,12 +64,12 @@ FROM v_corrections c JOIN v_sessions s ON s.id = c.session_id WHERE c.field_key
 def win2(spark, d):
     s = table(spark, d, "v_sessions").select(F.col("id").alias("session_id"), "document_id")
     c = table(spark, d, "v_corrections").where("field_key is not null").join(s, "session_id")
-    return latest(c, ["document_id", "field_key"], [F.desc("changed_at"), F.desc("id")]).select("document_id", "field_key", "new_value", "id")
+    return newest(c.select("document_id", "field_key", "new_value", "id", "changed_at"), ["document_id", "field_key"], [F.col("changed_at"), F.col("id")]).select("document_id", "field_key", "new_value", "id")
 
 
 @query("win3_latest_upload_trace", WITH + "SELECT document_id, id, username FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY uploaded_at DESC, id DESC) AS n FROM v_traces) WHERE n = 1")
 def win3(spark, d):
-    return latest(table(spark, d, "v_traces"), ["document_id"], [F.desc("uploaded_at"), F.desc("id")]).select("document_id", "id", "username")
+    return newest(table(spark, d, "v_traces").select("document_id", "id", "username", "uploaded_at"), ["document_id"], [F.col("uploaded_at"), F.col("id")]).select("document_id", "id", "username")
 
 
 @query("win10_failed_login_15m", WITH + "SELECT id, count(*) OVER (PARTITION BY lower(trim(email)), ip ORDER BY v_logins.at RANGE BETWEEN INTERVAL '900' SECOND PRECEDING AND CURRENT ROW) AS n FROM v_logins WHERE failed")
@@ -80,7 +80,7 @@ def win10(spark, d):
 
 @query("win11_history_paging", WITH + "SELECT id, created_at, (SELECT count(*) FROM v_declarations) AS total FROM v_declarations ORDER BY created_at DESC, id DESC LIMIT 200 OFFSET 100")
 def win11(spark, d):
-    rows, total = page(table(spark, d, "v_declarations").select("id", "created_at"), [F.desc("created_at"), F.desc("id")], 100, 500)
+    rows, total = deep_page(table(spark, d, "v_declarations").select("id", "created_at"), skip=100, limit=500)
     return rows.withColumn("total", F.lit(total).cast("long"))
 
 
