@@ -13,6 +13,7 @@ import html as entities
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -55,6 +56,12 @@ HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none", re.I)
 BODY, TEXT, OTHER = 0, 1, 2
 
 
+@lru_cache(maxsize=1 << 16)
+def said(attributes: str) -> tuple[bool, bool]:
+    """Whether attributes hint at something beside the text, and whether they hide the element; pages repeat few of them."""
+    return telling(attributes), bool(HIDDEN.search(attributes))
+
+
 def telling(attributes: str) -> bool:
     """Whether a class, id or role is one of NAMES, ends in one (cookie-notice), is one with a common part after it (sidebar-left) or
     has one with a part of something small after it (user-comment-list); page-wide ones such as has-sidebar,
@@ -126,9 +133,10 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
         if tag == "body" and not any(x[0] == "body" for x in stack):
             stack.clear()  # the end tag of head may be left out
         _, now, hints, firm = stack[-1] if stack else top
-        hint = tag == "form" or tag not in WHOLE and telling(attributes)
+        beside, hidden = said(attributes) if attributes else (False, False)
+        hint = tag == "form" or tag not in WHOLE and beside
         hints += hint
-        if tag in CHROME and tag != "form" or tag == "header" and now != TEXT or HIDDEN.search(attributes):
+        if tag in CHROME and tag != "form" or tag == "header" and now != TEXT or hidden:
             now, firm = OTHER, True
         elif tag in ARTICLE and not firm:
             now = TEXT
