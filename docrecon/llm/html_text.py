@@ -334,7 +334,8 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
     else:
         dealt = dealt.withColumn("counts", F.lit(True))
     dealt = dealt.select("page_id", "url", "html", "counts", seed.alias("seed"), F.xxhash64("host", part).alias("part"))
-    dealt = dealt.mapInArrow(parse, f"page_id {kind}, url {url}, counts boolean, seed long, part long, kinds array<int>, blocks array<string>")
+    # Three steps read the blocks; they are parsed once.
+    dealt = saved(dealt.mapInArrow(parse, f"page_id {kind}, url {url}, counts boolean, seed long, part long, kinds array<int>, blocks array<string>"))
     counts = "part long, of_block boolean, key long, n int"
 
     def counted(found: Counter, part: int, of_block: bool) -> dict:
