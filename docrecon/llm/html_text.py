@@ -19,6 +19,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,6 +154,15 @@ def blocks_of(page: str | None) -> list[tuple[int, str]]:
     return [(OTHER if kind == TEXT and h > least else kind, text) for kind, text, h in out]
 
 
+def squeezed(blocks: list[str]) -> bytes:
+    """Blocks as they are shuffled and saved; they hold no line ends."""
+    return zstandard.compress("\n".join(blocks).encode("utf-8", "surrogatepass"), 3) if blocks else b""
+
+
+def unsqueezed(data: bytes) -> list[str]:
+    return zstandard.decompress(data).decode("utf-8", "surrogatepass").split("\n") if data else []
+
+
 def shared_runs(tokens: np.ndarray, page: np.ndarray, run: int = MIN_RUN, pages: int = MIN_PAGES) -> np.ndarray:
     """Which tokens are in a run of `run` or more tokens that `pages` pages or more share. A token of -1 ends a block.
 
@@ -303,21 +313,21 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
         for batch in batches:
             at = batch.schema.get_field_index("html")
             found = [blocks_of(x) for x in batch.column("html").to_pylist()]
-            kinds, texts = [[k for k, _ in x] for x in found], [[t for _, t in x] for x in found]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.list_(pa.string()))], [*(x for x in batch.schema.names if x != "html"), "kinds", "blocks"])
+            kinds, texts = [[k for k, _ in x] for x in found], [squeezed([t for _, t in x]) for x in found]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns) if i != at), pa.array(kinds, pa.list_(pa.int32())), pa.array(texts, pa.binary())], [*(x for x in batch.schema.names if x != "html"), "kinds", "blocks"])
 
     def texts_of(x: pd.DataFrame, texts: list[str]) -> pd.DataFrame:
         return pd.DataFrame({"page_id": x["page_id"], "url": x["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
     def group(x: pd.DataFrame) -> pd.DataFrame:
-        return texts_of(x, main_texts([list(zip(k, b)) for k, b in zip(x["kinds"], x["blocks"])], ids=[None if pd.isna(i) else i for i in x["page_id"]]))
+        return texts_of(x, main_texts([list(zip(k, unsqueezed(b))) for k, b in zip(x["kinds"], x["blocks"])], ids=[None if pd.isna(i) else i for i in x["page_id"]]))
 
     # Only hosts of several groups need their number; they are broadcast if they are few.
     large = saved(sizes.where("groups > 1"))
     n_large = large.count()
     hosts = F.broadcast(large) if n_large <= FEW_HOSTS else large.hint("merge")
     small = rows if not n_large else rows.join(hosts, "host", "left_anti")
-    small = small.select("page_id", "url", "html", "host").mapInArrow(parse, f"page_id {kind}, url {url}, host string, kinds array<int>, blocks array<string>")
+    small = small.select("page_id", "url", "html", "host").mapInArrow(parse, f"page_id {kind}, url {url}, host string, kinds array<int>, blocks binary")
     out = small.groupBy("host").applyInPandas(group, result)
     if not n_large:
         return out
@@ -335,7 +345,7 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
         dealt = dealt.withColumn("counts", F.lit(True))
     dealt = dealt.select("page_id", "url", "html", "counts", seed.alias("seed"), F.xxhash64("host", part).alias("part"))
     # Three steps read the blocks; they are parsed once.
-    dealt = saved(dealt.mapInArrow(parse, f"page_id {kind}, url {url}, counts boolean, seed long, part long, kinds array<int>, blocks array<string>"))
+    dealt = saved(dealt.mapInArrow(parse, f"page_id {kind}, url {url}, counts boolean, seed long, part long, kinds array<int>, blocks binary"))
     counts = "part long, of_block boolean, key long, n int"
 
     def counted(found: Counter, part: int, of_block: bool) -> dict:
@@ -346,7 +356,7 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
         for batch in batches:
             found: dict = {}
             for g, s, once, blocks in zip(*(batch.column(c).to_pylist() for c in ("part", "seed", "counts", "blocks"))):
-                page = Page(blocks, s, hashes)
+                page = Page(unsqueezed(blocks), s, hashes)
                 anchors = page.anchors()
                 for of_block, keys in ((True, page.blocks), (False, anchors[anchors != 0])):
                     found.setdefault((g, of_block), Counter()).update(dict.fromkeys(np.unique(keys).view(np.int64).tolist(), int(once)))
@@ -367,7 +377,7 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
         hashes, wanted, found = of_stage("words", WordHashes), keys_of(y, False), []
         if len(x) and len(wanted):
             for s, once, blocks in zip(x["seed"], x["counts"], x["blocks"]):
-                page = Page(list(blocks), s, hashes)
+                page = Page(unsqueezed(blocks), s, hashes)
                 likely = among(page.anchors(), wanted)
                 if likely.any():
                     runs = np.unique(page.runs()[likely])
@@ -379,7 +389,8 @@ def extract_text(pages: DataFrame, host_bytes: int = HOST_BYTES) -> DataFrame:
     def last(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
         hashes, runs_shared, blocks_shared, texts = of_stage("words", WordHashes), keys_of(y, False), keys_of(y, True), []
         for s, kinds, blocks in zip(x["seed"], x["kinds"], x["blocks"]):
-            page = Page(list(blocks), s, hashes)
+            blocks = unsqueezed(blocks)
+            page = Page(blocks, s, hashes)
             at = np.flatnonzero(among(page.runs(), runs_shared)) if len(runs_shared) else np.empty(0, np.int64)
             texts.append(cut(list(zip(kinds, blocks)), spread(at, len(page.words), MIN_RUN), among(page.blocks, blocks_shared).tolist()))
         return texts_of(x, texts)
