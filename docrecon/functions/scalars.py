@@ -2,8 +2,10 @@
 
 import unicodedata
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def filled(c) -> Column:
@@ -79,6 +81,22 @@ def fold_text(c) -> Column:
     return F.upper(F.when(F.octet_length(c) == F.length(c), c).otherwise(F.translate(c, LETTERS, PLAIN)))
 
 
+#: Texts of these characters only fold by the table.
+TABLED = "^[\x00-\u052f\u1e00-\u214f\u3000-\u3003\ufb00-\ufb06\uff01-\uff5e]*$"
+
+
+@F.pandas_udf(StringType())
+def _folded_whole(texts: pd.Series) -> pd.Series:
+    return pd.Series(["".join(x for x in unicodedata.normalize("NFKD", t.replace("â€™", "'").replace("™", "T")) if not unicodedata.combining(x)).upper() if t is not None else None for t in texts], dtype="object")
+
+
+def with_folded(df: DataFrame, text: str, name: str = "folded") -> DataFrame:
+    """df with the folded text for all of Unicode: texts of characters that the table covers are folded by it, in the JVM; only rows
+    with others (half-width and Arabic forms, Hangul, units, marks of other scripts) go through Python, in batches."""
+    plain = F.coalesce(F.col(text).rlike(TABLED), F.lit(True))
+    return df.where(plain).withColumn(name, fold_text(F.col(text))).unionByName(df.where(~plain).withColumn(name, _folded_whole(text)))
+
+
 def name_similarity(a, b) -> Column:
     """Shared tokens of 4 letters and more, over the larger set."""
     tokens = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(fold_text(c), "[^A-Z0-9]+", " "), " "), lambda t: F.length(t) >= 4))

@@ -61,3 +61,30 @@ def row_counts(tables: dict[str, DataFrame], last: int = 10) -> DataFrame:
         row = lambda what, c, name=name: [F.lit(name).alias("source"), F.lit(what).alias("what"), c.cast("long").alias("value")]
         parts += [df.agg(F.count("*").alias("n")).select(*row("rows", F.col("n"))), df.select("id").orderBy(F.desc("id")).limit(last).select(*row("id", F.col("id")))]
     return reduce(DataFrame.unionByName, parts)
+
+
+# Months on the dashboard.
+MONTHS = "Jan Fév Mar Avr Mai Juin Juil Août Sep Oct Nov Déc".split()
+
+
+def monthly_indicators(declarations: DataFrame, sessions: DataFrame, now: Column, months: int = 6) -> DataFrame:
+    """(month, label, created, validated) of the last months to now, such without any too. Only they are read."""
+    first = F.date_trunc("month", now)
+    oldest = first - F.make_interval(months=F.lit(months - 1))
+    month = lambda c: F.date_trunc("month", c).cast("timestamp_ntz").alias("month")
+    axis = declarations.sparkSession.range(1).select(F.explode(F.sequence(oldest, first, F.expr("INTERVAL '1' MONTH"))).alias("m")).select(month("m"))
+    created = declarations.where(F.col("created_at") >= oldest).groupBy(month("created_at")).agg(F.count("*").alias("created"))
+    done = sessions.where((F.col("status") == "validated") & (F.col("ended_at") >= oldest)).groupBy(month("ended_at")).agg(F.count("*").alias("validated"))
+    label = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, MONTHS)), F.month("month")), F.year("month").cast("string"))
+    return axis.join(created, "month", "left").join(done, "month", "left").select("month", label.alias("label"), F.coalesce("created", F.lit(0)).alias("created"), F.coalesce("validated", F.lit(0)).alias("validated"))
+
+
+def status_counts(resolved: DataFrame) -> DataFrame:
+    """(status, n) of documents with their resolved status."""
+    return resolved.groupBy(F.col("resolved").alias("status")).agg(F.count("*").alias("n"))
+
+
+def declaration_stats(resolved: DataFrame) -> DataFrame:
+    """All documents with a resolved status, those validated, those under way, and their owners."""
+    r = F.col("resolved")
+    return resolved.agg(F.count("*").alias("total"), F.count_if(r == "validated").alias("validated"), F.count_if(r.isin("in_progress", "pending", "processing")).alias("in_progress"), F.count_distinct("user_id").alias("owners"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from docrecon.operators.core import field_f1, resolved_status
 from docrecon.operators.history import history_stats
-from docrecon.operators.reports import corrections_per_document, document_stats, non_empty_coverage, row_counts, totals_from_lines
+from docrecon.operators.reports import corrections_per_document, declaration_stats, document_stats, monthly_indicators, non_empty_coverage, row_counts, status_counts, totals_from_lines
 from docrecon.plans.joins import HISTORY, history
 from docrecon.registry import query
 from docrecon.sources.tables import NOW, WITH, table
@@ -31,15 +31,7 @@ SELECT CAST(m.month AS TIMESTAMP) AS month, ['Jan','Fév','Mar','Avr','Mai','Jui
 LEFT JOIN (SELECT date_trunc('month', created_at) AS month, count(*) AS n FROM v_declarations GROUP BY 1) c ON c.month = m.month
 LEFT JOIN (SELECT date_trunc('month', ended_at) AS month, count(*) AS n FROM v_sessions WHERE status = 'validated' GROUP BY 1) s ON s.month = m.month""")
 def agg2(spark, d):
-    labels = F.array(*map(F.lit, "Jan Fév Mar Avr Mai Juin Juil Août Sep Oct Nov Déc".split()))
-    first = F.expr(f"date_trunc('month', {NOW})")
-    month = lambda c: F.date_trunc("month", c).cast("timestamp_ntz").alias("month")
-    months = spark.range(1).select(F.explode(F.sequence(first - F.expr("INTERVAL '5' MONTH"), first, F.expr("INTERVAL '1' MONTH"))).alias("m")).select(month("m"))
-    oldest = F.expr(f"date_trunc('month', {NOW}) - INTERVAL '5' MONTH")
-    created = table(spark, d, "v_declarations").where(F.col("created_at") >= oldest).groupBy(month("created_at")).agg(F.count("*").alias("created"))
-    done = table(spark, d, "v_sessions").where((F.col("status") == "validated") & (F.col("ended_at") >= oldest)).groupBy(month("ended_at")).agg(F.count("*").alias("validated"))
-    label = F.concat_ws(" ", F.element_at(labels, F.month("month")), F.year("month").cast("string"))
-    return months.join(created, "month", "left").join(done, "month", "left").select("month", label.alias("label"), F.coalesce("created", F.lit(0)).alias("created"), F.coalesce("validated", F.lit(0)).alias("validated"))
+    return monthly_indicators(table(spark, d, "v_declarations"), table(spark, d, "v_sessions"), F.expr(NOW))
 
 
 @query("agg3_user_stats", WITH + "SELECT count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (is_approved) AS approved, count(*) FILTER (role = 'admin') AS admins FROM v_users")
@@ -49,13 +41,12 @@ def agg3(spark, d):
 
 @query("agg4_history_status_counts", WITH + RESOLVED + "SELECT resolved AS status, count(*) AS n FROM resolved GROUP BY 1")
 def agg4(spark, d):
-    return resolved_status(table(spark, d, "v_declarations"), table(spark, d, "v_sessions")).groupBy(F.col("resolved").alias("status")).agg(F.count("*").alias("n"))
+    return status_counts(resolved_status(table(spark, d, "v_declarations"), table(spark, d, "v_sessions")))
 
 
 @query("agg5_history_stats", WITH + RESOLVED + "SELECT count(*) AS total, count(*) FILTER (resolved = 'validated') AS validated, count(*) FILTER (resolved IN ('in_progress','pending','processing')) AS in_progress, count(DISTINCT user_id) AS owners FROM resolved")
 def agg5(spark, d):
-    r = F.col("resolved")
-    return resolved_status(table(spark, d, "v_declarations"), table(spark, d, "v_sessions")).agg(F.count("*").alias("total"), F.count_if(r == "validated").alias("validated"), F.count_if(r.isin("in_progress", "pending", "processing")).alias("in_progress"), F.count_distinct("user_id").alias("owners"))
+    return declaration_stats(resolved_status(table(spark, d, "v_declarations"), table(spark, d, "v_sessions")))
 
 
 @query("agg5_unified_history_stats", HISTORY + "SELECT count(*) AS total, count(*) FILTER (filter_key = 'validated') AS validated, count(*) FILTER (filter_key IN ('in_progress', 'pending')) AS in_progress, count(*) FILTER (control = 'ok') AS reconciled_ok, count(*) FILTER (reconciled AND control IN ('warning', 'error')) AS reconciled_warning, count(DISTINCT owner) AS owners FROM items")

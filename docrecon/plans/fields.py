@@ -6,6 +6,7 @@ from docrecon.functions import scalars as S
 from docrecon.operators import field_rules as R
 from docrecon.operators.core import known_columns
 from docrecon.operators.extraction import bounded, country_label, party_score
+from docrecon.operators.history import page
 from docrecon.operators.quality import fields_to_correct
 from docrecon.registry import query
 from docrecon.sources.tables import WITH, over, table
@@ -40,12 +41,12 @@ def flt11(spark, d):
 
 @query("srt2_document_list", WITH + "SELECT id, numero, created_at FROM v_declarations ORDER BY created_at DESC, id DESC LIMIT 100")
 def srt2(spark, d):
-    return table(spark, d, "v_declarations").select("id", "numero", "created_at").orderBy(F.desc("created_at"), F.desc("id")).offset(0).limit(100)
+    return table(spark, d, "v_declarations").select("id", "numero", "created_at").transform(lambda df: page(df, [F.desc("created_at"), F.desc("id")], 0, 100)[0])
 
 
 @query("srt4_users_by_id", WITH + "SELECT id, username FROM v_users ORDER BY id LIMIT 50 OFFSET 10")
 def srt4(spark, d):
-    return table(spark, d, "v_users").select("id", "username").orderBy("id").offset(10).limit(50)
+    return table(spark, d, "v_users").select("id", "username").transform(lambda df: page(df, [F.col("id")], 10, 50)[0])
 
 
 @query("set2_flag_union", f"SELECT {K} AS id, CASE {K} % 3 WHEN 0 THEN 'a,b' WHEN 1 THEN 'a,c' ELSE 'a' END AS flags FROM orders")

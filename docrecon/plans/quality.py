@@ -44,6 +44,15 @@ def qlt6(spark, d):
     return Q.cleanup(of(spark, d, "orders", NOISY)).withColumn("reasons", F.array_join("reasons", ","))
 
 
+SPOILT = "SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'DUPONT SARL' WHEN 1 THEN 'DUPONT code 12' END AS importateur_nom, CASE WHEN o_orderkey % 4 = 0 THEN 'MARTIN repertoire' ELSE 'MARTIN' END AS declarant, CASE o_orderkey % 5 WHEN 0 THEN 'FR FRANCE' WHEN 1 THEN 'en tunisie' WHEN 2 THEN 'FRANC' WHEN 3 THEN ' ' END AS pays_achat, CASE o_orderkey % 4 WHEN 0 THEN 'rades - sfay' WHEN 1 THEN 'PARIS-LYON' WHEN 2 THEN 'RADES SFAX' END AS itineraire FROM orders"
+
+
+@query("qlt6_polluted_fields", """WITH p AS (SELECT o_orderkey AS id FROM orders) SELECT id, CASE WHEN id % 3 = 0 THEN 'DUPONT SARL' END AS importateur_nom, CASE WHEN id % 4 <> 0 THEN 'MARTIN' END AS declarant, CASE id % 5 WHEN 0 THEN 'FR FRANCE' WHEN 1 THEN 'en tunisie' WHEN 3 THEN ' ' END AS pays_achat, CASE WHEN id % 4 = 0 THEN 'RADES-SFAX' END AS itineraire,
+concat_ws(',', CASE WHEN id % 4 = 0 THEN 'declarant_rejected_label_pollution' END, CASE WHEN id % 3 = 1 THEN 'importateur_nom_rejected_label_pollution' END, CASE id % 4 WHEN 1 THEN 'itineraire_rejected_unexpected_route' WHEN 2 THEN 'itineraire_rejected_unreadable' END, CASE WHEN id % 5 = 2 THEN 'pays_achat_rejected_unreadable_country' END) AS reasons FROM p""")
+def qlt6_polluted(spark, d):
+    return Q.reject_polluted(of(spark, d, "orders", SPOILT)).withColumn("reasons", F.array_join("reasons", ","))
+
+
 LONG_TOKENS = "list_distinct(list_filter(string_split(upper(p_name), ' '), lambda t: length(t) >= 4))"
 
 

@@ -1,8 +1,10 @@
 """Scalar rules and extraction over text columns."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
-from docrecon.functions.scalars import amount_eu, fold_text, name_similarity, parse_amount, parse_int_amount
+from docrecon.functions.scalars import amount_eu, fold_text, name_similarity, parse_amount, parse_int_amount, with_folded
 from docrecon.operators.extraction import near_anchor
 from docrecon.operators.field_rules import text_profile
 from docrecon.registry import query
@@ -20,6 +22,14 @@ def scl8(spark, d):
     return table(spark, d, "documents").select("doc_id", fold_text(F.col("text")).alias("folded"))
 
 
+SCRIPTS = "CASE doc_id % 4 WHEN 0 THEN '한글 ｶﾞ' WHEN 1 THEN 'ﷺ ㎏' WHEN 2 THEN 'Ωμέγα Ёлка' ELSE 'é' END"
+
+
+@query("scl8_fold_whole", f"SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN nfkd_a WHEN 1 THEN nfkd_b WHEN 2 THEN 'ΩΜΕΓΑ ЕЛКА' ELSE 'E' END AS folded FROM (SELECT doc_id, '{unicodedata.normalize('NFKD', '한글 カ')}' AS nfkd_a, '{unicodedata.normalize('NFKD', 'ﷺ')} KG' AS nfkd_b FROM documents)")
+def scl8_whole(spark, d):
+    return with_folded(table(spark, d, "documents").select("doc_id", F.expr(SCRIPTS).alias("text")), "text").drop("text")
+
+
 @query("scl14_name_similarity", "SELECT p_partkey, CASE WHEN length(p_type) >= 4 AND list_contains(list_filter(string_split(upper(p_name), ' '), lambda t: length(t) >= 4), p_type) THEN 1.0 / len(list_distinct(list_filter(string_split(upper(p_name), ' '), lambda t: length(t) >= 4))) ELSE 0.0 END AS similarity FROM part")
 def scl14(spark, d):
     return table(spark, d, "part").select("p_partkey", name_similarity(F.col("p_name"), F.col("p_type")).alias("similarity"))

@@ -89,9 +89,37 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_jdbc(spark: SparkSession, url: str, name: str, low: int, high: int, parts: int) -> DataFrame:
-    """A table of a relational database, read in ranges of its id."""
-    return spark.read.jdbc(url, name, column="id", lowerBound=low, upperBound=high, numPartitions=parts)
+def id_ranges(counts: list[tuple[int, int]], low: int, width: int, parts: int) -> list[tuple[int, int]]:
+    """Ranges [from, to) of about equal counts, `parts` of them or so: counts (bucket, rows) of buckets of `width` ids from low on."""
+    total, out, start, held = sum(n for _, n in counts), [], low, 0
+    for bucket, n in sorted(counts):
+        held += n
+        if held * parts >= total:
+            out.append((start, low + (bucket + 1) * width))
+            start, held = out[-1][1], 0
+    if held:
+        out.append((start, low + (max(b for b, _ in counts) + 1) * width))
+    return out
+
+
+def read_jdbc(spark: SparkSession, url: str, name: str, id: str = "id", parts: int = 8, after: int | None = None, buckets: int = 512, **options) -> tuple[DataFrame, int | None]:
+    """A table of a relational database, and the largest id that it read: the next call's `after`, which reads only what came since.
+
+    The database counts its rows in `buckets` ranges of ids of one width (a query whose result is as small), and the table is read in
+    `parts` ranges of about as many rows each: gaps and bursts in the ids don't make one reader do all the work. Rows without id are
+    read once, by a part of their own, where `after` isn't set. `id` is written as the database wants it, quoted if need be. Rows that come while it reads are left to the next call."""
+    ask = lambda sql: spark.read.format("jdbc").options(url=url, query=sql, **options).load()
+    since = f" WHERE {id} > {int(after)}" if after is not None else ""
+    low, high = ask(f"SELECT MIN({id}) AS lo, MAX({id}) AS hi FROM {name}{since}").first()
+    if low is None:
+        empty = [f"{id} IS NULL"] if after is None else ["1 = 0"]
+        return spark.read.options(**options).jdbc(url, name, predicates=empty), after
+    low, high = int(low), int(high)
+    width = max(1, -(-(high - low + 1) // buckets))
+    counted = ask(f"SELECT b, COUNT(*) AS n FROM (SELECT ({id} - {low}) / {width} AS b FROM {name} WHERE {id} BETWEEN {low} AND {high}) t GROUP BY b")
+    counts = [(int(r.b), int(r.n)) for r in counted.toDF("b", "n").groupBy(F.floor("b").alias("b")).agg(F.sum("n").alias("n")).collect()]
+    where = [f"{id} >= {a} AND {id} < {b} AND {id} <= {high}" for a, b in id_ranges(counts, low, width, parts)]
+    return spark.read.options(**options).jdbc(url, name, predicates=where + ([f"{id} IS NULL"] if after is None else [])), high
 
 
 def list_input_files(spark: SparkSession, folder: str, named: DataFrame | None = None) -> DataFrame:

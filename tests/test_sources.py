@@ -9,6 +9,7 @@ from docrecon.functions import scalars
 from docrecon.operators import history as H
 from docrecon.operators.core import compare_inputs, link_one_to_one, reconcile
 from docrecon.operators.embedded import embedded_layout
+from docrecon.operators.quality import reject_polluted
 from docrecon.sources import tables as T
 
 
@@ -108,3 +109,62 @@ def test_reconciliation_tells_why(spark):
     gap = got[2]["anomalies"][2]
     assert (gap["code"], gap["severity"], gap["message"], gap["facture_value"]) == ("amount_gap", "error", "Écart montant +11999900.4950 (facture − DUM PFN).", "12000000.5")
     assert got[3]["status"] == "error" and got[3]["comment"] == "Montant facture manquant" and got[3]["codes"] == ["invoice_amount_missing"]
+
+
+def test_tables_of_a_database_in_even_ranges(spark, tmp_path):
+    """Ids with a gap and a burst: parts hold about as many rows; a second read takes only what came since; rows without id are kept."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    driver = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    rows = spark.range(800).selectExpr("id", "'x' AS v").union(spark.range(1_000_000, 1_000_008).selectExpr("id", "'y'")).union(spark.sql("SELECT CAST(NULL AS BIGINT), 'z'"))
+    rows.coalesce(1).write.jdbc(url, "t", "append", driver)
+    df, high = T.read_jdbc(spark, url, "t", '"id"', parts=4, buckets=4096, **driver)
+    assert high == 1_000_007 and sorted(df.collect(), key=str) == sorted(rows.collect(), key=str)
+    assert df.rdd.getNumPartitions() <= 7
+    sizes = sorted(n for n in df.rdd.mapPartitions(lambda x: [sum(1 for _ in x)]).collect() if n)
+    assert sizes[-1] <= 300 and len(sizes) >= 4
+    more, high = T.read_jdbc(spark, url, "t", '"id"', after=high, **driver)
+    assert more.count() == 0 and high == 1_000_007
+    spark.sql("SELECT 1000009L AS id, 'new' AS v").write.jdbc(url, "t", "append", driver)
+    more, high = T.read_jdbc(spark, url, "t", '"id"', after=high, **driver)
+    assert [tuple(r) for r in more.collect()] == [(1_000_009, "new")] and high == 1_000_009
+
+
+def test_ranges_of_ids():
+    assert T.id_ranges([(0, 10), (1, 10), (2, 10), (5, 10)], 100, 10, 2) == [(100, 120), (120, 160)]
+    assert T.id_ranges([(0, 1), (9, 99)], 0, 5, 3) == [(0, 50)]
+
+
+def test_folding_of_all_of_unicode(spark):
+    whole = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    rows = [(i, "".join(whole[i : i + 97])) for i in range(0, len(whole), 97)] + [(-1, None), (-2, "")]
+    want = {i: None if t is None else "".join(x for x in unicodedata.normalize("NFKD", t.replace("™", "T")) if not unicodedata.combining(x)).upper() for i, t in rows}
+    got = {r["i"]: r["f"] for r in scalars.with_folded(spark.createDataFrame(rows, "i int, t string"), "t", "f").collect()}
+    # Java and Python may know different versions of Unicode; letters of both are the same.
+    assert len(got) == len(want) and sum(got[i] != want[i] for i in want) <= 20, [(i, got[i], want[i]) for i in want if got[i] != want[i]][:3]
+
+
+def test_pages_by_key(spark):
+    rows = spark.sql("SELECT id, IF(id % 11 = 0, NULL, timestamp_seconds((id * 7919) % 1000 * 20000)) AS created_at FROM range(1000)")
+    order = [F.desc("created_at"), F.desc("id")]
+    want = [tuple(r) for r in rows.orderBy(*order).collect()]
+    for skip in (0, 13, 500, 905, 990, 2000):
+        got, total = H.deep_page(rows, skip=skip, limit=40)
+        assert [tuple(r) for r in got.collect()] == want[skip : skip + 40] and total == 1000
+    after, seen = None, []
+    while True:
+        page = [tuple(r) for r in H.next_page(rows, after, limit=200).collect()]
+        if not page:
+            break
+        seen += page
+        after = page[-1][::-1]
+    assert seen == want
+    got, total = H.page(rows, order, 10, 5)
+    assert [tuple(r) for r in got.collect()] == want[10:15] and spark.range(1).select(total.alias("n")).first()["n"] == 1000
+
+
+def test_polluted_fields(spark):
+    docs = spark.createDataFrame([(1, "DUPONT", "x", "sfay  -rades", ["old"]), (2, "N° 5 CODE", "EN ITALIE", "A", None), (3, None, None, None, None)], "id int, importateur string, pays_achat string, itineraire string, reasons array<string>")
+    got = {r["id"]: r for r in reject_polluted(docs).collect()}
+    assert (got[1]["importateur"], got[1]["pays_achat"], got[1]["itineraire"], got[1]["reasons"]) == ("DUPONT", None, "SFAX-RADES", ["old", "pays_achat_rejected_unreadable_country"])
+    assert (got[2]["importateur"], got[2]["pays_achat"], got[2]["itineraire"], got[2]["reasons"]) == (None, "EN ITALIE", None, ["importateur_rejected_label_pollution", "itineraire_rejected_unreadable"])
+    assert got[3]["reasons"] == []
