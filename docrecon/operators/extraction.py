@@ -72,10 +72,11 @@ MARK = "\x01\x02"
 
 
 def groups(text: Column, pattern: str, n: int) -> Column:
-    """The n groups of the first match, from one run of the pattern: an array, '' for a group that took no part; null without a match."""
-    marked = F.regexp_replace(text, rf"^[\s\S]*?(?:{pattern})[\s\S]*$", MARK + MARK.join(f"${i}" for i in range(1, n + 1)))
-    # An array of one string is filtered, so that the pattern runs once however often the result is read.
-    return F.split(F.substring(F.get(F.filter(F.array(marked), lambda m: m.startswith(MARK)), F.lit(0)), 3, 1 << 30), MARK)
+    """The n groups of the first match: an array, '' for a group that took no part; null without a match. The pattern is searched once;
+    its groups come from a second run over the match alone, which ends where the first one did."""
+    # An array of one string is filtered, so that the search is bound, however often its result is read.
+    match = F.filter(F.array(F.regexp_extract(text, pattern, 0)), lambda w: w != "")
+    return F.get(F.transform(match, lambda w: F.split(F.regexp_replace(w, f"^(?:{pattern})$", MARK.join(f"${i}" for i in range(1, n + 1))), MARK)), F.lit(0))
 
 
 def near(text: Column, *words: str) -> Column:
@@ -361,26 +362,30 @@ COMPANY, CODE_AND_NAME = r"\b(?:GMBH|B\.V|BV|SARL|SA|STE|SYSTEMS|SYSTEME|PRECISI
 PARTY_NOISE = r"\b(?:CERTIFICAT|NUMERO|DECLARATION|BECLARATION|DATE|TYPE\s+DECLARATION|NBRE\s+TOTAL)\b"
 
 
-def party_score(line: Column) -> Column:
-    """Letters of a line, more for a company's form or a code before the name, less for words of the form and for length."""
-    t = fold_text(line)
+def _score(t: Column) -> Column:
     noise, length = F.regexp_count(t, F.lit(PARTY_NOISE)), F.length(t)
     score = F.length(F.regexp_replace(t, "[^A-Z]", "")) + F.when(t.rlike(CODE_AND_NAME), 85).otherwise(0) + F.when(t.rlike(COMPANY), 35).otherwise(0) - 60 * noise - F.when(length > 140, 125).when(length > 100, 45).otherwise(0)
-    return F.when(F.coalesce(t, F.lit("")) == "", -999).otherwise(score)
+    return F.when(t == "", -999).otherwise(score)
+
+
+def party_score(line: Column) -> Column:
+    """Letters of a line, more for a company's form or a code before the name, less for words of the form and for length."""
+    # The folded line is bound once, for the score reads it often.
+    return F.get(F.transform(F.array(F.coalesce(fold_text(line), F.lit(""))), _score), F.lit(0))
 
 
-def best_party_line(window: Column) -> Column:
+def best_party_line(window: Column, folded: bool = False) -> Column:
     """The line with at least six letters and the best score, the first of equals."""
     lines = F.transform(F.split(window, "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\s|-]+", " ")))
     named = F.filter(lines, lambda x: (F.length(F.regexp_replace(F.upper(x), "[^A-Z]", "")) >= 6) & ~x.rlike(r"\bIMPORTATEUR\b"))
-    scored = F.transform(named, lambda x, i: F.struct(party_score(x).alias("score"), (-i).alias("place"), x.alias("line")))
+    scored = F.transform(named, lambda x, i: F.struct((_score if folded else party_score)(x).alias("score"), (-i).alias("place"), x.alias("line")))
     return F.array_max(scored)["line"]
 
 
 def party_fields(m: Matches) -> dict[str, Column]:
     """Each party's best line between its label and the next, up to 200 characters or a six-digit number beyond the first 40."""
     cut = lambda w: F.substring(F.regexp_replace(w, r"(?s)^(.{40}.*?)(?<!:)\b\d{6}\b.*$", "$1"), 1, 200)
-    return {name: best_party_line(cut(found(near(m.text, *PARTY_WORDS[name]), p))) for name, p in PARTY_WINDOWS.items()}
+    return {name: best_party_line(cut(found(near(m.text, *PARTY_WORDS[name]), p)), folded=True) for name, p in PARTY_WINDOWS.items()}
 
 
 # Labels that guide to fields, and words that aren't in a declarant's name.
