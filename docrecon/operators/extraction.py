@@ -48,9 +48,7 @@ TITLES = [
     (["43", "44"], r"\b43\b[^\d]{0,45}(\d{1,3})\b[\s\S]{0,120}?\b44\b[^\d]{0,45}(\d{5,12})\b"),
     (["532", "21", "11"], r"\b532\b\D{0,650}?(\d{1,3})\D{0,55}(\d{6,8})\b[\s\S]{0,220}?\b21\b\D{0,40}\b11\b"), (["362", "532", "21", "11"], r"\b362\b[\s\S]{0,180}?\b532\b[\s\S]{0,650}?(\d{1,3})\D{0,55}(\d{6,8})\b[\s\S]{0,220}?\b21\b\D{0,40}\b11\b"),
 ]
-ROW = r"[1-9]\d?\s+(?:\d\s*){8,12}\s+[A-Z]{1,3}\s+\d{3,12}[,.]\d{3}"
-ROW_PARTS = r"^([1-9]\d?)\s+((?:\d\s*){8,12})\s+([A-Z]{1,3})\s+(\d{3,12}[,.]\d{3})$"
-ARTICLE = rf"\b(?=({ROW}[\s\S]{{0,1300}})){ROW}"
+ROW = r"\b([1-9]\d?)\s+((?:\d\s*){8,12})\s+([A-Z]{1,3})\s+(\d{3,12}[,.]\d{3})"
 LINE_AND_CODE = r"(?m)^\s*([1-9]\d?)\s+(\d{4}\s?\d{2}\s?\d{2}(?:\s?\d{2,3})?)\b"
 PRICED = r"^\s*([1-9]\d?)\s+(\d{8,11})\s+(.{2,120}?)\s+(\d+(?:[.,]\d+)?)\s+(KG|U|PCE|PCS|M|L|T)\s+(\d+(?:[.,]\d+)?)\s*$"
 # Rows of duties, amounts with their currency, conversion rates.
@@ -69,6 +67,8 @@ ARTICLE_DETAILS = [(["CODE", "QCS", "QC5", "ACS"], QCS, ["code_qcs", "qcs", "pfn
 NOT_OCI = ["21", "11", "56"]
 TITLE_22 = r"\b(22)\s+[|<]?\s*(\d{6,8})\b"
 MARK = "\x01\x02"
+#: Characters of an article's window, of the shortest row, and what an array may have of rows.
+WINDOW, SHORTEST_ROW, MOST_ROWS = 1300, 19, 2**30
 
 
 def groups(text: Column, pattern: str, n: int) -> Column:
@@ -90,12 +90,15 @@ class Matches:
     """A text and the groups of patterns in it, each pattern run once: `of` is a column for each, made in one projection."""
 
     def __init__(self, text: Column):
-        self.text, self.columns = text, {}
+        self.text, self.columns, self.known = text, {}, {}
 
     def of(self, pattern: str, n: int, text: Column | None = None) -> Callable[[int], Column]:
         """The groups of a pattern by number, null where empty or without a match."""
-        name = f"_m{len(self.columns)}"
-        self.columns[name] = groups(self.text if text is None else text, pattern, n)
+        text = self.text if text is None else text
+        # Parts may ask for the same pattern over the same text.
+        name = self.known.setdefault((pattern, n, str(text)), f"_m{len(self.columns)}")
+        if name not in self.columns:
+            self.columns[name] = groups(text, pattern, n)
         return lambda i: F.nullif(F.get(F.col(name), F.lit(i - 1)), F.lit(""))
 
     def once(self, value: Column) -> Column:
@@ -242,11 +245,18 @@ def article_rows(docs: DataFrame) -> DataFrame:
     """docs (.., _t) with articles: an array of (line, hs, country, amount, window) of the rows `line HS country value` of the folded
     text, each with 1,300 characters from where it begins; of rows that repeat line, code and value the first."""
 
-    def told(r: Column) -> Column:
-        told = F.split(F.regexp_replace(F.regexp_extract(r, f"^{ROW}", 0), ROW_PARTS, MARK.join(f"${i}" for i in range(1, 5))), MARK)
-        return F.get(F.transform(F.array(told), lambda g: F.struct(g[0].cast("int").alias("line"), F.regexp_replace(g[1], r"\s+", "").alias("hs"), g[2].alias("country"), clean_amount(g[3]).alias("amount"), F.substring(r, 1, 1300).alias("window"))), F.lit(0))
+    begin, end = MARK
+    plain = F.translate("_t", MARK, "\x03\x04")
+    # The text is cut before each row, behind the row's groups; a window is its piece and those after it, which are 20 characters at least.
+    pieces = F.slice(F.split(F.regexp_replace(plain, ROW, f"{begin}$1{end}$2{end}$3{end}$4{end}$0"), begin), 2, MOST_ROWS)
+    docs = docs.withColumn("articles", F.transform(pieces, lambda p: F.split(p, end)))
+    docs = docs.withColumn("_texts", F.transform("articles", lambda g: F.substring(g[4], 1, WINDOW)))
+
+    def told(g: Column, i: Column) -> Column:
+        window = F.substring(F.array_join(F.slice("_texts", i + 1, WINDOW // SHORTEST_ROW + 1), ""), 1, WINDOW)
+        return F.struct(g[0].cast("int").alias("line"), F.regexp_replace(g[1], r"\s+", "").alias("hs"), g[2].alias("country"), clean_amount(g[3]).alias("amount"), window.alias("window"))
 
-    docs = docs.withColumn("articles", F.transform(F.regexp_extract_all("_t", F.lit(ARTICLE), F.lit(1)), told))
+    docs = docs.withColumn("articles", F.transform("articles", told)).drop("_texts")
     docs = docs.withColumn("_keys", F.transform("articles", lambda a: F.concat_ws(" ", a["line"], a["hs"], a["amount"])))
     return docs.withColumn("articles", F.filter("articles", lambda a, i: F.array_position("_keys", F.get("_keys", i)) == i + 1)).drop("_keys")
 
@@ -300,7 +310,7 @@ def financial_fields(m: Matches) -> dict[str, Column]:
     words = ["CONVERSION", "FACTURATION", "EXPORT"]
     money, conversion, both = m.of(MONEY, 2, near(t, "USD", "EUR", "GBP", "TND", "CHF", "JPY", "CAD")), m.of(CONVERSION, 2, near(t, *words)), m.of(FOB_AND_CUSTOMS, 2, near(t, "FOB"))
     amount, total = clean_amount(money(2)), clean_amount(F.regexp_replace(conversion(2), r"\s+", ""))
-    rate = m.once(F.coalesce(clean_amount(found(near(t, *words), CONVERSION)), clean_amount(found(near(t, "TAUX", "CONVERSION"), RATE_ONLY))))
+    rate = m.once(F.coalesce(clean_amount(conversion(1)), clean_amount(found(near(t, "TAUX", "CONVERSION"), RATE_ONLY))))
     made = F.format_string("%.3f", amount.try_cast("double") * rate.try_cast("double"))
     told = F.coalesce(total, clean_amount(both(1)))
     computed = amount.try_cast("double") * rate.try_cast("double")
