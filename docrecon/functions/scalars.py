@@ -145,9 +145,11 @@ MISREAD = [
 
 def normalize_noise(c) -> Column:
     """Curved quotes and backticks made straight, misread words put right, blanks and empty lines closed up."""
-    c = F.replace(F.replace(c, F.lit("’"), F.lit("'")), F.lit("`"), F.lit("'"))
+    c = plain = F.replace(F.replace(c, F.lit("’"), F.lit("'")), F.lit("`"), F.lit("'"))
     for pattern, word in MISREAD:
         c = F.regexp_replace(c, "(?iU)" + pattern, word)
+    # Texts that no rule fits, which are most, are searched once.
+    c = F.when(plain.rlike("(?iU)" + "|".join(pattern for pattern, _ in MISREAD)), c).otherwise(plain)
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[ \t]{2,}", " "), "\n{3,}", "\n\n"))
 
 

@@ -13,9 +13,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docrecon.functions.scalars import amount_eu, clean_amount, filled, fold_text, normalize_date, parse_amount
-from docrecon.operators.quality import cleanup
-from docrecon.operators.workflow import score_declaration
+from docrecon.functions.scalars import amount_eu, clean_amount, fold_text, normalize_date, parse_amount
 
 # Forms and words of the declaration's print. Patterns read folded text (upper case, no accents).
 DAY = r"\d{2}[/.-]\d{2}[/.-]\d{4}"
@@ -133,9 +131,9 @@ def first_day(text: Column, pattern: str, group: int = 1) -> Column:
     return F.get(F.filter(days, lambda x: x.isNotNull()), F.lit(0))
 
 
-def folded(docs: DataFrame, name: str = "_t") -> DataFrame:
+def folded(docs: DataFrame, name: str = "_t", of: str = "text") -> DataFrame:
     """docs (text) with the folded text. It isn't inlined into the patterns: they are many, and folding isn't cheap."""
-    return docs.withColumn(name, fold_text(F.col("text")))
+    return docs.withColumn(name, fold_text(F.col(of)))
 
 
 def fields(docs: DataFrame, part: Callable) -> DataFrame:
@@ -439,26 +437,3 @@ def guided_fields(m: Matches) -> dict[str, Column]:
         "stopover": after(r"N[°O]?\s*D['’]?\s*ESCALE", r"[^\d]{0,12}(\d{3,6})", "N"), "heading": after(r"\bRUBRIQUE\b", r"[^\d]{0,12}(\d{1,6})", "RUBRIQUE"),
         "financial_regime": after(r"\b(?:REG(?:LEMENT)?\s*FINANCIER|FINANCIER)\b", r"[^\d]{0,16}(\d{1,2})\b", "REG", "FINANCIER"), "delay": after(r"\b(?:CODE\s+)?DELAI\b", r"[^\d]{0,16}(\d{1,2})\b", "CODE", "DELAI"), "oci": after(r"\b(?:CODE\s+)?OCI\b", r"[^\d]{0,16}(\d{1,2})\b", "CODE", "OCI"),
     } | {name: country(label) for name, label in GUIDED_COUNTRIES.items()}
-
-
-PARTS = {"header": header_fields, "transport": transport_fields, "financials": financial_fields, "liquidation": liquidation_fields, "countries": country_fields, "values": article_value_fields, "parties": party_fields, "guided": guided_fields}
-
-
-def parse_declarations(docs: DataFrame) -> DataFrame:
-    """docs (id, text; zones, a map, if there) with a struct of fields for each part of the declaration, title, articles and taxes
-    (arrays), then score, flags and quality of what is left after cleanup, and reasons: why values went. Zones go before the
-    text where they tell number, date, importer or declarant."""
-    t = F.col("_t")
-    m = Matches(t)
-    parts = {name: f(m) for name, f in PARTS.items()}
-    out = article_rows(folded(docs)).withColumns(m.columns | {"title": title_pair(t), "taxes": tax_rows(t)})
-    out = out.withColumns({name: F.struct(*[c.alias(k) for k, c in columns.items()]) for name, columns in parts.items()})
-    out = out.withColumn("articles", F.transform("articles", lambda a: F.struct(a["line"], a["hs"], a["country"], a["amount"].alias("value")))).drop("_t", *m.columns)
-    zone = lambda key: filled(F.col("zones")[f"tpl_{key}"]) if "zones" in docs.columns else F.lit(None).cast("string")
-    first = lambda *c: F.coalesce(*[F.col(x) if isinstance(x, str) else x for x in c])
-    wide = out.withColumns({
-        "number": first(found(zone("numero_declaration"), r"\b(\d{6})\b"), "header.number"), "date": first(normalize_date(found(zone("date_declaration"), f"({DAY})")), "header.date"), "type": F.col("header.type"), "currency": F.col("financials.currency"),
-        "exporter": F.col("parties.exporter"), "importer": first(zone("importateur_nom"), "parties.importer"), "declarant_nom": first(zone("declarant_nom"), "parties.declarant", "guided.guided_declarant"), "poids_brut": F.col("guided.guided_gross"), "poids_net": F.col("guided.guided_net"),
-        "destination": first("liquidation.destination", "guided.guided_destination"), "code_regime_financier": F.col("guided.financial_regime"), "code_delai": F.col("guided.delay"), "office": first("liquidation.office", F.lit("")), "auth_key": F.col("liquidation.auth_key")})
-    clean = cleanup(wide).withColumns({"gross": F.col("poids_brut"), "net": F.col("poids_net")})
-    return score_declaration(clean)

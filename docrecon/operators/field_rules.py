@@ -233,13 +233,8 @@ def exporter_name(value: Column) -> Column:
     return F.when(F.length(F.regexp_replace(t, "[^A-Z]", "")) >= 8, t)
 
 
-def zone_fields(zones: DataFrame) -> DataFrame:
-    """(id, field_key, value) of zones (id, zones map): cells tpl_* by the family of their field, each under all names of the field;
-    blank and wrong ones, and blocks, are left out."""
-    rows = zones.select("id", F.explode_outer("zones").alias("zone", "raw")).where("zone like 'tpl@_%' escape '@' and zone not like 'tpl@_block@_%' escape '@'")
-    rows = rows.select("id", F.substring("zone", 5, 99).alias("field"), filled(F.regexp_replace("raw", r"\s+", " ")).alias("text")).where("text is not null")
-    key, text = F.col("field"), F.col("text")
-    t = fold_text(text)
+def zone_value(key: Column, text: Column, t: Column) -> Column:
+    """The value of a cell by the family of its field; t is its folded text. Null where the cell doesn't hold such a value."""
     letters = F.length(F.regexp_replace(text, "[^A-Za-z]", ""))
     importer = (F.size(F.regexp_extract_all(t, F.lit("[A-Z]{2,}"), F.lit(0))) > 2) & ~t.rlike(POLLUTED)
     typed = (
@@ -248,15 +243,41 @@ def zone_fields(zones: DataFrame) -> DataFrame:
     )
     for name, high in COUNTS.items():
         typed = typed.when(key == name, cell_number(text, 1, high))
-    typed = (
+    return (
         typed.when(key.isin(BUREAUS), cell_number(text, 1, 999, boxes=False, last=False)).when(key.isin(BOXED), cell_number(text, 1, 99_999)).when(key.isin("qualite_fiscale", *NUMBERS), cell_number(text, 1, 99_999, boxes=False)).when(key.isin(AMOUNTS), clean_amount(found(text, r"\b(\d{1,12}[,.]\d{3,8})\b")))
         .when(key == "bureau_douane", F.concat(F.lit("BR - "), F.upper(found(text, r"(?i)\bBR\s*-\s*(ARIANA|TUNIS|SFAX|BIZERTE)\b")))).when(key == "itineraire", route(t)).otherwise(text)
     )
+
+
+def zone_names(key: Column) -> Column:
+    """All names under which a cell's value is kept, an array."""
     names = F.lit(None).cast("array<string>")
     for name, also in ALSO.items():
         names = F.when(key == name, F.array(*map(F.lit, also))).otherwise(names)
-    told = rows.withColumn("value", typed).where("value is not null")
-    return told.select("id", F.explode(F.coalesce(names, F.array(key))).alias("field_key"), "value").groupBy("id", "field_key").agg(F.min("value").alias("value"))
+    return F.coalesce(names, F.array(key))
+
+
+def zone_fields(zones: DataFrame) -> DataFrame:
+    """(id, field_key, value) of zones (id, zones map): cells tpl_* by the family of their field, each under all names of the field;
+    blank and wrong ones, and blocks, are left out."""
+    rows = zones.select("id", F.explode_outer("zones").alias("zone", "raw")).where("zone like 'tpl@_%' escape '@' and zone not like 'tpl@_block@_%' escape '@'")
+    rows = rows.select("id", F.substring("zone", 5, 99).alias("field"), filled(F.regexp_replace("raw", r"\s+", " ")).alias("text")).where("text is not null")
+    told = rows.withColumn("value", zone_value(F.col("field"), F.col("text"), fold_text(F.col("text")))).where("value is not null")
+    return told.select("id", F.explode(zone_names(F.col("field"))).alias("field_key"), "value").groupBy("id", "field_key").agg(F.min("value").alias("value"))
+
+
+def zones_within(zones: Column) -> Column:
+    """The same values within the row of a map of cells, without a shuffle: an array of (names, value)."""
+    own = F.filter(F.map_entries(zones), lambda e: e["key"].startswith("tpl_") & ~e["key"].startswith("tpl_block_"))
+    cells = F.transform(own, lambda e: F.struct(F.substring(e["key"], 5, 99).alias("field"), filled(F.regexp_replace(e["value"], r"\s+", " ")).alias("text")))
+    folded = F.transform(F.filter(cells, lambda c: c["text"].isNotNull()), lambda c: F.struct(c["field"].alias("field"), c["text"].alias("text"), fold_text(c["text"]).alias("folded")))
+    told = F.transform(folded, lambda c: F.struct(zone_names(c["field"]).alias("names"), zone_value(c["field"], c["text"], c["folded"]).alias("value")))
+    return F.filter(told, lambda c: c["value"].isNotNull())
+
+
+def zone_of(zones: Column, name: str) -> Column:
+    """The value of a field among zones_within, the least of several; null without one."""
+    return F.array_min(F.transform(F.filter(zones, lambda z: F.array_contains(z["names"], name)), lambda z: z["value"]))
 
 
 # Fields that take another's value where they are empty, in order, and words for no value.

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from docrecon.operators import extraction as E
+from docrecon.operators.declaration import parse_declarations
 from docrecon.operators.embedded import embedded_layout
 from docrecon.operators.field_rules import zone_fields
 from docrecon.plans import layout
@@ -127,11 +128,35 @@ FULL = FORM.replace("'MOYEN répertoire", f"'Devise EUR ', {PRICE}, chr(10), '1
 @query("ext17_full_declaration_parse", f"""SELECT {K} AS id, {NUMBER} AS number, {DASHED} AS date, {DASHED} AS arrival, 'EUR' AS currency, {PRICE} AS duty_total, {pick(LABELLED)} AS origin, {PRICE} AS fob, 'DUPONT SARL' AS importer, '98765' AS credit, '22' AS title, CAST(2 AS INT) AS articles,
 '8542319000' AS hs, {PRICE} AS value, '7000.250' AS second_value, '602' AS tax, '13.000' AS tax_amount, CAST(94 AS INT) AS score FROM orders""")
 def ext17(spark, d):
-    out = E.parse_declarations(rows(spark, d, FULL))
+    out = parse_declarations(rows(spark, d, FULL))
     return out.select("id", "header.number", "header.date", "transport.arrival", "financials.currency", "liquidation.duty_total", "countries.origin", "values.fob", "parties.importer", "guided.credit", F.col("title.code").alias("title"), F.size("articles").alias("articles"), F.get("articles", F.lit(0))["hs"].alias("hs"),
                       F.get("articles", F.lit(0))["value"].alias("value"), F.get("articles", F.lit(1))["value"].alias("second_value"), F.get("taxes", F.lit(0))["code"].alias("tax"), F.get("taxes", F.lit(0))["amount"].alias("tax_amount"), "score")
 
 
+# Every third text tells nothing, and every fifth form has no cells; where both tell a field, the cells say something else.
+WEAK, NO_CELLS = f"{K} % 3 = 0", f"{K} % 5 = 0"
+CELLS = {"numero_declaration": f"lpad(CAST(({K} + 7) % 1000000 AS STRING), 6, '0')", "date_declaration": "'05/05/2026'", "type_declaration": "'EX1 .'", "pays_achat": "'U.S.A'", "importateur_nom": "'ATELIERS REUNIS DU NORD'", "itineraire": "'Tunis - Rades'", "bureau_douane": "'br - sfax'", "cle_authentification": "'D505ABC1D'", "poids_net": "'120 kg'"}
+CELLED = f"SELECT id, CASE WHEN {K} % 3 = 0 THEN 'Texte OCR faible' ELSE text END AS text, CASE WHEN {K} % 5 <> 0 THEN map(" + ", ".join(f"'tpl_{k}', {v}" for k, v in CELLS.items()) + f", 'tpl_block_1', 'left out') END AS zones FROM (SELECT f.*, id AS {K} FROM ({FORM}) f)"
+
+
+# Forms whose text has the number behind its label only: a number beside its date, such as the cells', goes before it.
+LABELLED_NUMBER = f"{K} % 7 = 0"
+
+
+def either(of_text, of_cell, cell_first=False):
+    """What the SQL expects of a field that text and cell tell."""
+    cell, text = f"CASE WHEN NOT ({NO_CELLS}) THEN {of_cell} END", f"CASE WHEN NOT ({WEAK}) THEN {of_text} END"
+    if cell_first is None:
+        return f"CASE WHEN {LABELLED_NUMBER} THEN coalesce({cell}, {text}) ELSE coalesce({text}, {cell}) END"
+    return f"coalesce({cell}, {text})" if cell_first else f"coalesce({text}, {cell})"
+
+
+@query("ext17_parse_with_cells", f"""SELECT {K} AS id, {either(NUMBER, CELLS['numero_declaration'], None)} AS number, {either(DASHED, "'05-05-2026'", None)} AS date, {either(f"replace({pick(KINDS)}, ' ', '')", "'EX1'")} AS type, {either(pick(LABELLED, 1), "'US USA'", True)} AS purchase, {either("'RADES-SFAX'", "'TUNIS-RADES'")} AS route,
+coalesce({either("'BR - TUNIS'", "'BR - SFAX'")}, '') AS office, {either("'D2024AB1C'", "'D505ABC1D'")} AS auth_key, {either("'DUPONT SARL'", "'ATELIERS REUNIS DU NORD'")} AS importer, CASE WHEN NOT ({NO_CELLS}) THEN '120' END AS net FROM orders""")
+def ext17_cells(spark, d):
+    return parse_declarations(rows(spark, d, CELLED)).select("id", "number", "date", "type", "purchase", "route", "office", "auth_key", "importer", "net")
+
+
 L, HS, VALUE = "l_orderkey * 10 + l_linenumber", "CAST(l_partkey % 10000000 + 80000000 AS STRING)", "CAST(CAST(l_extendedprice AS DECIMAL(12,3)) AS STRING)"
 DETAIL = {"code_qcs": "'01'", "qcs": "'12'", "pfn": "'345.678'", "gross": "CAST(l_suppkey % 50 + 200 AS STRING)", "net": "'120'", "fiscal_quality": "'3'", "regime": "'362'", "previous_regime": "'532'", "financial_regime": "'80'", "delay": "'7'", "oci": "'2'", "code": "'22'", "number": "CAST(l_partkey % 1000000 + 1000000 AS STRING)"}
 ROW = f"{HS}, ' TN ', {VALUE}, ' qcs 1 12 345.678 poids brut ', {DETAIL['gross']}, ' poids net 120 qualité 3 régimes douaniers 362 532 règlement 80 délai 7 code OCI 2 et 22 ', {DETAIL['number']}, ' fin', chr(10)"

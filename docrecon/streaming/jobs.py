@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from docrecon.operators.extraction import parse_declarations
+from docrecon.operators.declaration import parse_declarations
 from docrecon.operators.layout import by_runs
 
 

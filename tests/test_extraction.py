@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docrecon.operators import extraction as E
 from docrecon.operators import field_rules as R
 from docrecon.operators import quality as Q
+from docrecon.operators.declaration import parse_declarations
 
 PARTS = [E.header_fields, E.transport_fields, E.liquidation_fields, E.country_fields, E.article_value_fields, E.party_fields, E.guided_fields]
 
@@ -23,7 +24,7 @@ def fields(spark, text, part):
 @pytest.mark.parametrize("text", [None, "", " \n "])
 def test_texts_without_fields(spark, text):
     df = spark.createDataFrame([(1, text)], "id int, text string")
-    got = E.parse_declarations(df).select("header.*", "liquidation.*", "countries.*", "values.*", "parties.*", "title").first()
+    got = parse_declarations(df).select("header.*", "liquidation.*", "countries.*", "values.*", "parties.*", "title").first()
     assert not any(got)
     assert E.articles(df).count() == 0
     bill = fields(spark, text, E.invoice_fields)
