@@ -13,7 +13,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import ahocorasick
 import numpy as np
@@ -106,6 +107,12 @@ class Windows:
         return hit, items
 
 
+def in_order(ids: Iterable[str | None]) -> list[str | None]:
+    """Distinct ids; a null id is kept, as the empty place at the end."""
+    names = set(ids)
+    return sorted(x for x in names if x is not None) + [None] * (None in names)
+
+
 def spans_of(text: str | None, hit: list[int]) -> list[dict]:
     """The characters of runs of hit words."""
     if not hit:
@@ -128,7 +135,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     A window is `window` words of an item in a row; an item of fewer words is one window, an item without words none.
     Null texts have no words; items that repeat count once; an item with a null id is no id, but hits and is counted. The
     benchmark is dealt into blocks of about block_bytes of text (an item is within one), which the driver reads one at a time
-    and broadcasts; beyond one block, what was found is written before the next one is scanned for.
+    and broadcasts; beyond one block, docs are read once for each, what was found is written for each text with hits, and
+    joined to docs by the text's digest at the end.
     """
     docs = free_names(docs, ["n_words", "n_hit", "n_items", "item_ids", "items_sha256", "spans", "contaminated"])
     spark = docs.sparkSession
@@ -136,47 +144,64 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     blocks = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / block_bytes))
     if blocks > 1:
         items = saved(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)).cast("int")))
-    taken, state = {c.lower() for c in docs.columns}, []
-    for name in ("hit", "item"):
+    plain = docs.columns
+    taken, state = {c.lower() for c in plain}, []
+    for name in ("key", "hit", "item"):
         while name in taken:
             name += "_"
         state.append(name)
-    plain = docs.columns
-    found = [pa.array([], pa.list_(pa.int32())).type, pa.array([], pa.list_(pa.string())).type]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema]
-    results = "n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<begin: int, end: int>>"
+    key, hit, item = state
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", n_words long, n_hit long, n_items long, item_ids array<string>, spans array<struct<begin: int, end: int>>"
+
+    def outcome(batch: pa.RecordBatch, texts: list, n: list, hits: list, ids: list) -> pa.RecordBatch:
+        base, span = batch.select(plain), pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
+        more = {"n_words": pa.array(n, pa.int64()), "n_hit": pa.array([*map(len, hits)], pa.int64()), "n_items": pa.array([*map(len, ids)], pa.int64()), "item_ids": pa.array([[x for x in i if x is not None] for i in ids], pa.list_(pa.string())), "spans": pa.array([*map(spans_of, texts, hits)], span)}
+        return pa.RecordBatch.from_arrays([*base.columns, *more.values()], [*plain, *more])
+
+    def searched(texts: list, known: Windows) -> tuple[list, list, list]:
+        n, hits, ids = [], [], []
+        for text in texts:
+            words = words_of(text)
+            places, numbers = known.search(words)
+            n.append(len(words))
+            hits.append(sorted(places))
+            ids.append(in_order(known.items[i] for i in numbers))
+        return n, hits, ids
+
+    found = []
     for block in range(blocks):
         own = items.where(F.col("block") == block) if blocks > 1 else items
         shared = spark.sparkContext.broadcast([(r[0], r[1]) for r in own.select("item_id", "text").orderBy("item_id", "text").collect()])
-        last = block == blocks - 1
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared, block=block, last=last) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, block=block) -> Iterator[pa.RecordBatch]:
             known = of_stage(f"windows {block}", lambda: Windows(shared.value, window))
             for batch in batches:
                 texts = batch.column("text").to_pylist()
-                before = zip(*(batch.column(c).to_pylist() for c in state)) if block else ((None, None) for _ in texts)
-                n, hits, ids, spans = [], [], [], []
-                for text, (old_hit, old_ids) in zip(texts, before):
-                    words = words_of(text)
-                    hit, numbers = known.search(words)
-                    hits.append(sorted(hit.union(old_hit or ())))
-                    # A null id is kept, as the empty place at the end.
-                    names = {known.items[i] for i in numbers}.union(old_ids or ())
-                    ids.append(sorted(x for x in names if x is not None) + [None] * (None in names))
-                    n.append(len(words))
-                    if last:
-                        spans.append(spans_of(text, hits[-1]))
-                base = batch.select(plain)
-                if last:
-                    span = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
-                    more = {"n_words": pa.array(n, pa.int64()), "n_hit": pa.array([*map(len, hits)], pa.int64()), "n_items": pa.array([*map(len, ids)], pa.int64()), "item_ids": pa.array([[x for x in i if x is not None] for i in ids], found[1]), "spans": pa.array(spans, span)}
-                else:
-                    more = {name: pa.array(x, kind) for name, x, kind in zip(state, (hits, ids), found)}
-                yield pa.RecordBatch.from_arrays([*base.columns, *more.values()], [*plain, *more])
-
-        docs = docs.mapInArrow(scan, ", ".join([*fields, results if last else f"`{state[0]}` array<int>, `{state[1]}` array<string>"]))
-        if not last:
-            docs = saved(docs)
+                n, hits, ids = searched(texts, known)
+                if blocks == 1:
+                    yield outcome(batch, texts, n, hits, ids)
+                    continue
+                rows = np.flatnonzero([len(h) > 0 for h in hits])
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(rows)), pa.array([hits[i] for i in rows], pa.list_(pa.int32())), pa.array([ids[i] for i in rows], pa.list_(pa.string()))], state)
+
+        if blocks == 1:
+            docs = docs.mapInArrow(scan, schema)
+        else:
+            # A hit is a matter of the text alone: equal texts are told once, by their digest. Only texts with hits are written.
+            texts = docs.where("text is not null").select(F.sha2("text", 256).alias(key), "text")
+            found.append(saved(texts.mapInArrow(scan, f"`{key}` string, `{hit}` array<int>, `{item}` array<string>").dropDuplicates([key])))
+    if blocks > 1:
+        told = reduce(DataFrame.union, found).groupBy(key).agg(F.flatten(F.collect_list(hit)).alias(hit), F.flatten(F.collect_list(item)).alias(item))
+        # Null texts match nothing; they are spread, not gathered.
+        digest = F.coalesce(F.sha2("text", 256), F.monotonically_increasing_id().cast("string"))
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hits = [sorted(set(h or ())) for h in batch.column(hit).to_pylist()]
+                texts = batch.column("text").to_pylist()
+                yield outcome(batch, texts, [len(words_of(t)) for t in texts], hits, [in_order(i or ()) for i in batch.column(item).to_pylist()])
+
+        docs = docs.withColumn(key, digest).join(told, key, "left").select(*plain, hit, item).mapInArrow(finish, schema)
     return docs.withColumns({"items_sha256": F.sha2(F.array_join("item_ids", ","), 256), "contaminated": F.col("n_hit") > 0})
 
 
