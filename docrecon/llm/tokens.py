@@ -3,14 +3,17 @@
 The library's pipeline costs some 20 microseconds a call, and invented or rare words defeat its cache. Texts are therefore
 cut before spaces (a byte-level pre-token only begins there, or within) or at white space, a piece that isn't known yet is
 split with the vocabulary's own pattern, and the library's BPE model merges each pre-token at its first sight; the ids are
-kept, packed. Texts with a special token, or in which the library's normaliser may do more than lower-case, are given to
-the library whole. tests/llm holds both paths against Tokenizer.encode.
+kept, packed. A byte-level piece that is a word and marks, or lines that a single break parts, is taken apart without the
+pattern, so that a word is kept once and not with each mark or line behind it. Texts with a special token, or in which the
+library's normaliser may do more than lower-case, are given to the library whole. tests/llm holds both paths against
+Tokenizer.encode.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import unicodedata
 
@@ -25,7 +28,12 @@ BYTE_LEVEL = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^
 WORD_LEVEL = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACES}\p{{L}}\p{{N}}]+")
 #: Python's split() takes these for white space, the library doesn't.
 CONTROL = re.compile("[\x1c-\x1f]")
+#: Characters that byte-level pre-tokens join into one and part from letters.
+MARKS = string.punctuation
 KEPT = 500_000
+#: Of the byte-level pieces, words are kept up to here (what a table of 2^20 slots holds), pieces that end in marks while there
+#: are few.
+WORDS, WITH_MARKS = 690_000, 100_000
 
 
 def vocabulary(name: str) -> str:
@@ -64,7 +72,7 @@ class _Merged(dict):
 
 
 class Packed(dict):
-    """Piece -> its ids, packed."""
+    """Piece -> its ids, packed; at byte level the piece of a text behind a space -> the ids of both."""
 
     def __init__(self, text: str):
         super().__init__()
@@ -74,19 +82,38 @@ class Packed(dict):
         self.special = [t["content"] for t in told["added_tokens"]]
         self.lower = told["normalizer"] is not None
         self.pattern = WORD_LEVEL if self.lower else BYTE_LEVEL
+        self.four = [] if self.lower else [struct.pack("<I", i) for i in range(1 + max(told["model"]["vocab"].values()))]
 
     def __missing__(self, piece: str) -> bytes:
-        if not self.lower and piece[:1] == " " and not piece[1:2].strip():
+        if self.lower:
+            out, kept = self.merged[piece] if piece.isalpha() else self.split(piece), KEPT
+        elif not piece[:1].strip():
             raise _Run
-        body = piece[1:] if piece[:1] == " " and not self.lower else piece
-        if body.isalpha():
-            out = self.merged[piece]
+        elif piece.isalpha():
+            # Letters of ASCII are written as they are, a space as Ġ.
+            written = f"Ġ{piece}" if piece.isascii() else f" {piece}".encode().decode("latin-1").translate(self.merged.letters)
+            out, kept = b"".join([self.four[t.id] for t in self.merged.model.tokenize(written)]), WORDS
+        elif (word := piece.rstrip(MARKS)).isalpha():
+            out, kept = self[word] + self.merged[piece[len(word) :]], WITH_MARKS
+        elif "\n" in piece and all(x and not x[0].isspace() and not x[-1].isspace() for x in piece.split("\n")):
+            first, *lines = piece.split("\n")
+            out, kept = self.merged["\n"].join([self[first], *map(self.bare, lines)]), 0
         else:
-            out = b"".join(map(self.merged.__getitem__, self.pattern.findall(piece)))
-        if len(self) < KEPT:
+            out, kept = self.split(f" {piece}"), KEPT
+        if len(self) < kept:
             self[piece] = out
         return out
 
+    def split(self, piece: str) -> bytes:
+        return b"".join(map(self.merged.__getitem__, self.pattern.findall(piece)))
+
+    def bare(self, piece: str) -> bytes:
+        """The byte-level ids of a piece that has no space before it."""
+        word = piece.rstrip(MARKS)
+        if not word.isalpha():
+            return self.split(piece)
+        return self.merged[word] + self.merged[piece[len(word) :]] if len(word) < len(piece) else self.merged[word]
+
     def ids(self, text: str | None) -> bytes:
         """The ids of a text; null counts as empty."""
         if not text:
@@ -99,10 +126,11 @@ class Packed(dict):
             plain = text.isascii() or unicodedata.is_normalized("NFC", text) and "Σ" not in text and "İ" not in text
             text = text.lower() if plain else self.tokenizer.normalizer.normalize_str(text)
             return b"".join(map(self.__getitem__, text.split(" ") if CONTROL.search(text) else text.split()))
+        first, *pieces = text.split(" ")
         try:
-            return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0") if "\0" not in text else [text]))
+            return self.bare(first) + b"".join(map(self.__getitem__, pieces))
         except _Run:
-            return b"".join(map(self.merged.__getitem__, self.pattern.findall(text)))
+            return self.split(text)
 
 
 def packed(text: str) -> Packed:

@@ -34,13 +34,14 @@ def encode_shard(ids: np.ndarray, doc_ids: list[int], lengths: list[int]) -> byt
     squeeze = zstandard.ZstdCompressor(level=1).compress
     body: list[bytes] = []
     for shift in range(planes - 1, -1, -1):
-        ones = ((x >> x.dtype.type(shift)) & x.dtype.type(1)).astype(bool)
+        ones = (x & x.dtype.type(1 << shift)) != 0
         bits = np.packbits(ones)
         blocks = [squeeze(bits[i : i + BLOCK_BITS // 8].tobytes()) for i in range(0, len(bits), BLOCK_BITS // 8)]
-        before = np.concatenate([[0], np.cumsum(np.add.reduceat(ones, np.arange(0, n, BLOCK_BITS), dtype=np.int64))]) if n else np.zeros(1, np.int64)
+        before = np.cumsum([0, *(np.count_nonzero(ones[i : i + BLOCK_BITS]) for i in range(0, n, BLOCK_BITS))], dtype=np.int64)
         head = np.concatenate([[n - before[-1], len(blocks)], before, np.cumsum([0, *map(len, blocks)])]).astype("<i8").tobytes()
         body.append(struct.pack("<q", len(head)) + head + b"".join(blocks))
-        x = np.concatenate([x[~ones], x[ones]])
+        # By places, as a mask of random bits is slow.
+        x = np.concatenate([x.take(np.flatnonzero(~ones)), x.take(np.flatnonzero(ones))])
     docs = np.array([*doc_ids, *lengths], "<i8").tobytes()
     return struct.pack("<8q", MAGIC, 1, n, planes, len(doc_ids), BLOCK_BITS, len(docs), 0) + docs + b"".join(struct.pack("<q", len(b)) + b for b in body)
 
@@ -119,10 +120,10 @@ class WaveletMatrix:
         x, unzip = np.zeros(self.n, kind), zstandard.ZstdDecompressor()
         for p in range(self.planes - 1, -1, -1):
             raw = b"".join(map(unzip.decompress, self.blocks[p]))
-            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).astype(bool)
+            ones = np.unpackbits(np.frombuffer(raw, np.uint8), count=self.n).view(bool)
             y = np.empty(self.n, kind)
-            y[~ones] = x[: self.zeros[p]]
-            y[ones] = x[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
+            y[np.flatnonzero(~ones)] = x[: self.zeros[p]]
+            y[np.flatnonzero(ones)] = x[self.zeros[p] :] | kind(1 << (self.planes - 1 - p))
             x = y
         return x
 

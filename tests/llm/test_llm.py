@@ -184,6 +184,20 @@ def test_tokens_are_the_library_s(name):
         assert own.ids(text) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+def test_words_before_marks_and_lines_need_no_pattern():
+    own, lib = Packed(vocabulary("byte_bpe_50k.json")), Tokenizer.from_str(vocabulary("byte_bpe_50k.json"))
+    same = lambda text: own.ids(text) == np.array(lib.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    pattern, own.pattern = own.pattern, None
+    assert same("Ouanque ouanque, ouanque. été!!\nÉté ouanque.\nOuanque,!! ouanque\nouanque")
+    assert set(own) >= {"ouanque", "été"} and own["ouanque."] == own["ouanque"] + own.merged["."]
+    own.pattern = pattern
+    rng = random.Random(4)
+    bits = ["ab", "Été", "of", "the", " ", " ", " ", "\n", "\r\n", "\n\n", "\t", "\x00", "\x1f", ".", ",", "!!", "'", "'s", "'ll", "’", "_", "$", "1", "½", "e\u0301", "\u2028"]
+    for _ in range(6000):
+        text = "".join(rng.choice(bits) for _ in range(rng.randrange(14)))
+        assert same(text), repr(text)
+
+
 def test_wavelet(spark, docs, none):
     lib = Tokenizer.from_str(vocabulary("byte_bpe_50k.json"))
     start, want = 0, []
