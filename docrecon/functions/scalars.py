@@ -154,9 +154,9 @@ def normalize_noise(c) -> Column:
 
 
 def importer_code(c) -> Column:
-    """'cl 101' -> CL101, else three to five digits, else the text without blanks."""
+    """'cl 101' -> CL101, else three to five digits, else the text without blanks. A longer number isn't cut to another client's."""
     plain = F.upper(F.regexp_replace(c, r"\s+", ""))
-    client, digits = F.regexp_extract(plain, r"CL([0-9]{1,4})", 1), F.regexp_extract(plain, r"\b([0-9]{3,5})\b", 1)
+    client, digits = F.regexp_extract(plain, r"CL([0-9]{1,4})(?![0-9])", 1), F.regexp_extract(plain, r"\b([0-9]{3,5})\b", 1)
     return F.when(client != "", F.concat(F.lit("CL"), client)).when(digits != "", digits).otherwise(F.nullif(plain, F.lit("")))
 
 

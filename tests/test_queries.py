@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docrecon import plans  # noqa: F401
 from docrecon.functions import scalars
 from docrecon.operators.core import reconcile
+from docrecon.operators.history import lookup_importer
 from docrecon.registry import QUERIES, SQL
 
 SF = "/root/testdata/sf0.001"
@@ -68,3 +69,11 @@ def test_reconcile_cases(spark):
     assert (got[2]["status"], got[2]["gap"]) == ("error", 14500.0)
     assert got[3]["status"] == "warning" and "currency_mismatch" in got[3]["codes"]
     assert got[4]["codes"] == ["invoice_amount_missing"] and got[5]["codes"] == ["dum_pfn_missing"]
+
+
+def test_importer_codes_are_whole(spark):
+    """A client's number of five digits is not the client of its first four."""
+    assert [one(spark, c, scalars.importer_code) for c in ("cl 1200", "CL12000", "CL120000", "12000", "client CL12, x")] == ["CL1200", "CL12000", "CL120000", "12000", "CL12"]
+    entries = spark.createDataFrame([("cl 1200", "Atelier Nord")], "code string, company string")
+    docs = spark.createDataFrame([(1, "CL12000"), (2, "CL1200"), (3, "1200"), (4, "120000")], "id int, code string")
+    assert sorted(map(tuple, lookup_importer(docs, entries).select("id", "importer_name").collect())) == [(1, None), (2, "ATELIER NORD"), (3, "ATELIER NORD"), (4, None)]
