@@ -29,7 +29,8 @@ LONG_TERMS = rf"\b({TERMS})\b[\s\S]{{0,120}}?PAIEMENT[^\d]{{0,40}}([1-9])\b[\s\S
 OFFICE = r"\b(\d{1,3})\s+BR\s*-\s*(ARIANA|TUNIS|SFAX|BIZERTE)\b"
 MOVEMENT = r"\b(\d{1,3})\s+(\d{1,4})\s+(EXPORT|IMPORT|TRANSIT)\s+\d{1,2}[,.]\d{6,8}"
 KEY = r"\b(D\d{2,6}[A-Z]{2,4}\d[A-Z])\b\s*[,/|]?\s*(\d{6,12})?"
-APPROVAL = r"\b(935)\s*[|:/-]?\s*(\d{3,5})\b"
+# An approval apart from its directory goes before a glued one, which may be the front of another number.
+APPROVAL = [r"\b(935)(?:\s*[|:/-]\s*|\s+)(\d{3,5})\b", r"\b(935)(\d{3,5})\b"]
 DUTY_TOTAL = [rf"GDT[\s\S]{{0,120}}?\b(602)\s+({MONEY3})", rf"\b(602)\s+({MONEY3})\b"]
 FOB_AND_CUSTOMS = rf"\bFOB\b[^\d]{{0,40}}({MONEY3})\b[\s\S]{{0,120}}?\bDOUANE\b[^\d]{{0,40}}({MONEY3})\b"
 REGIME = [r"\bREGIME\b(?!\s+DOUAN)(?!\s*S\b)[^\d]{0,18}(\d{2})\b", r"\bREGIME\s+\d+\b[^\d]{0,12}(\d{2})\b", r"(?:CODE\s+)?QCI\b[\s\S]{0,100}?\bREGIME\b[^\d]{0,18}(\d{2})\b"]
@@ -188,10 +189,11 @@ def route(text: Column) -> Column:
 def liquidation_fields(m: Matches) -> dict[str, Column]:
     t = m.text
     first, second = (m.of(p, 2, near(t, word)) for p, word in zip(DUTY_TOTAL, ("GDT", "602")))
-    office, movement, key, approval = m.of(OFFICE, 2, F.when(t.contains("BR"), t)), m.of(MOVEMENT, 3, F.when(t.contains("PORT") | t.contains("TRANSIT"), t)), m.of(KEY, 2), m.of(APPROVAL, 2, near(t, "935"))
+    office, movement, key = m.of(OFFICE, 2, F.when(t.contains("BR"), t)), m.of(MOVEMENT, 3, F.when(t.contains("PORT") | t.contains("TRANSIT"), t)), m.of(KEY, 2)
+    apart, glued = (m.of(p, 2, near(t, "935")) for p in APPROVAL)
     return {
         "duty_code": F.coalesce(first(1), second(1)), "duty_total": clean_amount(F.coalesce(first(2), second(2))), "office_code": office(1), "office": F.concat(F.lit("BR - "), office(2)),
-        "border_office": movement(1), "destination": movement(2), "movement": movement(3), "route": route(t), "approval": approval(1), "directory": approval(2), "auth_key": key(1), "qr_code": key(2),
+        "border_office": movement(1), "destination": movement(2), "movement": movement(3), "route": route(t), "approval": F.coalesce(apart(1), glued(1)), "directory": F.coalesce(apart(2), glued(2)), "auth_key": key(1), "qr_code": key(2),
     }
 
 

@@ -106,3 +106,9 @@ def test_article_rows_that_are_only_in_one_source(spark):
     got = sorted(map(tuple, Q.merge_articles(cells, texts, ["unit"]).collect()), key=str)
     assert got == sorted([(1, 1, 3, "A", "kg", "table_cells"), (1, 1, 5, "B", "u", "table_cells"), (1, 2, 4, "A", "m", "regex"), (2, 1, 1, "A", None, "regex")], key=str)
     assert Q.merge_articles(cells.limit(0), texts.limit(0), ["unit"]).count() == 0
+
+
+def test_an_approval_apart_from_its_directory_goes_first(spark):
+    got = lambda text: [fields(spark, text, E.liquidation_fields)[k] for k in ("approval", "directory")]
+    assert got("Numéro : 935014 / 935 / 1234") == ["935", "1234"] and got("935123.450 / 935 4321") == ["935", "4321"]
+    assert got("935014") == ["935", "014"] and got("9351 1234") == [None, None]
