@@ -112,3 +112,9 @@ def test_an_approval_apart_from_its_directory_goes_first(spark):
     got = lambda text: [fields(spark, text, E.liquidation_fields)[k] for k in ("approval", "directory")]
     assert got("Numéro : 935014 / 935 / 1234") == ["935", "1234"] and got("935123.450 / 935 4321") == ["935", "4321"]
     assert got("935014") == ["935", "014"] and got("9351 1234") == [None, None]
+
+
+def test_labels_of_a_title_outweigh_its_number(spark):
+    text = "Code Titre CE 22 Numéro Titre CE {}"
+    df = spark.createDataFrame([(1, text.format("880123")), (2, text.format("654321")), (3, "43 x 22 y 44 z 880123")], "id int, text string")
+    assert sorted(map(tuple, parse_declarations(df).select("id", "title.code", "title.number").collect())) == [(1, "22", "880123"), (2, "22", "654321"), (3, None, None)]
