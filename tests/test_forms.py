@@ -145,3 +145,12 @@ def test_polluted_names_and_places(spark):
     got = Q.reject_polluted(docs).first()
     assert (got["importateur_nom"], got["declarant_nom"], got["pays_achat"]) == (None, "STE ALPHA BROKERS", None)
     assert {"importateur_nom_rejected_label_pollution", "pays_achat_rejected_unreadable_country"} <= set(got["reasons"])
+
+
+def test_cells_of_a_row_stay_together(spark):
+    """Cells are told within their row; rows that repeat an id meet, and of their values the least counts."""
+    rows = spark.createDataFrame([(1, {"tpl_itineraire": "Rades - Sfax", "tpl_exportateur": "Ateliers Réunis"}), (1, {"tpl_itineraire": "Tunis - Sfax", "tpl_exportateur_nom": "Ateliers Nord"}), (2, {"tpl_block_1": "x"}), (None, {"tpl_destination": "20"}), (3, None)], "id int, zones map<string,string>")
+    out = R.zone_fields(rows)
+    assert sorted(map(str, out.collect())) == sorted(map(str, spark.createDataFrame([(1, "exportateur", "ATELIERS NORD"), (1, "exportateur_nom", "ATELIERS NORD"), (1, "itineraire", "RADES-SFAX"), (None, "destination", "20")], out.schema).collect()))
+    exchanges = [x for x in out._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("field_key" in x for x in exchanges)
