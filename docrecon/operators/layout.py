@@ -12,6 +12,16 @@ from pyspark.sql import functions as F
 from docrecon.operators.core import latest
 
 
+def run_starts(batch: pd.DataFrame, key: list[str]) -> np.ndarray:
+    """The places in a sorted batch where the rows of another key begin; nulls are a key."""
+    fresh = np.zeros(len(batch), bool)
+    fresh[0] = True
+    for k in key:
+        c, before = batch[k], batch[k].shift()
+        fresh |= ((c != before) & ~(c.isna() & before.isna())).to_numpy(bool)
+    return np.flatnonzero(fresh)
+
+
 def by_runs(df: DataFrame, key: list[str], order: list[str], solve: Callable, schema: str) -> DataFrame:
     """df, all columns, with a column of the values of solve(state, rows) -> (values, state): rows are those of one key in a batch, in
     order, state is what the key's rows before left, None for the first.
@@ -26,12 +36,7 @@ def by_runs(df: DataFrame, key: list[str], order: list[str], solve: Callable, sc
         for batch in batches:
             if not len(batch):
                 continue
-            fresh = np.zeros(len(batch), bool)
-            fresh[0] = True
-            for k in key:
-                c, before = batch[k], batch[k].shift()
-                fresh |= ((c != before) & ~(c.isna() & before.isna())).to_numpy(bool)
-            starts = np.flatnonzero(fresh)
+            starts = run_starts(batch, key)
             values = []
             for i, j in zip(starts, [*starts[1:], len(batch)]):
                 now = tuple(None if pd.isna(x) else x for x in batch[key].iloc[i])
@@ -58,14 +63,60 @@ def row_numbers(y: np.ndarray, tolerance: float, anchor: float | None = None, ro
     return out, anchor, row
 
 
+def rows_of_pages(y: np.ndarray, starts: np.ndarray, tolerance: float, anchor: float | None = None, row: int = 0) -> tuple[np.ndarray, float, int]:
+    """As row_numbers, for many pages that begin at `starts`; anchor and row are what rows before left of the first page. All pages
+    take a step at once: a binary search for the end of the row that each of them is in. What is no number begins no row but a page's
+    first."""
+    if anchor is not None and pd.isna(anchor):
+        y = y.astype(float)
+    ends, at, anchors = np.append(starts[1:], len(y)), starts, y[starts]
+    begins = np.zeros(len(y), np.int64)
+    begins[starts] = 1
+    if anchor is not None and not y[0] > anchor + tolerance:
+        begins[0], anchors[0] = 0, anchor
+    last = anchors[-1]
+    while len(at):
+        limit, low, high = anchors + tolerance, at + 1, ends
+        # Few pages, such as one that fills the batch, are faster one by one.
+        if len(at) < 16:
+            low = high = np.array([i + np.searchsorted(y[i:j], most, side="right") for i, j, most in zip(low, high, limit)])
+        while (low < high).any():
+            middle = np.minimum((low + high) // 2, len(y) - 1)
+            beyond = (y[middle] > limit) | pd.isna(y[middle]) & ~pd.isna(limit)
+            low, high = np.where((low < high) & ~beyond, middle + 1, low), np.where((low < high) & beyond, middle, high)
+        more = (low < ends) & (y[np.minimum(low, len(y) - 1)] > limit)
+        at, ends = low[more], ends[more]
+        begins[at], anchors = 1, y[at]
+        if len(ends) and ends[-1] == len(y):
+            last = anchors[-1]
+    out = np.cumsum(begins)
+    # Counted over all pages; each begins anew.
+    out -= np.repeat(out[starts] - 1, np.diff(np.append(starts, len(y))))
+    if anchor is not None:
+        out[: starts[1] if len(starts) > 1 else len(y)] += row - 1 + begins[0]
+    return out, last, int(out[-1])
+
+
 def group_cells(cells: DataFrame, tolerance: int = 14) -> DataFrame:
-    """cells (page, id, x, y) with row: a new one begins where y is more than `tolerance` from the row's first cell."""
+    """cells (page, id, x, y) with row: a new one begins where y is more than `tolerance` from the row's first cell.
 
-    def solve(state, rows: pd.DataFrame) -> tuple:
-        out, *state = row_numbers(rows["y"].to_numpy(), tolerance, *(state or (None, 0)))
-        return out, state
+    As by_runs, rows pass in batches of a sorted partition; a batch is grouped as a whole, for pages are many and small."""
 
-    return by_runs(cells, ["page"], ["y", "x", "id"], solve, "row long")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, anchor, row = None, None, 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            pages = batch["page"]
+            now, end = (None if pd.isna(pages.iloc[i]) else pages.iloc[i] for i in (0, -1))
+            if last != (now,):
+                anchor, row = None, 0
+            out, anchor, row = rows_of_pages(batch["y"].to_numpy(), run_starts(batch, ["page"]), tolerance, anchor, row)
+            last = (end,)
+            yield batch.assign(row=out)
+
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields), "row long"])
+    return cells.repartition("page").sortWithinPartitions("page", "y", "x", "id").mapInPandas(run, fields)
 
 
 def zone_overlaps(zones: DataFrame, cell: int = 32) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from docrecon.operators.layout import row_numbers, zone_overlaps
+from docrecon.operators.layout import group_cells, row_numbers, rows_of_pages, zone_overlaps
 from docrecon.plans.access import requests
 from docrecon.streaming.jobs import admit, failed_login_stream, failed_logins, ingest, rate_limit, rate_limit_stream, revocation_stream
 
@@ -119,3 +119,22 @@ def test_ingest(spark):
 def test_zone_overlap_across_cells(spark):
     zones = spark.createDataFrame([(1, 1, 0, 0, 100, 100), (1, 2, 50, 50, 150, 150), (1, 3, 100, 0, 120, 40), (2, 4, 0, 0, 9, 9)], "page long, id long, x1 long, y1 long, x2 long, y2 long")
     assert [tuple(r) for r in zone_overlaps(zones).collect()] == [(1, 1, 2)]
+
+
+def test_rows_of_many_pages_at_once(spark):
+    """As page by page, for a page cut between batches, and whatever its first cell is."""
+    rng = np.random.default_rng(7)
+    for first in (None, float("nan")):
+        for _ in range(200):
+            pages = [np.sort(rng.integers(-30, 90, n)).astype(float if first else int) for n in rng.integers(1, 12, 4)]
+            if first:
+                pages[rng.integers(4)][0] = first
+            want = np.concatenate([row_numbers(y, 14)[0] for y in pages])
+            y, page = np.concatenate(pages), np.repeat(range(4), [len(p) for p in pages])
+            cut, starts = int(rng.integers(1, len(y))), lambda p: np.flatnonzero(np.r_[True, p[1:] != p[:-1]])
+            one, *state = rows_of_pages(y[:cut], starts(page[:cut]), 14)
+            two = rows_of_pages(y[cut:], starts(page[cut:]), 14, *(state if page[cut] == page[cut - 1] else ()))[0]
+            assert [*one, *two] == want.tolist()
+    assert rows_of_pages(np.array([3, 50]), np.array([0]), 14, float("nan"), 1)[0].tolist() == [1, 1]
+    cells = spark.createDataFrame([(p, i, 0, y) for p in (None, 1, 2) for i, y in enumerate([0, 14, 15, 29, 30])], "page int, id int, x int, y int")
+    assert sorted((r.page or 0, r.y, r.row) for r in group_cells(cells).collect()) == [(p, y, n) for p in (0, 1, 2) for y, n in [(0, 1), (14, 1), (15, 2), (29, 2), (30, 3)]]
